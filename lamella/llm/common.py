@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,11 +54,23 @@ def partitions_for(df: DataFrame, bytes_each: int) -> int:
     return max(8, -(-input_bytes(df) // bytes_each))
 
 
-def arrow_schema(schema: T.StructType | str) -> pa.Schema:
-    return to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
+_TYPES = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+def struct(spec: str) -> T.StructType:
+    """``"a int, b array<long>"`` as a schema; unlike Spark's own parser it needs no session."""
+    out = T.StructType()
+    for field in spec.split(","):
+        name, kind = field.split()
+        out.add(name, T.ArrayType(_TYPES[kind[6:-1]]) if kind.startswith("array<") else _TYPES[kind])
+    return out
+
+
+def arrow_schema(schema: T.StructType) -> pa.Schema:
+    return to_arrow_schema(schema)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,3 +177,37 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = step.select("u", F.col("n").alias("l"))
         if not changed:
             return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))
+
+
+#: Texts are worked on in slices of at most this many bytes (a longer text alone), so a task's memory doesn't follow its input.
+SLICE_BYTES = 8 << 20
+#: A side up to this many bytes on disk is broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+#: What a null id counts as where ids are ordered: it comes after every other.
+NULL_ID = (1 << 63) - 1
+
+
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` cut into runs of rows whose texts have ``most`` bytes together, or one row each."""
+    col = batch.column(batch.schema.get_field_index(text))
+    ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def written_bytes(df: DataFrame) -> int:
+    """Bytes on disk of a table that ``materialise`` returned."""
+    return input_bytes(df)
+
+
+def sized(side: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, marked for broadcast if its files have at most ``limit`` bytes; else it is left to a shuffled join."""
+    return F.broadcast(side) if written_bytes(side) <= limit else side
+
+
+def text_key(text: str, id_col: str) -> list:
+    """Columns that tell rows apart: the id (null: the largest) and a checksum of the text, for ids that aren't unique."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("_tie")]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, substring_dedup
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3,
+    "op6_substring_dedup": substring_dedup.op6,
 }
 
 ORACLES = {
     "op3_decontaminate": decontaminate.OP3_SQL,
+    "op6_substring_dedup": substring_dedup.OP6_SQL,
 }
