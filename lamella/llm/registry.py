@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, substring_dedup
+from . import decontaminate, ngram_join, substring_dedup
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3,
     "op6_substring_dedup": substring_dedup.op6,
+    "op10_ngram_join": ngram_join.op10,
 }
 
 ORACLES = {
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
+    "op10_ngram_join": ngram_join.OP10_SQL,
 }
