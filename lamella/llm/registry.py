@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, quality, substring_dedup
+from . import decontaminate, ngram_join, packing, quality, substring_dedup
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3,
     "op4_quality": quality.op4,
+    "op5_packing": packing.op5,
     "op6_substring_dedup": substring_dedup.op6,
     "op10_ngram_join": ngram_join.op10,
 }
