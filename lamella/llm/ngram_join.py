@@ -341,23 +341,36 @@ def links(found: DataFrame, share: tuple[int, int], every: bool = False) -> Data
     return out
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 3, share: tuple[int, int] = (9, 10)) -> DataFrame:
+    """One row for each document: id and tie (its key), n, sig, and the key ``first`` of its component's first document."""
+    members, found = classes(docs, id_col, text, k, share)
+    groups = components(links(found, share))
+    named = members.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "tie")).alias("first")).join(groups.withColumnRenamed("node", "sig"), "sig", "left")
+    group = F.coalesce("component", "sig")
+    least = named.groupBy(group.alias("g")).agg(F.min("first").alias("first"))
+    by_class = materialise(named.select("sig", group.alias("g")).join(least, "g").select("sig", "first"), "components")
+    return members.join(sized(by_class), "sig", "left").withColumn("first", F.when(F.col("n") > 0, F.col("first")).otherwise(F.struct("id", "tie")))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 3, share: tuple[int, int] = (9, 10)) -> DataFrame:
-    """One row for each document: id_col, tie, n_shingles and component_id, the smallest id reachable by links.
+    """One row for each document: id_col, n_shingles and component_id, the smallest id reachable by links.
 
     ``share`` is the least Jaccard similarity as a fraction. A null text, or one without words, has no shingles and is its own
     component; repeated rows share theirs. A null id never names a component that has another; a component of null ids
     alone is null. Collisions of 64-bit hashes are the only source of error."""
-    members, found = classes(docs, id_col, text, k, share)
-    edges = links(found, share)
-    groups = components(edges)
-    named = members.where("n > 0").groupBy("sig").agg(F.min("id").alias("least")).join(groups.withColumnRenamed("node", "sig"), "sig", "left")
-    group = F.coalesce("component", "sig")
-    least = named.groupBy(group.alias("g")).agg(F.min("least").alias("component_id"))
-    by_class = materialise(named.select("sig", group.alias("g")).join(least, "g").select("sig", "component_id"), "components")
-    all_ = members.join(sized(by_class), "sig", "left")
-    own = F.when(F.col("id") == NULL_ID, None).otherwise(F.col("id"))
-    least_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return all_.select(own.alias(id_col), "tie", F.col("n").alias("n_shingles"), F.when(least_id == NULL_ID, None).otherwise(least_id).alias("component_id"))
+    known = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    return grouped(docs, id_col, text, k, share).select(known("id").alias(id_col), F.col("n").alias("n_shingles"), known("first.id").alias("component_id"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 3, share: tuple[int, int] = (9, 10)) -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest id. Documents without words stay, each its own.
+
+    Rows equal in id and text are one document: one of them stays."""
+    found = grouped(docs, id_col, text, k, share)
+    lost = materialise(found.where(F.col("first") != F.struct("id", "tie")).select(F.col("id").alias("_id"), F.col("tie").alias("_tie")).distinct(), "lost")
+    repeated = found.groupBy("id", "tie").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
+    out = docs.select("*", *text_key(text, id_col)).join(sized(lost), ["_id", "_tie"], "left_anti")
+    return (out.dropDuplicates(["_id", "_tie"]) if repeated else out).select(*docs.columns)
 
 
 def pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 3, share: tuple[int, int] = (9, 10)) -> tuple[DataFrame, DataFrame]:
@@ -368,7 +381,7 @@ def pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return join(docs).drop("tie")
+    return join(docs)
 
 
 OP10_SQL = r"""
