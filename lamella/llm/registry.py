@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, packing, quality, substring_dedup
+from . import chat, decontaminate, ngram_join, packing, quality, substring_dedup, url_filter
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3,
     "op4_quality": quality.op4,
     "op5_packing": packing.op5,
     "op6_substring_dedup": substring_dedup.op6,
+    "op8_url_filter": url_filter.op8,
+    "op9_chat": chat.op9,
     "op10_ngram_join": ngram_join.op10,
 }
 
 ORACLES = {
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
+    "op8_url_filter": url_filter.OP8_SQL,
+    "op9_chat": chat.OP9_SQL,
     "op10_ngram_join": ngram_join.OP10_SQL,
 }
