@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, ngram_join, packing, quality, substring_dedup, url_filter
+from . import chat, decontaminate, ngram_join, packing, quality, substring_dedup, token_counts, url_filter, warc
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1,
+    "op2_warc": warc.op2,
     "op3_decontaminate": decontaminate.op3,
     "op4_quality": quality.op4,
     "op5_packing": packing.op5,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_warc": warc.OP2_SQL,
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op8_url_filter": url_filter.OP8_SQL,
