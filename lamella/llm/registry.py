@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, ngram_join, packing, quality, substring_dedup, token_counts, url_filter, warc
+from . import chat, decontaminate, html_extract, ngram_join, packing, quality, substring_dedup, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_token_counts": token_counts.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality": quality.op4,
     "op5_packing": packing.op5,
     "op6_substring_dedup": substring_dedup.op6,
+    "op7_html_extract": html_extract.op7,
     "op8_url_filter": url_filter.op8,
     "op9_chat": chat.op9,
     "op10_ngram_join": ngram_join.op10,
