@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, arrow_schema, map_arrow, materialise, partitions_for, rolling, runs, sized, slices, struct, text_key, to_bytes, window_starts, with_columns, word_hashes
+from .common import NULL_ID, arrow_schema, map_arrow, materialise, mix, partitions_for, rolling, runs, sized, slices, struct, text_key, to_bytes, window_starts, with_columns, word_hashes
 
 #: Input bytes for each hash range; what one task sorts at a time is a small multiple of this.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 4 << 20
 
 _DEALT = struct("part int, hash binary, ids binary, ties binary, counts binary, steps binary")
-_CUTS = struct("_id long, _tie long, starts binary, ends binary")
+_FOUND = struct("part int, ids binary, ties binary, counts binary, begins binary, ends binary")
+_CUTS = struct("_id long, _tie long, cuts array<int>")
 _CUT_FIELDS = struct("n_words long, n_removed long, intervals array<int>, kept_text string, kept_sha256 string")
 
 
@@ -87,14 +88,15 @@ def _groups(x: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    """Of one hash range: the windows whose hash has an earlier place, and what the slices had found themselves."""
+def _judge(table: pa.Table, parts: int) -> pa.Table:
+    """Of one hash range: the windows whose hash has an earlier place, and what the slices had found themselves, dealt by document."""
     cols = {n: table.column(n).to_pylist() for n in ("hash", "ids", "ties", "counts", "steps")}
-    out: list[tuple] = []
+    gone: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
     hashes, ids, ties, places = [], [], [], []
     for h, i, t, c, s in zip(*cols.values(), strict=True):
         if h is None:
-            out.append((int(np.frombuffer(i, np.int64)[0]), int(_from_planes(t, 4)[0]), c, s))
+            begin = np.frombuffer(c, "<i4").astype(np.int64)
+            gone.append((np.repeat(np.frombuffer(i, np.int64), len(begin)), np.repeat(_from_planes(t, 4), len(begin)).astype(np.int64), begin, np.frombuffer(s, "<i4").astype(np.int64)))
             continue
         counts = _from_planes(c, 4).astype(np.int64)
         steps = _from_planes(s, 4).astype(np.int64)
@@ -113,27 +115,53 @@ def _judge(table: pa.Table) -> pa.Table:
         twice[1:] |= same
         twice[:-1] |= same
         order = order[twice]
-        h, i, t, s = h[order], np.concatenate(ids)[order], np.concatenate(ties)[order].astype(np.int64), np.concatenate(places)[order]
+        h, i, t, s = h[order], np.concatenate(ids)[order], np.concatenate(ties)[order].astype(np.int64), np.concatenate(places)[order].astype(np.int64)
         order = np.lexsort((s, t, i, h))
         h, i, t, s = h[order], i[order], t[order], s[order]
-        # a place seen twice (the same row read in two slices) is one place
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        # a place seen twice (the same row read in two slices) is one place
         later = (i != i[lead]) | (t != t[lead]) | (s != s[lead])
-        i, t, s = i[later], t[later], s[later]
-        order = np.lexsort((s, t, i))
-        i, t, s = i[order], t[order], s[order]
-        if len(i):
-            edge = np.flatnonzero((np.diff(i) != 0) | (np.diff(t) != 0)) + 1
-            for lo, hi in zip(np.concatenate(([0], edge)).tolist(), np.concatenate((edge, [len(i)])).tolist(), strict=True):
-                out.append((int(i[lo]), int(t[lo]), s[lo:hi].astype("<i4").tobytes(), (s[lo:hi] + 1).astype("<i4").tobytes()))
+        gone.append((i[later], t[later], s[later], s[later] + 1))
+    i, t, b, e = map(np.concatenate, zip(*gone, strict=True))
+    part = (mix((i ^ t).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((b, t, i, part))
+    i, t, b, e, part = i[order], t[order], b[order], e[order], part[order]
+    rows = []
+    for lo, hi in _groups(part):
+        first = np.concatenate(([0], np.flatnonzero((np.diff(i[lo:hi]) != 0) | (np.diff(t[lo:hi]) != 0)) + 1))
+        rows.append((int(part[lo]), i[lo:hi][first].tobytes(), t[lo:hi][first].tobytes(), np.diff(np.append(first, hi - lo)).astype("<i4").tobytes(), b[lo:hi].astype("<i4").tobytes(), e[lo:hi].astype("<i4").tobytes()))
+    schema = arrow_schema(_FOUND)
+    return pa.table([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, schema, strict=True)], schema=schema)
+
+
+def _merge(table: pa.Table, window: int) -> pa.Table:
+    """Of one part of the documents: the maximal intervals of removable words of each."""
+    rows = table.to_pylist()
+    counts = np.concatenate([np.frombuffer(r["counts"], "<i4") for r in rows])
+    i, t = (np.repeat(np.concatenate([np.frombuffer(r[n], np.int64) for r in rows]), counts) for n in ("ids", "ties"))
+    b, e = (np.concatenate([np.frombuffer(r[n], "<i4") for r in rows]).astype(np.int64) for n in ("begins", "ends"))
+    order = np.lexsort((b, t, i))
+    i, t, b, e = i[order], t[order], b[order], e[order] + window - 1
+    doc = np.zeros(len(i), np.int64)
+    doc[1:] = np.cumsum((np.diff(i) != 0) | (np.diff(t) != 0))
+    # texts have fewer than 2 ** 31 words, so a document's intervals can't reach into the next one's
+    reach = np.maximum.accumulate(e + (doc << 32))
+    new = np.ones(len(i), bool)
+    new[1:] = b[1:] + (doc[1:] << 32) > reach[:-1]
+    first = np.flatnonzero(new)
+    begin, end, doc = b[first], reach[np.append(first[1:], len(i)) - 1] & 0xFFFFFFFF, doc[first]
+    out = []
+    for lo, hi in _groups(doc):
+        at = first[lo]
+        out.append((int(i[at]), int(t[at]), np.stack((begin[lo:hi], end[lo:hi]), 1).ravel().tolist()))
     schema = arrow_schema(_CUTS)
-    return pa.table([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 4, schema, strict=True)], schema=schema)
+    return pa.table([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
-    """Removable windows by document: _id, _tie and lists of packed begins and ends of window starts.
+    """Removable words by document: _id, _tie and cuts, the begins and ends of maximal intervals.
 
     The order of documents is that of their ids; null ids count as the largest, and rows of one id that differ in text are
     ordered by its checksum. Rows equal in id and text are one document: neither removes the other."""
@@ -144,11 +172,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window
             yield from _deal(part, window, parts)
 
     dealt = map_arrow(docs.select(F.col(id_col).cast("long").alias(id_col), text), deal, _DEALT)
-    found = dealt.groupBy("part").applyInArrow(_judge, _CUTS)
-    return materialise(found.groupBy("_id", "_tie").agg(F.collect_list(F.struct("starts", "ends")).alias("cuts")), "removals")
+    found = dealt.groupBy("part").applyInArrow(lambda t: _judge(t, parts), _FOUND)
+    return materialise(found.groupBy("part").applyInArrow(lambda t: _merge(t, window), _CUTS), "removals")
 
 
-def cut(text: bytes | None, cuts: list[dict] | None, window: int, whole: bool = True) -> tuple:
+def cut(text: bytes | None, cuts: list[int] | None, whole: bool = True) -> tuple:
     """n_words, n_removed, intervals (begin, end word pairs), the text without them, the digest of the kept words."""
     if not text:
         return 0, 0, [], None if text is None else "", hashlib.sha256(b"").hexdigest()
@@ -156,17 +184,13 @@ def cut(text: bytes | None, cuts: list[dict] | None, window: int, whole: bool =
     intervals: list[int] = []
     kept, rest = words, text
     if cuts:
-        begin = np.concatenate([np.frombuffer(c["starts"], "<i4") for c in cuts])
-        end = np.concatenate([np.frombuffer(c["ends"], "<i4") for c in cuts])
-        depth = np.zeros(len(words) + 1, np.int64)
-        np.add.at(depth, begin, 1)
-        np.add.at(depth, end + window - 1, -1)
-        gone = np.cumsum(depth[:-1]) > 0
-        b, e = runs(gone)
-        intervals = np.stack((b, e), 1).ravel().tolist()
-        kept = list(compress(words, (~gone).tolist()))
+        intervals = cuts
+        keep = np.ones(len(words), bool)
+        for b, e in zip(cuts[::2], cuts[1::2], strict=True):
+            keep[b:e] = False
+        kept = list(compress(words, keep.tolist()))
         if whole:
-            rest = _cut_text(text, words, b.tolist(), e.tolist())
+            rest = _cut_text(text, words, cuts[::2], cuts[1::2])
     return len(words), len(words) - len(kept), intervals, rest.decode("utf-8", "replace") if whole else None, hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
@@ -198,7 +222,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
     packed = joined.withColumn("_cut", F.struct(F.col(text).cast("binary").alias("t"), "cuts")).drop("cuts")
 
     def apply(col: pa.Array) -> dict:
-        done = [cut(t, c, window, whole) for t, c in zip(to_bytes(col.field("t")), col.field("cuts").to_pylist(), strict=True)]
+        done = [cut(t, c, whole) for t, c in zip(to_bytes(col.field("t")), col.field("cuts").to_pylist(), strict=True)]
         return dict(zip(_CUT_FIELDS.fieldNames(), zip(*done, strict=True), strict=True)) if done else {n: [] for n in _CUT_FIELDS.fieldNames()}
 
     return with_columns(packed if whole else packed.drop(text), "_cut", _CUT_FIELDS, apply).drop("_cut")
