@@ -180,7 +180,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 #: Texts are worked on in slices of at most this many bytes (a longer text alone), so a task's memory doesn't follow its input.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: A side up to this many bytes on disk is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 #: What a null id counts as where ids are ordered: it comes after every other.
