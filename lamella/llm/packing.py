@@ -40,7 +40,7 @@ def tokenised(docs: DataFrame, text: str = "text", tokenizer: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = bpe.encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in slices(batch, text):
+            for piece in slices(batch, text, bpe.SLICE_BYTES):
                 flat, starts = encoder.encode(to_bytes(piece.column(piece.schema.get_field_index(text))))
                 n = piece.num_rows
                 ids = np.insert(flat, starts[1:], end).astype("<u4")

@@ -118,7 +118,7 @@ def count_tokens(docs: DataFrame, text: str = "text", tokenizer: str | None = No
     target = arrow_schema(schema)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", bpe.SLICE_BYTES):
             texts = to_bytes(part.column(2))
             _, starts = bpe.encoder(path).encode(texts)
             n_words = [len(t.split()) if t else 0 for t in texts]
