@@ -50,8 +50,12 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, bytes_each: int) -> int:
-    """How many buckets to deal ``df`` into so that each holds about ``bytes_each`` of its input."""
-    return max(8, -(-input_bytes(df) // bytes_each))
+    """How many buckets to deal ``df`` into so that each holds about ``bytes_each`` of its input.
+
+    Where Catalyst has no size (rows from the driver), four for each shuffle partition."""
+    size = input_bytes(df)
+    known = size < 1 << 60
+    return max(8, -(-size // bytes_each) if known else 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 _TYPES = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
