@@ -18,6 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _MASK = (1 << 64) - 1
+_BLOCK = 4096
 TYPES = ("simplex", "cellular", "cubic", "perlin", "value", "white")
 FRACTALS = ("fbm", "billow", "rigid")
 DISTANCES = ("natural", "euclidean", "manhattan")
@@ -67,6 +68,16 @@ def gradients() -> np.ndarray:
     return np.array(out, float)
 
 
+@cache
+def _gradient_columns() -> tuple[np.ndarray, ...]:
+    return tuple(np.ascontiguousarray(c) for c in gradients().T)
+
+
+def _dot(index: np.ndarray, off) -> np.ndarray:
+    x, y, z, w = _gradient_columns()
+    return x[index] * off[0] + y[index] * off[1] + z[index] * off[2] + w[index] * off[3]
+
+
 @cache
 def default_values(seed: int = 1) -> np.ndarray:
     spread = (2 * np.arange(256) - 255) / 255
@@ -136,8 +147,15 @@ class Noise:
         return f(x, y, z, w)
 
     def at(self, p: np.ndarray) -> np.ndarray:
-        """Noise at points, axis 0 of ``p`` being x, y, z, w."""
-        p = np.asarray(p, float) * self.frequency
+        """Noise at points, axis 0 of ``p`` being x, y, z, w; worked on in blocks that stay in the cache."""
+        p = np.asarray(p, float)
+        flat = p.reshape(4, -1)
+        if flat.shape[1] > _BLOCK:
+            parts = [self._block(flat[:, i : i + _BLOCK] * self.frequency) for i in range(0, flat.shape[1], _BLOCK)]
+            return np.concatenate(parts).reshape(p.shape[1:])
+        return self._block(p * self.frequency)
+
+    def _block(self, p: np.ndarray) -> np.ndarray:
         if self.type == "white":
             return lattice_hash(self.seed, p.view(np.int64) ^ (p.view(np.int64) >> 32))
         if self.type == "cellular":
@@ -169,25 +187,34 @@ class Noise:
             at = perm[(c & 255) + at]
         return at
 
-    def _corners(self, p: np.ndarray, of: Callable) -> np.ndarray:
-        cell = _floor(p)
-        part = p - cell
-        fade = _fade(part, self.interpolation)
-        corners = {k: of(cell + np.array(k).reshape(4, *[1] * (p.ndim - 1)), part - np.array(k).reshape(4, *[1] * (p.ndim - 1))) for k in itertools.product((0, 1), repeat=4)}
+    def _tree(self, offset: int, cell: np.ndarray, steps: tuple[int, ...]) -> dict[tuple, np.ndarray]:
+        """The index of every cell around ``cell``, by its steps (x, y, z, w). What neighbours share is looked up once."""
+        perm = permutation(self.seed)
+        level: dict[tuple, np.ndarray | int] = {(): offset}
+        for axis in (3, 2, 1, 0):
+            places = [(k, (cell[axis] + k) & 255) for k in steps]
+            level = {(k, *done): perm[c + at] for done, at in level.items() for k, c in places}
+        return level
+
+    def _corners(self, p: np.ndarray, cell: np.ndarray, corners: dict[tuple, np.ndarray]) -> np.ndarray:
+        fade = _fade(p - cell, self.interpolation)
         for axis in range(4):
             corners = {k[1:]: corners[(0, *k[1:])] + fade[axis] * (corners[(1, *k[1:])] - corners[(0, *k[1:])]) for k in corners if k[0] == 0}
         return corners[()]
 
     def _value(self, offset: int, p: np.ndarray) -> np.ndarray:
         table = default_values() if self.values is None else self.values
-        return self._corners(p, lambda cell, _: table[self._index(offset, cell)])
+        cell = _floor(p)
+        return self._corners(p, cell, {k: table[i] for k, i in self._tree(offset, cell, (0, 1)).items()})
 
     def _perlin(self, offset: int, p: np.ndarray) -> np.ndarray:
-        return self._corners(p, lambda cell, off: self._gradient(offset, cell, off))
+        cell = _floor(p)
+        off = p - cell
+        sides = [(o, o - 1) for o in off]
+        return self._corners(p, cell, {k: _dot(i & 31, [sides[a][k[a]] for a in range(4)]) for k, i in self._tree(offset, cell, (0, 1)).items()})
 
     def _gradient(self, offset: int, cell: np.ndarray, off: np.ndarray) -> np.ndarray:
-        g = gradients()[self._index(offset, cell) & 31]
-        return (np.moveaxis(g, -1, 0) * off).sum(0)
+        return _dot(self._index(offset, cell) & 31, off)
 
     def _simplex(self, offset: int, p: np.ndarray) -> np.ndarray:
         skew, unskew = (5**0.5 - 1) / 4, (5 - 5**0.5) / 20
@@ -211,13 +238,13 @@ class Noise:
         table = default_values() if self.values is None else self.values
         cell = _floor(p)
         t = p - cell
-        grid = {k: table[self._index(offset, cell + np.array(k).reshape(4, *[1] * (p.ndim - 1)))] for k in itertools.product((-1, 0, 1, 2), repeat=4)}
+        grid = {k: table[i] for k, i in self._tree(offset, cell, (-1, 0, 1, 2)).items()}
         for axis in range(4):
             made = {}
             for k in {k[1:] for k in grid}:
                 a, b, c, d = (grid[(i, *k)] for i in (-1, 0, 1, 2))
                 q, x = (d - c) - (a - b), t[axis]
-                made[k] = x**3 * q + x**2 * ((a - b) - q) + x * (c - a) + b
+                made[k] = ((q * x + (a - b - q)) * x + (c - a)) * x + b
             grid = made
         return grid[()] / 1.5**4
 
@@ -227,16 +254,23 @@ class Noise:
         shape = p.shape[1:]
         i0, i1 = sorted(min(max(i, 0), 3) for i in (self.index0, self.index1))
         nearest = np.full((i1 + 1, *shape), 999999.0)
-        winner = np.zeros(p.shape, np.int64)
-        for w, z, y, x in itertools.product((-1, 0, 1), repeat=4):
-            cell = centre + np.array((x, y, z, w)).reshape(4, *[1] * len(shape))
-            off = cell - p + np.moveaxis(table[self._index(0, cell)], -1, 0) * self.jitter
-            square, plain = (off * off).sum(0), np.abs(off).sum(0)
-            d = {"euclidean": square, "manhattan": plain, "natural": square + plain}[self.distance]
-            winner = np.where(d < nearest[0], cell, winner)
+        best = np.zeros(shape, np.int64)
+        columns = [np.ascontiguousarray(c) * self.jitter for c in table.T]
+        index, near = self._tree(0, centre, (-1, 0, 1)), centre - p
+        cells = list(itertools.product((-1, 0, 1), repeat=4))  # w is outermost
+        for n, (w, z, y, x) in enumerate(cells):
+            at = index[x, y, z, w]
+            off = [near[a] + k + columns[a][at] for a, k in enumerate((x, y, z, w))]
+            d = np.zeros(shape)
+            if self.distance != "manhattan":
+                d += off[0] * off[0] + off[1] * off[1] + off[2] * off[2] + off[3] * off[3]
+            if self.distance != "euclidean":
+                d += np.abs(off[0]) + np.abs(off[1]) + np.abs(off[2]) + np.abs(off[3])
+            best[d < nearest[0]] = n
             for i in range(i1, 0, -1):
                 nearest[i] = np.maximum(np.minimum(nearest[i], d), nearest[i - 1])
             nearest[0] = np.minimum(nearest[0], d)
+        winner = centre + np.moveaxis(np.array(cells)[:, ::-1][best], -1, 0)
         a, b = nearest[i0], nearest[i1]
         made = {"cell_value": lambda: lattice_hash(self.seed, winner), "distance": lambda: nearest[0], "distance2": lambda: b, "distance2_add": lambda: b + a, "distance2_sub": lambda: b - a, "distance2_mul": lambda: b * a, "distance2_div": lambda: a / b}
         return made[self.returns]()
