@@ -56,8 +56,10 @@ def nested(df: DataFrame) -> DataFrame:
 
 
 def unnested(df: DataFrame, *more: str) -> DataFrame:
-    """The samples of ``ss`` as rows again, with columns ``more`` kept."""
-    return df.select(*PIXEL, *more, F.inline("ss"))
+    """The samples of ``ss`` as rows again, with columns ``more`` kept.
+
+    An outer generator, as the optimiser would else test the array's size first and so work out its fold twice."""
+    return df.select(*PIXEL, *more, F.inline_outer("ss")).where("front is not null")
 
 
 def max_samples(image: DeepImage, k: int) -> DeepImage:

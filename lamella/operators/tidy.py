@@ -22,7 +22,7 @@ def pieces(df: DataFrame) -> DataFrame:
     rows = unnested(held, "_places")
     inner = F.filter("_places", lambda p: (p > F.col("front")) & (p < F.col("back")))
     edges = rows.withColumn("_edges", F.concat(F.array("front"), inner, F.array("back"))).drop("_places")
-    cut = edges.select("*", F.explode(F.arrays_zip(F.slice("_edges", 1, F.size("_edges") - 1).alias("a"), F.slice("_edges", 2, F.size("_edges") - 1).alias("b"))).alias("_p"))
+    cut = edges.select("*", F.explode_outer(F.arrays_zip(F.slice("_edges", 1, F.size("_edges") - 1).alias("a"), F.slice("_edges", 2, F.size("_edges") - 1).alias("b"))).alias("_p"))
     whole = F.size("_edges") == 2
     alpha = F.when(whole, F.col("alpha")).otherwise(1 - F.pow(1 - F.col("alpha"), (F.col("_p.b") - F.col("_p.a")) / (F.col("back") - F.col("front"))))
     cut = cut.withColumn("_a", alpha)
