@@ -84,9 +84,15 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+def others(df: DataFrame, results: Iterable[str]) -> list[T.StructField]:
+    """The fields of ``df`` that aren't named as a result, in any case, as Spark's names have none."""
+    taken = {r.lower() for r in results}
+    return [f for f in df.schema.fields if f.name.lower() not in taken]
+
+
 def with_columns(df: DataFrame, needs: str, fields: T.StructType, fn: Callable[[pa.Array], dict]) -> DataFrame:
     """``df`` with ``fields`` computed from column ``needs``, batch by batch; an input column of the same name is replaced."""
-    kept = [f for f in df.schema.fields if f.name not in fields.fieldNames()]
+    kept = others(df, fields.fieldNames())
     if len({f.name for f in kept}) < len(kept):
         raise ValueError("column names of the input must differ")
     names = [f.name for f in kept]
@@ -214,4 +220,4 @@ def sized(side: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 def text_key(text: str, id_col: str) -> list:
     """Columns that tell rows apart: the id (null: the largest) and a checksum of the text, for ids that aren't unique."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("_tie")]
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_lamella_id"), F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("_lamella_tie")]

@@ -123,13 +123,13 @@ def _pass(docs: DataFrame, text: str, sent, again: bool) -> DataFrame:
 
     if not again:
         return with_columns(docs, text, FIELDS, lambda col: _columns([scan_text(built(), t) for t in to_bytes(col)]))
-    packed = docs.withColumn("_again", F.struct(F.col(text).alias("t"), "hit_words", "items"))
+    packed = docs.withColumn("_lamella_again", F.struct(F.col(text).alias("t"), "hit_words", "items"))
 
     def extend(col: pa.Array) -> dict:
         texts, before, items = to_bytes(col.field("t")), col.field("hit_words").to_pylist(), col.field("items").to_pylist()
         return _columns([scan_text(built(), t, np.asarray(b or [], np.int64), i) for t, b, i in zip(texts, before, items, strict=True)])
 
-    return with_columns(packed, "_again", FIELDS, extend).drop("_again")
+    return with_columns(packed, "_lamella_again", FIELDS, extend).drop("_lamella_again")
 
 
 def _columns(rows: list[dict]) -> dict:

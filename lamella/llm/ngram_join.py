@@ -367,10 +367,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
 
     Rows equal in id and text are one document: one of them stays."""
     found = grouped(docs, id_col, text, k, share)
-    lost = materialise(found.where(F.col("first") != F.struct("id", "tie")).select(F.col("id").alias("_id"), F.col("tie").alias("_tie")).distinct(), "lost")
+    lost = materialise(found.where(F.col("first") != F.struct("id", "tie")).select(F.col("id").alias("_lamella_id"), F.col("tie").alias("_lamella_tie")).distinct(), "lost")
     repeated = found.groupBy("id", "tie").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
-    out = docs.select("*", *text_key(text, id_col)).join(sized(lost), ["_id", "_tie"], "left_anti")
-    return (out.dropDuplicates(["_id", "_tie"]) if repeated else out).select(*docs.columns)
+    out = docs.select("*", *text_key(text, id_col)).join(sized(lost), ["_lamella_id", "_lamella_tie"], "left_anti")
+    return (out.dropDuplicates(["_lamella_id", "_lamella_tie"]) if repeated else out).select(*docs.columns)
 
 
 def pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 3, share: tuple[int, int] = (9, 10)) -> tuple[DataFrame, DataFrame]:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import arrow_schema, map_arrow, materialise, sized, slices, struct, to_bytes
+from .common import arrow_schema, map_arrow, materialise, others, sized, slices, struct, to_bytes
 
 LENGTH, END = 2048, 1
 
@@ -33,7 +33,7 @@ def tokenised(docs: DataFrame, text: str = "text", tokenizer: str | None = None,
     A null text counts as empty: it has the end token alone. Retried tasks write the same rows under the same partition;
     what is read later is the one committed copy."""
     path = tokenizer or bpe.default_path()
-    kept = [f for f in docs.schema.fields if f.name != text and f.name not in _ROW.fieldNames()]
+    kept = others(docs, [text, *_ROW.fieldNames()])
     out = T.StructType(kept + _ROW.fields)
     target = arrow_schema(out)
 
@@ -66,7 +66,7 @@ def offsets(rows: DataFrame) -> DataFrame:
 def cut(rows: DataFrame, length: int = LENGTH, keep_ids: bool = True) -> DataFrame:
     """The pieces of written rows, one row each; with ``keep_ids`` also the ids as an array."""
     placed = rows.join(sized(offsets(rows)), "part").withColumn("place", F.col("place") + F.col("base")).drop("base", "part", "tokens")
-    kept = [f for f in placed.schema.fields if f.name not in ("place", "ids", *_PIECE.fieldNames())]
+    kept = others(placed, ["place", "ids", *_PIECE.fieldNames()])
     out = T.StructType(kept + _PIECE.fields + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else []))
     target = arrow_schema(out)
 

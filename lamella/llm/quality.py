@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, map_arrow, materialise, sized, slices, struct, to_bytes, window_starts, word_hashes
+from .common import arrow_schema, map_arrow, materialise, others, sized, slices, struct, to_bytes, window_starts, word_hashes
 from .common import rolling as rolled
 
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
@@ -105,7 +105,7 @@ def count_texts(texts: list[bytes | None]) -> dict[str, list | np.ndarray]:
 
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the columns of ``COUNTS``, which replace columns of the same names. A null text counts as empty."""
-    kept = [f for f in docs.schema.fields if f.name not in COUNTS.fieldNames()]
+    kept = others(docs, COUNTS.fieldNames())
     out = T.StructType(kept + COUNTS.fields)
     target = arrow_schema(out)
 
@@ -166,11 +166,11 @@ def _moments(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.array(*[F.sum(v) for v in x]).alias("sums"), F.array(*[F.sum(x[i] * x[j]) for i, j in _PAIRS]).alias("products"))
 
 
-def _distance(x: str = "x") -> Column:
-    off = [F.col(x)[i] - F.col("centre")[i] for i in range(_P)]
+def _distance(x: str = "x", of: str = "") -> Column:
+    off = [F.col(x)[i] - F.col(f"{of}centre")[i] for i in range(_P)]
     total = F.lit(0.0)
     for i, j in _PAIRS:
-        total = total + F.lit(1.0 if i == j else 2.0) * F.col("inverse")[i * _P + j] * off[i] * off[j]
+        total = total + F.lit(1.0 if i == j else 2.0) * F.col(f"{of}inverse")[i * _P + j] * off[i] * off[j]
     return F.greatest(total, F.lit(0.0))
 
 
@@ -215,14 +215,14 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
 def verdicts(counted_: DataFrame, found: DataFrame, lang: str, source: str, min_group: int, alpha: float) -> DataFrame:
     null = F.lit("\x00")
-    out = counted_.withColumn("_x", F.array(*vector())).withColumn("_l", F.coalesce(F.col(lang).cast("string"), null)).withColumn("_s", F.coalesce(F.col(source).cast("string"), null))
-    for level, (l_, s_) in enumerate(((F.col("_l"), F.col("_s")), (F.col("_l"), F.lit("")), (F.lit(""), F.lit("")))):
-        side = found.where(F.col("level") == level).where((F.col("rows") >= min_group) | (F.lit(level) == 2)).select(F.col("lang").alias(f"_l{level}"), F.col("source").alias(f"_s{level}"), F.struct("centre", "inverse").alias(f"_e{level}"))
-        out = out.join(sized(side), (l_ == F.col(f"_l{level}")) & (s_ == F.col(f"_s{level}")), "left").drop(f"_l{level}", f"_s{level}")
-    out = out.withColumn("_e", F.coalesce("_e0", "_e1", "_e2")).withColumn("centre", F.col("_e.centre")).withColumn("inverse", F.col("_e.inverse"))
-    out = out.withColumn("distance", F.when(~F.col("base_failed"), _distance("_x")))
+    out = counted_.withColumn("_lamella_x", F.array(*vector())).withColumn("_lamella_l", F.coalesce(F.col(lang).cast("string"), null)).withColumn("_lamella_s", F.coalesce(F.col(source).cast("string"), null))
+    for level, (l_, s_) in enumerate(((F.col("_lamella_l"), F.col("_lamella_s")), (F.col("_lamella_l"), F.lit("")), (F.lit(""), F.lit("")))):
+        side = found.where(F.col("level") == level).where((F.col("rows") >= min_group) | (F.lit(level) == 2)).select(F.col("lang").alias(f"_lamella_l{level}"), F.col("source").alias(f"_lamella_s{level}"), F.struct("centre", "inverse").alias(f"_lamella_e{level}"))
+        out = out.join(sized(side), (l_ == F.col(f"_lamella_l{level}")) & (s_ == F.col(f"_lamella_s{level}")), "left").drop(f"_lamella_l{level}", f"_lamella_s{level}")
+    out = out.withColumn("_lamella_e", F.coalesce("_lamella_e0", "_lamella_e1", "_lamella_e2"))
+    out = out.withColumn("distance", F.when(~F.col("base_failed"), _distance("_lamella_x", "_lamella_e.")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(1 - alpha, _P), F.lit(True))
-    return out.withColumn("kept", kept).drop("_x", "_l", "_s", "_e", "_e0", "_e1", "_e2", "centre", "inverse")
+    return out.withColumn("kept", kept).drop("_lamella_x", "_lamella_l", "_lamella_s", "_lamella_e", "_lamella_e0", "_lamella_e1", "_lamella_e2")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ RANGE_BYTES = 4 << 20
 
 _DEALT = struct("part int, hash binary, ids binary, ties binary, counts binary, steps binary")
 _FOUND = struct("part int, ids binary, ties binary, counts binary, begins binary, ends binary")
-_CUTS = struct("_id long, _tie long, cuts array<int>")
+_CUTS = struct("_lamella_id long, _lamella_tie long, _lamella_cuts array<int>")
 _CUT_FIELDS = struct("n_words long, n_removed long, intervals array<int>, kept_text string, kept_sha256 string")
 
 
@@ -161,7 +161,7 @@ def _merge(table: pa.Table, window: int) -> pa.Table:
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
-    """Removable words by document: _id, _tie and cuts, the begins and ends of maximal intervals.
+    """Removable words by document: its key and cuts, the begins and ends of maximal intervals.
 
     The order of documents is that of their ids; null ids count as the largest, and rows of one id that differ in text are
     ordered by its checksum. Rows equal in id and text are one document: neither removes the other."""
@@ -218,14 +218,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
     ``common.BROADCAST_BYTES`` on disk and joined by a shuffle beyond."""
     found = removals(docs, id_col, text, window)
     keyed = docs.select("*", *text_key(text, id_col))
-    joined = keyed.join(sized(found), ["_id", "_tie"], "left").drop("_id", "_tie")
-    packed = joined.withColumn("_cut", F.struct(F.col(text).cast("binary").alias("t"), "cuts")).drop("cuts")
+    joined = keyed.join(sized(found), ["_lamella_id", "_lamella_tie"], "left").drop("_lamella_id", "_lamella_tie")
+    packed = joined.withColumn("_lamella_cut", F.struct(F.col(text).cast("binary").alias("t"), F.col("_lamella_cuts").alias("cuts"))).drop("_lamella_cuts")
 
     def apply(col: pa.Array) -> dict:
         done = [cut(t, c, whole) for t, c in zip(to_bytes(col.field("t")), col.field("cuts").to_pylist(), strict=True)]
         return dict(zip(_CUT_FIELDS.fieldNames(), zip(*done, strict=True), strict=True)) if done else {n: [] for n in _CUT_FIELDS.fieldNames()}
 
-    return with_columns(packed if whole else packed.drop(text), "_cut", _CUT_FIELDS, apply).drop("_cut")
+    return with_columns(packed if whole else packed.drop(text), "_lamella_cut", _CUT_FIELDS, apply).drop("_lamella_cut")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, others
 
 BITS_PER_KEY, HASHES = 10, 4
 #: A level with more words than this isn't put into plans; ``Cascade.of`` then refuses, and ``judge`` joins by shuffle instead.
@@ -83,7 +83,7 @@ def _hit(key: Column, level: int, words: tuple[str, ...]) -> Column:
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lowered): after the first ``://`` up to ``/ ? #`` or the end; path: from there up to ``? #`` or the end."""
     url = F.coalesce(url, F.lit(""))
-    after = F.when(F.instr(url, "://") > 0, F.expr("substring(_u, instr(_u, '://') + 3)")).otherwise(F.lit(""))
+    after = F.when(F.instr(url, "://") > 0, F.expr("substring(_lamella_u, instr(_lamella_u, '://') + 3)")).otherwise(F.lit(""))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return F.translate(F.regexp_extract(after, "^([^/?#]*)", 1), upper, lower), F.regexp_extract(after, "^[^/?#]*([^?#]*)", 1)
 
@@ -105,11 +105,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
     urls are judged alike; columns of ``pages`` named as a result are replaced. A list too long for a cascade in the plan
     is joined by a shuffle, with the same result."""
     spark = pages.sparkSession
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    host, path = host_and_path(F.col("_u"))
-    base = pages.withColumn("_u", F.coalesce(F.col(url), F.lit(""))).select(*kept, host.alias("host"), path.alias("path"))
-    base = base.withColumn("_keys", candidates(F.col("host"), F.col("path"), rules))
-    universe = base.select(F.explode("_keys").alias("key"))
+    kept = [f.name for f in others(pages, ("host", "path", "rule", "verdict"))]
+    host, path = host_and_path(F.col("_lamella_u"))
+    base = pages.withColumn("_lamella_u", F.coalesce(F.col(url), F.lit(""))).select(*kept, host.alias("host"), path.alias("path"))
+    base = base.withColumn("_lamella_keys", candidates(F.col("host"), F.col("path"), rules))
+    universe = base.select(F.explode("_lamella_keys").alias("key"))
     longest = lambda keys: F.array_max(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]
     blocked = sorted({h + p for v, h, p in rules if v == "block"})
     allowed = sorted({h + p for v, h, p in rules if v == "allow"} - set(blocked))
@@ -117,17 +117,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
         lists = {v: Cascade.of(_listed(spark, keys), universe) for v, keys in (("allow", allowed), ("block", blocked))}
     except OverflowError:
         listed = _listed(spark, allowed).withColumn("v", F.lit("allow")).unionByName(_listed(spark, blocked).withColumn("v", F.lit("block")))
-        numbered = materialise(base.withColumn("_n", F.monotonically_increasing_id()), "numbered")
-        fit = numbered.select("_n", F.explode("_keys").alias("key")).join(listed, "key").groupBy("_n").agg(F.max(F.struct(F.length("key").alias("n"), "key", "v")).alias("f"))
-        return numbered.join(fit, "_n", "left").select(*kept, "host", "path", F.col("f.key").alias("rule"), F.coalesce("f.v", F.lit(default)).alias("verdict"))
-    found = {v: longest(F.filter(F.col("_keys"), c.has)) for v, c in lists.items()}
-    out = base.withColumn("_a", found["allow"]).withColumn("_b", found["block"])
-    wins = F.coalesce(F.length("_b"), F.lit(-1)) > F.coalesce(F.length("_a"), F.lit(-1))
-    rule = F.when(wins, F.col("_b")).otherwise(F.col("_a"))
-    tie = (F.length("_a") == F.length("_b")) & (F.col("_b") > F.col("_a"))
-    rule = F.when(F.coalesce(tie, F.lit(False)), F.col("_b")).otherwise(rule)
+        numbered = materialise(base.withColumn("_lamella_n", F.monotonically_increasing_id()), "numbered")
+        fit = numbered.select("_lamella_n", F.explode("_lamella_keys").alias("key")).join(listed, "key").groupBy("_lamella_n").agg(F.max(F.struct(F.length("key").alias("n"), "key", "v")).alias("f"))
+        return numbered.join(fit, "_lamella_n", "left").select(*kept, "host", "path", F.col("f.key").alias("rule"), F.coalesce("f.v", F.lit(default)).alias("verdict"))
+    found = {v: longest(F.filter(F.col("_lamella_keys"), c.has)) for v, c in lists.items()}
+    out = base.withColumn("_lamella_a", found["allow"]).withColumn("_lamella_b", found["block"])
+    wins = F.coalesce(F.length("_lamella_b"), F.lit(-1)) > F.coalesce(F.length("_lamella_a"), F.lit(-1))
+    rule = F.when(wins, F.col("_lamella_b")).otherwise(F.col("_lamella_a"))
+    tie = (F.length("_lamella_a") == F.length("_lamella_b")) & (F.col("_lamella_b") > F.col("_lamella_a"))
+    rule = F.when(F.coalesce(tie, F.lit(False)), F.col("_lamella_b")).otherwise(rule)
     out = out.withColumn("rule", rule)
-    verdict = F.when(F.col("rule").isNull(), default).when(F.coalesce(F.col("rule") == F.col("_b"), F.lit(False)), "block").otherwise("allow")
+    verdict = F.when(F.col("rule").isNull(), default).when(F.coalesce(F.col("rule") == F.col("_lamella_b"), F.lit(False)), "block").otherwise("allow")
     return out.select(*kept, "host", "path", "rule", verdict.alias("verdict"))
 
 

@@ -39,7 +39,7 @@ def odd(spark):
         (9, "Ünïcödé\x85\xa0 \u2028 words 日本", "fr", "c"),
     ]
     df = spark.createDataFrame(rows, DOC)
-    for c in ("n_words", "n_hit", "kept", "distance", "items", "kept_text", "tokens", "part", "place", "start", "host", "n"):
+    for c in ("n_words", "n_hit", "kept", "distance", "items", "kept_text", "tokens", "part", "place", "start", "host", "n", "N_REMOVED", "centre", "cuts", "_id", "Spans", "ids"):
         df = df.withColumn(c, F.lit("mine"))
     return df
 
