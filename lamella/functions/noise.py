@@ -1,4 +1,5 @@
-"""Four-dimensional lattice noise over numpy arrays: value, gradient (Perlin), simplex, cubic and cellular, with fractal sums.
+"""Lattice noise in two to four dimensions over numpy arrays: value, gradient (Perlin), simplex, cubic, cellular and white, with
+fractal sums and coordinate warps.
 
 All families index a permutation that is drawn from a 64-bit Mersenne Twister. The 32 gradients follow a rule. The 256 lattice
 values and feature vectors are drawn by a rule too (evenly spread values, random unit vectors); a caller who needs those of
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 _MASK = (1 << 64) - 1
 _BLOCK = 4096
 TYPES = ("simplex", "cellular", "cubic", "perlin", "value", "white")
-FRACTALS = ("fbm", "billow", "rigid")
+FRACTALS = ("fbm", "billow", "rigid", "blend")
 DISTANCES = ("natural", "euclidean", "manhattan")
 RETURNS = ("cell_value", "distance", "distance2", "distance2_add", "distance2_sub", "distance2_mul", "distance2_div")
 
@@ -55,27 +56,38 @@ def permutation(seed: int) -> np.ndarray:
 
 
 @cache
-def gradients() -> np.ndarray:
-    """The 32 vectors with one 0 and three of 1 or -1, the place of the 0 moving from first to last.
-
-    With the 0 in place k > 0 the coordinates before it vary slowest."""
+def gradients(dims: int = 4) -> np.ndarray:
+    """In four dimensions the 32 vectors with one 0 and three of 1 or -1: the place of the 0 moves from first to last, and the
+    signs vary slowest in front. Else the 12 edges of a cube: the place of the 0 moves from last to first, and the signs vary
+    slowest at the end; in two dimensions without their last coordinate."""
     out = []
-    for zero in range(4):
-        for signs in itertools.product((1, -1), repeat=3):
-            v = list(signs)
-            v.insert(zero, 0)
-            out.append(v)
-    return np.array(out, float)
+    if dims == 4:
+        for zero in range(4):
+            for signs in itertools.product((1, -1), repeat=3):
+                v = list(signs)
+                v.insert(zero, 0)
+                out.append(v)
+    else:
+        for zero in (2, 1, 0):
+            for second, first in itertools.product((1, -1), repeat=2):
+                v = [first, second]
+                v.insert(zero, 0)
+                out.append(v)
+    return np.array(out, float)[:, :dims]
 
 
 @cache
-def _gradient_columns() -> tuple[np.ndarray, ...]:
-    return tuple(np.ascontiguousarray(c) for c in gradients().T)
+def _gradient_columns(dims: int) -> tuple[np.ndarray, ...]:
+    return tuple(np.ascontiguousarray(c) for c in gradients(dims).T)
 
 
 def _dot(index: np.ndarray, off) -> np.ndarray:
-    x, y, z, w = _gradient_columns()
-    return x[index] * off[0] + y[index] * off[1] + z[index] * off[2] + w[index] * off[3]
+    columns = _gradient_columns(len(off))
+    index = index % len(columns[0])
+    total = columns[0][index] * off[0]
+    for c, o in zip(columns[1:], off[1:], strict=True):
+        total += c[index] * o
+    return total
 
 
 @cache
@@ -85,8 +97,8 @@ def default_values(seed: int = 1) -> np.ndarray:
 
 
 @cache
-def default_vectors(seed: int = 2) -> np.ndarray:
-    v = np.random.default_rng(seed).normal(size=(256, 4))
+def default_vectors(dims: int = 4, seed: int = 2) -> np.ndarray:
+    v = np.random.default_rng(seed).normal(size=(256, dims))
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -137,19 +149,21 @@ class Noise:
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} {getattr(self, name)}")
 
-    def column(self, x: Column, y: Column, z: Column, w: Column) -> Column:
+    def column(self, *coordinates: Column) -> Column:
         noise = self
 
         @F.pandas_udf("double")
-        def f(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-            return pd.Series(noise.at(np.stack([v.to_numpy(float) for v in (a, b, c, d)])))
+        def f(p: pd.DataFrame) -> pd.Series:
+            return pd.Series(noise.at(p.to_numpy(float).T.copy()))
 
-        return f(x, y, z, w)
+        return f(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(coordinates)]))
 
     def at(self, p: np.ndarray) -> np.ndarray:
-        """Noise at points, axis 0 of ``p`` being x, y, z, w; worked on in blocks that stay in the cache."""
+        """Noise at points, axis 0 of ``p`` being x, y and maybe z, w; worked on in blocks that stay in the cache."""
         p = np.asarray(p, float)
-        flat = p.reshape(4, -1)
+        if not 2 <= len(p) <= 4 or self.fractal == "blend" and len(p) != 2:
+            raise ValueError(f"{self.fractal} noise in {len(p)} dimensions")
+        flat = p.reshape(len(p), -1)
         if flat.shape[1] > _BLOCK:
             parts = [self._block(flat[:, i : i + _BLOCK] * self.frequency) for i in range(0, flat.shape[1], _BLOCK)]
             return np.concatenate(parts).reshape(p.shape[1:])
@@ -166,19 +180,39 @@ class Noise:
         return self._fractal(single, p)
 
     def _fractal(self, single: Callable, p: np.ndarray) -> np.ndarray:
-        """Simplex starts at offset 0 and, unless rigid, scales its first octave by the frequency once more; the other
-        families start at the permutation's first entry."""
+        """Four-dimensional simplex starts at offset 0 and, unless rigid, scales its first octave by the frequency once more; all
+        else starts at the permutation's first entry."""
         perm = permutation(self.seed)
-        simplex, rigid = self.type == "simplex", self.fractal == "rigid"
-        first = p * self.frequency if simplex and not rigid else p
-        shape = {"fbm": lambda n: n, "billow": lambda n: np.abs(n) * 2 - 1, "rigid": lambda n: 1 - np.abs(n)}[self.fractal]
-        total = shape(single(0 if simplex else int(perm[0]), first))
-        amp = weight = 1.0
+        own, rigid = self.type == "simplex" and len(p) == 4, self.fractal == "rigid"
+        first = p * self.frequency if own and not rigid else p
+        shape = {"fbm": lambda n: n, "billow": lambda n: np.abs(n) * 2 - 1, "rigid": lambda n: 1 - np.abs(n), "blend": lambda n: n}[self.fractal]
+        total = shape(single(0 if own else int(perm[0]), first))
+        amp = 1.0
         for i in range(1, self.octaves):
             p, amp = p * self.lacunarity, amp * self.gain
-            weight += amp
-            total = total + (-amp if rigid else amp) * shape(single(int(perm[i]), p))
-        return total if rigid else total / weight
+            n = shape(single(int(perm[i]), p)) * amp
+            total = total * (n + 1) if self.fractal == "blend" else total - n if rigid else total + n
+        return total if rigid else total * self.bounding
+
+    @property
+    def bounding(self) -> float:
+        """What brings a sum of octaves back to the range of one."""
+        return 1 / sum(self.gain**i for i in range(max(self.octaves, 1)))
+
+    def warped(self, p: np.ndarray, amplitude: float = 1.0, octaves: int = 1) -> np.ndarray:
+        """Points moved by smooth random vectors: by one octave, or by several, each moving what the one before has moved."""
+        p = np.array(p, float)
+        dims, perm = len(p), permutation(self.seed)
+        columns = [np.ascontiguousarray(c) for c in (default_vectors(dims) if self.vectors is None else self.vectors).T]
+        amp = amplitude if octaves == 1 else amplitude / sum(self.gain**i for i in range(octaves))
+        frequency = self.frequency
+        for i in range(octaves):
+            q = p * frequency
+            cell = _floor(q)
+            index = self._tree(0 if octaves == 1 else int(perm[i]), cell, (0, 1))
+            p = p + amp * np.stack([self._corners(q, cell, {k: c[at] for k, at in index.items()}) for c in columns])
+            frequency, amp = frequency * self.lacunarity, amp * self.gain
+        return p
 
     def _index(self, offset: int, cell: np.ndarray) -> np.ndarray:
         perm = permutation(self.seed)
@@ -191,14 +225,14 @@ class Noise:
         """The index of every cell around ``cell``, by its steps (x, y, z, w). What neighbours share is looked up once."""
         perm = permutation(self.seed)
         level: dict[tuple, np.ndarray | int] = {(): offset}
-        for axis in (3, 2, 1, 0):
+        for axis in reversed(range(len(cell))):
             places = [(k, (cell[axis] + k) & 255) for k in steps]
             level = {(k, *done): perm[c + at] for done, at in level.items() for k, c in places}
         return level
 
     def _corners(self, p: np.ndarray, cell: np.ndarray, corners: dict[tuple, np.ndarray]) -> np.ndarray:
         fade = _fade(p - cell, self.interpolation)
-        for axis in range(4):
+        for axis in range(len(p)):
             corners = {k[1:]: corners[(0, *k[1:])] + fade[axis] * (corners[(1, *k[1:])] - corners[(0, *k[1:])]) for k in corners if k[0] == 0}
         return corners[()]
 
@@ -211,45 +245,49 @@ class Noise:
         cell = _floor(p)
         off = p - cell
         sides = [(o, o - 1) for o in off]
-        return self._corners(p, cell, {k: _dot(i & 31, [sides[a][k[a]] for a in range(4)]) for k, i in self._tree(offset, cell, (0, 1)).items()})
+        return self._corners(p, cell, {k: _dot(i, [sides[a][k[a]] for a in range(len(p))]) for k, i in self._tree(offset, cell, (0, 1)).items()})
 
     def _gradient(self, offset: int, cell: np.ndarray, off: np.ndarray) -> np.ndarray:
-        return _dot(self._index(offset, cell) & 31, off)
+        return _dot(self._index(offset, cell), off)
 
     def _simplex(self, offset: int, p: np.ndarray) -> np.ndarray:
-        skew, unskew = (5**0.5 - 1) / 4, (5 - 5**0.5) / 20
+        dims = len(p)
+        skew, unskew = ((dims + 1) ** 0.5 - 1) / dims, (1 - (dims + 1) ** -0.5) / dims
+        reach, scale = (0.5 if dims == 2 else 0.6), {2: 70, 3: 32, 4: 27}[dims]
         cell = _floor(p + p.sum(0) * skew)
         origin = p - (cell - cell.sum(0) * unskew)
-        # rank of each offset: how many of the others it comes after; of equal ones the later axis ranks higher
+        # rank of each offset: how many of the others it comes after; of equal ones the later axis does, in three dimensions the earlier
         rank = np.zeros(origin.shape, np.int64)
-        for i, j in itertools.combinations(range(4), 2):
-            greater = origin[i] > origin[j]
+        for i, j in itertools.combinations(range(dims), 2):
+            greater = origin[i] >= origin[j] if dims == 3 else origin[i] > origin[j]
             rank[i] += greater
             rank[j] += ~greater
         total = np.zeros(p.shape[1:])
-        for corner in range(5):
-            step = (rank >= 4 - corner).astype(np.int64)
+        for corner in range(dims + 1):
+            step = (rank >= dims - corner).astype(np.int64)
             off = origin - step + corner * unskew
-            fall = np.maximum(0.6 - (off * off).sum(0), 0)
-            total += fall**4 * self._gradient(offset, cell + step, off)
-        return total * 27
+            fall = np.maximum(reach - (off * off).sum(0), 0)
+            fall *= fall
+            total += fall * fall * self._gradient(offset, cell + step, off)
+        return total * scale
 
     def _cubic(self, offset: int, p: np.ndarray) -> np.ndarray:
         table = default_values() if self.values is None else self.values
         cell = _floor(p)
         t = p - cell
         grid = {k: table[i] for k, i in self._tree(offset, cell, (-1, 0, 1, 2)).items()}
-        for axis in range(4):
+        for axis in range(len(p)):
             made = {}
             for k in {k[1:] for k in grid}:
                 a, b, c, d = (grid[(i, *k)] for i in (-1, 0, 1, 2))
                 q, x = (d - c) - (a - b), t[axis]
                 made[k] = ((q * x + (a - b - q)) * x + (c - a)) * x + b
             grid = made
-        return grid[()] / 1.5**4
+        return grid[()] / 1.5 ** len(p)
 
     def _cellular(self, p: np.ndarray) -> np.ndarray:
-        table = default_vectors() if self.vectors is None else self.vectors
+        dims = len(p)
+        table = default_vectors(dims) if self.vectors is None else self.vectors
         centre = np.where(p >= 0, np.trunc(p + 0.5), np.trunc(p - 0.5)).astype(np.int64)
         shape = p.shape[1:]
         i0, i1 = sorted(min(max(i, 0), 3) for i in (self.index0, self.index1))
@@ -257,20 +295,22 @@ class Noise:
         best = np.zeros(shape, np.int64)
         columns = [np.ascontiguousarray(c) * self.jitter for c in table.T]
         index, near = self._tree(0, centre, (-1, 0, 1)), centre - p
-        cells = list(itertools.product((-1, 0, 1), repeat=4))  # w is outermost
-        for n, (w, z, y, x) in enumerate(cells):
-            at = index[x, y, z, w]
-            off = [near[a] + k + columns[a][at] for a, k in enumerate((x, y, z, w))]
+        # in four dimensions the last axis is outermost, else the first: of equally near features the first found counts
+        cells = [c[::-1] if dims == 4 else c for c in itertools.product((-1, 0, 1), repeat=dims)]
+        for n, steps in enumerate(cells):
+            at = index[steps]
+            off = [near[a] + k + columns[a][at] for a, k in enumerate(steps)]
             d = np.zeros(shape)
-            if self.distance != "manhattan":
-                d += off[0] * off[0] + off[1] * off[1] + off[2] * off[2] + off[3] * off[3]
-            if self.distance != "euclidean":
-                d += np.abs(off[0]) + np.abs(off[1]) + np.abs(off[2]) + np.abs(off[3])
+            for o in off:
+                if self.distance != "manhattan":
+                    d += o * o
+                if self.distance != "euclidean":
+                    d += np.abs(o)
             best[d < nearest[0]] = n
             for i in range(i1, 0, -1):
                 nearest[i] = np.maximum(np.minimum(nearest[i], d), nearest[i - 1])
             nearest[0] = np.minimum(nearest[0], d)
-        winner = centre + np.moveaxis(np.array(cells)[:, ::-1][best], -1, 0)
+        winner = centre + np.moveaxis(np.array(cells)[best], -1, 0)
         a, b = nearest[i0], nearest[i1]
         made = {"cell_value": lambda: lattice_hash(self.seed, winner), "distance": lambda: nearest[0], "distance2": lambda: b, "distance2_add": lambda: b + a, "distance2_sub": lambda: b - a, "distance2_mul": lambda: b * a, "distance2_div": lambda: a / b}
         return made[self.returns]()

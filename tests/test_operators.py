@@ -223,6 +223,34 @@ def test_noise_is_continuous_and_bounded(kind):
     assert np.array_equal(Noise(kind).at(p), Noise(kind).at(p))
 
 
+@pytest.mark.parametrize("dims", [2, 3])
+@pytest.mark.parametrize("kind", ["simplex", "perlin", "value", "cubic", "cellular", "white"])
+def test_noise_in_fewer_dimensions(kind, dims):
+    p = np.random.default_rng(1).uniform(-20, 20, (dims, 3000))
+    n = Noise(kind, frequency=1, octaves=3, layered=True, returns="distance")
+    assert np.isfinite(n.at(p)).all() and np.abs(n.at(p)).max() < 3
+    assert np.array_equal(n.at(p)[:10], n.at(p[:, :10]))
+    if kind != "white":
+        assert np.abs(n.at(p) - n.at(p + 1e-8)).max() < 1e-4
+    if kind == "simplex" and dims == 2:
+        assert np.isfinite(Noise(kind, fractal="blend").at(p)).all()
+
+
+def test_gradients():
+    assert gradients(3)[[0, 1, 4, 8]].tolist() == [[1, 1, 0], [-1, 1, 0], [1, 0, 1], [0, 1, 1]]
+    assert len(np.unique(gradients(3), axis=0)) == 12
+    with pytest.raises(ValueError):
+        Noise(fractal="blend").at(np.zeros((4, 1)))
+
+
+def test_warp():
+    p = np.random.default_rng(1).uniform(-5, 5, (3, 100))
+    for octaves in (1, 4):
+        moved = Noise(frequency=0.7).warped(p, 0.5, octaves)
+        assert 0 < np.linalg.norm(moved - p, axis=0).max() <= 0.5 + 1e-9
+    assert np.array_equal(Noise().warped(p, 0), p)
+
+
 def test_lattice_noise_at_lattice_points():
     p = np.array([[1.0, 2], [3, 4], [5, 6], [7, 8]])
     assert Noise("perlin", frequency=1, octaves=1).at(p) == pytest.approx([0, 0])
