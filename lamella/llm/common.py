@@ -175,7 +175,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     that label (pointer jumping), so the rounds grow with the logarithm of a path. A round is two joins and two sums of minima
     on narrow rows, written to the shared folder; only the count of changed labels reaches the driver. Nulls in ``edges`` are
     ignored, an empty input gives no rows."""
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
+    # written first: a spanning forest may come out otherwise when it is worked out again, and both directions must agree
+    both = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null"), "links")
     both = materialise(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     labels = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("l")), "labels")
     while True:

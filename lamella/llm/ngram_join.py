@@ -273,7 +273,7 @@ def _hub(batch: pa.RecordBatch, share: tuple[int, int]) -> Iterator[pa.RecordBat
 
 def _block(table: pa.Table, share: tuple[int, int], every: bool) -> pa.Table:
     """Links between the two blocks of a group, or inside one."""
-    rows = table.select(["sig", "n", "hashes", "left", "right"]).to_pylist()
+    rows = sorted(table.select(["sig", "n", "hashes", "left", "right"]).to_pylist(), key=lambda r: r["sig"])
     left, right = [r for r in rows if r["left"]], [r for r in rows if r["right"]]
     if not left or not right:
         return pa.Table.from_batches([_edges([])])
@@ -319,7 +319,7 @@ def links(found: DataFrame, share: tuple[int, int], every: bool = False) -> Data
     groups = components(stars)
     named = materialise(found.select("sig", "n", "m", "hashes").join(groups.withColumnRenamed("node", "sig"), "sig").withColumnRenamed("component", "cc"), "groups")
     counts = materialise(named.groupBy("cc").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK), "large")
-    small = named.join(sized(counts), "cc", "left_anti").select("cc", "sig", "n", "hashes").repartition("cc").sortWithinPartitions("cc")
+    small = named.join(sized(counts), "cc", "left_anti").select("cc", "sig", "n", "hashes").repartition("cc").sortWithinPartitions("cc", "sig")
     out = small.mapInArrow(lambda it: _small(it, share, every), _EDGE)
     if counts.limit(1).count():
         large = named.join(sized(counts), "cc")
