@@ -20,7 +20,7 @@ import pyarrow as pa
 _PLAIN = 0x0590
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 #: Pre-tokens that a process remembers, and the bytes of text that it should be given at a time.
-_KNOWN_MOST = 400_000
+_KNOWN_MOST = 250_000
 SLICE_BYTES = 2 << 20
 _encoders: dict[str, Encoder] = {}
 

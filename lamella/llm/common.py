@@ -84,6 +84,10 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+#: Rows that an operator without state works on at a time.
+BATCH_ROWS = 500
+
+
 def others(df: DataFrame, results: Iterable[str]) -> list[T.StructField]:
     """The fields of ``df`` that aren't named as a result, in any case, as Spark's names have none."""
     taken = {r.lower() for r in results}
@@ -99,11 +103,15 @@ def with_columns(df: DataFrame, needs: str, fields: T.StructType, fn: Callable[[
     out = T.StructType(kept + fields.fields)
     target = arrow_schema(out)
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def run(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, whole.num_rows, BATCH_ROWS):
+            yield computed(whole.slice(at, BATCH_ROWS))
+
+    def computed(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = fn(batch.column(batch.schema.get_field_index(needs)))
         cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
         cols += [x if isinstance(x, pa.Array) else pa.array(x, type=target.field(n).type) for n, x in ((f, made[f]) for f in fields.fieldNames())]
-        yield pa.RecordBatch.from_arrays([c.cast(t.type) if c.type != t.type else c for c, t in zip(cols, target, strict=True)], schema=target)
+        return pa.RecordBatch.from_arrays([c.cast(t.type) if c.type != t.type else c for c, t in zip(cols, target, strict=True)], schema=target)
 
     return map_arrow(df, run, out)
 
@@ -191,7 +199,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 #: Texts are worked on in slices of at most this many bytes (a longer text alone), so a task's memory doesn't follow its input.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: A side up to this many bytes on disk is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 #: What a null id counts as where ids are ordered: it comes after every other.
