@@ -352,3 +352,13 @@ def test_html_odd(spark):
     assert out[7] == "one two <b> A"
     assert [b.text for b in leaf_blocks(rows[7][1])] == ["text"]
     assert html_extract.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_components_of_edges_that_come_out_otherwise_each_time(spark):
+    """A spanning forest of the same group may differ between two evaluations of its plan."""
+    n = 60
+    drawn = spark.range(1, n).withColumn("b", F.floor(F.rand() * F.col("id")).cast("long"))  # each node hangs on a random earlier one
+    edges = drawn.select(F.when(F.rand() < 0.5, F.col("id")).otherwise(F.col("b")).alias("a"), F.col("id").alias("i"), F.col("b"))
+    edges = edges.select("a", (F.col("i") + F.col("b") - F.col("a")).alias("b"))
+    got = {r.node: r.component for r in common.components(edges).collect()}
+    assert got == dict.fromkeys(range(n), 0)
