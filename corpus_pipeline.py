@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 90 % of their three-word shingles in common."""
-    return ngram_join.dedup(docs)
+    """One document of each group of near copies: 80 % of their five-word shingles in common."""
+    return ngram_join.dedup(docs, k=5, share=(4, 5))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -163,6 +163,25 @@ def test_ngram_join_odd(odd):
     assert ngram_join.join(odd.limit(0)).count() == 0
 
 
+def test_pipeline_joins_near_copies_of_five_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    docs = [(0, words(rng, 200, 10**6))]
+    docs.append((1, " ".join(f"x{i}" if i in (30, 80, 120, 170) else w for i, w in enumerate(docs[0][1].split()))))  # 0.886 by three words, 0.815 by five
+    for _ in range(15):
+        base = words(rng, rng.randrange(1, 200), 500).split()
+        for changes in (0, 2, 4, 6):
+            w = list(base)
+            for _ in range(changes):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(9)}"
+            docs.append((len(docs), " ".join(w)))
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(4), "").collect()}
+    want = {c for _, c in brute_components(docs, 5, 0.8).values()}
+    assert 1 not in want and want != {c for _, c in brute_components(docs).values()}
+    assert kept == want
+
+
 def test_components_of_a_path(spark):
     n = 40
     ids = list(range(n))
