@@ -19,7 +19,7 @@ import pyarrow as pa
 #: Characters beyond this one go the general way.
 _PLAIN = 0x0590
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
-#: Pre-tokens that a process remembers, and the bytes of text that it should be given at a time.
+#: Pre-tokens that a process remembers (more only if texts given at a time have more), and the bytes of text that it should be given at a time.
 _KNOWN_MOST = 250_000
 SLICE_BYTES = 2 << 20
 _encoders: dict[str, Encoder] = {}
@@ -78,9 +78,6 @@ class Encoder:
         self.used = 0
 
     def _learn(self, tokens: list[bytes]) -> None:
-        if len(self.known) + len(tokens) > _KNOWN_MOST:
-            self.known.clear()
-            self.used = 0
         if self.merger:
             found = [self.merger.encode_ordinary(t.decode()) for t in tokens]
         else:
@@ -160,9 +157,11 @@ class Encoder:
             tokens = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
             names = tokens.dictionary.to_pylist()
             if fresh := [x for x in names if x not in self.known]:
+                if len(self.known) + len(fresh) > _KNOWN_MOST:  # forgets before all of these texts' are learnt, never between
+                    self.known.clear()
+                    self.used = 0
+                    fresh = names
                 self._learn(fresh)
-                if len(self.known) < len(names) or any(x not in self.known for x in (names[0], names[-1])):
-                    self._learn([x for x in names if x not in self.known])
             code = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[tokens.indices.to_numpy(zero_copy_only=False)]
             begin, size = self.offsets[code], self.offsets[code + 1] - self.offsets[code]
             total = np.cumsum(size)

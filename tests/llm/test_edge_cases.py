@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamella.llm import chat, common, decontaminate, html_extract, ngram_join, packing, quality, substring_dedup, token_counts, url_filter, warc
+from lamella.llm import bpe, chat, common, decontaminate, html_extract, ngram_join, packing, quality, substring_dedup, token_counts, url_filter, warc
 from lamella.llm.bpe import Encoder, default_path
 from lamella.llm.html_blocks import features, leaf_blocks
 from lamella.llm.labelled_pages import labelled_page
@@ -226,6 +226,16 @@ def test_encoder_is_exact():
     assert e.encode([b"again and again"])[0].tolist() == e.tokenizer.encode("again and again").ids
 
 
+def test_encoder_with_more_pre_tokens_than_it_remembers(monkeypatch):
+    monkeypatch.setattr(bpe, "_KNOWN_MOST", 100)
+    e = Encoder(default_path())
+    many = " ".join(f"{i} id{i * 7919}" for i in range(300))
+    for texts in (["a text before"], [many], ["a text after", many + " more"], ["a text before"]):
+        ids, starts = e.encode([t.encode() for t in texts])
+        want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == want
+
+
 def test_packing_odd(odd):
     out = packing.pack(odd, length=16).toPandas()
     assert out.groupby(["sequence_id"]).length.sum().iloc[:-1].eq(16).all()
