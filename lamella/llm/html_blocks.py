@@ -6,10 +6,12 @@ import re
 from collections import Counter
 from html import unescape
 
+# tags with few and short quoted values as a whole; of others only the name, _tag_end finds where they end
 _TAG = re.compile(
-    r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+>|[^>]*>?)",
+    r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*+(?:(?:\"[^\"]{0,1000}+\"|'[^']{0,1000}+')[^>\"']*+){0,32}+>)?",
     re.S,
 )
+_STOP = re.compile("[>\"']")
 _NAMES = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 #: Elements that don't end a block.
@@ -44,6 +46,26 @@ def _named(tag: str, attributes: str) -> tuple[str, frozenset[str]]:
     return tag, frozenset(names)
 
 
+def _tag_end(html: str, at: int, dead: set[int | str]) -> int:
+    """Where a tag ends whose name ends at ``at``: after the first ``>`` outside quotes, or the first of all if quotes don't close.
+
+    ``dead`` keeps, for a page, the quotes from which no end was found and the kinds of which none is left, so none is followed twice."""
+    seen: list[int] = []
+    to = at
+    while m := _STOP.search(html, to):
+        if m[0] == ">":
+            return m.end()
+        if m.start() in dead or m[0] in dead:
+            break
+        seen.append(m.start())
+        to = html.find(m[0], m.end()) + 1
+        if not to:
+            dead.add(m[0])
+            break
+    dead.update(seen)
+    return html.find(">", at) + 1 or len(html)
+
+
 def leaf_blocks(html: str) -> list[Block]:
     """The blocks with text, in page order: character references decoded, white space runs as one space, trimmed."""
     out: list[Block] = []
@@ -52,6 +74,7 @@ def leaf_blocks(html: str) -> list[Block]:
     texts: list[str] = []
     links = linked = 0
     lower = None
+    dead: set[int | str] = set()
 
     def close() -> None:
         nonlocal linked
@@ -78,9 +101,12 @@ def leaf_blocks(html: str) -> list[Block]:
         at = m.end()
         if m[2] is None:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        tag, closing, attributes = m[2].lower(), bool(m[1]), m[3]
+        if attributes is None:
+            at = _tag_end(html, m.end(), dead)
+            attributes = html[m.end() : at]
         if tag in RAW and not closing:
-            if m[3].endswith("/>"):
+            if attributes.endswith("/>"):
                 continue
             close()
             if lower is None:
@@ -119,7 +145,7 @@ def leaf_blocks(html: str) -> list[Block]:
             if depth >= 0 and stack[depth][0] in ends:
                 while len(stack) > depth:
                     pop()
-        stack.append(_named(tag, m[3]))
+        stack.append(_named(tag, attributes))
         opened[tag] += 1
         links = 0
     close()

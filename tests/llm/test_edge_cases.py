@@ -383,6 +383,19 @@ def test_html_odd(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+@pytest.mark.parametrize("quote", "\"'")
+def test_html_long_attributes(quote):
+    for n in (10, 1001, 4097, 300_000):
+        page = f"<div data-props={quote}{'a' * n}<p>LEAK me</p>{quote} class={quote}footer{quote}><p>text</p></div>"
+        (block,) = leaf_blocks(page)
+        assert block.text == "text" and block.ancestors[0] == ("div", frozenset({"footer"}))
+    many = "".join(f" data-{i}={quote}>{quote}" for i in range(100))
+    assert [b.text for b in leaf_blocks(f"<p{many}>text</p>")] == ["text"]
+    assert [b.text for b in leaf_blocks(f"<p title={quote}open>text</p>")] == ["text"]
+    assert len(leaf_blocks(f"<p {quote}a>{quote}" * 30_000)) == 30_000
+    assert len(leaf_blocks(f"<p {quote}>x" + "<p \">y".replace('"', "'" if quote == '"' else '"') * 30_001)) > 10_000
+
+
 def test_components_of_edges_that_come_out_otherwise_each_time(spark):
     """A spanning forest of the same group may differ between two evaluations of its plan."""
     n = 60
