@@ -16,13 +16,14 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
+from .common import resident
+
 #: Characters beyond this one go the general way.
 _PLAIN = 0x0590
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 #: Pre-tokens that a process remembers (more only if texts given at a time have more), and the bytes of text that it should be given at a time.
 _KNOWN_MOST = 250_000
 SLICE_BYTES = 2 << 20
-_encoders: dict[str, Encoder] = {}
 
 
 def default_path() -> str:
@@ -33,9 +34,7 @@ def default_path() -> str:
 
 def encoder(path: str) -> Encoder:
     """This process's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return resident(f"bpe {path}", lambda: Encoder(path))
 
 
 def _classes() -> np.ndarray:

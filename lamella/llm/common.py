@@ -6,15 +6,18 @@ those characters are single bytes, so texts are never decoded.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -25,16 +28,32 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and has no other machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lamella-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lamella/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lamella/{uuid.uuid4().hex}/{name}"
+    return f"{_scratch_root(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application. For the end of a job: results not yet written elsewhere may read them."""
+    _delete(spark, _scratch_root(spark))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -44,6 +63,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` returned and that nothing will read again."""
+    for file in df.inputFiles()[:1]:
+        _delete(df.sparkSession, file.rsplit("/", 1)[0])
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the plan: the bytes of its files when it scans files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -74,16 +99,66 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    """``mapInArrow`` with a function of one batch."""
+_resident: dict[str, object] = {}
+
+
+def resident(name: str, build: Callable[[], object]) -> object:
+    """What ``build`` makes, kept in this Python worker from task to task until one of another operator runs here."""
+    if name not in _resident:
+        vacate("")
+        _resident[name] = build()
+    return _resident[name]
+
+
+def vacate(keep: str) -> None:
+    """Drop what tasks of other operators have left in this worker."""
+    for name in [n for n in _resident if n != keep]:
+        del _resident[name]
+
+
+@cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: it keeps what is freed as it likes
+        return None
+
+
+def released() -> None:
+    """Give freed memory back to the system, so that a worker that is used again doesn't keep its greatest task's."""
+    gc.collect(0)
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: T.StructType, keep: str = "") -> DataFrame:
+    """``mapInArrow`` with a function of one batch; ``keep`` names the resident that it uses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate(keep)
         for batch in batches:
             yield from fn(batch)
+            del batch
+            released()
 
     return df.mapInArrow(run, schema)
 
 
+def group_arrow(grouped: GroupedData, fn: Callable[[pa.Table], pa.Table], schema: T.StructType) -> DataFrame:
+    """``applyInArrow`` with a function of one group's table."""
+
+    def run(table: pa.Table) -> pa.Table:
+        vacate("")
+        size = table.nbytes
+        out = fn(table)
+        if size > 1 << 20:
+            released()
+        return out
+
+    return grouped.applyInArrow(run, schema)
+
+
 #: Rows that an operator without state works on at a time.
 BATCH_ROWS = 500
 
@@ -94,7 +169,7 @@ def others(df: DataFrame, results: Iterable[str]) -> list[T.StructField]:
     return [f for f in df.schema.fields if f.name.lower() not in taken]
 
 
-def with_columns(df: DataFrame, needs: str, fields: T.StructType, fn: Callable[[pa.Array], dict]) -> DataFrame:
+def with_columns(df: DataFrame, needs: str, fields: T.StructType, fn: Callable[[pa.Array], dict], keep: str = "") -> DataFrame:
     """``df`` with ``fields`` computed from column ``needs``, batch by batch; an input column of the same name is replaced."""
     kept = others(df, fields.fieldNames())
     if len({f.name for f in kept}) < len(kept):
@@ -113,7 +188,7 @@ def with_columns(df: DataFrame, needs: str, fields: T.StructType, fn: Callable[[
         cols += [x if isinstance(x, pa.Array) else pa.array(x, type=target.field(n).type) for n, x in ((f, made[f]) for f in fields.fieldNames())]
         return pa.RecordBatch.from_arrays([c.cast(t.type) if c.type != t.type else c for c, t in zip(cols, target, strict=True)], schema=target)
 
-    return map_arrow(df, run, out)
+    return map_arrow(df, run, out, keep)
 
 
 def to_bytes(col: pa.Array) -> list[bytes | None]:
@@ -193,6 +268,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jump = labels.select(F.col("u").alias("m"), F.col("l").alias("j"))
         step = materialise(nearer.join(jump, "m", "left").select("u", F.least("m", "j").alias("n"), "l"), "labels")
         changed = step.where("n < l").limit(1).count()
+        discard(labels)
         labels = step.select("u", F.col("n").alias("l"))
         if not changed:
             return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))

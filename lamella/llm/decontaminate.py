@@ -9,7 +9,9 @@ whatever their lengths. Matches are mapped back to code-point offsets of the unt
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -18,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, runs, to_bytes, with_columns
+from .common import arrow_schema, map_arrow, materialise, resident, runs, struct, to_bytes, with_columns
 
 #: Each byte's image: lower-case ASCII letters, digits and bytes of characters beyond ASCII stay, the rest becomes a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-#: Windows in one automaton. Benchmarks are far below; a larger set is scanned in several passes of this size each.
-MAX_WINDOWS = 2_000_000
+#: Windows in one automaton (some 60 nodes each), which every Python worker holds. A larger set is scanned in several passes.
+MAX_WINDOWS = 100_000
 
 FIELDS = T.StructType(
     [
@@ -36,7 +38,7 @@ FIELDS = T.StructType(
     ]
 )
 
-_built: dict[int, tuple] = {}
+_WINDOW = struct("i string, w binary")
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -96,17 +98,28 @@ def scan_text(found: ahocorasick.Automaton | None, text: bytes | None, before: n
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """``docs`` with n_words, n_hit, items (ids as sorted strings), hit_words (begin, end pairs) and spans (code points).
 
-    The benchmark is collected: it is an evaluation set, kept apart from the corpus. At most ``max_windows`` windows form
-    one automaton, which is built once in each Python worker; a larger benchmark is scanned in further passes, each of
-    which extends the hits of the one before. No row moves between tasks, so neither long texts nor hot keys matter.
-    A null or empty text has no words; repeated rows are judged alike; an empty benchmark hits nothing; columns of
+    Windows are made and counted on the executors. At most about ``max_windows`` of them, a hash range, reach the driver at a
+    time and form one automaton, which is built once in each Python worker; a larger benchmark is scanned in further passes,
+    each of which extends the hits of the one before. No document moves between tasks, so neither long texts nor hot keys
+    matter. A null or empty text has no words; repeated rows are judged alike; an empty benchmark hits nothing; columns of
     ``docs`` named as a result are replaced."""
     spark = docs.sparkSession
-    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t")).toLocalIterator()
-    windows = sorted((w, sorted(ids)) for w, ids in item_windows([(r.i, None if r.t is None else bytes(r.t)) for r in rows], window).items())
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t"))
+
+    def made(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for row in range(batch.num_rows):
+            one = batch.slice(row, 1).to_pylist()[0]
+            found = list(item_windows([(one["i"], one["t"])], window))
+            for at in range(0, len(found), 10_000):
+                w = found[at : at + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([one["i"]] * len(w), type=pa.string()), pa.array(w, type=pa.binary())], schema=arrow_schema(_WINDOW))
+
+    windows = materialise(map_arrow(items, made, _WINDOW).groupBy("w").agg(F.array_sort(F.collect_set("i")).alias("ids")), "windows")
+    passes = -(-windows.count() // max_windows)
     out = docs
-    for n, at in enumerate(range(0, max(len(windows), 1), max_windows)):
-        sent = spark.sparkContext.broadcast(windows[at : at + max_windows])
+    for n in range(max(passes, 1)):
+        part = windows.where(F.pmod(F.xxhash64("w"), F.lit(max(passes, 1))) == n).toLocalIterator()
+        sent = spark.sparkContext.broadcast([(bytes(r.w), list(r.ids)) for r in part])
         if n:
             out = materialise(out, "decontaminated")
         out = _pass(out, text, sent, bool(n))
@@ -114,22 +127,20 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 
 
 def _pass(docs: DataFrame, text: str, sent, again: bool) -> DataFrame:
+    name = f"windows {uuid.uuid4().hex}"
+
     def built():
-        key = sent._jbroadcast.id() if hasattr(sent, "_jbroadcast") and sent._jbroadcast else id(sent)
-        if key not in _built:
-            _built.clear()
-            _built[key] = (automaton(sent.value), sent)
-        return _built[key][0]
+        return resident(name, lambda: automaton(sent.value))
 
     if not again:
-        return with_columns(docs, text, FIELDS, lambda col: _columns([scan_text(built(), t) for t in to_bytes(col)]))
+        return with_columns(docs, text, FIELDS, lambda col: _columns([scan_text(built(), t) for t in to_bytes(col)]), name)
     packed = docs.withColumn("_lamella_again", F.struct(F.col(text).alias("t"), "hit_words", "items"))
 
     def extend(col: pa.Array) -> dict:
         texts, before, items = to_bytes(col.field("t")), col.field("hit_words").to_pylist(), col.field("items").to_pylist()
         return _columns([scan_text(built(), t, np.asarray(b or [], np.int64), i) for t, b, i in zip(texts, before, items, strict=True)])
 
-    return with_columns(packed, "_lamella_again", FIELDS, extend).drop("_lamella_again")
+    return with_columns(packed, "_lamella_again", FIELDS, extend, name).drop("_lamella_again")
 
 
 def _columns(rows: list[dict]) -> dict:

@@ -13,9 +13,12 @@ no other set has. The steps, all exact:
    applied to the whole set. With shingles ordered by (number of classes, hash), the prefix filter holds: linked classes
    share a shingle of their prefixes. Sharing one makes groups: connected components of prefix sharing, found through
    stars, never through pairs.
-3. Within a group, overlaps of each fragment are one product of 0/1 matrices, summed over the fragments. Groups beyond
-   ``BLOCK`` classes are first counted against one hub; what links to it is one component, and only pairs with a class outside
-   it are counted, in blocks of ``BLOCK`` classes that are spread over tasks.
+3. A group's classes are cut into cells of at most ``BLOCK`` classes (small groups share a cell, pairs of blocks of a large one
+   are a cell each). A cell lists its candidate pairs, those that share a prefix shingle and whose sizes allow a link, and its
+   sets are cut into ``FRAGMENTS`` ranges of the shingle order. Each (cell, fragment) is counted by a task of its own, which
+   knows that fragment alone: a partial overlap for each pair. The partial overlaps are summed by pair, and the sums decide.
+4. Of a large group, the pairs with one hub are counted first, by the same steps. What links to the hub is one component
+   already, so only blocks with a class outside it go on. Hubs are dealt to the blocks, never joined on their group.
 
 Links leave a task as a spanning forest, so the rows made follow the classes, not their pairs.
 """
@@ -26,18 +29,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, arrow_schema, components, map_arrow, materialise, mix, partitions_for, rolling, sized, slices, struct, text_key, to_bytes, word_hashes
+from .common import NULL_ID, arrow_schema, components, group_arrow, map_arrow, materialise, mix, partitions_for, rolling, sized, slices, struct, text_key, to_bytes, word_hashes
 
 #: The fragment that is counted first: this part of the hash range. Must exceed 1 - share to prune; a quarter drops any
 #: class of which over 40 % is its own.
 FIRST = 1 / 4
-#: Classes in a block; a pair of blocks is what one task counts at a time.
-BLOCK = 1024
-#: Columns of one matrix product.
-COLUMNS = 4096
+#: Classes in a block, and the bytes of their sets; a block has no more of either than this, or one class.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
+#: Ranges of the shingle order whose overlaps are counted separately.
+FRAGMENTS = 4
+#: Shingles that are counted at a time, as one bit each.
+COLUMNS = 1 << 16
+#: A shingle in more prefixes than this has its star drawn by a broadcast, if the list of such shingles is small enough.
+HOT = 512
 RANGE_BYTES = 32 << 20
 
 _DEALT = struct("part int, ids binary, ties binary, sizes binary, sigs binary, counts binary, hashes binary")
@@ -45,6 +53,8 @@ _FIRST = struct("id long, tie long, n long, n_first long, sig long, shared long"
 _SEGMENT = struct("sig long, n long, hashes binary, seen binary")
 _CLASS = struct("sig long, n long, m long, prefix array<long>, hashes binary")
 _EDGE = struct("a long, b long")
+_CELL = struct("cell string, fragment int, sigs binary, sizes binary, left binary, right binary, counts binary, hashes binary")
+_PARTIAL = struct("cell string, fragment int, sigs binary, sizes binary, left binary, right binary, overlaps binary")
 
 
 def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
@@ -187,29 +197,47 @@ def _classes(batch: pa.RecordBatch, share: tuple[int, int]) -> Iterator[pa.Recor
     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema, strict=True)], schema=schema)
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
-    """Numbers of common shingles of each pair, counted fragment by fragment of the joint order and summed."""
-    both = left if right is None else left + right
-    sizes = np.fromiter(map(len, both), np.int64, len(both))
-    known, column = np.unique(np.concatenate(both), return_inverse=True)
-    row = np.repeat(np.arange(len(both)), sizes)
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
-    total = np.zeros((len(left), len(both) if right is None else len(right)), np.float32)
-    for at in range(0, len(known), COLUMNS):
+def candidates(prefixes: list[np.ndarray], n: np.ndarray, share: tuple[int, int], blocks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes that share a prefix shingle and whose sizes allow a link; with ``blocks``, between different blocks only."""
+    k = len(prefixes)
+    shingles, owner = np.concatenate(prefixes), np.repeat(np.arange(k), np.fromiter(map(len, prefixes), np.int64, k))
+    order = np.argsort(shingles, kind="stable")
+    shingles, owner = shingles[order], owner[order]
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(shingles)) + 1, [len(shingles)]))
+    meet = np.zeros((k, k), bool)
+    many = np.flatnonzero(np.diff(edges) > 1)
+    for lo, hi in zip(edges[many].tolist(), edges[many + 1].tolist(), strict=True):
+        meet[owner[lo:hi, None], owner[None, lo:hi]] = True
+    a, b = np.nonzero(np.triu(meet, 1))
+    fit = share[1] * np.minimum(n[a], n[b]) >= share[0] * np.maximum(n[a], n[b])
+    if blocks is not None:
+        fit &= blocks[a] != blocks[b]
+    return a[fit], b[fit]
+
+
+def overlaps(hashes: np.ndarray, counts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of common shingles of the pairs (a, b) of sets, which lie end to end in ``hashes``."""
+    total = np.zeros(len(a), np.int32)
+    order = np.argsort(hashes, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column, minlength=1)[column] > 1 if len(column) else new
+    column, row = column[shared], np.repeat(np.arange(len(counts)), counts)[order][shared]
+    if not len(column) or not len(a):
+        return total
+    column = np.cumsum(np.diff(column, prepend=column[0]) > 0)
+    for at in range(0, int(column[-1]) + 1, COLUMNS):
         lo, hi = np.searchsorted(column, (at, at + COLUMNS))
-        ones = np.zeros((len(both), min(COLUMNS, len(known) - at)), np.float32)
-        ones[row[lo:hi], column[lo:hi] - at] = 1
-        total += ones @ ones.T if right is None else ones[: len(left)] @ ones[len(left) :].T
+        bits = np.zeros((len(counts), (min(COLUMNS, int(column[-1]) + 1 - at) + 63) // 64), np.uint64)
+        place = column[lo:hi] - at
+        np.bitwise_or.at(bits, (row[lo:hi], place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+        step = max(1, (1 << 20) // bits.shape[1])
+        for i in range(0, len(a), step):
+            total[i : i + step] += np.bitwise_count(bits[a[i : i + step]] & bits[b[i : i + step]]).sum(1, dtype=np.int32)
     return total
 
 
-def linked(total: np.ndarray, n: np.ndarray, n2: np.ndarray, share: tuple[int, int]) -> np.ndarray:
-    """Pairs with ``share[1] * overlap >= share[0] * union``."""
-    total = total.astype(np.int64)
-    return share[1] * total >= share[0] * (n[:, None] + n2[None, :] - total)
-
-
 def forest(links: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
     """A spanning forest of the links."""
     parent: dict[int, int] = {}
@@ -234,58 +262,101 @@ def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 2, schema, strict=True)], schema=schema)
 
 
-def _small(batches: Iterator[pa.RecordBatch], share: tuple[int, int], every: bool) -> Iterator[pa.RecordBatch]:
-    """Links inside groups of up to ``BLOCK`` classes; the rows of a partition are sorted by group."""
-    group: list[tuple] = []
-    found: list[tuple[int, int]] = []
+def _cell(name: str, rows: list[tuple], a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A cell (sig, n, hashes of its classes; its pairs) as a head and one row for each fragment, with what the pairs need."""
+    if not len(a):
+        return
+    used = np.unique(np.concatenate((a, b)))
+    a, b = np.searchsorted(used, a).astype("<i2").tobytes(), np.searchsorted(used, b).astype("<i2").tobytes()
+    sets = [np.frombuffer(rows[i][2], np.uint64) for i in used.tolist()]
+    out = [(name, -1, np.asarray([rows[i][0] for i in used.tolist()], np.int64).tobytes(), np.asarray([rows[i][1] for i in used.tolist()], "<i4").tobytes(), a, b, None, None)]
+    cuts = [np.searchsorted(x, np.asarray([f * (1 << 64) // FRAGMENTS for f in range(1, FRAGMENTS)], np.uint64)).tolist() for x in sets]
+    for f in range(FRAGMENTS):
+        segments = [x[(c[f - 1] if f else 0) : (c[f] if f < FRAGMENTS - 1 else len(x))] for x, c in zip(sets, cuts, strict=True)]
+        out.append((name, f, None, None, a, b, np.fromiter(map(len, segments), "<i4", len(segments)).tobytes(), np.concatenate(segments).tobytes()))
+    schema = arrow_schema(_CELL)
+    for row in out:
+        yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+
+
+def _small(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Cells of whole groups; the rows (cc, sig, n, hashes, prefix) of a partition are sorted by group."""
+    held: list[tuple] = []
+    size, last, made = 0, None, 0
 
-    def close() -> None:
-        if len(group) > 1:
-            sigs, n = np.asarray([g[0] for g in group], np.int64), np.asarray([g[1] for g in group], np.int64)
-            a, b = np.nonzero(np.triu(linked(overlaps([np.frombuffer(g[2], np.uint64) for g in group]), n, n, share), 1))
-            found.extend(zip(sigs[a].tolist(), sigs[b].tolist(), strict=True) if every else forest([(sigs[a], sigs[b])]))
-        group.clear()
+    def cell() -> Iterator[pa.RecordBatch]:
+        yield from _cell(f"small-{TaskContext.get().partitionId()}-{made}", held, *candidates([h[3] for h in held], np.asarray([h[1] for h in held], np.int64), share))
 
-    last = None
     for batch in batches:
-        for cc, sig, n, h in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if cc != last:
-                close()
-                last = cc
-            group.append((sig, n, h))
-        if len(found) >= 10_000:
-            yield _edges(found)
-            found = []
-    close()
-    yield _edges(found)
-
-
-def _hub(batch: pa.RecordBatch, share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Classes of a large group that link to its hub."""
-    col = {n: batch.column(i).to_pylist() for i, n in enumerate(("sig", "n", "hashes", "hub", "hub_n", "hub_hashes"))}
-    out = []
-    for sig, n, h, hub, hub_n, hub_h in zip(*col.values(), strict=True):
-        common = len(np.intersect1d(np.frombuffer(h, np.uint64), np.frombuffer(hub_h, np.uint64), assume_unique=True))
-        if sig != hub and share[1] * common >= share[0] * (n + hub_n - common):
-            out.append((hub, sig))
-    yield _edges(out)
-
-
-def _block(table: pa.Table, share: tuple[int, int], every: bool) -> pa.Table:
-    """Links between the two blocks of a group, or inside one."""
-    rows = sorted(table.select(["sig", "n", "hashes", "left", "right"]).to_pylist(), key=lambda r: r["sig"])
-    left, right = [r for r in rows if r["left"]], [r for r in rows if r["right"]]
-    if not left or not right:
-        return pa.Table.from_batches([_edges([])])
-    sets = [[np.frombuffer(r["hashes"], np.uint64) for r in x] for x in (left, right)]
-    sigs = [np.asarray([r["sig"] for r in x], np.int64) for x in (left, right)]
-    n = [np.asarray([r["n"] for r in x], np.int64) for x in (left, right)]
-    hit = linked(overlaps(*sets), *n, share) & (sigs[0][:, None] != sigs[1][None, :])
-    a, b = np.nonzero(hit)
-    pairs = (sigs[0][a], sigs[1][b])
+        group, sigs, n, hashes = (batch.column(i).to_pylist() for i in range(4))
+        prefixes = batch.column(4)
+        for i, cc in enumerate(group):
+            if cc != last and (len(held) >= BLOCK or size >= BLOCK_BYTES):
+                yield from cell()
+                held, size, made = [], 0, made + 1
+            last = cc
+            held.append((sigs[i], n[i], hashes[i], np.asarray(prefixes[i].values, np.int64)))
+            size += len(hashes[i])
+    if held:
+        yield from cell()
+
+
+def _rows(table: pa.Table) -> list[dict]:
+    return sorted(table.to_pylist(), key=lambda r: r["sig"])
+
+
+def _one_cell(name: str, rows: list[dict], a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.Table.from_batches(_cell(name, [(r["sig"], r["n"], r["hashes"]) for r in rows], a, b), schema=arrow_schema(_CELL))
+
+
+def _star(table: pa.Table) -> pa.Table:
+    """The cell of one block and its group's hub: the pairs with the hub."""
+    rows = _rows(table)
+    hub = next(i for i, r in enumerate(rows) if r["hub"])
+    rest = np.asarray([i for i, r in enumerate(rows) if r["sig"] != rows[hub]["sig"]], np.int64)
+    return _one_cell(f"star-{rows[0]['cc']}-{rows[0]['own']}", rows, rest, np.full(len(rest), hub))
+
+
+def _block(table: pa.Table, share: tuple[int, int]) -> pa.Table:
+    """The cell of two blocks of a group, or of one with itself."""
+    rows = _rows(table)
+    i, j = rows[0]["i"], rows[0]["j"]
+    own = None if i == j else np.asarray([r["own"] for r in rows])
+    pairs = candidates([np.asarray(r["prefix"], np.int64) for r in rows], np.asarray([r["n"] for r in rows], np.int64), share, own)
+    return _one_cell(f"block-{rows[0]['cc']}-{i}-{j}", rows, *pairs)
+
+
+def _partial(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The overlaps of the pairs of a cell within one fragment."""
+    schema = arrow_schema(_PARTIAL)
+    for row in batch.to_pylist():
+        pairs = [np.frombuffer(row[x], "<i2").astype(np.int64) for x in ("left", "right")]
+        made = overlaps(np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["counts"], "<i4"), *pairs)
+        yield pa.RecordBatch.from_pylist([{"cell": row["cell"], "fragment": row["fragment"], "overlaps": made.astype("<i4").tobytes()}], schema=schema)
+
+
+def _summed(table: pa.Table, share: tuple[int, int], every: bool) -> pa.Table:
+    """The links of one cell: partial overlaps of its fragments, summed by pair."""
+    total = a = b = sigs = n = None
+    for row in table.to_pylist():
+        if row["fragment"] < 0:
+            a, b = (np.frombuffer(row[x], "<i2").astype(np.int64) for x in ("left", "right"))
+            sigs, n = np.frombuffer(row["sigs"], np.int64), np.frombuffer(row["sizes"], "<i4").astype(np.int64)
+        else:
+            part = np.frombuffer(row["overlaps"], "<i4").astype(np.int64)
+            total = part if total is None else total + part
+    hit = share[1] * total >= share[0] * (n[a] + n[b] - total)
+    pairs = sigs[a[hit]], sigs[b[hit]]
     return pa.Table.from_batches([_edges(list(zip(*map(np.ndarray.tolist, pairs), strict=True)) if every else forest([pairs]))])
 
 
+def _counted(cells: DataFrame, share: tuple[int, int], every: bool) -> DataFrame:
+    """Links of written cells: one task counts one fragment of a cell, the counts meet by cell and are summed by pair."""
+    apart = cells.where("fragment >= 0").repartition(partitions_for(cells, BLOCK_BYTES), "cell", "fragment")
+    heads = cells.where("fragment < 0").select(*[F.lit(None).cast("binary").alias(c) if c == "overlaps" else F.col(c) for c in _PARTIAL.fieldNames()])
+    return group_arrow(map_arrow(apart, _partial, _PARTIAL).unionByName(heads).groupBy("cell"), lambda t: _summed(t, share, every), _EDGE)
+
+
 def classes(docs: DataFrame, id_col: str, text: str, k: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """Every document with its class (id, tie, n, sig), and the classes that may have partners (sig, n, m, prefix, hashes)."""
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), text_key(text, id_col)[1].alias("tie"))
@@ -298,7 +369,7 @@ def classes(docs: DataFrame, id_col: str, text: str, k: int, share: tuple[int, i
 
         return run
 
-    first = materialise(map_arrow(keyed, deal(FIRST, parts), _DEALT).groupBy("part").applyInArrow(_count_first, _FIRST), "first")
+    first = materialise(group_arrow(map_arrow(keyed, deal(FIRST, parts), _DEALT).groupBy("part"), _count_first, _FIRST), "first")
     members = first.where("id is not null").select("id", "tie", "n", "n_first", "sig")
     shared = first.where("id is null").groupBy("sig").agg(F.sum("shared").alias("shared"))
     lone_allowed = F.floor((F.col("n") * (share[1] - share[0])) / share[1])
@@ -306,39 +377,53 @@ def classes(docs: DataFrame, id_col: str, text: str, k: int, share: tuple[int, i
     may = own.join(shared, "sig", "left").where(F.col("n_first") - F.coalesce("shared", F.lit(0)) <= lone_allowed)
     reps = materialise(may.select(F.col("rep.id").alias("id"), F.col("rep.tie").alias("tie")).distinct(), "representatives")
     kept = keyed.withColumn("_key", F.coalesce("id", F.lit(NULL_ID))).join(sized(reps.withColumnRenamed("id", "_key")), ["_key", "tie"], "left_semi").select("id", "text", "tie")
-    segments = map_arrow(kept, deal(1.0, parts), _DEALT).groupBy("part").applyInArrow(_segments, _SEGMENT)
+    segments = group_arrow(map_arrow(kept, deal(1.0, parts), _DEALT).groupBy("part"), _segments, _SEGMENT)
     whole = segments.groupBy("sig").agg(F.first("n").alias("n"), F.collect_list(F.struct("hashes", "seen")).alias("segments"))
     return members, materialise(map_arrow(whole, lambda b: _classes(b, share), _CLASS), "classes")
 
 
+def _stars(found: DataFrame) -> DataFrame:
+    """Edges (a, b) from each class to the smallest one that shares a prefix shingle, for every such shingle.
+
+    Frequent shingles are few; their smallest classes are broadcast, so that none gathers its classes in one task."""
+    prefix = found.select("sig", F.explode("prefix").alias("h"))
+    hubs = materialise(prefix.groupBy("h").agg(F.min("sig").alias("b"), F.count("*").alias("c")).where("c > 1"), "hubs")
+    hot = materialise(hubs.where(F.col("c") > HOT).select("h", "b"), "hot")
+    near = prefix.join(sized(hot), "h").unionByName(prefix.join(sized(hot), "h", "left_anti").join(hubs.where(F.col("c") <= HOT).select("h", "b"), "h"))
+    return near.select(F.col("sig").alias("a"), "b").where("a <> b").distinct()
+
+
 def links(found: DataFrame, share: tuple[int, int], every: bool = False) -> DataFrame:
     """Links (a, b) between classes: all of them, or a spanning forest with the same components."""
-    prefix = found.select("sig", F.explode("prefix").alias("h"))
-    hubs = prefix.groupBy("h").agg(F.min("sig").alias("b"), F.count("*").alias("c")).where("c > 1").select("h", "b")
-    stars = prefix.join(hubs, "h").select(F.col("sig").alias("a"), "b").where("a <> b").distinct()
-    groups = components(stars)
-    named = materialise(found.select("sig", "n", "m", "hashes").join(groups.withColumnRenamed("node", "sig"), "sig").withColumnRenamed("component", "cc"), "groups")
-    counts = materialise(named.groupBy("cc").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK), "large")
-    small = named.join(sized(counts), "cc", "left_anti").select("cc", "sig", "n", "hashes").repartition("cc").sortWithinPartitions("cc", "sig")
-    out = small.mapInArrow(lambda it: _small(it, share, every), _EDGE)
-    if counts.limit(1).count():
-        large = named.join(sized(counts), "cc")
-        hub = large.groupBy("cc").agg(F.min_by(F.struct("sig", "n", "hashes"), F.struct(F.col("n") - F.col("m"), "sig")).alias("hub"))
-        against = large.join(hub, "cc").select("sig", "n", "hashes", F.col("hub.sig").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.hashes").alias("hub_hashes"))
-        near = materialise(map_arrow(against, lambda b: _hub(b, share), _EDGE), "near")
-        # blocks of what is one component already come first; pairs of those blocks are left out unless all links are asked for
-        main = near.select(F.col("b").alias("sig"), F.lit(True).alias("main")).unionByName(near.select(F.col("a").alias("sig"), F.lit(True).alias("main"))).distinct()
-        sides = large.join(main, "sig", "left").withColumn("main", F.coalesce("main", F.lit(False)))
-        n_blocks = F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK)).cast("int")
-        sides = sides.withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int") + F.when(F.col("main"), 0).otherwise(F.col("blocks")))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") * 2 - 1)).alias("other")
-        dealt = sides.select("cc", "sig", "n", "hashes", "own", "blocks", other)
-        if not every:
-            dealt = dealt.where("own >= blocks or other >= blocks")
-        dealt = dealt.select("cc", "sig", "n", "hashes", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.expr("own <= other").alias("left"), F.expr("own >= other").alias("right"))
-        out = out.unionByName(dealt.groupBy("cc", "i", "j").applyInArrow(lambda t: _block(t, share, every), _EDGE))
-        out = out if every else out.unionByName(near)
-    return out
+    groups = components(_stars(found))
+    named = materialise(found.join(groups.select(F.col("node").alias("sig"), F.col("component").alias("cc")), "sig"), "groups")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("m") * 8 / BLOCK_BYTES)).cast("int")
+    large = materialise(named.groupBy("cc").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
+    small = named.join(sized(large), "cc", "left_anti").select("cc", "sig", "n", "hashes", "prefix")
+    small = small.repartition(partitions_for(named, BLOCK_BYTES), "cc").sortWithinPartitions("cc", "sig")
+    cells = small.mapInArrow(lambda it: _small(it, share), _CELL)
+    if not large.limit(1).count():
+        return _counted(materialise(cells, "cells"), share, every)
+    whole = named.join(sized(large), "cc").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    main, near = F.lit(False), None
+    if not every:
+        key = ("cc", "own", "sig", "n", "hashes")
+        hub = whole.groupBy("cc", "blocks").agg(F.min_by(F.struct("sig", "n", "hashes"), F.struct(F.col("n") - F.col("m"), "sig")).alias("h"))
+        hubs = hub.select("cc", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), "h.*", F.lit(True).alias("hub"))
+        stars = whole.select(*key, F.lit(False).alias("hub")).unionByName(hubs).groupBy("cc", "own")
+        near = materialise(_counted(materialise(group_arrow(stars, _star, _CELL), "stars"), share, True), "near")
+        joined = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).distinct().withColumn("main", F.lit(True))
+        whole = whole.join(joined, "sig", "left")
+        main = F.coalesce("main", F.lit(False))
+    # blocks of what is one component already come first; pairs of those blocks are left out unless all links are asked for
+    sides = whole.withColumn("own", F.col("own") + F.when(main, 0).otherwise(F.col("blocks")))
+    dealt = sides.select("cc", "sig", "n", "hashes", "prefix", "own", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") * 2 - 1)).alias("other"))
+    if not every:
+        dealt = dealt.where("own >= blocks or other >= blocks")
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
+    cells = cells.unionByName(group_arrow(dealt.groupBy("cc", "i", "j"), lambda t: _block(t, share), _CELL))
+    out = _counted(materialise(cells, "cells"), share, every)
+    return out if near is None else out.unionByName(near)
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 3, share: tuple[int, int] = (9, 10)) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import arrow_schema, map_arrow, materialise, others, sized, slices, struct, to_bytes
+from .common import arrow_schema, map_arrow, materialise, others, released, sized, slices, struct, to_bytes, vacate
 
 LENGTH, END = 2048, 1
 
@@ -39,6 +39,7 @@ def tokenised(docs: DataFrame, text: str = "text", tokenizer: str | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = bpe.encoder(path), TaskContext.get().partitionId(), 0
+        vacate(f"bpe {path}")
         for batch in batches:
             for piece in slices(batch, text, bpe.SLICE_BYTES):
                 flat, starts = encoder.encode(to_bytes(piece.column(piece.schema.get_field_index(text))))
@@ -52,6 +53,8 @@ def tokenised(docs: DataFrame, text: str = "text", tokenizer: str | None = None,
                 at += int(ends[-1]) if n else 0
                 cols = [piece.column(piece.schema.get_field_index(f.name)) for f in kept] + [pa.array(x, type=pa.int64()) for x in made] + [packed]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, target, strict=True)], schema=target)
+            batch = piece = cols = packed = None
+            released()
 
     return materialise(docs.select(*[f.name for f in kept], text).mapInArrow(run, out), "tokens")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, arrow_schema, map_arrow, materialise, mix, partitions_for, rolling, runs, sized, slices, struct, text_key, to_bytes, window_starts, with_columns, word_hashes
+from .common import NULL_ID, arrow_schema, group_arrow, map_arrow, materialise, mix, partitions_for, rolling, runs, sized, slices, struct, text_key, to_bytes, window_starts, with_columns, word_hashes
 
 #: Input bytes for each hash range; what one task sorts at a time is a small multiple of this.
 RANGE_BYTES = 4 << 20
@@ -172,8 +172,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window
             yield from _deal(part, window, parts)
 
     dealt = map_arrow(docs.select(F.col(id_col).cast("long").alias(id_col), text), deal, _DEALT)
-    found = dealt.groupBy("part").applyInArrow(lambda t: _judge(t, parts), _FOUND)
-    return materialise(found.groupBy("part").applyInArrow(lambda t: _merge(t, window), _CUTS), "removals")
+    found = group_arrow(dealt.groupBy("part"), lambda t: _judge(t, parts), _FOUND)
+    return materialise(group_arrow(found.groupBy("part"), lambda t: _merge(t, window), _CUTS), "removals")
 
 
 def cut(text: bytes | None, cuts: list[int] | None, whole: bool = True) -> tuple:

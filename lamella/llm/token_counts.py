@@ -126,7 +126,7 @@ def count_tokens(docs: DataFrame, text: str = "text", tokenizer: str | None = No
 
     plain = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col(text).alias("text"))
     both = F.explode(F.array(F.struct(F.lit(version).alias("tokenizer"), F.col("tokens").alias("tokens")), F.struct(F.lit(words).alias("tokenizer"), F.col("words").alias("tokens"))))
-    return map_arrow(plain, run, schema).select("source", "lang", both.alias("c")).select(F.lit("insert").alias("op"), "source", "lang", "c.*")
+    return map_arrow(plain, run, schema, f"bpe {path}").select("source", "lang", both.alias("c")).select(F.lit("insert").alias("op"), "source", "lang", "c.*")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
