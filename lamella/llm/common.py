@@ -56,10 +56,13 @@ def sweep(spark: SparkSession) -> None:
     _delete(spark, _scratch_root(spark))
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: the lineage ends there, so a lost executor costs only its own tasks."""
+def materialise(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: the lineage ends there, so a lost executor costs only its own tasks.
+
+    With ``parts`` it is written by at most so many tasks, which keeps a narrow table from becoming as many small files as
+    there are shuffle partitions."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -251,22 +254,23 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", parts: int | None = None) -> DataFrame:
     """Connected components: one row (node, component) for each node of an edge, the component named by its smallest node.
 
     Labels start as the smallest neighbour. Each round hands every node the smallest label around it and then the label of
     that label (pointer jumping), so the rounds grow with the logarithm of a path. A round is two joins and two sums of minima
     on narrow rows, written to the shared folder; only the count of changed labels reaches the driver. Nulls in ``edges`` are
-    ignored, an empty input gives no rows."""
+    ignored, an empty input gives no rows. ``parts``: by how many tasks the edges are written."""
     # written first: a spanning forest may come out otherwise when it is worked out again, and both directions must agree
-    both = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null"), "links")
-    both = materialise(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("l")), "labels")
+    both = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null"), "links", parts)
+    parts = partitions_for(both, TABLE_BYTES)
+    both = materialise(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges", parts)
+    labels = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("l")), "labels", parts)
     while True:
         around = both.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
         nearer = labels.join(around, "u").select("u", "l", F.least("l", "m").alias("m"))
         jump = labels.select(F.col("u").alias("m"), F.col("l").alias("j"))
-        step = materialise(nearer.join(jump, "m", "left").select("u", F.least("m", "j").alias("n"), "l"), "labels")
+        step = materialise(nearer.join(jump, "m", "left").select("u", F.least("m", "j").alias("n"), "l"), "labels", parts)
         changed = step.where("n < l").limit(1).count()
         discard(labels)
         labels = step.select("u", F.col("n").alias("l"))
@@ -278,6 +282,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 SLICE_BYTES = 2 << 20
 #: A side up to this many bytes on disk is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
+#: Bytes on disk that a task writes of a narrow table.
+TABLE_BYTES = 8 << 20
 #: What a null id counts as where ids are ordered: it comes after every other.
 NULL_ID = (1 << 63) - 1
 
@@ -303,6 +309,27 @@ def sized(side: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(side) if written_bytes(side) <= limit else side
 
 
+#: Tasks that one key's rows are dealt to by ``spread_join`` where its other side is too large for a broadcast.
+SALTS = 64
+
+
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows with what ``side`` (written, one row for each key) has for their key: by broadcast, or by a shuffle that deals each
+    key's rows to ``SALTS`` tasks, whichever the size of ``side`` asks for."""
+    if written_bytes(side) <= limit:
+        return rows.join(F.broadcast(side), keys, how)
+    salted = side.withColumn("_lamella_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_lamella_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, [*keys, "_lamella_salt"], how).drop("_lamella_salt")
+
+
+def guarded(docs: DataFrame, needs: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` over the columns ``needs`` of ``docs``, and the columns of ``docs`` again, whatever columns ``run`` adds or replaces."""
+    rest = [c for c in docs.columns if c not in needs]
+    packed = docs.select(*needs, *([F.struct(*rest).alias("_lamella_row")] if rest else []))
+    return run(packed).select(*[F.col(c) if c in needs else F.col("_lamella_row")[c].alias(c) for c in docs.columns])
+
+
 def text_key(text: str, id_col: str) -> list:
     """Columns that tell rows apart: the id (null: the largest) and a checksum of the text, for ids that aren't unique."""
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_lamella_id"), F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("_lamella_tie")]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, map_arrow, materialise, resident, runs, struct, to_bytes, with_columns
+from .common import TABLE_BYTES, arrow_schema, map_arrow, materialise, partitions_for, resident, runs, struct, to_bytes, with_columns
 
 #: Each byte's image: lower-case ASCII letters, digits and bytes of characters beyond ASCII stay, the rest becomes a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -114,7 +114,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                 w = found[at : at + 10_000]
                 yield pa.RecordBatch.from_arrays([pa.array([one["i"]] * len(w), type=pa.string()), pa.array(w, type=pa.binary())], schema=arrow_schema(_WINDOW))
 
-    windows = materialise(map_arrow(items, made, _WINDOW).groupBy("w").agg(F.array_sort(F.collect_set("i")).alias("ids")), "windows")
+    windows = materialise(map_arrow(items, made, _WINDOW).groupBy("w").agg(F.array_sort(F.collect_set("i")).alias("ids")), "windows", partitions_for(benchmark, TABLE_BYTES))
     passes = -(-windows.count() // max_windows)
     out = docs
     for n in range(max(passes, 1)):

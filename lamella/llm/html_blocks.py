@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Container
 from html import unescape
 
 # tags with few and short quoted values as a whole; of others only the name, _tag_end finds where they end
@@ -15,26 +16,28 @@ _STOP = re.compile("[>\"']")
 _NAMES = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 #: Elements that don't end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr label input".split())
+INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr label input
+math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mpadded mphantom menclose semantics mspace""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose contents aren't text of the page.
-RAW = frozenset("script style noscript template iframe svg math title textarea select button object audio video canvas head".split())
+RAW = frozenset("script style noscript template iframe svg title textarea select button object audio video canvas head annotation annotation-xml".split())
 _LITERAL = frozenset("script style title textarea iframe".split())
 #: A start tag ends an open element of these, up to the nearest container.
 _ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 _CONTAINERS = frozenset("ul ol dl table div section article main aside nav header footer form body blockquote".split())
-#: Ancestors that give a block its features, from the nearest.
-DEPTH = 12
 
 
 class Block:
-    __slots__ = ("ancestors", "linked", "text")
+    """A leaf block: its text, how much of it is linked, the features of all its ancestors, and the tags of the nearest two."""
 
-    def __init__(self, text: str, linked: int, ancestors: tuple):
-        self.text, self.linked, self.ancestors = text, linked, ancestors
+    __slots__ = ("inherited", "linked", "tags", "text")
 
+    def __init__(self, text: str, linked: int, inherited: frozenset[str], tags: tuple[str, ...]):
+        self.text, self.linked, self.inherited, self.tags = text, linked, inherited, tags
 
-def _named(tag: str, attributes: str) -> tuple[str, frozenset[str]]:
+
+def _named(tag: str, attributes: str) -> set[str]:
+    """The features that an element gives to all blocks in it."""
     names = set()
     if "=" in attributes or "hidden" in attributes:
         for m in _NAMES.finditer(attributes):
@@ -43,7 +46,7 @@ def _named(tag: str, attributes: str) -> tuple[str, frozenset[str]]:
                 names.update(_WORDS.findall(value))
             elif kind == "hidden" or "display:none" in value.replace(" ", ""):
                 names.add("hidden")
-    return tag, frozenset(names)
+    return {f"in {tag}", *(f"name {x}" for x in names)}
 
 
 def _tag_end(html: str, at: int, dead: set[int | str]) -> int:
@@ -66,10 +69,14 @@ def _tag_end(html: str, at: int, dead: set[int | str]) -> int:
     return html.find(">", at) + 1 or len(html)
 
 
-def leaf_blocks(html: str) -> list[Block]:
-    """The blocks with text, in page order: character references decoded, white space runs as one space, trimmed."""
+def leaf_blocks(html: str, vocabulary: Container[str] | None = None) -> list[Block]:
+    """The blocks with text, in page order: character references decoded, white space runs as one space, trimmed.
+
+    Inherited features are those in ``vocabulary``. Elements that add none share their parent's set, so with a vocabulary a
+    page of any depth takes time and memory in proportion to its length."""
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
+    endless: set[str] = set()
     opened: Counter[str] = Counter()
     texts: list[str] = []
     links = linked = 0
@@ -81,7 +88,7 @@ def leaf_blocks(html: str) -> list[Block]:
         if texts:
             text = " ".join(unescape("".join(texts)).split())
             if text:
-                out.append(Block(text, linked, tuple(stack[-DEPTH:])))
+                out.append(Block(text, linked, stack[-1][1] if stack else frozenset(), tuple(t for t, _ in stack[-2:])))
             texts.clear()
         linked = 0
 
@@ -112,7 +119,9 @@ def leaf_blocks(html: str) -> list[Block]:
             if lower is None:
                 lower = html.lower() if len(html.lower()) == len(html) else re.sub("[A-Z]+", lambda x: x[0].lower(), html)
             if tag in _LITERAL or tag not in ("head",):
-                to = lower.find(f"</{tag}", at)
+                to = -1 if tag in endless else lower.find(f"</{tag}", at)
+                if to < 0:
+                    endless.add(tag)
                 # an element that never ends: literal text runs to the end, others are taken as empty
                 at = (lower.find(">", to) + 1 or end) if to >= 0 else end if tag in _LITERAL else at
             continue
@@ -145,7 +154,9 @@ def leaf_blocks(html: str) -> list[Block]:
             if depth >= 0 and stack[depth][0] in ends:
                 while len(stack) > depth:
                     pop()
-        stack.append(_named(tag, attributes))
+        above = stack[-1][1] if stack else frozenset()
+        more = {f for f in _named(tag, attributes) if f not in above and (vocabulary is None or f in vocabulary)}
+        stack.append((tag, above | more if more else above))
         opened[tag] += 1
         links = 0
     close()
@@ -158,12 +169,10 @@ def features(blocks: list[Block]) -> list[list[str]]:
     n = len(blocks)
     known: dict[tuple, list[str]] = {}
     for i, b in enumerate(blocks):
-        f = known.get(b.ancestors)
+        f = known.get((b.tags, b.inherited))
         if f is None:
-            tags = [t for t, _ in b.ancestors]
-            f = [f"in {t}" for t in set(tags)] + [f"name {x}" for x in frozenset().union(*(c for _, c in b.ancestors))]
-            f += [f"parent {tags[-1]}", f"pair {'>'.join(tags[-2:])}"] if tags else ["parent none"]
-            known[b.ancestors] = f
+            f = [*b.inherited, *([f"parent {b.tags[-1]}", f"pair {'>'.join(b.tags)}"] if b.tags else ["parent none"])]
+            known[b.tags, b.inherited] = f
         text = b.text
         words = text.count(" ") + 1
         share = min(b.linked / max(len(text), 1), 1.0)

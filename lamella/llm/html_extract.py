@@ -129,7 +129,7 @@ def trained(pages: int = PAGES, epochs: int = EPOCHS, first: int = 0) -> Model:
 
 
 def main_text(model: Model, html: str | None) -> str:
-    blocks = leaf_blocks(html or "")
+    blocks = leaf_blocks(html or "", model.weights)
     return " ".join(b.text for b, y in zip(blocks, model.label(features(blocks)), strict=True) if y)
 
 
@@ -137,7 +137,7 @@ def extract(pages: DataFrame, html: str = "html", model: Model | None = None) ->
     """``pages`` with main_text; an input column of that name is replaced.
 
     A null or empty page has an empty text; equal pages have equal texts; bytes that aren't UTF-8 become U+FFFD. The whole
-    page is read, whatever its length or depth."""
+    page is read, whatever its length or depth; an empty table gives no rows."""
     fitted = model or trained()
 
     def run(col: pa.Array) -> dict:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, arrow_schema, components, group_arrow, map_arrow, materialise, mix, partitions_for, rolling, sized, slices, struct, text_key, to_bytes, word_hashes
+from .common import NULL_ID, TABLE_BYTES, arrow_schema, components, group_arrow, map_arrow, materialise, mix, partitions_for, rolling, sized, slices, struct, text_key, to_bytes, word_hashes
 
 #: The fragment that is counted first: this part of the hash range. Must exceed 1 - share to prune; a quarter drops any
 #: class of which over 40 % is its own.
@@ -369,41 +369,42 @@ def classes(docs: DataFrame, id_col: str, text: str, k: int, share: tuple[int, i
 
         return run
 
-    first = materialise(group_arrow(map_arrow(keyed, deal(FIRST, parts), _DEALT).groupBy("part"), _count_first, _FIRST), "first")
+    first = materialise(group_arrow(map_arrow(keyed, deal(FIRST, parts), _DEALT).groupBy("part"), _count_first, _FIRST), "first", parts)
     members = first.where("id is not null").select("id", "tie", "n", "n_first", "sig")
     shared = first.where("id is null").groupBy("sig").agg(F.sum("shared").alias("shared"))
     lone_allowed = F.floor((F.col("n") * (share[1] - share[0])) / share[1])
     own = members.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("n_first").alias("n_first"), F.min(F.struct("id", "tie")).alias("rep"))
     may = own.join(shared, "sig", "left").where(F.col("n_first") - F.coalesce("shared", F.lit(0)) <= lone_allowed)
-    reps = materialise(may.select(F.col("rep.id").alias("id"), F.col("rep.tie").alias("tie")).distinct(), "representatives")
+    reps = materialise(may.select(F.col("rep.id").alias("id"), F.col("rep.tie").alias("tie")).distinct(), "representatives", parts)
     kept = keyed.withColumn("_key", F.coalesce("id", F.lit(NULL_ID))).join(sized(reps.withColumnRenamed("id", "_key")), ["_key", "tie"], "left_semi").select("id", "text", "tie")
     segments = group_arrow(map_arrow(kept, deal(1.0, parts), _DEALT).groupBy("part"), _segments, _SEGMENT)
     whole = segments.groupBy("sig").agg(F.first("n").alias("n"), F.collect_list(F.struct("hashes", "seen")).alias("segments"))
-    return members, materialise(map_arrow(whole, lambda b: _classes(b, share), _CLASS), "classes")
+    return members, materialise(map_arrow(whole, lambda b: _classes(b, share), _CLASS), "classes", parts)
 
 
-def _stars(found: DataFrame) -> DataFrame:
+def _stars(found: DataFrame, parts: int) -> DataFrame:
     """Edges (a, b) from each class to the smallest one that shares a prefix shingle, for every such shingle.
 
     Frequent shingles are few; their smallest classes are broadcast, so that none gathers its classes in one task."""
     prefix = found.select("sig", F.explode("prefix").alias("h"))
-    hubs = materialise(prefix.groupBy("h").agg(F.min("sig").alias("b"), F.count("*").alias("c")).where("c > 1"), "hubs")
-    hot = materialise(hubs.where(F.col("c") > HOT).select("h", "b"), "hot")
+    hubs = materialise(prefix.groupBy("h").agg(F.min("sig").alias("b"), F.count("*").alias("c")).where("c > 1"), "hubs", parts)
+    hot = materialise(hubs.where(F.col("c") > HOT).select("h", "b"), "hot", parts)
     near = prefix.join(sized(hot), "h").unionByName(prefix.join(sized(hot), "h", "left_anti").join(hubs.where(F.col("c") <= HOT).select("h", "b"), "h"))
     return near.select(F.col("sig").alias("a"), "b").where("a <> b").distinct()
 
 
 def links(found: DataFrame, share: tuple[int, int], every: bool = False) -> DataFrame:
     """Links (a, b) between classes: all of them, or a spanning forest with the same components."""
-    groups = components(_stars(found))
-    named = materialise(found.join(groups.select(F.col("node").alias("sig"), F.col("component").alias("cc")), "sig"), "groups")
+    parts = partitions_for(found, TABLE_BYTES)
+    groups = components(_stars(found, parts), parts=parts)
+    named = materialise(found.join(groups.select(F.col("node").alias("sig"), F.col("component").alias("cc")), "sig"), "groups", parts)
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("m") * 8 / BLOCK_BYTES)).cast("int")
-    large = materialise(named.groupBy("cc").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
+    large = materialise(named.groupBy("cc").agg(blocks.alias("blocks")).where("blocks > 1"), "large", parts)
     small = named.join(sized(large), "cc", "left_anti").select("cc", "sig", "n", "hashes", "prefix")
     small = small.repartition(partitions_for(named, BLOCK_BYTES), "cc").sortWithinPartitions("cc", "sig")
     cells = small.mapInArrow(lambda it: _small(it, share), _CELL)
     if not large.limit(1).count():
-        return _counted(materialise(cells, "cells"), share, every)
+        return _counted(materialise(cells, "cells", parts), share, every)
     whole = named.join(sized(large), "cc").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     main, near = F.lit(False), None
     if not every:
@@ -411,7 +412,7 @@ def links(found: DataFrame, share: tuple[int, int], every: bool = False) -> Data
         hub = whole.groupBy("cc", "blocks").agg(F.min_by(F.struct("sig", "n", "hashes"), F.struct(F.col("n") - F.col("m"), "sig")).alias("h"))
         hubs = hub.select("cc", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), "h.*", F.lit(True).alias("hub"))
         stars = whole.select(*key, F.lit(False).alias("hub")).unionByName(hubs).groupBy("cc", "own")
-        near = materialise(_counted(materialise(group_arrow(stars, _star, _CELL), "stars"), share, True), "near")
+        near = materialise(_counted(materialise(group_arrow(stars, _star, _CELL), "stars", parts), share, True), "near", parts)
         joined = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).distinct().withColumn("main", F.lit(True))
         whole = whole.join(joined, "sig", "left")
         main = F.coalesce("main", F.lit(False))
@@ -422,7 +423,7 @@ def links(found: DataFrame, share: tuple[int, int], every: bool = False) -> Data
         dealt = dealt.where("own >= blocks or other >= blocks")
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("blocks", "other")
     cells = cells.unionByName(group_arrow(dealt.groupBy("cc", "i", "j"), lambda t: _block(t, share), _CELL))
-    out = _counted(materialise(cells, "cells"), share, every)
+    out = _counted(materialise(cells, "cells", parts), share, every)
     return out if near is None else out.unionByName(near)
 
 
@@ -433,7 +434,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     named = members.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "tie")).alias("first")).join(groups.withColumnRenamed("node", "sig"), "sig", "left")
     group = F.coalesce("component", "sig")
     least = named.groupBy(group.alias("g")).agg(F.min("first").alias("first"))
-    by_class = materialise(named.select("sig", group.alias("g")).join(least, "g").select("sig", "first"), "components")
+    by_class = materialise(named.select("sig", group.alias("g")).join(least, "g").select("sig", "first"), "components", partitions_for(found, TABLE_BYTES))
     return members.join(sized(by_class), "sig", "left").withColumn("first", F.when(F.col("n") > 0, F.col("first")).otherwise(F.struct("id", "tie")))
 
 
@@ -452,7 +453,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
 
     Rows equal in id and text are one document: one of them stays."""
     found = grouped(docs, id_col, text, k, share)
-    lost = materialise(found.where(F.col("first") != F.struct("id", "tie")).select(F.col("id").alias("_lamella_id"), F.col("tie").alias("_lamella_tie")).distinct(), "lost")
+    lost = materialise(found.where(F.col("first") != F.struct("id", "tie")).select(F.col("id").alias("_lamella_id"), F.col("tie").alias("_lamella_tie")).distinct(), "lost", partitions_for(docs, RANGE_BYTES))
     repeated = found.groupBy("id", "tie").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
     out = docs.select("*", *text_key(text, id_col)).join(sized(lost), ["_lamella_id", "_lamella_tie"], "left_anti")
     return (out.dropDuplicates(["_lamella_id", "_lamella_tie"]) if repeated else out).select(*docs.columns)

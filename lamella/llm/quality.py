@@ -1,11 +1,13 @@
 """Quality rules: robust multivariate outliers by minimum-covariance-determinant (MCD) estimates per language and source.
 
 Counts come from whole texts in one pass over UTF-8 bytes. The base rules fail a text of fewer than 20 words, or with over
-30 % of its words in repeated 8-word windows. All others are judged by a vector of four transformed statistics: word length,
-symbols, repeated lines, repeated words. Each (language, source) has a centre and a scatter, estimated over all its rows by
-concentration steps: the ``SUBSET`` of rows with the smallest Mahalanobis distances gives the next centre and scatter,
-which never raises the determinant. Two fixed starts (medians with median deviations; plain moments) run side by side and
-the smaller determinant wins. A row is rejected if its distance exceeds the chi-square quantile ``1 - alpha``.
+30 % of its words in repeated 8-word windows. All others are judged by a vector of four transformed statistics that vary in
+every text: word length, punctuation, capitals, and distinct words in blocks of 20. Each (language, source) has a centre and
+a scatter, estimated over all its rows by concentration steps: the ``SUBSET`` of rows with the smallest Mahalanobis distances
+gives the next centre and scatter, which never raises the determinant, until no determinant falls any more. Two fixed starts
+(medians with median deviations; plain moments) run side by side and the smaller determinant wins. Estimates of n rows count
+with a weight of n / (n + ``PRIOR``), the language's with the rest, and a language's likewise against that of all rows. A row
+is rejected if its distance exceeds the chi-square quantile ``1 - alpha``.
 
 A step is one aggregation: rows add their moments to (group, distance bin), at most some thousand bins a group, so a hot
 source is summed before anything moves. Bins are fine (64 to a doubling), and a bin is taken whole.
@@ -22,18 +24,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, map_arrow, materialise, others, sized, slices, struct, to_bytes, window_starts, word_hashes
+from .common import TABLE_BYTES, arrow_schema, discard, group_arrow, map_arrow, materialise, others, partitions_for, sized, slices, spread_join, struct, to_bytes, window_starts, word_hashes
 from .common import rolling as rolled
 
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 _SYMBOLS = b"#*$%&|<>"
-COUNTS = struct("n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
-
-DIMS = ("length", "symbols", "lines", "words")
-#: Least standard deviation of each dimension: most groups have no symbols or repeats at all, so their scatter is singular.
-FLOOR = (0.03, 0.1, 0.1, 0.15)
-#: Part of the rows that an estimate rests on, steps from each start, least rows of a group, tail probability of a rejection.
-SUBSET, STEPS, MIN_GROUP, ALPHA = 0.75, 4, 200, 1e-4
+COUNTS = struct("n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_punct long, n_upper long, n_letters long, n_distinct long")
+_UPPER = bytes(range(65, 91))
+_LETTERS = _UPPER + bytes(range(97, 123))
+_PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+DIMS = ("length", "punctuation", "capitals", "variety")
+#: Words in a block whose distinct words are counted; words of usual text that every text is taken to have besides its own.
+BLOCK_WORDS, USUAL = 20, 100
+#: Part of the rows that an estimate rests on, rows that a prior counts as, tail probability of a rejection.
+SUBSET, PRIOR, ALPHA = 0.75, 50, 1e-5
+#: Least fall of a log determinant that is worth another step; what keeps a scatter of equal rows from being singular.
+TOLERANCE, RIDGE = 1e-3, 1e-7
 _BINS = 64
 _P = len(DIMS)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
@@ -88,11 +95,22 @@ def repeated_words(words: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     return covered[starts[1:]] - covered[starts[:-1]]
 
 
+def distinct_words(words: np.ndarray, starts: np.ndarray, block: int) -> np.ndarray:
+    """Of each text, the distinct words of its whole blocks of ``block`` words, summed."""
+    whole = np.diff(starts) // block
+    owner = np.repeat(np.arange(len(whole)), whole)
+    first = np.arange(len(owner)) - np.repeat(np.cumsum(whole) - whole, whole)
+    at = starts[:-1][owner] + first * block
+    rows = np.sort(words[at[:, None] + np.arange(block)], axis=1) if len(at) else np.empty((0, block), np.uint64)
+    return np.bincount(owner, 1 + (rows[:, 1:] != rows[:, :-1]).sum(1), len(whole)).astype(np.int64)
+
+
 def count_texts(texts: list[bytes | None]) -> dict[str, list | np.ndarray]:
     words, starts = word_hashes(texts)
     out: dict = {f: np.zeros(len(texts), np.int64) for f in COUNTS.fieldNames()}
     out["n_words"] = np.diff(starts)
     out["n_repeat_words"] = repeated_words(words, starts, REPEAT_WINDOW)
+    out["n_distinct"] = distinct_words(words, starts, BLOCK_WORDS)
     for i, text in enumerate(texts):
         if text:
             out["word_chars"][i] = len(text.translate(None, b" \t\n\x0b\x0c\r" + bytes(range(0x80, 0xC0))))
@@ -100,6 +118,8 @@ def count_texts(texts: list[bytes | None]) -> dict[str, list | np.ndarray]:
             lines = [x for x in text.split(b"\n") if x and not x.isspace()]
             out["n_lines"][i] = len(lines)
             out["n_dup_lines"][i] = len(lines) - len(set(lines))
+            for name, signs in (("n_punct", _PUNCT), ("n_upper", _UPPER), ("n_letters", _LETTERS)):
+                out[name][i] = len(text) - len(text.translate(None, signs))
     return out
 
 
@@ -119,13 +139,14 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vector() -> list[Column]:
-    """The transformed statistics: shrunk towards usual values, so that a short text isn't rejected for a word or two."""
-    n, lines = F.col("n_words"), F.col("n_lines")
+    """The transformed statistics: drawn towards usual values, so that a short text isn't rejected for a word or two."""
+    n = F.col("n_words")
+    blocks = n - n % BLOCK_WORDS
     return [
-        F.log((F.col("word_chars") + 250) / (n + 50.0)),
-        F.asinh(10 * F.col("n_symbols") / (n + 50.0)),
-        F.sqrt(F.col("n_dup_lines") / (lines + 10.0)),
-        F.sqrt(F.col("n_repeat_words") / (n + 50.0)),
+        F.log((F.col("word_chars") + 5.0 * USUAL) / (n + USUAL)),
+        F.sqrt((F.col("n_punct") + 0.15 * USUAL) / (n + USUAL)),
+        F.sqrt((F.col("n_upper") + 0.15 * USUAL) / (F.col("n_letters") + 5.0 * USUAL)),
+        F.asin(F.sqrt((F.col("n_distinct") + 0.9 * USUAL) / (blocks + USUAL))),
     ]
 
 
@@ -133,16 +154,18 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
-_PARAMS = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("rows", T.LongType()), T.StructField("logdet", T.DoubleType()), T.StructField("centre", T.ArrayType(T.DoubleType())), T.StructField("inverse", T.ArrayType(T.DoubleType()))])
+_KEYS = ["level", "lang", "source"]
+_PARAMS = struct("level int, lang string, source string, start int, rows long, logdet double, centre array<double>, scatter array<double>, inverse array<double>")
+_PRIORS = struct("lang string, source string, centre array<double>, inverse array<double>")
 
 
-def _estimate(n: float, sums: np.ndarray, products: np.ndarray, scale: float) -> tuple[float, list[float], list[float]]:
+def _estimate(n: float, sums: np.ndarray, products: np.ndarray) -> tuple[float, list[float], list[float], list[float]]:
     centre = sums / n
     scatter = np.zeros((_P, _P))
     for (i, j), x in zip(_PAIRS, products / n, strict=True):
         scatter[i, j] = scatter[j, i] = x - centre[i] * centre[j]
-    scatter = scatter * scale + np.diag(np.square(FLOOR))
-    return float(np.linalg.slogdet(scatter)[1]), centre.tolist(), np.linalg.inv(scatter).ravel().tolist()
+    scatter += np.eye(_P) * RIDGE
+    return float(np.linalg.slogdet(scatter)[1]), centre.tolist(), scatter.ravel().tolist(), np.linalg.inv(scatter).ravel().tolist()
 
 
 def _concentrate(table: pa.Table, subset: float) -> pa.Table:
@@ -156,9 +179,9 @@ def _concentrate(table: pa.Table, subset: float) -> pa.Table:
         products += r["products"]
         if n >= subset * total:
             break
-    logdet, centre, inverse = _estimate(n, sums, products, 1.0 if subset >= 1 else consistency(subset, _P))
-    key = rows[0]
-    return pa.Table.from_pylist([{"level": key["level"], "lang": key["lang"], "source": key["source"], "start": key["start"], "rows": total, "logdet": logdet, "centre": centre, "inverse": inverse}], schema=arrow_schema(_PARAMS))
+    logdet, centre, scatter, inverse = _estimate(n, sums, products)
+    key = {k: rows[0][k] for k in (*_KEYS, "start")}
+    return pa.Table.from_pylist([key | {"rows": total, "logdet": logdet, "centre": centre, "scatter": scatter, "inverse": inverse}], schema=arrow_schema(_PARAMS))
 
 
 def _moments(df: DataFrame, *keys: str) -> DataFrame:
@@ -174,60 +197,91 @@ def _distance(x: str = "x", of: str = "") -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-_KEYS = ["level", "lang", "source"]
-
+def estimates(rows: DataFrame, subset: float = SUBSET) -> DataFrame:
+    """MCD centre and scatter of each (lang, source), each lang, and all rows. ``rows``: lang, source, x (written).
 
-def estimates(rows: DataFrame, subset: float = SUBSET, steps: int = STEPS) -> DataFrame:
-    """MCD centre and inverse scatter of each (lang, source), each lang, and all rows. ``rows``: lang, source, x (written).
-
-    A null language or source is a value of its own. A group's row has level 0, 1 or 2 and nulls (as ``""``) above."""
+    A null language or source is a value of its own. A group's row has level 0, 1 or 2 and nulls (as ``""``) above. A row of
+    the result: level, lang, source, rows, logdet, centre, scatter (of the central part, not yet scaled)."""
     null = F.lit("\x00")
     lang, source = F.coalesce("lang", null), F.coalesce("source", null)
     levels = F.array(F.struct(F.lit(0).alias("level"), lang.alias("lang"), source.alias("source")), F.struct(F.lit(1).alias("level"), lang.alias("lang"), F.lit("").alias("source")), F.struct(F.lit(2).alias("level"), F.lit("").alias("lang"), F.lit("").alias("source")))
     dealt = rows.select("x", F.explode(levels).alias("g")).select("g.*", "x")
-    centre = dealt.groupBy(*_KEYS).agg(F.count("*").alias("rows"), F.array(*[F.percentile(F.round(F.col("x")[i], 2), 0.5) for i in range(_P)]).alias("centre"))
-    centre = materialise(centre, "medians")
-    off = dealt.join(sized(centre), _KEYS).groupBy(*_KEYS).agg(F.first("rows").alias("rows"), F.first("centre").alias("centre"), F.array(*[F.percentile(F.round(F.abs(F.col("x")[i] - F.col("centre")[i]), 2), 0.5) for i in range(_P)]).alias("mad"))
-    entries = [1 / (F.pow(F.col("mad")[i] * 1.4826, F.lit(2.0)) + FLOOR[i] ** 2) if i == j else F.lit(0.0) for i in range(_P) for j in range(_P)]
-    medians = off.select(*_KEYS, F.lit(0).alias("start"), "rows", F.lit(0.0).alias("logdet"), "centre", F.array(*entries).alias("inverse"))
+    parts = partitions_for(rows, 8 * TABLE_BYTES)
+    middle = lambda x: F.percentile(F.round(x, 4), 0.5)  # noqa: E731  of few different values, however many rows
+    medians = materialise(dealt.groupBy(*_KEYS).agg(F.count("*").alias("rows"), F.array(*[middle(F.col("x")[i]) for i in range(_P)]).alias("centre")), "medians", parts)
+    off = spread_join(dealt, medians, _KEYS).groupBy(*_KEYS).agg(F.first("rows").alias("rows"), F.first("centre").alias("centre"), F.array(*[middle(F.abs(F.col("x")[i] - F.col("centre")[i])) for i in range(_P)]).alias("mad"))
+    spread = [F.pow(F.col("mad")[i] * 1.4826, F.lit(2.0)) + RIDGE for i in range(_P)]
+    diagonal = lambda value: F.array(*[value(spread[i]) if i == j else F.lit(0.0) for i in range(_P) for j in range(_P)])
+    middles = off.select(*_KEYS, F.lit(0).alias("start"), "rows", F.lit(0.0).alias("logdet"), "centre", diagonal(lambda x: x).alias("scatter"), diagonal(lambda x: 1 / x).alias("inverse"))
     plain = _moments(dealt, *_KEYS).withColumn("start", F.lit(1)).withColumn("bin", F.lit(0))
-    plain = plain.groupBy(*_KEYS, "start").applyInArrow(lambda t: _concentrate(t, 1.0), _PARAMS)
-    params = materialise(medians.select(_PARAMS.fieldNames()).unionByName(plain), "estimates")
-    for _ in range(steps):
-        near = dealt.join(sized(params), _KEYS).withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * _BINS))
-        binned = _moments(near, *_KEYS, "start", "bin")
-        params = materialise(binned.groupBy(*_KEYS, "start").applyInArrow(lambda t: _concentrate(t, subset), _PARAMS), "estimates")
-    best = F.min_by(F.struct("rows", "centre", "inverse"), F.struct("logdet", "start")).alias("b")
-    return materialise(params.groupBy(*_KEYS).agg(best).select(*_KEYS, "b.*"), "estimates")
+    plain = group_arrow(plain.groupBy(*_KEYS, "start"), lambda t: _concentrate(t, 1.0), _PARAMS)
+    # neither start rests on a subset: any first step is taken
+    params = materialise(middles.unionByName(plain).withColumn("logdet", F.lit(float("inf"))).withColumn("active", F.lit(True)), "estimates", parts)
+    names = ["logdet", "centre", "scatter", "inverse"]
+    while params.where("active").limit(1).count():
+        near = spread_join(dealt, params.where("active").select(*_KEYS, "start", "centre", "inverse"), _KEYS)
+        binned = _moments(near.withColumn("bin", F.floor(F.log2(_distance() + 1e-6) * _BINS)), *_KEYS, "start", "bin")
+        step = group_arrow(binned.groupBy(*_KEYS, "start"), lambda t: _concentrate(t, subset), _PARAMS)
+        step = step.select(*_KEYS, "start", F.struct(*names).alias("new"))
+        better = F.coalesce(F.col("new.logdet") < F.col("logdet") - TOLERANCE, F.lit(False))
+        moved = params.join(step, [*_KEYS, "start"], "left")
+        former, params = params, materialise(moved.select(*_KEYS, "start", "rows", *[F.when(better, F.col(f"new.{n}")).otherwise(F.col(n)).alias(n) for n in names], better.alias("active")), "estimates", parts)
+        discard(former)
+    best = F.min_by(F.struct("rows", "logdet", "centre", "scatter"), F.struct("logdet", "start")).alias("b")
+    return materialise(params.groupBy(*_KEYS).agg(best).select(*_KEYS, "b.*"), "estimates", parts)
+
+
+def _mixed(n: int, own: tuple[np.ndarray, np.ndarray], wider: tuple[np.ndarray, np.ndarray], prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """An estimate of ``n`` rows and a wider one as one: centre and scatter of the two, mixed with weights n : prior."""
+    w = n / (n + prior)
+    centre = w * own[0] + (1 - w) * wider[0]
+    off = wider[0] - centre
+    return centre, w * own[1] + (1 - w) * (wider[1] + np.outer(off, off))
+
+
+def shrunk(found: DataFrame, subset: float = SUBSET, prior: float = PRIOR) -> DataFrame:
+    """Centre and inverse scatter of each (lang, source), scaled, drawn towards its language's, and that towards all rows'."""
+    level = lambda n, *keys: found.where(F.col("level") == n).select(*keys, F.struct("rows", "centre", "scatter").alias(f"e{n}"))
+    rows = level(0, "lang", "source").join(sized(level(1, "lang")), "lang").crossJoin(F.broadcast(level(2)))  # level 2 is one row
+    scale = consistency(subset, _P)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        out = []
+        for row in batch.to_pylist():
+            parts = [(row[e]["rows"], (np.asarray(row[e]["centre"]), np.reshape(row[e]["scatter"], (_P, _P)) * scale)) for e in ("e0", "e1", "e2")]
+            centre, scatter = _mixed(*parts[0], _mixed(*parts[1], parts[2][1], prior), prior)
+            out.append({"lang": row["lang"], "source": row["source"], "centre": centre.tolist(), "inverse": np.linalg.inv(scatter).ravel().tolist()})
+        yield pa.RecordBatch.from_pylist(out, schema=arrow_schema(_PRIORS))
 
+    return materialise(map_arrow(rows, run, _PRIORS), "priors", partitions_for(found, TABLE_BYTES))
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP, alpha: float = ALPHA) -> DataFrame:
+
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", alpha: float = ALPHA) -> DataFrame:
     """``docs`` with the counts, base_failed, distance (null if base_failed) and kept; input columns of those names are replaced.
 
-    The estimates rest on all rows that pass the base rules. A row takes those of its (language, source), of its language if
-    that pair has fewer than ``min_group`` rows, and of all rows if the language has fewer too. Null languages and sources
-    are values of their own; null and empty texts fail the base rules; an empty table gives no rows."""
+    The estimates rest on all rows that pass the base rules, and every such row is judged by those of its (language, source),
+    however small: the fewer its rows, the more the language's count. Null languages and sources are values of their own;
+    null and empty texts fail the base rules; whole texts are counted, of any length; equal rows are judged alike and each
+    counts; an empty table gives no rows."""
     results = ("base_failed", "distance", "kept")
-    plain = counted(docs.drop(*results), text).withColumn("base_failed", base_failed())
-    rows = materialise(plain.where(~F.col("base_failed")).select(F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.array(*vector()).alias("x")), "vectors")
-    return verdicts(plain, estimates(rows), lang, source, min_group, alpha)
+    plain = counted(docs.select(*[f.name for f in others(docs, results)]), text).withColumn("base_failed", base_failed())
+    passed = plain.where(~F.col("base_failed"))
+    rows = materialise(passed.select(F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.array(*vector()).alias("x")), "vectors")
+    return verdicts(plain, shrunk(estimates(rows)), lang, source, alpha)
 
 
-def verdicts(counted_: DataFrame, found: DataFrame, lang: str, source: str, min_group: int, alpha: float) -> DataFrame:
-    null = F.lit("\x00")
+def verdicts(counted_: DataFrame, found: DataFrame, lang: str, source: str, alpha: float) -> DataFrame:
+    null, keys = F.lit("\x00"), ["_lamella_l", "_lamella_s"]
     out = counted_.withColumn("_lamella_x", F.array(*vector())).withColumn("_lamella_l", F.coalesce(F.col(lang).cast("string"), null)).withColumn("_lamella_s", F.coalesce(F.col(source).cast("string"), null))
-    for level, (l_, s_) in enumerate(((F.col("_lamella_l"), F.col("_lamella_s")), (F.col("_lamella_l"), F.lit("")), (F.lit(""), F.lit("")))):
-        side = found.where(F.col("level") == level).where((F.col("rows") >= min_group) | (F.lit(level) == 2)).select(F.col("lang").alias(f"_lamella_l{level}"), F.col("source").alias(f"_lamella_s{level}"), F.struct("centre", "inverse").alias(f"_lamella_e{level}"))
-        out = out.join(sized(side), (l_ == F.col(f"_lamella_l{level}")) & (s_ == F.col(f"_lamella_s{level}")), "left").drop(f"_lamella_l{level}", f"_lamella_s{level}")
-    out = out.withColumn("_lamella_e", F.coalesce("_lamella_e0", "_lamella_e1", "_lamella_e2"))
+    out = spread_join(out, found.select(F.col("lang").alias("_lamella_l"), F.col("source").alias("_lamella_s"), F.struct("centre", "inverse").alias("_lamella_e")), keys, "left")
     out = out.withColumn("distance", F.when(~F.col("base_failed"), _distance("_lamella_x", "_lamella_e.")))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(1 - alpha, _P), F.lit(True))
-    return out.withColumn("kept", kept).drop("_lamella_x", "_lamella_l", "_lamella_s", "_lamella_e", "_lamella_e0", "_lamella_e1", "_lamella_e2")
+    return out.withColumn("kept", kept).drop("_lamella_x", "_lamella_e", *keys)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     plain = materialise(counted(docs).drop("text").withColumn("base_failed", base_failed()), "counts")
     rows = plain.where(~F.col("base_failed")).select("lang", "source", F.array(*vector()).alias("x"))
-    out = verdicts(plain, estimates(materialise(rows, "vectors")), "lang", "source", MIN_GROUP, ALPHA)
+    out = verdicts(plain, shrunk(estimates(materialise(rows, "vectors"))), "lang", "source", ALPHA)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")

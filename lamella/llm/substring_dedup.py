@@ -173,7 +173,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window
 
     dealt = map_arrow(docs.select(F.col(id_col).cast("long").alias(id_col), text), deal, _DEALT)
     found = group_arrow(dealt.groupBy("part"), lambda t: _judge(t, parts), _FOUND)
-    return materialise(group_arrow(found.groupBy("part"), lambda t: _merge(t, window), _CUTS), "removals")
+    return materialise(group_arrow(found.groupBy("part"), lambda t: _merge(t, window), _CUTS), "removals", -(-parts // 4))
 
 
 def cut(text: bytes | None, cuts: list[int] | None, whole: bool = True) -> tuple:

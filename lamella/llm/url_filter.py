@@ -3,22 +3,24 @@
 A key is a host suffix (whole labels) followed by a path prefix; a list of rules is a set of keys. Level 0 encodes the listed
 keys, level 1 the keys of the universe that level 0 takes wrongly, level 2 the listed keys that level 1 takes wrongly, and so
 on, until nothing is taken wrongly. The first level that misses a key tells whether it is listed, for every key of the
-universe. Levels are arrays of 64-bit words inside the plan, tested with bit operations: DataFrame functions only.
+universe. Level 0 has as many hashes as leave about as many keys of the universe taken wrongly as are listed, so that all
+levels together grow with the list and the logarithm of the universe, not with the universe. Levels are arrays of 64-bit
+words inside the plan, tested with bit operations: DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, others
+from .common import materialise, others, partitions_for
 
-BITS_PER_KEY, HASHES = 10, 4
-#: A level with more words than this isn't put into plans; ``Cascade.of`` then refuses, and ``judge`` joins by shuffle instead.
-MAX_WORDS = 1 << 17
+#: Of a level after the first, and the most of the first.
+HASHES, MOST_HASHES = 4, 48
 
 #: The rules of the production list, as (verdict, host, path).
 RULES = [
@@ -30,53 +32,60 @@ RULES = [
 ]
 
 
-def _positions(key: Column, level: int, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits)) for i in range(HASHES)]
+def _positions(key: Column, level: int, bits: int, hashes: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits)) for i in range(hashes)]
 
 
 @dataclass(frozen=True)
 class Cascade:
-    """Words of each level, as decimal text."""
+    """Each level's number of hashes and its words, as decimal text."""
 
-    levels: tuple[tuple[str, ...], ...]
+    levels: tuple[tuple[int, tuple[str, ...]], ...]
 
     @staticmethod
-    def of(listed: DataFrame, universe: DataFrame) -> Cascade:
+    def of(listed: DataFrame, universe: DataFrame, size: int | None = None) -> Cascade:
         """The cascade of the distinct non-null keys of ``listed`` (column key), exact for the keys of ``universe`` (column key).
 
-        Listed keys outside the universe are listed too. An empty list has no level and holds no key."""
-        keys = materialise(listed.where("key is not null").select("key").distinct(), "listed")
-        encoded, tested = keys, None
-        levels: list[tuple[str, ...]] = []
+        ``size``: about how many distinct keys the universe has, if that is known; it is exact whatever is given. Listed keys
+        outside the universe are listed too. An empty list has no level and holds no key."""
+        keys = materialise(listed.where("key is not null").select("key").distinct(), "listed", 8)
+        parts = partitions_for(universe, 64 << 20)
+        encoded, tested, key = keys, None, F.col("key")
+        levels: list[tuple[int, tuple[str, ...]]] = []
         while count := encoded.count():
-            bits = 64 * -(-count * BITS_PER_KEY // 64)
-            if bits // 64 > MAX_WORDS:
-                raise OverflowError("too many keys for a cascade in the plan")
-            pos = encoded.select(F.explode(F.array(*_positions(F.col("key"), len(levels), bits))).alias("p"))
+            hashes = HASHES
+            if not levels:
+                size = universe_size(universe) if size is None else size
+                hashes = min(max(math.ceil(math.log2(max(size / count, 1))), HASHES), MOST_HASHES)
+            bits = 64 * -(-math.ceil(count * hashes / math.log(2)) // 64)
+            pos = encoded.select(F.explode(F.array(*_positions(key, len(levels), bits, hashes))).alias("p"))
             words = pos.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("v")).collect()
             dense = ["0"] * (bits // 64)
             for w, v in words:
                 dense[w] = str(v)
-            levels.append(tuple(dense))
+            levels.append((hashes, tuple(dense)))
             if tested is None:  # the universe is read once; what level 0 takes of it is small
-                tested = universe.where("key is not null").select("key").join(keys, "key", "left_anti")
-                wrong = universe.where("key is not null").where(_hit(F.col("key"), 0, levels[0])).select("key").distinct().join(keys, "key", "left_anti")
+                wrong = universe.where("key is not null").where(_hit(key, 0, *levels[0])).select("key").distinct().join(keys, "key", "left_anti")
             else:
-                wrong = tested.where(_hit(F.col("key"), len(levels) - 1, levels[-1]))
-            tested, encoded = encoded, materialise(wrong.select("key"), "wrong")
+                wrong = tested.where(_hit(key, len(levels) - 1, *levels[-1]))
+            tested, encoded = encoded, materialise(wrong.select("key"), "wrong", parts)
         return Cascade(tuple(levels))
 
     def has(self, key: Column) -> Column:
         """Whether a key of the universe (or the list) is listed; false for null."""
         out = F.lit(len(self.levels) % 2 == 1)
         for n in reversed(range(len(self.levels))):
-            out = F.when(_hit(key, n, self.levels[n]), out).otherwise(F.lit(n % 2 == 1))
+            out = F.when(_hit(key, n, *self.levels[n]), out).otherwise(F.lit(n % 2 == 1))
         return F.coalesce(key.isNotNull() & out, F.lit(False))
 
 
-def _hit(key: Column, level: int, words: tuple[str, ...]) -> Column:
+def universe_size(universe: DataFrame) -> int:
+    return universe.agg(F.approx_count_distinct("key", 0.1)).head()[0]
+
+
+def _hit(key: Column, level: int, hashes: int, words: tuple[str, ...]) -> Column:
     table = F.split(F.lit(",".join(words)), ",").cast("array<bigint>")  # folded to one literal
-    bit = [F.call_function("shiftright", F.get(table, F.floor(p / 64).cast("int")), (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1 for p in _positions(key, level, 64 * len(words))]
+    bit = [F.call_function("shiftright", F.get(table, F.floor(p / 64).cast("int")), (p % 64).cast("int")).bitwiseAND(F.lit(1)) == 1 for p in _positions(key, level, 64 * len(words), hashes)]
     return reduce(Column.__and__, bit)
 
 
@@ -102,8 +111,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
 
     The rules' keys are two lists, allowed and blocked, each a cascade over the candidate keys of all urls. A key under both
     verdicts counts as blocked. A null url, or one without ``://``, has an empty host and path, which no rule fits; equal
-    urls are judged alike; columns of ``pages`` named as a result are replaced. A list too long for a cascade in the plan
-    is joined by a shuffle, with the same result."""
+    urls are judged alike; an empty table gives no rows; columns of ``pages`` named as a result are replaced. The rules come
+    from the driver, and so do their cascades: some 1.5 bits a rule for each doubling from the list to the universe, which every task gets with its plan."""
     spark = pages.sparkSession
     kept = [f.name for f in others(pages, ("host", "path", "rule", "verdict"))]
     host, path = host_and_path(F.col("_lamella_u"))
@@ -113,13 +122,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
     longest = lambda keys: F.array_max(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]
     blocked = sorted({h + p for v, h, p in rules if v == "block"})
     allowed = sorted({h + p for v, h, p in rules if v == "allow"} - set(blocked))
-    try:
-        lists = {v: Cascade.of(_listed(spark, keys), universe) for v, keys in (("allow", allowed), ("block", blocked))}
-    except OverflowError:
-        listed = _listed(spark, allowed).withColumn("v", F.lit("allow")).unionByName(_listed(spark, blocked).withColumn("v", F.lit("block")))
-        numbered = materialise(base.withColumn("_lamella_n", F.monotonically_increasing_id()), "numbered")
-        fit = numbered.select("_lamella_n", F.explode("_lamella_keys").alias("key")).join(listed, "key").groupBy("_lamella_n").agg(F.max(F.struct(F.length("key").alias("n"), "key", "v")).alias("f"))
-        return numbered.join(fit, "_lamella_n", "left").select(*kept, "host", "path", F.col("f.key").alias("rule"), F.coalesce("f.v", F.lit(default)).alias("verdict"))
+    size = universe_size(universe) if rules else 0
+    lists = {v: Cascade.of(_listed(spark, keys), universe, size) for v, keys in (("allow", allowed), ("block", blocked))}
     found = {v: longest(F.filter(F.col("_lamella_keys"), c.has)) for v, c in lists.items()}
     out = base.withColumn("_lamella_a", found["allow"]).withColumn("_lamella_b", found["block"])
     wins = F.coalesce(F.length("_lamella_b"), F.lit(-1)) > F.coalesce(F.length("_lamella_a"), F.lit(-1))

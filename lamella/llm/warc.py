@@ -4,12 +4,15 @@ Writing: each task streams its records into archives of bounded size, one gzip m
 equal payloads of at least ``MIN_REVISIT`` bytes one is a response record and the others are revisits of it. Only archives
 named in the written manifest count, so what a lost task left behind is never read.
 
+Archives of other writers are read too: any record type, any of the usual digests, header names in any case.
+
 Reading: an archive is inflated and parsed as a stream. A payload comes out as rows of (record id, chunk number) with at most
 ``CHUNK`` bytes each, carrying the digest and length of the payload up to there; no record is ever held whole.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -22,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, materialise, scratch_path, sized, struct
+from .common import arrow_schema, materialise, released, scratch_path, spread_join, struct
 
 MIN_REVISIT, CHUNK, ROLL = 100, 1 << 20, 256 << 20
 MANIFEST = struct("path string, records long, bytes long")
@@ -36,11 +39,13 @@ def planned(records: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
     """``records`` (id, uri, payload) with digest, bytes, record_type and refers_to.
 
     Of payloads that are equal (same SHA-256) and have ``least`` bytes or more, the smallest id is the response; rows that repeat
-    that id are responses too. A null payload is empty. A null id revisits an equal payload that has an id; null ids among
-    themselves are all responses."""
+    that id are responses too. A null payload is empty, one of any length is hashed whole. A null id revisits an equal payload
+    that has an id; null ids among themselves are all responses. An empty table gives no rows; columns other than the three
+    are left out. Where the list of equal payloads is too large for a broadcast, payloads move once, those of one digest
+    spread over many tasks."""
     made = records.withColumn("payload", F.coalesce("payload", F.lit(b""))).withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
     owners = made.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("id").alias("owner"), F.count("*").alias("c")).where("c > 1 and owner is not null").select("digest", "owner")
-    joined = made.join(sized(materialise(owners, "equal")), "digest", "left")
+    joined = spread_join(made.select("id", "uri", "payload", "digest", "bytes"), materialise(owners, "equal"), ["digest"], "left")
     revisit = F.col("owner").isNotNull() & (F.col("bytes") >= least) & ~F.col("id").eqNullSafe(F.col("owner"))
     return joined.select("id", "uri", "payload", "digest", "bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("owner")).alias("refers_to"))
 
@@ -149,28 +154,74 @@ class _Source:
             yield out
 
 
+def _headers(block: bytes) -> dict[str, str]:
+    """Header lines after the first, names in lower case; a line that begins with a blank goes on with the one before."""
+    out: dict[str, str] = {}
+    name = None
+    for line in block.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def _checked(declared: str):
+    """The hash that a declared digest (``algorithm:value``, hexadecimal or base 32) is of, and the value as bytes; (None, None) if unknown."""
+    kind, _, value = declared.partition(":")
+    kind = kind.lower().replace("-", "")
+    if kind not in ("sha1", "sha256", "sha512", "md5"):
+        return None, None
+    made = hashlib.new(kind)
+    try:
+        raw = bytes.fromhex(value) if len(value) == 2 * made.digest_size else base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except ValueError:
+        return None, None
+    return (made, raw) if len(raw) == made.digest_size else (None, None)
+
+
+def _own(name: str | None) -> str | None:
+    """A record's name without its brackets, and without the prefix that ``record_head`` gives."""
+    return name.removeprefix("<").removesuffix(">").removeprefix("urn:page:") if name else None
+
+
 def parse(pieces: Iterator[bytes], step: int = CHUNK) -> Iterator[dict]:
-    """Chunk rows of all records in a stream; a record without payload has one row. A wrong payload digest is an error."""
+    """Chunk rows of all records in a stream; a record without payload has one row.
+
+    The payload is what follows the HTTP head, where the record holds an HTTP message, else the whole block. Its declared
+    length (revisits of this module's archives) and digest are passed on, the digest as written without its algorithm; a
+    digest that is of a known kind but not the payload's is an error, unless the payload was sent in a transfer coding."""
     source = _Source(pieces)
     while source.held or source.more():
-        head = dict(line.split(": ", 1) for line in source.until(b"\r\n\r\n").decode().split("\r\n")[1:])
-        length = int(head["Content-Length"])
-        before = source.until(b"\r\n\r\n")
-        left = length - len(before) - 4
+        head = _headers(b"\r\n" + source.until(b"\r\n\r\n").lstrip(b"\r\n").split(b"\r\n", 1)[-1])
+        left, http = int(head["content-length"]), b""
+        if head.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+            while b"\r\n\r\n" not in http and left:  # some bytes at a time: the head is short
+                part = next(source.take(min(left, 4096), 4096))
+                http, left = http + part, left - len(part)
+            http, mark, back = http.partition(b"\r\n\r\n")
+            source.held, left = back + source.held, left + len(back)
+        kind, declared = head.get("warc-type"), head.get("warc-payload-digest", "")
         digest, at, chunk = hashlib.sha256(), 0, 0
-        declared = head.get("WARC-Payload-Digest", "").removeprefix("sha256:")
-        own = lambda x: x.removeprefix("<urn:page:").removesuffix(">") if x else None
-        row = {"record_id": own(head["WARC-Record-ID"]), "record_type": head["WARC-Type"], "refers_to": own(head.get("WARC-Refers-To")), "uri": head.get("WARC-Target-URI"), "payload_bytes": int(head["X-Payload-Length"]), "payload_digest": declared}
-        if not left:
-            if row["record_type"] == "response" and digest.hexdigest() != declared:
+        other, wanted = _checked(declared) if kind != "revisit" and "transfer-encoding" not in _headers(http) else (None, None)
+        known = head.get("x-payload-length") or (left if kind != "revisit" else None)
+        row = {"record_id": _own(head.get("warc-record-id")), "record_type": kind, "refers_to": _own(head.get("warc-refers-to")), "uri": head.get("warc-target-uri"), "payload_bytes": None if known is None else int(known), "payload_digest": declared.partition(":")[2] or None}
+
+        def chunk_row(data: bytes, last: bool) -> dict:
+            if last and other and other.digest() != wanted:
                 raise ValueError(f"payload digest of record {row['record_id']}")
-            yield row | {"chunk_no": 0, "bytes_so_far": 0, "digest_so_far": digest.hexdigest(), "last": True, "data": b""}
+            return row | {"chunk_no": chunk, "bytes_so_far": at, "digest_so_far": digest.hexdigest(), "last": last, "data": data}
+
+        if not left:
+            yield chunk_row(b"", True)
         for data in source.take(left, step):
             digest.update(data)
+            if other:
+                other.update(data)
             at += len(data)
-            if at == left and digest.hexdigest() != declared:
-                raise ValueError(f"payload digest of record {row['record_id']}")
-            yield row | {"chunk_no": chunk, "bytes_so_far": at, "digest_so_far": digest.hexdigest(), "last": at == left, "data": data}
+            yield chunk_row(data, at == left)
             chunk += 1
         if b"".join(source.take(4, 4)) != b"\r\n\r\n":
             raise ValueError("a record is longer than it says")
@@ -193,6 +244,7 @@ def chunks(manifest: DataFrame, step: int = CHUNK, data: bool = True) -> DataFra
                             yield pa.RecordBatch.from_pylist(rows, schema=schema)
                             rows, held = [], 0
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                released()
 
     return manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(run, CHUNKS)
 
