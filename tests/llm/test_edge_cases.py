@@ -184,6 +184,71 @@ def test_pipeline_joins_near_copies_of_five_words(spark):
     assert kept == want
 
 
+def test_pipeline_odd(spark, odd):
+    """Nulls, repeated rows, clashing columns and empty tables through every stage."""
+    import corpus_pipeline
+
+    docs = odd.withColumn("n_chars", F.length("text").cast("int"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns and out.schema == docs.schema, name
+        assert {r.kept for r in out.collect()} <= {"mine"} and {r.N_REMOVED for r in out.collect()} <= {"mine"}
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+    passages = corpus_pipeline.repeated_passages(spark, docs, SMALL).collect()
+    assert len(passages) == docs.count() and all(r.n_chars == (None if r.text is None else len(r.text)) for r in passages)
+    assert corpus_pipeline.sequences(spark, docs, SMALL).where("start = 0").count() == docs.count()
+
+
+def brute_pipeline(spark, docs):
+    """What the substring and leak stages must leave of ``docs`` (rows), in plain Python."""
+    import pyarrow.parquet as pq
+
+    gone = brute_removal([(r.doc_id, r.text) for r in docs], 20)
+    cut = {r.doc_id: [w for i, w in enumerate(r.text.split()) if i not in gone[r.doc_id]] for r in docs}
+    items = [w for t in pq.read_table(f"{SMALL}/benchmark.parquet").column("text").to_pylist() if (w := decontaminate.words_of((t or "").encode()))]
+    windows = {tuple(w[i : i + min(10, len(w))]) for w in items for i in range(len(w) - min(10, len(w)) + 1)}
+    sizes = {len(w) for w in windows}
+
+    def clean(words):
+        w = decontaminate.words_of(" ".join(words).encode())
+        return not any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+
+    return cut, {d: w for d, w in cut.items() if clean(w)}
+
+
+def test_pipeline_like_plain_python(spark):
+    """The last three stages over what the first two keep of a whole table."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    kept = common.materialise(p.near_copies(spark, p.quality_rules(spark, docs, SMALL), SMALL), "kept")
+    cut, clean = brute_pipeline(spark, kept.collect())
+    passages = common.materialise(p.repeated_passages(spark, kept, SMALL), "passages")
+    assert {r.doc_id: r.text.split() for r in passages.collect()} == cut
+    rest = common.materialise(p.benchmark_leaks(spark, passages, SMALL), "rest")
+    assert {r.doc_id: r.text.split() for r in rest.collect()} == clean and clean.keys() != cut.keys()
+    e = Encoder(default_path())
+    pieces = p.sequences(spark, rest, SMALL).orderBy("sequence_id", "offset").collect()
+    stream = [i for r in pieces for i in r.ids]
+    assert [(r.sequence_id * 2048 + r.offset) for r in pieces] == np.concatenate(([0], np.cumsum([r.length for r in pieces])[:-1])).tolist()
+    ids = {}
+    for r in sorted(pieces, key=lambda r: r.start):
+        ids.setdefault(r.doc_id, []).extend(r.ids)
+    texts = {r.doc_id: r.text for r in rest.collect()}
+    assert ids == {d: [*e.tokenizer.encode(t, add_special_tokens=False).ids, 1] for d, t in texts.items()} and len(stream) == sum(map(len, ids.values()))
+
+
+def test_boilerplate_makes_few_pairs(spark):
+    """One passage in many otherwise different documents: no pair of them is listed, the near copies among them are."""
+    rng = random.Random(4)
+    common_words = words(rng, 12, 10**6)
+    docs = [(i, words(rng, 150, 10**6) + " " + common_words) for i in range(3000)]
+    docs += [(3000 + i, docs[i][1] + " end") for i in range(50)]
+    members, found = ngram_join.classes(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", 3, (9, 10))
+    assert found.count() == 100
+    assert ngram_join.links(found, (9, 10), every=True).count() == 50
+
+
 def test_components_of_a_path(spark):
     n = 40
     ids = list(range(n))
