@@ -29,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -282,10 +281,10 @@ def _cell(name: str, rows: list[tuple], a: np.ndarray, b: np.ndarray) -> Iterato
 def _small(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Cells of whole groups; the rows (cc, sig, n, hashes, prefix) of a partition are sorted by group."""
     held: list[tuple] = []
-    size, last, made = 0, None, 0
+    size, last = 0, None
 
-    def cell() -> Iterator[pa.RecordBatch]:
-        yield from _cell(f"small-{TaskContext.get().partitionId()}-{made}", held, *candidates([h[3] for h in held], np.asarray([h[1] for h in held], np.int64), share))
+    def cell() -> Iterator[pa.RecordBatch]:  # named after a class, as a task may run several partitions
+        yield from _cell(f"small-{held[0][0]}", held, *candidates([h[3] for h in held], np.asarray([h[1] for h in held], np.int64), share))
 
     for batch in batches:
         group, sigs, n, hashes = (batch.column(i).to_pylist() for i in range(4))
@@ -293,7 +292,7 @@ def _small(batches: Iterator[pa.RecordBatch], share: tuple[int, int]) -> Iterato
         for i, cc in enumerate(group):
             if cc != last and (len(held) >= BLOCK or size >= BLOCK_BYTES):
                 yield from cell()
-                held, size, made = [], 0, made + 1
+                held, size = [], 0
             last = cc
             held.append((sigs[i], n[i], hashes[i], np.asarray(prefixes[i].values, np.int64)))
             size += len(hashes[i])
