@@ -77,13 +77,13 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def partitions_for(df: DataFrame, bytes_each: int) -> int:
-    """How many buckets to deal ``df`` into so that each holds about ``bytes_each`` of its input.
+def partitions_for(df: DataFrame, bytes_each: int, least: int = 8) -> int:
+    """How many buckets to deal ``df`` into so that each holds about ``bytes_each`` of its input, and ``least`` at least.
 
     Where Catalyst has no size (rows from the driver), four for each shuffle partition."""
     size = input_bytes(df)
     known = size < 1 << 60
-    return max(8, -(-size // bytes_each) if known else 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, -(-size // bytes_each) if known else 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 _TYPES = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
@@ -263,7 +263,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", parts: int | None =
     ignored, an empty input gives no rows. ``parts``: by how many tasks the edges are written."""
     # written first: a spanning forest may come out otherwise when it is worked out again, and both directions must agree
     both = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null"), "links", parts)
-    parts = partitions_for(both, TABLE_BYTES)
+    parts = partitions_for(both, TABLE_BYTES, 1)
     both = materialise(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges", parts)
     labels = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("l")), "labels", parts)
     while True:

@@ -114,7 +114,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                 w = found[at : at + 10_000]
                 yield pa.RecordBatch.from_arrays([pa.array([one["i"]] * len(w), type=pa.string()), pa.array(w, type=pa.binary())], schema=arrow_schema(_WINDOW))
 
-    windows = materialise(map_arrow(items, made, _WINDOW).groupBy("w").agg(F.array_sort(F.collect_set("i")).alias("ids")), "windows", partitions_for(benchmark, TABLE_BYTES))
+    windows = materialise(map_arrow(items, made, _WINDOW).groupBy("w").agg(F.array_sort(F.collect_set("i")).alias("ids")), "windows", partitions_for(benchmark, TABLE_BYTES, 1))
     passes = -(-windows.count() // max_windows)
     out = docs
     for n in range(max(passes, 1)):

@@ -394,7 +394,7 @@ def _stars(found: DataFrame, parts: int) -> DataFrame:
 
 def links(found: DataFrame, share: tuple[int, int], every: bool = False) -> DataFrame:
     """Links (a, b) between classes: all of them, or a spanning forest with the same components."""
-    parts = partitions_for(found, TABLE_BYTES)
+    parts = partitions_for(found, TABLE_BYTES, 1)
     groups = components(_stars(found, parts), parts=parts)
     named = materialise(found.join(groups.select(F.col("node").alias("sig"), F.col("component").alias("cc")), "sig"), "groups", parts)
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("m") * 8 / BLOCK_BYTES)).cast("int")
@@ -433,7 +433,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     named = members.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "tie")).alias("first")).join(groups.withColumnRenamed("node", "sig"), "sig", "left")
     group = F.coalesce("component", "sig")
     least = named.groupBy(group.alias("g")).agg(F.min("first").alias("first"))
-    by_class = materialise(named.select("sig", group.alias("g")).join(least, "g").select("sig", "first"), "components", partitions_for(found, TABLE_BYTES))
+    by_class = materialise(named.select("sig", group.alias("g")).join(least, "g").select("sig", "first"), "components", partitions_for(found, TABLE_BYTES, 1))
     return members.join(sized(by_class), "sig", "left").withColumn("first", F.when(F.col("n") > 0, F.col("first")).otherwise(F.struct("id", "tie")))
 
 

@@ -206,7 +206,7 @@ def estimates(rows: DataFrame, subset: float = SUBSET) -> DataFrame:
     lang, source = F.coalesce("lang", null), F.coalesce("source", null)
     levels = F.array(F.struct(F.lit(0).alias("level"), lang.alias("lang"), source.alias("source")), F.struct(F.lit(1).alias("level"), lang.alias("lang"), F.lit("").alias("source")), F.struct(F.lit(2).alias("level"), F.lit("").alias("lang"), F.lit("").alias("source")))
     dealt = rows.select("x", F.explode(levels).alias("g")).select("g.*", "x")
-    parts = partitions_for(rows, 8 * TABLE_BYTES)
+    parts = partitions_for(rows, 8 * TABLE_BYTES, 1)
     middle = lambda x: F.percentile(F.round(x, 4), 0.5)  # noqa: E731  of few different values, however many rows
     medians = materialise(dealt.groupBy(*_KEYS).agg(F.count("*").alias("rows"), F.array(*[middle(F.col("x")[i]) for i in range(_P)]).alias("centre")), "medians", parts)
     off = spread_join(dealt, medians, _KEYS).groupBy(*_KEYS).agg(F.first("rows").alias("rows"), F.first("centre").alias("centre"), F.array(*[middle(F.abs(F.col("x")[i] - F.col("centre")[i])) for i in range(_P)]).alias("mad"))
@@ -253,7 +253,7 @@ def shrunk(found: DataFrame, subset: float = SUBSET, prior: float = PRIOR) -> Da
             out.append({"lang": row["lang"], "source": row["source"], "centre": centre.tolist(), "inverse": np.linalg.inv(scatter).ravel().tolist()})
         yield pa.RecordBatch.from_pylist(out, schema=arrow_schema(_PRIORS))
 
-    return materialise(map_arrow(rows, run, _PRIORS), "priors", partitions_for(found, TABLE_BYTES))
+    return materialise(map_arrow(rows, run, _PRIORS), "priors", partitions_for(found, TABLE_BYTES, 1))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", alpha: float = ALPHA) -> DataFrame:

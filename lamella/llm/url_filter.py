@@ -48,8 +48,8 @@ class Cascade:
 
         ``size``: about how many distinct keys the universe has, if that is known; it is exact whatever is given. Listed keys
         outside the universe are listed too. An empty list has no level and holds no key."""
-        keys = materialise(listed.where("key is not null").select("key").distinct(), "listed", 8)
-        parts = partitions_for(universe, 64 << 20)
+        keys = materialise(listed.where("key is not null").select("key").distinct(), "listed", 1)
+        parts = partitions_for(universe, 64 << 20, 1)
         encoded, tested, key = keys, None, F.col("key")
         levels: list[tuple[int, tuple[str, ...]]] = []
         while count := encoded.count():
