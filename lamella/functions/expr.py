@@ -27,8 +27,11 @@ def alpha_of(image: DeepImage, unpremult: bool, unpremult_deep_mask: bool) -> Co
 
 
 def joined_mask(image: DeepImage, side_mask: DataFrame, channel: str) -> DataFrame:
-    """The samples with their pixel's side-mask value in ``_side``; pixels that the mask doesn't have read 0."""
-    flat = side_mask.select("x", "y", F.col(channel).alias("_side"))
+    """The samples with their pixel's side-mask value in ``_side``; pixels that the mask doesn't have read 0.
+
+    A flat image has one value for a pixel; where the table has several, the greatest counts, so samples never multiply. The
+    aggregation shuffles by pixel, as the join does."""
+    flat = side_mask.groupBy("x", "y").agg(F.max(F.col(channel)).alias("_side"))
     return image.df.join(flat, ["x", "y"], "left").withColumn("_side", F.coalesce("_side", F.lit(0.0)))
 
 

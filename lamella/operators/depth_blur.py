@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import depth_weights
 from ..sources.image import PLACE, DeepImage
-from .ordered import pixel_window
+from .ordered import pixel_window, with_alpha
 
 FAINT = 1e-6
 
@@ -20,6 +20,8 @@ def depth_blur(image: DeepImage, spread: float = 1.0, num_samples: int = 5, fall
     spread, n = max(spread, 0.0), max(num_samples, 1)
     if spread < 1e-6 or n <= 1:
         return image
+    if "alpha" not in image.df.columns:
+        return with_alpha(image, lambda full: depth_blur(full, spread, n, falloff, sample_type, gate, empty_gate))
     step, half = spread / n, step_half(spread, n)
     df = image.df
     spreads = F.col("alpha") >= FAINT

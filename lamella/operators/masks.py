@@ -5,19 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clamp, joined_mask
-from ..sources.image import PLACE, DeepImage, union
+from ..sources.image import PIXEL, PLACE, DeepImage, union
 from .channels import add_channels
 
 
 def keymix(b: DeepImage, a: DeepImage | None, mask: DataFrame | None, channels: Sequence[str] | None = None, mask_channel: str = "value", invert_mask: bool = False, mix: float = 1.0, bbox: str = "union") -> DeepImage:
     """Samples of B where the mask is 0, of A where it is 1 or more, between them those of both, weighted, B first.
 
-    Missing A or mask, or no channels: B as it is. Each side is joined with the mask by pixel and filtered; no sample of a
-    pixel that needs one side only is read from the other. s numbers A's samples after B's."""
+    Missing A or mask, or no channels: B as it is. Both sides are joined with the mask by pixel at once and filtered: a pixel
+    that needs one side only keeps no sample of the other. s numbers a pixel's samples anew, A's after B's."""
     mix = min(max(mix, 0.0), 1.0)
     if a is None or mask is None or channels is not None and not channels:
         return b
@@ -25,12 +25,13 @@ def keymix(b: DeepImage, a: DeepImage | None, mask: DataFrame | None, channels:
     a, b = add_channels(a, names), add_channels(b, names)
     key = clamp(F.col("_side"))
     key = (1 - key if invert_mask else key) * mix
-    sides = []
-    for image, first in ((b, True), (a, False)):
-        df = joined_mask(image, mask, mask_channel).withColumn("_k", key)
-        df = df.where(F.col("_k") < 1 if first else F.col("_k") > 0)
-        weight = F.when(F.col("_k") <= 0 if first else F.col("_k") >= 1, F.lit(1.0)).otherwise(1 - F.col("_k") if first else F.col("_k"))
-        place = [(F.col(c) + (0 if first else 1_000_000)).cast("int").alias(c) if c == "s" else F.col(c) for c in PLACE if c in df.columns]
-        sides.append(df.select(*place, *[(F.col(c) * weight).alias(c) for c in names]))
+    place = [c for c in PLACE if c in b.df.columns and c in a.df.columns]
+    sides = [image.df.select(*place, *names, F.lit(first).alias("_first")) for image, first in ((b, True), (a, False))]
+    both = joined_mask(replace(b, df=sides[0].unionByName(sides[1])), mask, mask_channel).withColumn("_k", key)
+    both = both.where(F.when(F.col("_first"), F.col("_k") < 1).otherwise(F.col("_k") > 0))
+    weight = F.when(F.col("_first"), F.when(F.col("_k") <= 0, 1.0).otherwise(1 - F.col("_k"))).otherwise(F.when(F.col("_k") >= 1, 1.0).otherwise(F.col("_k")))
+    number = [F.row_number().over(Window.partitionBy(*PIXEL).orderBy(F.desc("_first"), "s")).alias("_s")] if "s" in place else []
+    both = both.select("*", *number)
+    both = both.select(*[(F.col("_s") - 1).alias(c) if c == "s" else F.col(c) for c in place], *[(F.col(c) * weight).alias(c) for c in names])
     box = {"union": union(a.bbox, b.bbox), "A": a.bbox, "B": b.bbox}[bbox]
-    return replace(b, df=sides[0].unionByName(sides[1]), bbox=box)
+    return replace(b, df=both, bbox=box)

@@ -1,13 +1,13 @@
-"""Depth-ordered operators: accumulation, flattening, grouping. A pixel's samples meet by one shuffle on (x, y)."""
+"""Depth-ordered operators: accumulation and flattening. A pixel's samples meet by one shuffle on (x, y)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..sources.image import DEPTH_ORDER, PIXEL, RGB, DeepImage
+from ..sources.image import DEPTH_ORDER, PIXEL, DeepImage
 
 
 def depth_order(df: DataFrame) -> list[str]:
@@ -42,24 +42,22 @@ def composited(df: DataFrame, keys: Sequence[str], channels: Sequence[str]) -> D
     return rows.groupBy(*keys).agg(*depth, *([first] if first is not None else []), *[F.sum(F.col(c) * F.col("_t")).alias(c) for c in channels])
 
 
-def flatten(image: DeepImage) -> DeepImage:
-    """One sample per pixel: the over-composite of all."""
-    out = composited(image.df, PIXEL, image.channels)
-    return image.with_df(out.select(*[c for c in image.df.columns if c in out.columns]))
-
+def with_alpha(image: DeepImage, fn: Callable[[DeepImage], DeepImage]) -> DeepImage:
+    """``fn`` over the image; where it has no alpha, over one with an alpha of 1, which goes again."""
+    if "alpha" in image.df.columns:
+        return fn(image)
+    out = fn(image.with_df(image.df.withColumn("alpha", F.lit(1.0))))
+    return out.with_df(out.df.drop("alpha"))
 
-def nested(df: DataFrame) -> DataFrame:
-    """One row per pixel: x, y and ``ss``, its samples as structs in depth order."""
-    order = depth_order(df)
-    fields = [*order, *[c for c in df.columns if c not in (*PIXEL, *order)]]
-    return df.groupBy(*PIXEL).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("ss"))
 
+def flatten(image: DeepImage) -> DeepImage:
+    """One sample per pixel: the over-composite of all."""
 
-def unnested(df: DataFrame, *more: str) -> DataFrame:
-    """The samples of ``ss`` as rows again, with columns ``more`` kept.
+    def flat(full: DeepImage) -> DeepImage:
+        out = composited(full.df, PIXEL, full.channels)
+        return full.with_df(out.select(*[c for c in full.df.columns if c in out.columns]))
 
-    An outer generator, as the optimiser would else test the array's size first and so work out its fold twice."""
-    return df.select(*PIXEL, *more, F.inline_outer("ss")).where("front is not null")
+    return with_alpha(image, flat)
 
 
 def max_samples(image: DeepImage, k: int) -> DeepImage:
@@ -68,47 +66,3 @@ def max_samples(image: DeepImage, k: int) -> DeepImage:
         return image
     ranked = image.df.withColumn("_r", F.row_number().over(pixel_window(image.df)))
     return image.with_df(ranked.where(F.col("_r") <= k).drop("_r"))
-
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def group_ids(samples: Column, tolerance: float, different, needs: Sequence[str]) -> Column:
-    """For each sample of a sorted array the number of its group. A group starts at a sample and takes those that follow, as
-    long as they are within ``tolerance`` of the *start's* depth and ``different(start, sample)`` is false.
-
-    The fold carries the start's fields ``needs`` only."""
-
-    def step(acc: Column, e: Column) -> Column:
-        own = F.struct(*[e[f].alias(f) for f in needs])
-        fits = F.coalesce((acc["g"] >= 0) & (e["front"] - acc["a"]["front"] <= tolerance) & ~different(acc["a"], e), F.lit(False))
-
-        def moved(fit: Column) -> Column:
-            g = F.when(fit, acc["g"]).otherwise(acc["g"] + 1)
-            return F.struct(F.when(fit, acc["a"]).otherwise(own).alias("a"), g.alias("g"), F.concat(acc["gs"], F.array(g)).alias("gs"))
-
-        return let(fits, moved)
-
-    start = F.struct(F.struct(*[F.lit(None).cast("double").alias(f) for f in needs]).alias("a"), F.lit(-1).alias("g"), F.array().cast("array<int>").alias("gs"))
-    return F.aggregate(samples, start, step)["gs"]
-
-
-def with_ids(samples: Column, ids: Column, name: str, fields: Sequence[str]) -> Column:
-    """The samples with their ids as one more field."""
-    return F.zip_with(samples, ids, lambda e, g: F.struct(*[e[f].alias(f) for f in fields], g.alias(name)))
-
-
-_NEEDS = ("front", "alpha", *RGB)
-
-
-def merged(df: DataFrame, tolerance: float, different, channels: Sequence[str], cap: int = 0) -> DataFrame:
-    """Samples grouped from the front and each group composited; with ``cap``, the first groups of a pixel only."""
-    fields = [*depth_order(df), *[c for c in df.columns if c not in (*PIXEL, *depth_order(df))]]
-    grouped = nested(df).withColumn("ss", with_ids(F.col("ss"), group_ids(F.col("ss"), tolerance, different, _NEEDS), "g", fields))
-    rows = unnested(grouped)
-    if cap > 0:
-        rows = rows.where(F.col("g") < cap)
-    out = composited(rows, [*PIXEL, "g"], channels)
-    return out.drop("g").select(*df.columns)

@@ -1,18 +1,21 @@
 """Thinning: fewer samples with the same look. Seven passes, each usable alone; ``thin`` runs them in their order.
 
-Passes that depend on what they themselves drop (contribution, grouping) are folds over a pixel's sorted array; the others are
-filters and windows. All share one shuffle by pixel.
+Passes that depend on what they themselves drop (contribution, grouping) are walks over a pixel's sorted samples; the others are
+filters and windows where they stand alone. ``thin`` does all seven in one walk: one shuffle by pixel and one sort.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..sources.image import PIXEL, RGB, DeepImage
-from .ordered import composited, depth_order, group_ids, merged, nested, pixel_window, transmitted, unnested, with_ids
+from ..sources.image import PLACE, RGB, DeepImage
+from .ordered import pixel_window, transmitted
+from .walk import Samples, merged, ranks, walked
 
 
 @dataclass(frozen=True)
@@ -42,106 +45,114 @@ def depth_clip(image: DeepImage, z_near: float = 0.0, z_far: float = 1e10) -> De
 
 
 def alpha_cull(image: DeepImage, threshold: float = 0.0) -> DeepImage:
-    return image.with_df(image.df.where(F.col("alpha") > threshold))
+    return image.with_df(image.df.where(image.channel("alpha") > threshold))
 
 
 def occlusion(image: DeepImage, cutoff: float = 0.999) -> DeepImage:
     """Drop what lies behind the sample with which accumulated alpha reaches the cutoff; that sample stays."""
-    rows = image.df.withColumn("_t", transmitted(F.col("alpha"), pixel_window(image.df)))
+    rows = image.df.withColumn("_t", transmitted(image.channel("alpha"), pixel_window(image.df)))
     return image.with_df(rows.where(1 - F.col("_t") < cutoff).drop("_t"))
 
 
-def _fold_alive(samples: Column, t: Thinning) -> Column:
-    """Passes 1 to 4 as one walk over the sorted samples: what stays alive."""
-
-    def step(acc: Column, e: Column) -> Column:
-        live = F.lit(True)
-        if t.depth_clip:
-            live = live & (e["front"] >= t.z_near) & (e["front"] <= t.z_far)
-        if t.cull_transparent:
-            live = live & (e["alpha"] > t.alpha_threshold)
-        covered = acc["o"]
+def alive(samples: Samples, t: Thinning) -> np.ndarray:
+    """Passes 1 to 4 as one walk over the sorted samples: what stays."""
+    front, alpha = samples["front"], samples.alpha
+    live = np.ones(samples.size, bool)
+    if t.depth_clip:
+        live &= (front >= t.z_near) & (front <= t.z_far)
+    if t.cull_transparent:
+        live &= alpha > t.alpha_threshold
+    if not (t.occlusion_cutoff or t.contribution_cull):
+        return live
+    covered, added = np.zeros(len(samples.starts)), np.zeros(len(samples.starts))
+    for run, at in ranks(samples.starts, samples.size):
+        stays, a = live[at], alpha[at]
         if t.occlusion_cutoff:
-            seen = live & (acc["o"] < t.occlusion_alpha)
-            covered = F.when(seen, acc["o"] + e["alpha"] * (1 - acc["o"])).otherwise(acc["o"])
-            live = seen
+            before = covered[run]
+            stays = stays & (before < t.occlusion_alpha)
+            covered[run] = np.where(stays, before + a * (1 - before), before)
+        before = added[run]
         if t.contribution_cull:
-            live = live & (e["alpha"] * (1 - acc["c"]) >= t.contribution_min)
-        added = F.when(live, acc["c"] + e["alpha"] * (1 - acc["c"])).otherwise(acc["c"])
-        return F.struct(covered.alias("o"), added.alias("c"), F.concat(acc["live"], F.array(live)).alias("live"))
-
-    start = F.struct(F.lit(0.0).alias("o"), F.lit(0.0).alias("c"), F.array().cast("array<boolean>").alias("live"))
-    return F.aggregate(samples, start, step)["live"]
+            stays = stays & (a * (1 - before) >= t.contribution_min)
+        added[run] = np.where(stays, before + a * (1 - before), before)
+        live[at] = stays
+    return live
 
 
 def contribution_cull(image: DeepImage, minimum: float = 0.001) -> DeepImage:
     """Drop samples that add less than ``minimum`` to what was kept before them; what is dropped doesn't accumulate."""
     only = Thinning(cull_transparent=False, occlusion_cutoff=False, contribution_min=minimum)
-    fields = [c for c in image.df.columns if c not in PIXEL]
-    held = nested(image.df)
-    held = held.withColumn("ss", with_ids(F.col("ss"), _fold_alive(F.col("ss"), only), "_live", [*depth_order(image.df), *[f for f in fields if f not in depth_order(image.df)]]))
-    return image.with_df(unnested(held).where("_live").select(*image.df.columns))
-
-
-def _collapsed(df: DataFrame, alpha_max: float, size: int, live: str | None = None) -> DataFrame:
-    """Rows that the volumetric pass keeps. Runs are of live samples below ``alpha_max`` that follow each other; the dead break them."""
-    w = pixel_window(df)
-    thin = F.col("alpha") < alpha_max
-    thin = thin & F.col(live) if live else thin
-    rows = df.withColumn("_n", F.row_number().over(w)).withColumn("_thin", thin)
-    # the number of samples outside runs that come before tells one run from the next
-    rows = rows.withColumn("_run", F.sum((~F.col("_thin")).cast("int")).over(w))
-    by_run = pixel_window(df, "_run", "_thin")
-    place = F.row_number().over(by_run) - 1
-    length = F.count("*").over(by_run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = rows.withColumn("_p", place).withColumn("_l", length)
-    full = (F.floor(F.col("_p") / size) + 1) * size <= F.col("_l")
-    drop = F.col("_thin") & full & (F.col("_p") % size != 0)
-    return rows.where(~drop).drop("_n", "_thin", "_run", "_p", "_l")
+    return image.with_df(walked(image.df, lambda x: x.take(np.flatnonzero(alive(x, only)))))
+
+
+def uncollapsed(samples: Samples, live: np.ndarray, alpha_max: float, size: int) -> np.ndarray:
+    """What the volumetric pass keeps of the living: the dead break runs."""
+    faint = live & (samples.alpha < alpha_max)
+    n = np.arange(samples.size)
+    head = np.zeros(samples.size, bool)
+    head[samples.starts] = True
+    # a run goes on where the sample before is faint too and of the same pixel
+    begins = faint & (head | ~np.concatenate(([False], faint[:-1])))
+    run = np.cumsum(begins)
+    place = n - np.maximum.accumulate(np.where(begins, n, 0))
+    length = np.bincount(run[faint], minlength=int(run[-1]) + 1)[run]
+    return live & ~(faint & ((place // size + 1) * size <= length) & (place % size != 0))
 
 
 def volumetric_collapse(image: DeepImage, alpha_max: float = 0.01, group_size: int = 4) -> DeepImage:
     """Of every full block of ``group_size`` faint samples in a row keep the first; the others are dropped, not composited."""
-    return image.with_df(_collapsed(image.df, alpha_max, group_size))
+    return image.with_df(walked(image.df, lambda x: x.take(np.flatnonzero(uncollapsed(x, np.ones(x.size, bool), alpha_max, group_size)))))
 
 
 def premultiplied_difference(tolerance: float):
-    def different(a: Column, e: Column) -> Column:
-        return F.greatest(*[F.abs(a[c] - e[c]) for c in RGB]) > tolerance
+    """Over ``tolerance`` apart in premultiplied colour; None, as colour then doesn't count, for a tolerance of 0 or less."""
 
-    return different
+    def different(samples: Samples, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.any([np.abs(c[a] - c[b]) > tolerance for c in samples.colours], axis=0) if samples.colours else np.zeros(len(a), bool)
+
+    return different if tolerance > 0 else None
 
 
 def smart_merge(image: DeepImage, tolerance: float = 0.01, color_tolerance: float = 0.01, max_samples: int = 0) -> DeepImage:
-    """Composite samples that are near the first of their group in depth and in premultiplied colour."""
-    out = merged(image.df, tolerance, premultiplied_difference(color_tolerance), image.channels, max_samples)
-    return image.with_df(out)
+    """Composite samples that are near the first of their group in depth and in premultiplied colour.
+
+    A depth tolerance of 0 or less merges nothing; a colour tolerance of 0 or less lets any colours merge."""
+    return image.with_df(walked(image.df, lambda x: merged(x, tolerance, premultiplied_difference(color_tolerance), max_samples)))
+
+
+def thinned(samples: Samples, t: Thinning) -> Samples:
+    live = alive(samples, t)
+    if t.volumetric_collapse and samples.size:
+        live = uncollapsed(samples, live, t.volume_alpha_max, t.volume_group_size)
+    return merged(samples.take(np.flatnonzero(live)), t.tolerance if t.merge_samples else 0.0, premultiplied_difference(t.color_tolerance), t.max_samples)
 
 
 def thin(image: DeepImage, settings: Thinning | None = None) -> DeepImage:
-    """All passes in order. The samples are sorted once; passes 1 to 4 mark, pass 5 needs the marks, the rest sees the living."""
+    """All passes in order, in one walk over the sorted samples."""
     t = settings or Thinning()
-    fields = [*depth_order(image.df), *[c for c in image.df.columns if c not in (*PIXEL, *depth_order(image.df))]]
-    held = nested(image.df)
-    held = held.withColumn("ss", with_ids(F.col("ss"), _fold_alive(F.col("ss"), t), "_live", fields))
-    if t.volumetric_collapse:
-        rows = _collapsed(unnested(held), t.volume_alpha_max, t.volume_group_size, "_live").where("_live").drop("_live").select(*image.df.columns)
-        held = nested(rows)
-    else:
-        held = held.withColumn("ss", F.filter("ss", lambda e: e["_live"]))
-    if t.merge_samples:
-        ids = group_ids(F.col("ss"), t.tolerance, premultiplied_difference(t.color_tolerance), ("front", "alpha", *RGB))
-    else:
-        ids = F.transform("ss", lambda e, i: i)
-    rows = unnested(held.withColumn("ss", with_ids(F.col("ss"), ids, "g", fields)))
-    if t.max_samples > 0:
-        rows = rows.where(F.col("g") < t.max_samples)
-    return image.with_df(composited(rows, [*PIXEL, "g"], image.channels).drop("g").select(*image.df.columns))
+    return image.with_df(walked(image.df, lambda x: thinned(x, t)))
+
+
+def thin_stats(image: DeepImage, settings: Thinning | None = None) -> DataFrame:
+    """The statistics of ``thin`` from one walk: each batch of pixels tells how many samples came in and how many stay."""
+    t = settings or Thinning()
+    kept = [c for c in image.df.columns if c in (*PLACE, "alpha", *RGB)] if set(RGB) <= set(image.df.columns) else image.df.columns
+
+    def count(samples: Samples) -> dict[str, np.ndarray]:
+        out = thinned(samples, t).size
+        return {n: c[:1] for n, c in samples.columns.items()} | {"n_in": np.array([samples.size]), "n_out": np.array([out])}
+
+    more = [T.StructField("n_in", T.LongType()), T.StructField("n_out", T.LongType())]
+    counts = walked(image.df.select(*kept), count, more)
+    return _reported(counts.agg(F.coalesce(F.sum("n_in"), F.lit(0)).alias("samples_in"), F.coalesce(F.sum("n_out"), F.lit(0)).alias("samples_out")))
 
 
 def thinner_stats(before: DeepImage, after: DeepImage) -> DataFrame:
-    """samples_in, samples_out, removed, pct and the line that reports them."""
-    counts = before.df.agg(F.count("*").alias("samples_in")).join(after.df.agg(F.count("*").alias("samples_out")))
+    """samples_in, samples_out, removed, pct and the line that reports them, of any two images."""
+    return _reported(before.df.agg(F.count("*").alias("samples_in")).join(after.df.agg(F.count("*").alias("samples_out"))))
+
+
+def _reported(counts: DataFrame) -> DataFrame:
     removed = F.col("samples_in") - F.col("samples_out")
     pct = F.when(F.col("samples_in") > 0, removed * 100.0 / F.col("samples_in")).otherwise(F.lit(0.0))
     out = counts.withColumn("removed", removed).withColumn("pct", pct)

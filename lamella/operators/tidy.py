@@ -6,56 +6,70 @@ same interval are composited. It needs no iteration, so it ends for every input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import DataFrame
 
-from ..sources.image import PIXEL, RGB, DeepImage
-from .ordered import composited, merged, nested, unnested
+from ..sources.image import PLACE, DeepImage
+from .walk import Samples, composite, merged, starts_of, walked
 
 FAINT = 1e-6
 
 
-def pieces(df: DataFrame) -> DataFrame:
-    """The samples cut at all fronts and backs of their pixel: each keeps its edges, and a row is made of every two in a row."""
-    colours = [c for c in df.columns if c not in (*PIXEL, "front", "back", "s", "alpha")]
-    held = nested(df).withColumn("_places", F.array_sort(F.array_distinct(F.concat("ss.front", "ss.back"))))
-    rows = unnested(held, "_places")
-    inner = F.filter("_places", lambda p: (p > F.col("front")) & (p < F.col("back")))
-    edges = rows.withColumn("_edges", F.concat(F.array("front"), inner, F.array("back"))).drop("_places")
-    cut = edges.select("*", F.explode_outer(F.arrays_zip(F.slice("_edges", 1, F.size("_edges") - 1).alias("a"), F.slice("_edges", 2, F.size("_edges") - 1).alias("b"))).alias("_p"))
-    whole = F.size("_edges") == 2
-    alpha = F.when(whole, F.col("alpha")).otherwise(1 - F.pow(1 - F.col("alpha"), (F.col("_p.b") - F.col("_p.a")) / (F.col("back") - F.col("front"))))
-    cut = cut.withColumn("_a", alpha)
-    share = F.when(whole, F.lit(1.0)).when(F.col("alpha") > FAINT, F.col("_a") / F.col("alpha")).otherwise(F.lit(0.0))
-    made = {"front": F.col("_p.a"), "back": F.col("_p.b"), "alpha": F.col("_a")} | {c: F.col(c) * share for c in colours}
-    return cut.select(*[made.get(c, F.col(c)).alias(c) for c in df.columns])
-
-
-def tidied(df: DataFrame) -> DataFrame:
-    channels = [c for c in df.columns if c not in (*PIXEL, "s", "front", "back")]
-    return composited(pieces(df), [*PIXEL, "front", "back"], channels).select(*df.columns)
+def pieces(samples: Samples) -> tuple[Samples, np.ndarray]:
+    """The samples cut at all fronts and backs of their pixel, sorted by place, and where pieces of one interval begin."""
+    n, pixel = samples.size, samples.pixel
+    front, back = samples["front"], samples["back"]
+    both, of = np.concatenate((front, back)), np.concatenate((pixel, pixel))
+    order = np.lexsort((both, of))
+    first = starts_of(of[order], both[order])
+    edges = both[order][first]
+    rank = np.empty(2 * n, np.int64)
+    rank[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, 2 * n)))
+    lo, hi = rank[:n], np.maximum(rank[n:], rank[:n])
+    count = np.maximum(hi - lo, 1)
+    source = np.repeat(np.arange(n), count)
+    at = lo[source] + np.arange(len(source)) - np.repeat(np.cumsum(count) - count, count)
+    whole = (count == 1)[source]
+    a, b = np.where(whole, front[source], edges[at]), np.where(whole, back[source], edges[np.minimum(at + 1, len(edges) - 1)])
+    alpha = samples.alpha[source]
+    depth = np.where(whole, 1.0, back[source] - front[source])
+    cut = np.where(whole, alpha, 1 - np.power(1 - alpha, (b - a) / depth))
+    share = np.where(whole, 1.0, np.where(alpha > FAINT, cut / np.where(alpha > FAINT, alpha, 1.0), 0.0))
+    made = {"front": a, "back": b, "alpha": cut}
+    columns = {c: made[c] if c in made else v[source] if c in PLACE else v[source] * share for c, v in samples.columns.items()}
+    order = np.lexsort((samples["s"][source] if "s" in samples.columns else source, b, a, pixel[source]))
+    out = Samples({c: v[order] for c, v in columns.items()})
+    return out, starts_of(pixel[source][order], out["front"], out["back"])
+
+
+def tidied(samples: Samples) -> Samples:
+    return composite(*pieces(samples)) if samples.size else samples
 
 
 def tidy(image: DeepImage) -> DeepImage:
     """No two samples of a pixel overlap; equal intervals are one sample."""
-    return image.with_df(tidied(image.df))
+    return image.with_df(walked(image.df, tidied))
 
 
 def unpremultiplied_difference(tolerance: float):
-    """Over ``tolerance`` apart in unpremultiplied colour; faint samples differ from nothing."""
+    """Over ``tolerance`` apart in unpremultiplied colour; faint samples differ from nothing. None for a tolerance of 0 or less."""
 
-    def different(a: Column, e: Column) -> Column:
-        far = F.greatest(*[F.abs(F.when(a["alpha"] != 0, a[c] / a["alpha"]).otherwise(0.0) - F.when(e["alpha"] != 0, e[c] / e["alpha"]).otherwise(0.0)) for c in RGB])
-        return (a["alpha"] >= FAINT) & (e["alpha"] >= FAINT) & (far > tolerance)
+    def different(samples: Samples, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        alpha = samples.alpha
+        plain = (alpha[a] >= FAINT) & (alpha[b] >= FAINT)
+        one, two = np.where(plain, alpha[a], 1.0), np.where(plain, alpha[b], 1.0)
+        return plain & np.any([np.abs(c[a] / one - c[b] / two) > tolerance for c in samples.colours], axis=0) if samples.colours else np.zeros(len(a), bool)
 
-    return different
+    return different if tolerance > 0 else None
 
 
 def optimised(df: DataFrame, merge_tolerance: float = 0.001, color_tolerance: float = 0.01, max_samples: int = 100) -> DataFrame:
-    channels = [c for c in df.columns if c not in (*PIXEL, "s", "front", "back")]
-    return merged(tidied(df), merge_tolerance, unpremultiplied_difference(color_tolerance), channels, max_samples)
+    return walked(df, lambda x: merged(tidied(x), merge_tolerance, unpremultiplied_difference(color_tolerance), max_samples))
 
 
 def optimize_samples(image: DeepImage, merge_tolerance: float = 0.001, color_tolerance: float = 0.01, max_samples: int = 100) -> DeepImage:
-    """Tidy, merge what is near in depth and colour, and keep the frontmost ``max_samples`` (0: all)."""
+    """Tidy, merge what is near in depth and colour, and keep the frontmost ``max_samples`` (0: all).
+
+    A depth tolerance of 0 or less merges nothing; a colour tolerance of 0 or less lets any colours merge. Colours are the first
+    three channels that are there; without alpha, samples are opaque."""
     return image.with_df(optimised(image.df, merge_tolerance, color_tolerance, max_samples))

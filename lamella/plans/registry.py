@@ -122,6 +122,10 @@ _kept("volumetric_collapse", lambda i: T.volumetric_collapse(core(i), 0.6, 2), f
 _kept("flatten", lambda i: O.flatten(C.grade(core(i), **_GRADE)), f"WITH {S.deep(ordered=True)}, {S.UNPREMULT}, v AS (SELECT * REPLACE ({', '.join(f'({S.GRADE_SQL.replace("{v}", f"v_{c}")}) * alpha AS {c}' for c in RGB)}) FROM u), {S.composite('v', 'x, y')} " + S.out("c", "x, y", *_ROWS))
 _MERGE = f"{S.grouped('{0}', 0.5, S.PREMULT_DIFFERS + S.num(0.3))}, gk AS (SELECT * EXCLUDE (n) FROM g{{1}}), {S.composite('gk', 'x, y, g')} "
 _kept("smart_merge", lambda i: T.smart_merge(core(i), 0.5, 0.3), f"WITH RECURSIVE {S.deep(ordered=True)}, {_MERGE.format('deep', '')}" + S.out("c", "x, y", *_ROWS))
+# a depth tolerance of 0 merges nothing, a colour tolerance of 0 lets all colours merge
+_kept("smart_merge_zero_depth", lambda i: T.smart_merge(core(i), 0.0, 0.3), f"WITH {S.deep()} " + S.out("deep", "x, y", *_ROWS))
+_NEAR = f"{S.grouped('deep', 0.5, 'FALSE')}, gk AS (SELECT * EXCLUDE (n) FROM g), {S.composite('gk', 'x, y, g')} "
+_kept("smart_merge_zero_colour", lambda i: T.smart_merge(core(i), 0.5, 0.0), f"WITH RECURSIVE {S.deep(ordered=True)}, {_NEAR}" + S.out("c", "x, y", *_ROWS))
 _THIN = T.Thinning(depth_clip=True, z_near=3, z_far=48, alpha_threshold=0.05, occlusion_alpha=0.97, contribution_min=0.02, volumetric_collapse=True, volume_alpha_max=0.5, volume_group_size=2, tolerance=0.5, color_tolerance=0.3, max_samples=3)
 _THIN_SQL = f"WITH RECURSIVE {S.deep(ordered=True)}, {S.alive('deep', 0.97, 0.02, 0.05, (3, 48))}, al AS (SELECT * EXCLUDE (n) FROM alive), {S.collapsed('al', 0.5, 2, 'live')}, lv AS (SELECT x, y, s, front, back, alpha, red, green, blue FROM kept WHERE live), {_MERGE.format('lv', ' WHERE g < 3')}"
 _kept("deep_thinner", lambda i: T.thin(core(i), _THIN), _THIN_SQL + S.out("c", "x, y", *_ROWS))
@@ -131,13 +135,26 @@ _kept("deep_thinner_default", lambda i: T.thin(core(i)), _PLAIN + S.out("c", "x,
 
 def _stats(s: SparkSession, d: str) -> DataFrame:
     image = core(tables.deep(s, d))
-    return millionths(T.thinner_stats(image, T.thin(image, _THIN)).drop("report"), ["samples_in", "samples_out", "removed"], ["pct"])
+    return millionths(T.thin_stats(image, _THIN).drop("report"), ["samples_in", "samples_out", "removed"], ["pct"])
 
 
 register("thinner_stats", _stats, _THIN_SQL + ", n AS (SELECT (SELECT count(*) FROM deep) AS i, (SELECT count(*) FROM c) AS o) SELECT CAST(i AS BIGINT) AS samples_in, CAST(o AS BIGINT) AS samples_out, CAST(i - o AS BIGINT) AS removed, " + S.q("(i - o) * 1e2 / i", "pct") + " FROM n")
 _kept("tidy", lambda i: Y.tidy(core(i)), f"WITH {S.deep(ordered=True)}, {S.tidied('deep')} " + S.out("tidy", "x, y", *_ROWS))
 _kept("optimize_samples", lambda i: Y.optimize_samples(core(i), 0.5, 0.2, 4), f"WITH RECURSIVE {S.deep(ordered=True)}, {S.optimised('deep', 0.5, 0.2, 4)} " + S.out("o", "x, y", *_ROWS))
 
+_FIRST = f"r AS (SELECT *, row_number() OVER (PARTITION BY x, y {S.ORDER}) AS n FROM deep) "
+_kept("optimize_zero", lambda i: Y.optimize_samples(core(i), 0.0, 0.2, 4), f"WITH {S.deep(ordered=True)}, {S.tidied('deep')}, r AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY front, back, s) AS n FROM tidy) " + S.out("r WHERE n <= 4", "x, y", *_ROWS))
+
+
+# images without some channels: no alpha reads as opaque, colours are compared as far as they are there
+def _without(*names: str):
+    return lambda i: i.with_df(core(i).df.drop(*names))
+
+
+_PART = ("front", "back", "red", "green", "blue")
+register("flatten_no_alpha", lambda s, d: millionths(O.flatten(_without("alpha")(tables.deep(s, d))).df, ["x", "y"], list(_PART)), f"WITH {S.deep(ordered=True)}, {_FIRST}" + S.out("r WHERE n = 1", "x, y", *_PART))
+register("thin_no_alpha", lambda s, d: millionths(T.thin(_without("alpha")(tables.deep(s, d))).df, ["x", "y"], list(_PART)), f"WITH {S.deep(ordered=True)}, {_FIRST}" + S.out("r WHERE n = 1", "x, y", *_PART))
+
 
 # mattes
 def _matte(name: str, fn, matte: str, operation: str = "{p}", more: str = "") -> None:
@@ -221,6 +238,13 @@ def _blur_sql(width: float, height: float, quality: str, corrected: bool = False
 _kept("blur", lambda i: B.blur(core(i), 1, 1, _TOL[2], _TOL[0], _TOL[1]), _blur_sql(1, 1, "medium"))
 for _quality in ("low", "medium", "high"):
     _kept(f"blur2_{_quality}", lambda i, k=_quality: B.blur2(core(i), (2, 0), k, False, _TOL[2], _TOL[0], _TOL[1]), _blur_sql(2, 0, _quality))
+_kept("blur2_2d", lambda i: B.blur2(core(i), (1, 2), "high", False, _TOL[2], _TOL[0], _TOL[1]), _blur_sql(1, 2, "high"))
+_ONE = ("alpha", "green")
+register(
+    "blur_single_channel",
+    lambda s, d: millionths(B.blur(_without("red", "blue")(tables.deep(s, d)), 1, 0, _TOL[2], _TOL[0], _TOL[1]).df, ["x", "y"], ["front", "back", *_ONE]),
+    f"WITH RECURSIVE {S.deep(ordered=True)}, {S.scattered('deep', 1, 0, 'medium', _ONE)}, {S.optimised('sc', *_TOL, channels=_ONE)} " + S.out("o", "x, y", "front", "back", *_ONE),
+)
 _kept("blur2_alpha_correction", lambda i: B.blur2(core(i), (1, 0), "medium", True, _TOL[2], _TOL[0], _TOL[1]), _blur_sql(1, 0, "medium", True))
 
 

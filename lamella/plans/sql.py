@@ -96,12 +96,13 @@ def grouped(source: str, tolerance: float, differs: str, channels=CORE, name: st
 {name} AS (SELECT v.*, r.g FROM {name}_n v JOIN {name}_r r ON v.x = r.x AND v.y = r.y AND v.n = r.n)"""
 
 
+def unpremult_differs(channels) -> str:
+    """Unpremultiplied colours of the group's start and the sample, as far apart as ..."""
+    apart = ", ".join(f"abs(CASE WHEN r.a_alpha <> 0 THEN r.a_{c} / r.a_alpha ELSE 0e0 END - CASE WHEN v.alpha <> 0 THEN v.{c} / v.alpha ELSE 0e0 END)" for c in channels)
+    return f"r.a_alpha >= 1e-6 AND v.alpha >= 1e-6 AND greatest({apart}) > "
+
+
 PREMULT_DIFFERS = "greatest(abs(r.a_red - v.red), abs(r.a_green - v.green), abs(r.a_blue - v.blue)) > "
-UNPREMULT_DIFFERS = (
-    "r.a_alpha >= 1e-6 AND v.alpha >= 1e-6 AND greatest("
-    + ", ".join(f"abs(CASE WHEN r.a_alpha <> 0 THEN r.a_{c} / r.a_alpha ELSE 0e0 END - CASE WHEN v.alpha <> 0 THEN v.{c} / v.alpha ELSE 0e0 END)" for c in RGB)
-    + ") > "
-)
 
 
 def alive(source: str, occlusion: float | None, contribution: float | None, alpha: float | None, clip: tuple[float, float] | None, name: str = "alive") -> str:
@@ -146,7 +147,7 @@ def tidied(source: str, channels=CORE, name: str = "tidy") -> str:
 
 def optimised(source: str, merge: float, colour_tolerance: float, cap: int, channels=CORE, name: str = "o") -> str:
     """CTEs up to ``name``; WITH must be RECURSIVE."""
-    return f"""{tidied(source, channels, f"{name}_tidy")}, {grouped(f"{name}_tidy", merge, UNPREMULT_DIFFERS + num(colour_tolerance), channels, f"{name}_g")},
+    return f"""{tidied(source, channels, f"{name}_tidy")}, {grouped(f"{name}_tidy", merge, unpremult_differs([c for c in channels if c != "alpha"][:3]) + num(colour_tolerance), channels, f"{name}_g")},
 {name}_k AS (SELECT * EXCLUDE (n) FROM {name}_g {f"WHERE g < {cap}" if cap else ""}), {composite(f"{name}_k", "x, y, g", channels, name, True, f"{name}_t")}"""
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .image import DeepImage
 
-BBOX, FORMAT = (0, 0, 64, 2400), (64, 2400)
+WIDTH, FORMAT = 64, (64, 2400)
 #: Each column's expression over ``lineitem``; later ones may use x, y, front and alpha.
 BASE = {
     "x": "cast(l_orderkey % 64 as int)",
@@ -52,7 +52,13 @@ def deep(spark: SparkSession, sf_dir: str, where: str = "1 = 1", ordered: bool =
     made = [f"{e} as {c}" for c, e in BASE.items()]
     if ordered:
         made.insert(2, f"cast(row_number() over (partition by {BASE['x']}, {BASE['y']} order by {order}) - 1 as int) as s")
-    return DeepImage(lines.selectExpr(*made), BBOX, FORMAT)
+    return DeepImage(lines.selectExpr(*made), (0, 0, WIDTH, height(spark, sf_dir)), FORMAT)
+
+
+def height(spark: SparkSession, sf_dir: str) -> int:
+    """The rows of pixels that all orders take, from the greatest order key, which the files' statistics tell."""
+    top = spark.read.parquet(f"{sf_dir}/orders.parquet").agg({"o_orderkey": "max"}).head()[0]
+    return 0 if top is None else top // WIDTH + 1
 
 
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,92 @@ def test_constant(spark):
     assert {r.alpha for r in img.df.collect()} == {1e-6}
 
 
+def test_constant_floors_both_ends(spark):
+    img = constant(spark, (1, 1), samples=2, color_front=(0, 0, 0, -0.5), color_back=(0, 0, 0, 0.5), alpha_mode="uniform")
+    assert [r.alpha for r in img.df.orderBy("s").collect()] == pytest.approx([1e-6, 0.5 * 0.5 + 0.5 * 1e-6])
+
+
+def placed(front, back, rgba):
+    """A sample of pixel (0, 0); its place among equal depths follows from its number."""
+    placed.n = getattr(placed, "n", 0) + 1
+    return (0, 0, placed.n, float(front), float(back), *(None if v is None else float(v) for v in (rgba[3], *rgba[:3])))
+
+
+def test_nested_keymix_numbers_samples_once(image, spark):
+    mask = spark.createDataFrame([(0, 0, 0.5)], "x int, y int, value double")
+    a, b, c = (image([placed(z, z, (v, v, v, 0.5)), placed(z + 1, z + 1, (v, v, v, 0.5))]) for z, v in ((1, 0.1), (2, 0.2), (3, 0.3)))
+    out = masks.keymix(masks.keymix(a, b, mask), masks.keymix(b, c, mask), mask).df
+    assert out.count() == 8 and out.select("x", "y", "s").distinct().count() == 8
+    assert sorted(r.s for r in out.collect()) == list(range(8))
+
+
+def test_a_mask_with_a_repeated_pixel_multiplies_nothing(image, spark):
+    mask = spark.createDataFrame([(0, 0, 0.5), (0, 0, 0.25), (0, 0, None)], "x int, y int, value double")
+    img = image([placed(1, 1, (0.4, 0.4, 0.4, 0.5)), placed(2, 2, (0.4, 0.4, 0.4, 0.5))])
+    out = color.gain(img, 2.0, side_mask=mask).df.collect()
+    assert [r.red for r in out] == pytest.approx([0.6, 0.6])
+
+
+def test_tolerance_of_zero(image):
+    img = image([placed(1, 1, (0.1, 0.1, 0.1, 0.5)), placed(1, 1, (0.4, 0.1, 0.1, 0.5)), placed(1.005, 1.005, (0.4, 0.4, 0.4, 0.5))])
+    assert thin.smart_merge(img, tolerance=0).df.count() == 3
+    assert thin.smart_merge(img, color_tolerance=0).df.count() == 1
+    assert tidy.optimize_samples(img, merge_tolerance=0).df.count() == 2
+    assert tidy.optimize_samples(img, merge_tolerance=0.01, color_tolerance=0).df.count() == 1
+    assert thin.thin(img, thin.Thinning(tolerance=0, max_samples=2)).df.count() == 2
+
+
+def test_missing_channels(image):
+    """Without alpha samples are opaque; colours are compared as far as they are there."""
+    img = image([placed(1, 1, (0.1, 0.2, 0.3, 0.5)), placed(1.0, 2, (0.1, 0.6, 0.3, 0.5)), placed(4, 4, (0.1, 0.2, 0.3, 0.5))])
+    no_alpha = img.with_df(img.df.drop("alpha"))
+    assert ordered.flatten(no_alpha).df.head().green == 0.2
+    for fn in (thin.thin, thin.smart_merge, thin.contribution_cull, thin.volumetric_collapse, thin.occlusion, thin.alpha_cull, tidy.tidy, tidy.optimize_samples, blur.blur, depth_blur.depth_blur):
+        out = fn(no_alpha)
+        assert out.df.columns == no_alpha.df.columns and out.df.count() > 0, fn
+    flat = img.with_df(img.df.drop("red", "blue"))
+    assert thin.smart_merge(flat, 1.0, 0.1).df.count() == 3 and thin.smart_merge(flat.with_df(flat.df.drop("green")), 1.0, 0.1).df.count() == 2
+    assert tidy.optimize_samples(flat, 0.001, 0.1).df.columns == flat.df.columns
+    assert blur.blur(img.with_df(img.df.drop("red", "green", "blue"))).df.count() > 0
+
+
+def test_nulls_read_as_missing(image):
+    img = image([placed(1, 1, (0.1, None, 0.3, None)), placed(2, 2, (0.1, 0.6, 0.3, 0.5))])
+    (row,) = thin.thin(img).df.collect()
+    assert (row.red, row.green, row.alpha) == (0.1, 0.0, 1.0)
+
+
+@pytest.mark.parametrize("fn", ["thin", "optimize"])
+def test_a_pixel_of_many_samples(spark, fn):
+    """All samples of one pixel, which walks take in time and memory that follow their number."""
+    from time import perf_counter
+
+    n = 20_000
+    df = spark.range(n).selectExpr("0 as x", "0 as y", "cast(id as int) as s", "cast(id as double) as front", "id + 0.5D as back", "0.0005D as alpha", "0.0001D as red", "0D as green", "0D as blue")
+    img = DeepImage(df, (0, 0, 1, 1), (1, 1))
+    began = perf_counter()
+    out = thin.thin(img, thin.Thinning(contribution_cull=False, tolerance=3.0)) if fn == "thin" else tidy.optimize_samples(img, 3.0, 0.1, 0)
+    assert 2000 < out.df.count() <= n // 4 and perf_counter() - began < 10
+
+
+def test_walks_across_batches(spark, monkeypatch):
+    """Pixels that span batches, and batches that span pixels, come out as in one."""
+    from lamella.operators import walk
+    from lamella.sources import tables
+
+    from .conftest import SMALL
+
+    image = tables.deep(spark, SMALL)
+    core = image.with_df(image.df.select("x", "y", "s", "front", "back", "alpha", *RGB))
+    want = sorted(map(tuple, tidy.optimize_samples(core, 0.5, 0.2).df.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    monkeypatch.setattr(walk, "SAMPLES", 10)
+    try:
+        assert sorted(map(tuple, tidy.optimize_samples(core, 0.5, 0.2).df.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_routes(image):
     img = image([sample(0, 0.5, (0.1, 0.2, 0.3))])
     assert channels.shuffle(img) is img
