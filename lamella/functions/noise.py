@@ -19,11 +19,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _MASK = (1 << 64) - 1
-_BLOCK = 4096
+_BLOCK = 8192
 TYPES = ("simplex", "cellular", "cubic", "perlin", "value", "white")
 FRACTALS = ("fbm", "billow", "rigid", "blend")
 DISTANCES = ("natural", "euclidean", "manhattan")
-RETURNS = ("cell_value", "distance", "distance2", "distance2_add", "distance2_sub", "distance2_mul", "distance2_div")
+RETURNS = ("cell_value", "noise_lookup", "distance", "distance2", "distance2_add", "distance2_sub", "distance2_mul", "distance2_div")
 
 
 def mersenne64(seed: int, count: int) -> list[int]:
@@ -77,16 +77,19 @@ def gradients(dims: int = 4) -> np.ndarray:
 
 
 @cache
-def _gradient_columns(dims: int) -> tuple[np.ndarray, ...]:
-    return tuple(np.ascontiguousarray(c) for c in gradients(dims).T)
+def _gradient_columns(dims: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Each coordinate of the gradient that a sum of cell and index leads to: the last lookup in the permutation, taken beforehand."""
+    made = gradients(dims)
+    return tuple(np.ascontiguousarray(c) for c in made[permutation(seed) % len(made)].T)
 
 
-def _dot(index: np.ndarray, off) -> np.ndarray:
-    columns = _gradient_columns(len(off))
-    index = index % len(columns[0])
-    total = columns[0][index] * off[0]
+def _dot(columns: tuple[np.ndarray, ...], at: np.ndarray, off) -> np.ndarray:
+    total = columns[0].take(at, mode="clip")
+    total *= off[0]
     for c, o in zip(columns[1:], off[1:], strict=True):
-        total += c[index] * o
+        part = c.take(at, mode="clip")
+        part *= o
+        total += part
     return total
 
 
@@ -110,7 +113,9 @@ def _fade(t: np.ndarray, interpolation: str) -> np.ndarray:
 
 def _floor(p: np.ndarray) -> np.ndarray:
     """Towards minus infinity, but one lower at negative whole numbers."""
-    return np.where(p >= 0, np.trunc(p), np.trunc(p) - 1).astype(np.int64)
+    out = p.astype(np.int64)
+    out -= p < 0
+    return out
 
 
 def lattice_hash(seed: int, cell: np.ndarray) -> np.ndarray:
@@ -139,6 +144,8 @@ class Noise:
     jitter: float = 0.45
     seed: int = 1337
     interpolation: str = "quintic"
+    #: The noise whose value at the nearest feature a cellular noise returns as ``noise_lookup``.
+    lookup: Noise | None = None
     #: Octaves for the families that are single-octave in a matte (value, cubic).
     layered: bool = False
     values: np.ndarray | None = field(default=None, compare=False)
@@ -148,6 +155,8 @@ class Noise:
         for name, allowed in (("type", TYPES), ("fractal", FRACTALS), ("distance", DISTANCES), ("returns", RETURNS)):
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} {getattr(self, name)}")
+        if self.returns == "noise_lookup" and self.lookup is None:
+            raise ValueError("noise_lookup needs a lookup")
 
     def column(self, *coordinates: Column) -> Column:
         noise = self
@@ -203,52 +212,64 @@ class Noise:
         """Points moved by smooth random vectors: by one octave, or by several, each moving what the one before has moved."""
         p = np.array(p, float)
         dims, perm = len(p), permutation(self.seed)
-        columns = [np.ascontiguousarray(c) for c in (default_vectors(dims) if self.vectors is None else self.vectors).T]
+        columns = [np.ascontiguousarray(c) for c in (default_vectors(dims) if self.vectors is None else self.vectors)[perm].T]
         amp = amplitude if octaves == 1 else amplitude / sum(self.gain**i for i in range(octaves))
         frequency = self.frequency
         for i in range(octaves):
             q = p * frequency
             cell = _floor(q)
-            index = self._tree(0 if octaves == 1 else int(perm[i]), cell, (0, 1))
-            p = p + amp * np.stack([self._corners(q, cell, {k: c[at] for k, at in index.items()}) for c in columns])
+            sums = self._tree(0 if octaves == 1 else int(perm[i]), cell, (0, 1))
+            p = p + amp * np.stack([self._corners(q, cell, {k: c.take(at, mode="clip") for k, at in sums.items()}) for c in columns])
             frequency, amp = frequency * self.lacunarity, amp * self.gain
         return p
 
-    def _index(self, offset: int, cell: np.ndarray) -> np.ndarray:
+    def _sum(self, offset: int, cell: np.ndarray) -> np.ndarray:
+        """What the permutation's entry is the index of a cell: the sum that its first coordinate ends with."""
         perm = permutation(self.seed)
         at = np.full(cell.shape[1:], offset, np.int64)
-        for c in cell[::-1]:
-            at = perm[(c & 255) + at]
+        for axis in reversed(range(len(cell))):
+            at = (cell[axis] & 255) + (at if axis == len(cell) - 1 else perm.take(at, mode="clip"))
         return at
 
     def _tree(self, offset: int, cell: np.ndarray, steps: tuple[int, ...]) -> dict[tuple, np.ndarray]:
-        """The index of every cell around ``cell``, by its steps (x, y, z, w). What neighbours share is looked up once."""
+        """The sums of every cell around ``cell``, by its steps (x, y, z, w). What neighbours share is looked up once."""
         perm = permutation(self.seed)
         level: dict[tuple, np.ndarray | int] = {(): offset}
         for axis in reversed(range(len(cell))):
             places = [(k, (cell[axis] + k) & 255) for k in steps]
-            level = {(k, *done): perm[c + at] for done, at in level.items() for k, c in places}
+            level = {(k, *done): c + at for done, at in level.items() for k, c in places}
+            if axis:
+                level = {k: perm.take(at, mode="clip") for k, at in level.items()}
         return level
 
     def _corners(self, p: np.ndarray, cell: np.ndarray, corners: dict[tuple, np.ndarray]) -> np.ndarray:
+        """Interpolated between ``corners``, which are used up."""
         fade = _fade(p - cell, self.interpolation)
         for axis in range(len(p)):
-            corners = {k[1:]: corners[(0, *k[1:])] + fade[axis] * (corners[(1, *k[1:])] - corners[(0, *k[1:])]) for k in corners if k[0] == 0}
+            made = {}
+            for k in corners:
+                if k[0] == 0:
+                    a, b = corners[k], corners[(1, *k[1:])]
+                    b -= a
+                    b *= fade[axis]
+                    b += a
+                    made[k[1:]] = b
+            corners = made
         return corners[()]
 
+    def _values(self) -> np.ndarray:
+        """The lattice value that a sum of cell and index leads to."""
+        return (default_values() if self.values is None else self.values)[permutation(self.seed)]
+
     def _value(self, offset: int, p: np.ndarray) -> np.ndarray:
-        table = default_values() if self.values is None else self.values
-        cell = _floor(p)
-        return self._corners(p, cell, {k: table[i] for k, i in self._tree(offset, cell, (0, 1)).items()})
+        table, cell = self._values(), _floor(p)
+        return self._corners(p, cell, {k: table.take(at, mode="clip") for k, at in self._tree(offset, cell, (0, 1)).items()})
 
     def _perlin(self, offset: int, p: np.ndarray) -> np.ndarray:
         cell = _floor(p)
         off = p - cell
-        sides = [(o, o - 1) for o in off]
-        return self._corners(p, cell, {k: _dot(i, [sides[a][k[a]] for a in range(len(p))]) for k, i in self._tree(offset, cell, (0, 1)).items()})
-
-    def _gradient(self, offset: int, cell: np.ndarray, off: np.ndarray) -> np.ndarray:
-        return _dot(self._index(offset, cell), off)
+        sides, columns = [(o, o - 1) for o in off], _gradient_columns(len(p), self.seed)
+        return self._corners(p, cell, {k: _dot(columns, at, [sides[a][k[a]] for a in range(len(p))]) for k, at in self._tree(offset, cell, (0, 1)).items()})
 
     def _simplex(self, offset: int, p: np.ndarray) -> np.ndarray:
         dims = len(p)
@@ -262,28 +283,40 @@ class Noise:
             greater = origin[i] >= origin[j] if dims == 3 else origin[i] > origin[j]
             rank[i] += greater
             rank[j] += ~greater
-        total = np.zeros(p.shape[1:])
+        total, columns = np.zeros(p.shape[1:]), _gradient_columns(dims, self.seed)
         for corner in range(dims + 1):
             step = (rank >= dims - corner).astype(np.int64)
             off = origin - step + corner * unskew
-            fall = np.maximum(reach - (off * off).sum(0), 0)
+            fall = reach - np.einsum("i...,i...->...", off, off)
+            np.maximum(fall, 0, out=fall)
             fall *= fall
-            total += fall * fall * self._gradient(offset, cell + step, off)
+            fall *= fall
+            fall *= _dot(columns, self._sum(offset, cell + step), off)
+            total += fall
         return total * scale
 
     def _cubic(self, offset: int, p: np.ndarray) -> np.ndarray:
-        table = default_values() if self.values is None else self.values
-        cell = _floor(p)
+        table, cell = self._values(), _floor(p)
         t = p - cell
-        grid = {k: table[i] for k, i in self._tree(offset, cell, (-1, 0, 1, 2)).items()}
-        for axis in range(len(p)):
-            made = {}
-            for k in {k[1:] for k in grid}:
-                a, b, c, d = (grid[(i, *k)] for i in (-1, 0, 1, 2))
-                q, x = (d - c) - (a - b), t[axis]
-                made[k] = ((q * x + (a - b - q)) * x + (c - a)) * x + b
-            grid = made
-        return grid[()] / 1.5 ** len(p)
+        # the cubic through four values in a row, as their weights
+        two, three = t * t, t * t * t
+        weights = (2 * two - three - t, three - 2 * two + 1, two - three + t, three - two)
+        perm, places = permutation(self.seed), [[(c + k) & 255 for k in (-1, 0, 1, 2)] for c in cell]
+
+        def along(axis: int, index: np.ndarray | int) -> np.ndarray:
+            """The cubic along an axis through what the axes before it give, one lattice line at a time."""
+            total = None
+            for place, weight in zip(places[axis], weights, strict=True):
+                at = place + index
+                part = along(axis - 1, perm.take(at, mode="clip")) if axis else table.take(at, mode="clip")
+                part *= weight[axis]
+                if total is None:
+                    total = part
+                else:
+                    total += part
+            return total
+
+        return along(len(p) - 1, offset) / 1.5 ** len(p)
 
     def _cellular(self, p: np.ndarray) -> np.ndarray:
         dims = len(p)
@@ -291,26 +324,38 @@ class Noise:
         centre = np.where(p >= 0, np.trunc(p + 0.5), np.trunc(p - 0.5)).astype(np.int64)
         shape = p.shape[1:]
         i0, i1 = sorted(min(max(i, 0), 3) for i in (self.index0, self.index1))
-        nearest = np.full((i1 + 1, *shape), 999999.0)
+        which = self.returns in ("cell_value", "noise_lookup")
+        depth = 0 if which or self.returns == "distance" else i1
+        nearest = np.full((depth + 1, *shape), 999999.0)
         best = np.zeros(shape, np.int64)
-        columns = [np.ascontiguousarray(c) * self.jitter for c in table.T]
-        index, near = self._tree(0, centre, (-1, 0, 1)), centre - p
+        columns = [np.ascontiguousarray(c) * self.jitter for c in table[permutation(self.seed)].T]
+        sums, near = self._tree(0, centre, (-1, 0, 1)), centre - p
+        moved = [{k: near[axis] + k for k in (-1, 0, 1)} for axis in range(dims)]
         # in four dimensions the last axis is outermost, else the first: of equally near features the first found counts
         cells = [c[::-1] if dims == 4 else c for c in itertools.product((-1, 0, 1), repeat=dims)]
+        off, part = np.empty(shape), np.empty(shape)
         for n, steps in enumerate(cells):
-            at = index[steps]
-            off = [near[a] + k + columns[a][at] for a, k in enumerate(steps)]
-            d = np.zeros(shape)
-            for o in off:
+            at, d = sums[steps], np.zeros(shape)
+            for axis, k in enumerate(steps):
+                columns[axis].take(at, out=off, mode="clip")
+                np.add(off, moved[axis][k], out=off)
                 if self.distance != "manhattan":
-                    d += o * o
+                    np.multiply(off, off, out=part)
+                    d += part
                 if self.distance != "euclidean":
-                    d += np.abs(o)
-            best[d < nearest[0]] = n
-            for i in range(i1, 0, -1):
-                nearest[i] = np.maximum(np.minimum(nearest[i], d), nearest[i - 1])
-            nearest[0] = np.minimum(nearest[0], d)
-        winner = centre + np.moveaxis(np.array(cells)[best], -1, 0)
-        a, b = nearest[i0], nearest[i1]
-        made = {"cell_value": lambda: lattice_hash(self.seed, winner), "distance": lambda: nearest[0], "distance2": lambda: b, "distance2_add": lambda: b + a, "distance2_sub": lambda: b - a, "distance2_mul": lambda: b * a, "distance2_div": lambda: a / b}
+                    np.abs(off, out=off)
+                    d += off
+            if which:
+                np.putmask(best, d < nearest[0], n)
+            for i in range(depth, 0, -1):
+                np.minimum(nearest[i], d, out=part)
+                np.maximum(part, nearest[i - 1], out=nearest[i])
+            np.minimum(nearest[0], d, out=nearest[0])
+        if which:
+            winner = centre + np.moveaxis(np.array(cells)[best], -1, 0)
+            if self.returns == "cell_value":
+                return lattice_hash(self.seed, winner)
+            return self.lookup.at(winner + np.stack([c[self._sum(0, winner)] for c in columns]))
+        a, b = nearest[min(i0, depth)], nearest[depth]
+        made = {"distance": lambda: nearest[0], "distance2": lambda: b, "distance2_add": lambda: b + a, "distance2_sub": lambda: b - a, "distance2_mul": lambda: b * a, "distance2_div": lambda: a / b}
         return made[self.returns]()

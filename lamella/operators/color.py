@@ -155,24 +155,44 @@ def color_matrix(image: DeepImage, matrix: Sequence[Triple], invert: bool = Fals
 Curve = Sequence[tuple[float, float]]
 
 
-def curve(v: Column, points: Curve) -> Column:
-    """A curve of straight segments through its points (source, target); the end segments go on. No points: identity."""
+def tangents(points: Curve) -> list[float]:
+    """Slopes of a smooth curve at its points: that from the point before to the point after, at the ends that of the end segment."""
+    n = len(points)
+    return [(points[min(i + 1, n - 1)][1] - points[max(i - 1, 0)][1]) / (points[min(i + 1, n - 1)][0] - points[max(i - 1, 0)][0]) for i in range(n)]
+
+
+def curve(v: Column, points: Curve, smooth: bool = False) -> Column:
+    """A curve through points (source, target): straight segments, or cubic ones whose slopes agree where they meet (``smooth``).
+
+    Beyond the ends it goes on straight. No points: identity."""
     points = sorted((float(a), float(b)) for a, b in points)
     if not points:
         return v
     if len(points) == 1:
         return v + (points[0][1] - points[0][0])
+    slopes = tangents(points)
     out = None
-    for (x0, y0), (x1, y1) in list(zip(points, points[1:], strict=False))[::-1]:
-        line = (v - x0) * ((y1 - y0) / (x1 - x0)) + y0
-        out = line if out is None else F.when(v < x1, line).otherwise(out)
+    for i in reversed(range(len(points) - 1)):
+        (x0, y0), (x1, y1) = points[i], points[i + 1]
+        width = x1 - x0
+        if smooth:
+            t = (v - x0) / width
+            rise, bend = slopes[i] * width, slopes[i + 1] * width
+            piece = ((t * (2 * (y0 - y1) + rise + bend) + (3 * (y1 - y0) - 2 * rise - bend)) * t + rise) * t + y0
+            if i == len(points) - 2:
+                piece = F.when(v > x1, (v - x1) * slopes[-1] + y1).otherwise(piece)
+            if i == 0:
+                piece = F.when(v < x0, (v - x0) * slopes[0] + y0).otherwise(piece)
+        else:
+            piece = (v - x0) * ((y1 - y0) / width) + y0
+        out = piece if out is None else F.when(v < x1, piece).otherwise(out)
     return out
 
 
-def color_lookup(image: DeepImage, master: Curve = (), red: Curve = (), green: Curve = (), blue: Curve = (), **rule) -> DeepImage:
+def color_lookup(image: DeepImage, master: Curve = (), red: Curve = (), green: Curve = (), blue: Curve = (), smooth: bool = False, **rule) -> DeepImage:
     """Each channel's own curve of the master curve's value."""
     own = (red, green, blue)
-    return masked(image, lambda c, v, a: curve(curve(v, master), own[index_in_layer(c)] if index_in_layer(c) < 3 else ()), **rule)
+    return masked(image, lambda c, v, a: curve(curve(v, master, smooth), own[index_in_layer(c)] if index_in_layer(c) < 3 else (), smooth), **rule)
 
 
 def set_rgb(source: Triple, target: Triple) -> dict[str, Curve]:

@@ -106,6 +106,11 @@ def composite(samples: Samples, starts: np.ndarray) -> Samples:
     t = let_through(samples.alpha, starts)
     seen = t > 0
     made = {n: samples[n][starts] for n in PIXEL}
+    weighted = {n: samples[n] * t for n in samples.channels}
+    sums = {n: np.zeros(len(starts)) for n in weighted}
+    for run, at in ranks(starts, samples.size):  # front to back, so that a sum is the same whatever lies beside it
+        for n, v in weighted.items():
+            sums[n][run] += v[at]
     for n in samples.columns:
         if n == "s":
             made[n] = np.minimum.reduceat(samples[n], starts)
@@ -113,9 +118,7 @@ def composite(samples: Samples, starts: np.ndarray) -> Samples:
             made[n] = np.minimum.reduceat(np.where(seen, samples[n], np.inf), starts)
         elif n == "back":
             made[n] = np.maximum.reduceat(np.where(seen, samples[n], -np.inf), starts)
-        elif n not in PIXEL:
-            made[n] = np.add.reduceat(samples[n] * t, starts)
-    return Samples({n: made[n] for n in samples.columns})
+    return Samples({n: made[n] if n in made else sums[n] for n in samples.columns})
 
 
 def group_starts(samples: Samples, tolerance: float, different: Callable[[Samples, np.ndarray, np.ndarray], np.ndarray] | None) -> np.ndarray:

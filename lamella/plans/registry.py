@@ -26,6 +26,7 @@ from ..sources import tables
 from ..sources.constant import constant
 from ..sources.image import RGB, DeepImage
 from . import sql as S
+from .noise_sql import noise_matte
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,6 +75,13 @@ _colour(
     lambda i: C.color_lookup(i, master=((0, 0), (0.5, 0.7), (1, 1)), red=((0, 0.1), (1, 0.9))),
     S.colour(*["CASE WHEN {v} < 5e-1 THEN {v} * 14e-1 ELSE ({v} - 5e-1) * 6e-1 + 7e-1 END" if k else "CASE WHEN {v} < 5e-1 THEN {v} * 14e-1 ELSE ({v} - 5e-1) * 6e-1 + 7e-1 END * 8e-1 + 1e-1" for k in range(3)]),
 )
+# through (0, 0), (1/2, 71391/100000), (1, 1): slopes 142782/100000, 1 and 57218/100000 at the points; each piece by Hermite's four polynomials
+_PIECE = "({y0} * (2e0 * {t} * {t} * {t} - 3e0 * {t} * {t} + 1e0) + 5e-1 * {m0} * ({t} * {t} * {t} - 2e0 * {t} * {t} + {t}) + {y1} * (3e0 * {t} * {t} - 2e0 * {t} * {t} * {t}) + 5e-1 * {m1} * ({t} * {t} * {t} - {t} * {t}))"
+_colour(
+    "color_lookup_smooth",
+    lambda i: C.color_lookup(C.add(i, (0.2,) * 3), master=((0, 0), (0.5, 0.71391), (1, 1)), smooth=True),
+    S.colour(f"CASE WHEN ({{v}} + 2e-1) > 1e0 THEN 1e0 + (({{v}} + 2e-1) - 1e0) * 57218e-5 WHEN ({{v}} + 2e-1) < 5e-1 THEN {_PIECE.format(t='(({v} + 2e-1) * 2e0)', y0='0e0', y1='71391e-5', m0='142782e-5', m1='1e0')} ELSE {_PIECE.format(t='(({v} + 2e-1) * 2e0 - 1e0)', y0='71391e-5', y1='1e0', m0='1e0', m1='57218e-5')} END"),
+)
 _colour("grade_mix", lambda i: C.grade(i, mix=0.25, **_GRADE), S.colour(S.GRADE_SQL, weight="25e-2"))
 _colour("grade_deep_mask", lambda i: C.grade(i, deep_mask="blue", invert_deep_mask=True, **_GRADE), S.colour(S.GRADE_SQL, weight="1e0 - v_blue"))
 
@@ -177,7 +185,12 @@ _matte("position_matte_sphere", lambda i: M.position_matte(i, _POS, _SELECT, fal
 _matte("position_matte_cube", lambda i: M.position_matte(i, _POS, _SELECT, "cube", falloff=0.8), _SMOOTH.replace("{d}", _CUBE), more=_UP)
 _matte("position_matte_linear", lambda i: M.position_matte(i, _POS, _SELECT, falloff_type="linear", falloff=0.8), _SPHERE, more=_UP)
 for _type in ("simplex", "perlin", "value", "cubic", "cellular"):
-    register(f"noise_{_type}", lambda s, d, t=_type: millionths(M.noise_matte(tables.deep(s, d, ordered=False), _POS, Noise(t, frequency=4.0), noise_evolution=0.3).df, ["x", "y"], ["front", "alpha", *RGB]))
+    _noise = Noise(_type, frequency=4.0)
+    register(
+        f"noise_{_type}",
+        lambda s, d, n=_noise: millionths(M.noise_matte(tables.deep(s, d, ordered=False), _POS, n, noise_evolution=0.3).df, ["x", "y"], ["front", "alpha", *RGB]),
+        noise_matte(_noise, 0.3),
+    )
 
 _CAMERA = M.Camera([[1, 0, 0, 5], [0, 0, -1, 2], [0, 1, 0, 3], [0, 0, 0, 1]], 24.0, 18.0, 51.713, 90.0, (2.0, 0.5), (0.25, -0.5))
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from lamella.functions.kernels import depth_weights, half_kernel
-from lamella.functions.noise import Noise, gradients, permutation
+from lamella.functions.noise import Noise, default_vectors, gradients, permutation
 from lamella.operators import blur, channels, color, depth_blur, geometry, masks, matte, ordered, thin, tidy
 from lamella.sources.constant import alpha_scaled, constant
 from lamella.sources.image import RGB, DeepImage, read
@@ -70,6 +70,16 @@ def test_lookup_curves(image):
     assert one(color.color_lookup, (0.3, 1.5, -1), make=image) == pytest.approx((0.3, 1.5, -1))
 
 
+def test_smooth_curves(image):
+    through = ((0, 0), (0.25, 0.4), (1, 1))
+    for x, y in through:
+        assert one(color.color_lookup, (x, x, x), make=image, master=through, smooth=True) == pytest.approx((y, y, y))
+    near = lambda x: one(color.color_lookup, (x, x, x), make=image, master=through, smooth=True)[0]
+    for x in (0.0, 0.25, 1.0):  # the slopes agree on both sides
+        assert (near(x + 1e-5) - near(x)) / 1e-5 == pytest.approx((near(x) - near(x - 1e-5)) / 1e-5, rel=1e-2)
+    assert near(2.0) == pytest.approx(1.8) and near(-1.0) == pytest.approx(-1.6)
+
+
 def test_constant(spark):
     assert alpha_scaled(0.5, 0.5, 4, "multiplicative") == pytest.approx(0.159104, abs=1e-6)
     img = constant(spark, (3, 2), samples=2, color_front=(0, 0, 0, 0), color_back=(0, 0, 0, 0))
@@ -163,6 +173,31 @@ def test_walks_across_batches(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_noise_lookup():
+    """A cellular noise that returns another noise's value at the nearest feature."""
+    other = Noise("value", frequency=0.7)
+    rng = np.random.default_rng(1)
+    for dims in (2, 3, 4):
+        p = rng.uniform(-9, 9, (dims, 200))
+        got = Noise("cellular", frequency=1.0, returns="noise_lookup", lookup=other, distance="euclidean").at(p)
+        near = Noise("cellular", frequency=1.0, returns="distance", distance="euclidean").at(p)
+        vectors = default_vectors(dims) * 0.45
+        perm = permutation(1337)
+        for i in range(200):
+            found = []
+            for step in np.ndindex(*(5,) * dims):
+                cell = np.trunc(p[:, i]).astype(int) + np.array(step) - 2
+                index = 0
+                for c in cell[::-1]:
+                    index = perm[(c & 255) + index]
+                found.append(cell + vectors[index])
+            at = min(found, key=lambda f: ((f - p[:, i]) ** 2).sum())
+            if abs(((at - p[:, i]) ** 2).sum() - near[i]) < 1e-9:
+                assert got[i] == pytest.approx(other.at(at[:, None])[0])
+    with pytest.raises(ValueError):
+        Noise("cellular", returns="noise_lookup")
+
+
 def test_routes(image):
     img = image([sample(0, 0.5, (0.1, 0.2, 0.3))])
     assert channels.shuffle(img) is img
@@ -342,7 +377,7 @@ def test_lattice_noise_at_lattice_points():
     assert Noise("perlin", frequency=1, octaves=1).at(p) == pytest.approx([0, 0])
     table = np.arange(256) / 256
     n = Noise("value", frequency=1, values=table)
-    assert n.at(p) == pytest.approx(table[n._index(0, p.astype(int))])
+    assert n.at(p) == pytest.approx(table[permutation(n.seed)[n._sum(0, p.astype(int))]])
 
 
 @pytest.mark.parametrize("returns", ["cell_value", "distance2", "distance2_add", "distance2_sub", "distance2_mul", "distance2_div"])
