@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Odd multiplier of the rolling hashes; powers of it have an inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
+#: Odd multipliers of the rolling hashes; powers of them have an inverse modulo 2**64.
+BASE, BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -224,17 +224,17 @@ def word_hashes(texts: Iterable[bytes | None], lower: bool = False) -> tuple[np.
     return known[coded.indices.to_numpy(zero_copy_only=False)], np.asarray(starts, np.int64)
 
 
-def rolling(words: np.ndarray, k: int) -> np.ndarray:
+def rolling(words: np.ndarray, k: int, base: int = BASE) -> np.ndarray:
     """Rabin-Karp hash of the ``k`` words from each position on, modulo 2**64, mixed; ``len(words) - k + 1`` of them."""
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        power = np.full(len(words), BASE, np.uint64)
+        power = np.full(len(words), base, np.uint64)
         power[0] = 1
         np.multiply.accumulate(power, out=power)
         prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * power, dtype=np.uint64)))
-        inverse = np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
+        inverse = np.full(n, pow(base, -1, 1 << 64), np.uint64)
         inverse[0] = 1
         np.multiply.accumulate(inverse, out=inverse)
         return mix((prefix[k:] - prefix[:n]) * inverse)
@@ -331,5 +331,5 @@ def guarded(docs: DataFrame, needs: list[str], run: Callable[[DataFrame], DataFr
 
 
 def text_key(text: str, id_col: str) -> list:
-    """Columns that tell rows apart: the id (null: the largest) and a checksum of the text, for ids that aren't unique."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_lamella_id"), F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("_lamella_tie")]
+    """Columns that tell rows apart: the id (null: the largest) and a 64-bit hash of the text, for ids that aren't unique."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_lamella_id"), F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.xxhash64(F.col(text).cast("binary"))).cast("long").alias("_lamella_tie")]

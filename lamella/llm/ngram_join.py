@@ -442,7 +442,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 3
 
     ``share`` is the least Jaccard similarity as a fraction. A null text, or one without words, has no shingles and is its own
     component; repeated rows share theirs. A null id never names a component that has another; a component of null ids
-    alone is null. Collisions of 64-bit hashes are the only source of error."""
+    alone is null. Ids are whole numbers, or strings of digits. An empty table gives no rows; columns other than the two are
+    not read, so their names don't matter. Collisions of 64-bit hashes are the only source of error."""
     known = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return grouped(docs, id_col, text, k, share).select(known("id").alias(id_col), F.col("n").alias("n_shingles"), known("first.id").alias("component_id"))
 

@@ -6,14 +6,16 @@
    hashes; of equal ones the first (smallest document, then position) stays, the others are removable.
 3. The removable windows go back to their documents, where they merge into maximal intervals that are cut from the text.
 
-Hashes have 64 bits: two different windows among n agree with a probability of about n * n / 2 ** 65.
+Beyond ``COARSE`` ranges a slice's rows would hold a window or two. Then windows are dealt by coarse ranges first, and what
+meets there is packed anew by range.
+
+A window's hash has 80 bits, two of different multipliers: of n different windows about n * n / 2 ** 81 pairs agree.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, arrow_schema, group_arrow, map_arrow, materialise, mix, partitions_for, rolling, runs, sized, slices, struct, text_key, to_bytes, window_starts, with_columns, word_hashes
+from .common import BASE2, NULL_ID, arrow_schema, group_arrow, map_arrow, materialise, mix, partitions_for, released, rolling, runs, sized, slices, struct, text_key, to_bytes, vacate, window_starts, with_columns, word_hashes
 
 #: Input bytes for each hash range; what one task sorts at a time is a small multiple of this.
 RANGE_BYTES = 4 << 20
+#: The most ranges that a slice is dealt to, and the windows that are packed anew at a time where there are more.
+COARSE, HELD = 8192, 2_000_000
 
-_DEALT = struct("part int, hash binary, ids binary, ties binary, counts binary, steps binary")
+_DEALT = struct("part int, hash binary, more binary, ids binary, ties binary, counts binary, steps binary")
 _FOUND = struct("part int, ids binary, ties binary, counts binary, begins binary, ends binary")
 _CUTS = struct("_lamella_id long, _lamella_tie long, _lamella_cuts array<int>")
 _CUT_FIELDS = struct("n_words long, n_removed long, intervals array<int>, kept_text string, kept_sha256 string")
@@ -41,10 +45,44 @@ def _from_planes(raw: bytes, width: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
-def _deal(batch: pa.RecordBatch, window: int, parts: int) -> Iterator[pa.RecordBatch]:
-    ids = np.asarray(batch.column(0).fill_null(NULL_ID), np.int64)
-    texts = to_bytes(batch.column(1))
-    ties = np.fromiter((zlib.crc32(t or b"") for t in texts), np.int64, len(texts))
+def _packed(part: np.ndarray, hashes: np.ndarray, more: np.ndarray, at: np.ndarray, ids: np.ndarray, ties: np.ndarray, ordered: bool = False) -> Iterator[tuple]:
+    """Windows as one row for each part, by document; ``ordered``: they come by id, tie and place."""
+    order = np.argsort(part, kind="stable") if ordered else np.lexsort((at, ties, ids, part))
+    part, hashes, more, at, ids, ties = (x[order] for x in (part, hashes, more, at, ids, ties))
+    for lo, hi in _groups(part):
+        first = np.concatenate(([0], np.flatnonzero((np.diff(ids[lo:hi]) != 0) | (np.diff(ties[lo:hi]) != 0)) + 1))
+        steps = np.diff(at[lo:hi], prepend=0)
+        steps[first] = at[lo:hi][first]
+        yield int(part[lo]), hashes[lo:hi].tobytes(), more[lo:hi].tobytes(), _planes(np.diff(ids[lo:hi][first], prepend=0), 8), ties[lo:hi][first].tobytes(), _planes(np.diff(np.append(first, hi - lo)), 4), _planes(steps, 4)
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
+    """hash, more, place, id and tie of each window of a packed row."""
+    counts, steps = _from_planes(row["counts"], 4).astype(np.int64), _from_planes(row["steps"], 4).astype(np.int64)
+    total, first = np.cumsum(steps), np.cumsum(counts) - counts
+    places = (total - np.repeat(total[first] - steps[first], counts)).astype(np.int32)
+    ids = np.cumsum(_from_planes(row["ids"], 8).view(np.int64))
+    return np.frombuffer(row["hash"], np.uint64), np.frombuffer(row["more"], np.uint16), places, np.repeat(ids, counts), np.repeat(np.frombuffer(row["ties"], np.int64), counts)
+
+
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == 1000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def _deal(batch: pa.RecordBatch, window: int, parts: int, fine: int) -> Iterator[pa.RecordBatch]:
+    """The windows of a slice (id, text, tie), by ``parts`` hash ranges; what is found here already goes to one of ``fine`` parts."""
+    ids, texts, ties = np.asarray(batch.column(0).fill_null(NULL_ID), np.int64), to_bytes(batch.column(1)), np.asarray(batch.column(2), np.int64)
     order = np.lexsort((ties, ids))
     new = np.ones(len(order), bool)
     new[1:] = (np.diff(ids[order]) != 0) | (np.diff(ties[order]) != 0)
@@ -54,32 +92,49 @@ def _deal(batch: pa.RecordBatch, window: int, parts: int) -> Iterator[pa.RecordB
     at, owner = window_starts(starts, window)
     if not len(at):
         return
-    hashes = rolling(words, window)[at]
+    hashes, more = rolling(words, window)[at], (rolling(words, window, BASE2)[at] >> np.uint64(48)).astype(np.uint16)
     by_hash = np.argsort(hashes, kind="stable")
     later = np.zeros(len(at), bool)
-    later[by_hash[1:]] = hashes[by_hash[1:]] == hashes[by_hash[:-1]]
+    later[by_hash[1:]] = (hashes[by_hash[1:]] == hashes[by_hash[:-1]]) & (more[by_hash[1:]] == more[by_hash[:-1]])
     flags = np.zeros(len(words), bool)
     flags[at[later]] = True
     begin, end = runs(flags)
     local = owner[np.searchsorted(at, begin)]
     keep = ~later
-    hashes, at, owner = hashes[keep], at[keep], owner[keep]
-    part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-    dealt = np.argsort(part, kind="stable")
-    hashes, at, owner, part = hashes[dealt], (at - starts[owner])[dealt], owner[dealt], part[dealt]
-    rows: list[tuple] = []
-    for lo, hi in _groups(part):
-        first = np.concatenate(([0], np.flatnonzero(np.diff(owner[lo:hi])) + 1))
-        docs = owner[lo:hi][first]
-        steps = np.diff(at[lo:hi], prepend=0)
-        steps[first] = at[lo:hi][first]
-        rows.append((int(part[lo]), hashes[lo:hi].tobytes(), ids[docs].tobytes(), _planes(ties[docs], 4), _planes(np.diff(np.append(first, hi - lo)), 4), _planes(steps, 4)))
-    for lo, hi in _groups(local):  # no hashes: found already
-        doc = local[lo]
-        rows.append((int(ties[doc] % parts), None, ids[doc : doc + 1].tobytes(), _planes(ties[doc : doc + 1], 4), (begin[lo:hi] - starts[doc]).astype("<i4").tobytes(), (end[lo:hi] - starts[doc]).astype("<i4").tobytes()))
+    hashes, more, at, owner = hashes[keep], more[keep], at[keep], owner[keep]
+    schema = arrow_schema(_DEALT)
+    yield from _batches(_packed(_part(hashes, parts), hashes, more, at - starts[owner], ids[owner], ties[owner], True), schema)
+    # no hashes: found already
+    found = ((int(ties[local[lo]] % fine), None, None, ids[local[lo] : local[lo] + 1].tobytes(), ties[local[lo] : local[lo] + 1].tobytes(), (begin[lo:hi] - starts[local[lo]]).astype("<i4").tobytes(), (end[lo:hi] - starts[local[lo]]).astype("<i4").tobytes()) for lo, hi in _groups(local))
+    yield from _batches(found, schema)
+
+
+def _redeal(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows of coarse ranges, packed anew by ``parts`` ranges; rows without hashes pass."""
+    vacate("")
     schema = arrow_schema(_DEALT)
-    for i in range(0, len(rows), 1000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows[i : i + 1000], strict=True), schema, strict=True)], schema=schema)
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def packed() -> Iterator[pa.RecordBatch]:
+        h, more, places, ids, ties = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield from _batches(_packed(_part(h, parts), h, more, places, ids, ties), schema)
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            row = one.to_pylist()[0]
+            if row["hash"] is None:
+                yield one
+                continue
+            held.append(_unpacked(row))
+            size += len(held[-1][0])
+            if size >= HELD:
+                yield from packed()
+                held, size = [], 0
+        released()
+    if held:
+        yield from packed()
 
 
 def _groups(x: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -90,36 +145,28 @@ def _groups(x: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _judge(table: pa.Table, parts: int) -> pa.Table:
     """Of one hash range: the windows whose hash has an earlier place, and what the slices had found themselves, dealt by document."""
-    cols = {n: table.column(n).to_pylist() for n in ("hash", "ids", "ties", "counts", "steps")}
     gone: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
-    hashes, ids, ties, places = [], [], [], []
-    for h, i, t, c, s in zip(*cols.values(), strict=True):
-        if h is None:
-            begin = np.frombuffer(c, "<i4").astype(np.int64)
-            gone.append((np.repeat(np.frombuffer(i, np.int64), len(begin)), np.repeat(_from_planes(t, 4), len(begin)).astype(np.int64), begin, np.frombuffer(s, "<i4").astype(np.int64)))
-            continue
-        counts = _from_planes(c, 4).astype(np.int64)
-        steps = _from_planes(s, 4).astype(np.int64)
-        total = np.cumsum(steps)
-        first = np.cumsum(counts) - counts
-        places.append((total - np.repeat(total[first] - steps[first], counts)).astype(np.int32))
-        hashes.append(np.frombuffer(h, np.uint64))
-        ids.append(np.repeat(np.frombuffer(i, np.int64), counts))
-        ties.append(np.repeat(_from_planes(t, 4), counts))
-    if hashes:
-        h = np.concatenate(hashes)
-        hashes.clear()
+    windows = []
+    for row in table.to_pylist():
+        if row["hash"] is None:
+            begin = np.frombuffer(row["counts"], "<i4").astype(np.int64)
+            gone.append((np.repeat(np.frombuffer(row["ids"], np.int64), len(begin)), np.repeat(np.frombuffer(row["ties"], np.int64), len(begin)), begin, np.frombuffer(row["steps"], "<i4").astype(np.int64)))
+        else:
+            windows.append(_unpacked(row))
+    if windows:
+        h, x, s, i, t = (np.concatenate(c) for c in zip(*windows, strict=True))
+        windows.clear()
         order = np.argsort(h)
         same = h[order[1:]] == h[order[:-1]]
         twice = np.zeros(len(h), bool)
         twice[1:] |= same
         twice[:-1] |= same
         order = order[twice]
-        h, i, t, s = h[order], np.concatenate(ids)[order], np.concatenate(ties)[order].astype(np.int64), np.concatenate(places)[order].astype(np.int64)
-        order = np.lexsort((s, t, i, h))
-        h, i, t, s = h[order], i[order], t[order], s[order]
+        h, x, i, t, s = h[order], x[order], i[order], t[order], s[order].astype(np.int64)
+        order = np.lexsort((s, t, i, x, h))
+        h, x, i, t, s = h[order], x[order], i[order], t[order], s[order]
         new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
+        new[1:] = (h[1:] != h[:-1]) | (x[1:] != x[:-1])
         lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
         # a place seen twice (the same row read in two slices) is one place
         later = (i != i[lead]) | (t != t[lead]) | (s != s[lead])
@@ -164,14 +211,16 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window
     """Removable words by document: its key and cuts, the begins and ends of maximal intervals.
 
     The order of documents is that of their ids; null ids count as the largest, and rows of one id that differ in text are
-    ordered by its checksum. Rows equal in id and text are one document: neither removes the other."""
+    ordered by its hash; ids are whole numbers, or strings of digits. Rows equal in id and text are one document: neither removes the other."""
     parts = partitions_for(docs.select(id_col, text), RANGE_BYTES)
 
     def deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, text):
-            yield from _deal(part, window, parts)
+            yield from _deal(part, window, min(parts, COARSE), parts)
 
-    dealt = map_arrow(docs.select(F.col(id_col).cast("long").alias(id_col), text), deal, _DEALT)
+    dealt = map_arrow(docs.select(F.col(id_col).cast("long").alias(id_col), text, text_key(text, id_col)[1]), deal, _DEALT)
+    if parts > COARSE:
+        dealt = dealt.repartition(COARSE, "part").mapInArrow(lambda batches: _redeal(batches, parts), _DEALT)
     found = group_arrow(dealt.groupBy("part"), lambda t: _judge(t, parts), _FOUND)
     return materialise(group_arrow(found.groupBy("part"), lambda t: _merge(t, window), _CUTS), "removals", -(-parts // 4))
 

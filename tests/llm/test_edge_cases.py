@@ -86,9 +86,11 @@ def brute_removal(docs, window):
     return gone
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_substring_dedup_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "coarse"), [(0, 8192), (1, 8192), (2, 3)])
+def test_substring_dedup_brute_force(spark, seed, coarse, monkeypatch):
     monkeypatch.setattr(common, "SLICE_BYTES", 500)
+    monkeypatch.setattr(substring_dedup, "COARSE", coarse)  # 3: ranges within coarse ranges
+    monkeypatch.setattr(substring_dedup, "HELD", 100)
     rng = random.Random(seed)
     docs = [(i, "  ".join(words(rng, rng.randrange(1, 30), 3).split()) + "\n") for i in range(80)]
     out = substring_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), window=5).collect()
@@ -249,6 +251,16 @@ def test_boilerplate_makes_few_pairs(spark):
     assert ngram_join.links(found, (9, 10), every=True).count() == 50
 
 
+def test_rows_of_one_id_are_told_apart_by_text(spark):
+    rng = random.Random(2)
+    texts = [words(rng, 25, 10**6) for _ in range(40)]
+    docs = spark.createDataFrame([(None, t) for t in texts + texts[:5]], "doc_id long, text string")
+    assert ngram_join.dedup(docs).count() == 40
+    assert substring_dedup.dedup(docs).where("n_removed > 0").count() == 0
+    key = docs.select(common.text_key("text", "doc_id")[1]).distinct().count()
+    assert key == 40
+
+
 def test_components_of_a_path(spark):
     n = 40
     ids = list(range(n))
