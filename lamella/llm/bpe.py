@@ -23,7 +23,7 @@ _PLAIN = 0x0590
 _LETTER, _NUMBER, _SPACE, _OTHER = 0, 1, 2, 3
 #: Pre-tokens that a process remembers (more only if texts given at a time have more), and the bytes of text that it should be given at a time.
 _KNOWN_MOST = 250_000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def default_path() -> str:

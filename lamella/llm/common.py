@@ -102,6 +102,9 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+#: Bytes of a batch on its way between the JVM and Python; a row that has more comes alone.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _resident: dict[str, object] = {}
 
 
@@ -135,8 +138,16 @@ def released() -> None:
         libc.malloc_trim(0)
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Bound the bytes of a batch between the JVM and Python, unless the session bounds them closer."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_CONF).rstrip("bB")) <= BATCH_BYTES:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: T.StructType, keep: str = "") -> DataFrame:
     """``mapInArrow`` with a function of one batch; ``keep`` names the resident that it uses."""
+    bounded_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vacate(keep)

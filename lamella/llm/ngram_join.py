@@ -45,7 +45,7 @@ FRAGMENTS = 4
 COLUMNS = 1 << 16
 #: A shingle in more prefixes than this has its star drawn by a broadcast, if the list of such shingles is small enough.
 HOT = 512
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 16 << 20
 
 _DEALT = struct("part int, ids binary, ties binary, sizes binary, sigs binary, counts binary, hashes binary")
 _FIRST = struct("id long, tie long, n long, n_first long, sig long, shared long")
@@ -368,17 +368,17 @@ def classes(docs: DataFrame, id_col: str, text: str, k: int, share: tuple[int, i
 
         return run
 
-    first = materialise(group_arrow(map_arrow(keyed, deal(FIRST, parts), _DEALT).groupBy("part"), _count_first, _FIRST), "first", parts)
+    first = materialise(group_arrow(map_arrow(keyed, deal(FIRST, parts), _DEALT).groupBy("part"), _count_first, _FIRST), "first", -(-parts // 2))
     members = first.where("id is not null").select("id", "tie", "n", "n_first", "sig")
     shared = first.where("id is null").groupBy("sig").agg(F.sum("shared").alias("shared"))
     lone_allowed = F.floor((F.col("n") * (share[1] - share[0])) / share[1])
     own = members.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("n_first").alias("n_first"), F.min(F.struct("id", "tie")).alias("rep"))
     may = own.join(shared, "sig", "left").where(F.col("n_first") - F.coalesce("shared", F.lit(0)) <= lone_allowed)
-    reps = materialise(may.select(F.col("rep.id").alias("id"), F.col("rep.tie").alias("tie")).distinct(), "representatives", parts)
+    reps = materialise(may.select(F.col("rep.id").alias("id"), F.col("rep.tie").alias("tie")).distinct(), "representatives", -(-parts // 8))
     kept = keyed.withColumn("_key", F.coalesce("id", F.lit(NULL_ID))).join(sized(reps.withColumnRenamed("id", "_key")), ["_key", "tie"], "left_semi").select("id", "text", "tie")
     segments = group_arrow(map_arrow(kept, deal(1.0, parts), _DEALT).groupBy("part"), _segments, _SEGMENT)
     whole = segments.groupBy("sig").agg(F.first("n").alias("n"), F.collect_list(F.struct("hashes", "seen")).alias("segments"))
-    return members, materialise(map_arrow(whole, lambda b: _classes(b, share), _CLASS), "classes", parts)
+    return members, materialise(map_arrow(whole, lambda b: _classes(b, share), _CLASS), "classes", -(-parts // 2))
 
 
 def _stars(found: DataFrame, parts: int) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import arrow_schema, map_arrow, materialise, others, released, sized, slices, struct, to_bytes, vacate
+from .common import arrow_schema, bounded_batches, map_arrow, materialise, others, released, sized, slices, struct, to_bytes, vacate
 
 LENGTH, END = 2048, 1
 
@@ -32,6 +32,7 @@ def tokenised(docs: DataFrame, text: str = "text", tokenizer: str | None = None,
 
     A null text counts as empty: it has the end token alone. Retried tasks write the same rows under the same partition;
     what is read later is the one committed copy."""
+    bounded_batches(docs)
     path = tokenizer or bpe.default_path()
     kept = others(docs, [text, *_ROW.fieldNames()])
     out = T.StructType(kept + _ROW.fields)
