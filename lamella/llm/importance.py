@@ -195,17 +195,18 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text: s
     target every gain follows the source alone. Columns of ``docs`` named as a result are replaced."""
     results = ("n_words", "n_features", "weight", "score", "rank")
     kept = [f.name for f in others(docs, (*results, text))]
-    counted = materialise(bucket_counts(docs.select(*kept, text), text, most, buckets), "buckets")
+    packed = docs.select(F.struct(*[F.col(c) for c in kept]).alias("_lamella_row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_lamella_key"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_lamella_id"), F.col(text).alias("_lamella_text"))
+    counted = materialise(bucket_counts(packed, "_lamella_text", most, buckets), "buckets")
     wanted = materialise(bucket_counts(target.select(text), text, most, buckets), "target")
     table = F.split(F.lit(",".join(map(str, gains(counted, wanted, buckets)))), ",").cast("array<bigint>")  # one literal of ``buckets`` numbers
     total = F.aggregate(F.arrays_zip(F.col("buckets").alias("b"), F.col("counts").alias("c")), F.lit(0).cast("long"), lambda a, x: a + F.get(table, x["b"]) * x["c"])
     # whole numbers: the quotient goes towards 0, so what is below 0 and has a remainder goes one further down
     floored = F.expr("CASE WHEN n_features = 0 THEN 0 ELSE (_lamella_sum - pmod(_lamella_sum, n_features)) div n_features END")
-    first = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
+    first = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("_lamella_key")), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((first + 0.5) / 4294967296.0)))
     scored = counted.withColumn("_lamella_sum", total).withColumn("weight", floored.cast("long")).withColumn("score", F.col("weight") + noise)
-    scored = scored.drop("buckets", "counts", "_lamella_sum").withColumn("_lamella_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("_lamella_tie", F.xxhash64(*kept, "n_features"))
-    return ranked(materialise(scored, "scores"), least_words, share).select(*kept, *results)
+    scored = scored.drop("buckets", "counts", "_lamella_sum", "_lamella_key").withColumn("_lamella_tie", F.xxhash64("_lamella_row", "n_features"))
+    return ranked(materialise(scored, "scores"), least_words, share).select(*[F.col("_lamella_row")[c].alias(c) for c in kept], *results)
 
 
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,7 +139,7 @@ class Walk:
 RESULTS = T.StructType([T.StructField(n, T.LongType()) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")] + [T.StructField(n, T.StringType()) for n in ("audit", "repaired_sha256")])
 
 
-def _walked(rows: DataFrame) -> DataFrame:
+def _walked(rows: DataFrame, length: int, size: int) -> DataFrame:
     """One row for each conversation of ``rows``, which come sorted by conversation and order in each partition."""
     bounded_batches(rows)
     schema = T.StructType([rows.schema["conv"], *RESULTS.fields])
@@ -152,8 +152,8 @@ def _walked(rows: DataFrame) -> DataFrame:
             con.execute(f"CREATE TABLE moves AS SELECT * FROM (VALUES {values}) v(state, initial, fault, target, cost, letters)")
             held: tuple[object, Walk] | None = None  # the conversation that the next batch may go on with
             for whole in batches:
-                for at in range(0, whole.num_rows, ROWS):
-                    batch = whole.slice(at, ROWS).to_pydict()
+                for at in range(0, whole.num_rows, size):
+                    batch = whole.slice(at, size).to_pydict()
                     out, held = advanced(con, batch, held)
                     if out:
                         yield made(out)
@@ -174,7 +174,7 @@ def _walked(rows: DataFrame) -> DataFrame:
                 out.append(ended(*held))
             stay = [i for i in range(lo, hi) if not b["gone"][i]]
             noted(walk, b, stay)
-            cut = [stay[k : k + RUN] for k in range(0, len(stay), RUN)]
+            cut = [stay[k : k + length] for k in range(0, len(stay), length)]
             walks.append((key, walk, stay, range(len(runs), len(runs) + len(cut))))
             for k, part in enumerate(cut):
                 for i, r in enumerate(part):
@@ -216,7 +216,7 @@ def _walked(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", gone: str | None = None) -> DataFrame:
+def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", gone: str | None = None, run: int = RUN, batch: int = ROWS) -> DataFrame:
     """One row for each conversation: ``conv``, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256.
 
     Rows are taken by turn (nulls first), then role, then text. A row is blank without a character other than ``BLANKS``, else
@@ -226,7 +226,7 @@ def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     their conversation is; one without rows has zeros, an empty audit and the digest of nothing. No other column is read; an empty
     table gives no rows.
 
-    A conversation's rows pass through one task, sorted, as its digest is of one text; the task holds a batch of them, and of what
+    ``run`` rows of a conversation are one recursion's, ``batch`` rows a query's; no result hangs on either. A conversation's rows pass through one task, sorted, as its digest is of one text; the task holds a batch of them, and of what
     came before four audits and digests."""
     turns = [F.col("turn").asc_nulls_first()]
     each = rows.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit(" ")).alias("role"), F.coalesce(F.col(text), F.lit(" ")).alias("text"), F.coalesce(F.col(gone), F.lit(False)).alias("gone") if gone else F.lit(False).alias("gone"))
@@ -235,7 +235,7 @@ def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     kind = F.when(end == "", "blank").when(F.col("seen"), "duplicate").when(~end.isin(".", "!", "?"), "truncated").otherwise("")
     fault = F.when(F.col("kind").isin("blank", "duplicate"), UNFIT).when(F.col("kind") == "truncated", CUT).otherwise(CLEAN)
     marked = each.repartition("conv").withColumn("seen", seen).withColumn("kind", kind).withColumn("fault", fault).drop("seen")
-    return _walked(marked.sortWithinPartitions("conv", *turns, "role", "text")).withColumnRenamed("conv", conv)
+    return _walked(marked.sortWithinPartitions("conv", *turns, "role", "text"), run, batch).withColumnRenamed("conv", conv)
 
 
 def damaged(rows: DataFrame) -> DataFrame:
