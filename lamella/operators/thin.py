@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..sources.image import PLACE, RGB, DeepImage
 from .ordered import pixel_window, transmitted
-from .walk import Samples, merged, ranks, walked
+from .walk import FEW, Colours, Samples, merged, ranks, walked
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,12 @@ def alive(samples: Samples, t: Thinning) -> np.ndarray:
     if not (t.occlusion_cutoff or t.contribution_cull):
         return live
     covered, added = np.zeros(len(samples.starts)), np.zeros(len(samples.starts))
-    for run, at in ranks(samples.starts, samples.size):
+    ends = np.append(samples.starts[1:], samples.size)
+    for k, (run, at) in enumerate(ranks(samples.starts, samples.size)):
+        if k and len(run) < FEW:
+            for r, i in zip(run.tolist(), at.tolist(), strict=True):
+                _alive_rest(alpha, live, i, int(ends[r]), float(covered[r]), float(added[r]), t)
+            break
         stays, a = live[at], alpha[at]
         if t.occlusion_cutoff:
             before = covered[run]
@@ -79,6 +84,29 @@ def alive(samples: Samples, t: Thinning) -> np.ndarray:
     return live
 
 
+def _alive_rest(alpha: np.ndarray, live: np.ndarray, at: int, end: int, covered: float, added: float, t: Thinning) -> None:
+    """The same for what is left of one pixel, a stretch of samples at a time; it ends where nothing behind can stay."""
+    most = max(float(alpha[at:end].max(initial=0.0)), 0.0)
+    for lo in range(at, end, 4096):
+        hi = min(lo + 4096, end)
+        hidden = t.occlusion_cutoff and covered >= t.occlusion_alpha
+        if hidden or t.contribution_cull and t.contribution_min > 0 and 0 <= added <= 1 and most * (1 - added) < t.contribution_min:
+            live[lo:end] = False
+            return
+        for i, (stays, a) in enumerate(zip(live[lo:hi].tolist(), alpha[lo:hi].tolist(), strict=True), lo):
+            if not stays:
+                continue
+            if t.occlusion_cutoff:
+                stays = covered < t.occlusion_alpha
+                covered += a * (1 - covered) if stays else 0.0
+            if stays and t.contribution_cull:
+                stays = a * (1 - added) >= t.contribution_min
+            if stays:
+                added += a * (1 - added)
+            else:
+                live[i] = False
+
+
 def contribution_cull(image: DeepImage, minimum: float = 0.001) -> DeepImage:
     """Drop samples that add less than ``minimum`` to what was kept before them; what is dropped doesn't accumulate."""
     only = Thinning(cull_transparent=False, occlusion_cutoff=False, contribution_min=minimum)
@@ -104,27 +132,23 @@ def volumetric_collapse(image: DeepImage, alpha_max: float = 0.01, group_size: i
     return image.with_df(walked(image.df, lambda x: x.take(np.flatnonzero(uncollapsed(x, np.ones(x.size, bool), alpha_max, group_size)))))
 
 
-def premultiplied_difference(tolerance: float):
-    """Over ``tolerance`` apart in premultiplied colour; None, as colour then doesn't count, for a tolerance of 0 or less."""
-
-    def different(samples: Samples, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.any([np.abs(c[a] - c[b]) > tolerance for c in samples.colours], axis=0) if samples.colours else np.zeros(len(a), bool)
-
-    return different if tolerance > 0 else None
+def premultiplied(tolerance: float):
+    """Compares premultiplied colour; None, as colour then doesn't count, for a tolerance of 0 or less."""
+    return (lambda samples: Colours(samples.colours, np.ones(samples.size, bool), tolerance)) if tolerance > 0 else None
 
 
 def smart_merge(image: DeepImage, tolerance: float = 0.01, color_tolerance: float = 0.01, max_samples: int = 0) -> DeepImage:
     """Composite samples that are near the first of their group in depth and in premultiplied colour.
 
     A depth tolerance of 0 or less merges nothing; a colour tolerance of 0 or less lets any colours merge."""
-    return image.with_df(walked(image.df, lambda x: merged(x, tolerance, premultiplied_difference(color_tolerance), max_samples)))
+    return image.with_df(walked(image.df, lambda x: merged(x, tolerance, premultiplied(color_tolerance), max_samples)))
 
 
 def thinned(samples: Samples, t: Thinning) -> Samples:
     live = alive(samples, t)
     if t.volumetric_collapse and samples.size:
         live = uncollapsed(samples, live, t.volume_alpha_max, t.volume_group_size)
-    return merged(samples.take(np.flatnonzero(live)), t.tolerance if t.merge_samples else 0.0, premultiplied_difference(t.color_tolerance), t.max_samples)
+    return merged(samples.take(np.flatnonzero(live)), t.tolerance if t.merge_samples else 0.0, premultiplied(t.color_tolerance), t.max_samples)
 
 
 def thin(image: DeepImage, settings: Thinning | None = None) -> DeepImage:

@@ -1,59 +1,110 @@
 """Volumes without overlaps, and the sample optimiser that blurs end with.
 
-Tidying has a closed form: each volume is cut at every depth of its pixel that lies inside it, and pieces that then cover the
-same interval are composited. It needs no iteration, so it ends for every input.
+Tidying is a sweep over the sorted depths of a pixel: between two neighbouring fronts or backs the same volumes are active, each
+cut to that interval, and laid over each other there. Intervals are taken in blocks with about ``PIECES`` cut pieces, of which
+only the composites stay, so the work follows the pieces and the memory the samples. It needs no iteration to a fixed point, so
+it ends for every input.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ..sources.image import PLACE, DeepImage
-from .walk import Samples, composite, merged, starts_of, walked
+from ..sources.image import PIXEL, PLACE, DeepImage
+from .walk import Colours, Samples, blocks, composite, let_through, merged, starts_of, totals, walked
 
 FAINT = 1e-6
+#: Cut pieces that are held at a time, unless one interval has more.
+PIECES = 1 << 17
 
 
 def powers(base: np.ndarray, exponent: np.ndarray) -> np.ndarray:
-    """``base ** exponent`` as the C library rounds it, which vectorised powers don't; the corrected blur magnifies the last bit."""
-    some = base > 0
-    out = np.where(base == 0, 0.0, np.nan)
-    out[some] = np.fromiter(map(math.pow, base[some].tolist(), exponent[some].tolist()), float, int(some.sum()))
-    return out
-
-
-def pieces(samples: Samples) -> tuple[Samples, np.ndarray]:
-    """The samples cut at all fronts and backs of their pixel, sorted by place, and where pieces of one interval begin."""
-    n, pixel = samples.size, samples.pixel
-    front, back = samples["front"], samples["back"]
-    both, of = np.concatenate((front, back)), np.concatenate((pixel, pixel))
-    order = np.lexsort((both, of))
-    first = starts_of(of[order], both[order])
-    edges = both[order][first]
-    rank = np.empty(2 * n, np.int64)
-    rank[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, 2 * n)))
-    lo, hi = rank[:n], np.maximum(rank[n:], rank[:n])
-    count = np.maximum(hi - lo, 1)
-    source = np.repeat(np.arange(n), count)
-    at = lo[source] + np.arange(len(source)) - np.repeat(np.cumsum(count) - count, count)
-    whole = (count == 1)[source]
-    a, b = np.where(whole, front[source], edges[at]), np.where(whole, back[source], edges[np.minimum(at + 1, len(edges) - 1)])
-    alpha = samples.alpha[source]
-    cut, split = alpha.copy(), ~whole
-    cut[split] = 1 - powers(1 - alpha[split], (b - a)[split] / (back[source] - front[source])[split])
-    share = np.where(whole, 1.0, np.where(alpha > FAINT, cut / np.where(alpha > FAINT, alpha, 1.0), 0.0))
-    made = {"front": a, "back": b, "alpha": cut}
-    columns = {c: made[c] if c in made else v[source] if c in PLACE else v[source] * share for c, v in samples.columns.items()}
-    order = np.lexsort((samples["s"][source] if "s" in samples.columns else source, b, a, pixel[source]))
-    out = Samples({c: v[order] for c, v in columns.items()})
-    return out, starts_of(pixel[source][order], out["front"], out["back"])
+    """``base ** exponent`` by the C library, whose last bit numpy's own powers needn't have: the corrected blur magnifies it."""
+    return pc.power(pa.array(base), pa.array(exponent)).to_numpy(zero_copy_only=False)
+
+
+class Sweep:
+    """The volumes of all pixels over the intervals between neighbouring depths of their pixel."""
+
+    def __init__(self, samples: Samples):
+        n, front, back = samples.size, samples["front"], samples["back"]
+        both, of = np.concatenate((front, back)), np.concatenate((samples.pixel, samples.pixel))
+        order = np.lexsort((both, of))
+        first = starts_of(of[order], both[order])
+        self.samples, self.edges, self.pixel = samples, both[order][first], of[order][first]
+        rank = np.empty(2 * n, np.int64)
+        rank[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, 2 * n)))
+        lo, hi = rank[:n], rank[n:]
+        volumes = np.flatnonzero(hi > lo)
+        self.points = np.flatnonzero(hi <= lo)
+        order = volumes[np.argsort(samples["s"][volumes], kind="stable")] if "s" in samples.columns else volumes
+        self.volumes, self.lo, self.hi = order, lo[order], hi[order]
+        cover = np.bincount(self.lo, minlength=len(first) + 1) - np.bincount(self.hi, minlength=len(first) + 1)
+        self.ends = np.cumsum(np.cumsum(cover)[: len(first)])  # pieces up to each interval
+
+    def intervals(self) -> list[tuple[Samples, np.ndarray]]:
+        """What is seen in each interval that a volume covers, block by block, and of which pixel it is."""
+        out, at, last = [], 0, len(self.edges)
+        entering = np.argsort(self.lo, kind="stable")
+        entered = np.searchsorted(self.lo[entering], np.arange(last + 1), "left")
+        active = np.empty(0, np.int64)
+        while at < last:
+            done = int(self.ends[at - 1]) if at else 0
+            to = max(at + 1, min(int(np.searchsorted(self.ends, done + PIECES, "right")), at + 65_536, last))
+            active = np.sort(np.concatenate((active[self.hi[active] > at], entering[entered[at] : entered[to]])))
+            if len(active):
+                out.append(self.block(active, at, to))
+            at = to
+        return out
+
+    def block(self, active: np.ndarray, at: int, to: int) -> tuple[Samples, np.ndarray]:
+        """The composites of intervals ``at`` to ``to``; ``active`` are the volumes that reach into them, in compositing order."""
+        samples, lo, hi = self.samples, self.lo[active], self.hi[active]
+        begin, end = np.maximum(lo, at), np.minimum(hi, to)
+        count = end - begin
+        of = np.repeat(np.arange(len(active)), count)
+        place = begin[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        order = np.argsort((place - at).astype(np.uint16), kind="stable")
+        of, place = of[order], place[order]
+        source = self.volumes[active][of]
+        alpha = samples.alpha[source]
+        split = (hi - lo)[of] > 1
+        cut, share = alpha.copy(), np.ones(len(source))
+        front, back = samples["front"][source[split]], samples["back"][source[split]]
+        a, b, whole = self.edges[place[split]], self.edges[place[split] + 1], alpha[split]
+        cut[split] = 1 - powers(1 - whole, (b - a) / (back - front))
+        share[split] = np.where(whole > FAINT, cut[split] / np.where(whole > FAINT, whole, 1.0), 0.0)
+        starts = starts_of(place)
+        dealt = list(blocks(starts, len(place)))
+        t = let_through(cut, starts, dealt)
+        made = {"front": self.edges[place[starts]], "back": self.edges[place[starts] + 1]}
+        for c, v in samples.columns.items():
+            if c in PIXEL:
+                made[c] = v[source[starts]]
+            elif c == "s":
+                made[c] = np.minimum.reduceat(v[source], starts)
+            elif c not in made:
+                made[c] = totals((cut if c == "alpha" else v[source] * share) * t, starts, dealt)
+        return Samples({c: made[c] for c in samples.columns}), self.pixel[place[starts]]
 
 
 def tidied(samples: Samples) -> Samples:
-    return composite(*pieces(samples)) if samples.size else samples
+    if not samples.size:
+        return samples
+    sweep = Sweep(samples)
+    parts = sweep.intervals()
+    if len(sweep.points):  # what has no extent covers no interval; of several at one place one sample is made
+        at, pixel = sweep.points, samples.pixel
+        order = at[np.lexsort((samples["s"][at] if "s" in samples.columns else at, samples["back"][at], samples["front"][at], pixel[at]))]
+        starts = starts_of(pixel[order], samples["front"][order], samples["back"][order])
+        parts.append((composite(samples.take(order), starts), pixel[order][starts]))
+    whole = Samples({c: np.concatenate([p[c] for p, _ in parts]) for c in samples.columns})
+    if len(sweep.points):
+        whole = whole.take(np.lexsort((whole["back"], whole["front"], np.concatenate([n for _, n in parts]))))
+    return whole
 
 
 def tidy(image: DeepImage) -> DeepImage:
@@ -61,20 +112,18 @@ def tidy(image: DeepImage) -> DeepImage:
     return image.with_df(walked(image.df, tidied))
 
 
-def unpremultiplied_difference(tolerance: float):
-    """Over ``tolerance`` apart in unpremultiplied colour; faint samples differ from nothing. None for a tolerance of 0 or less."""
+def unpremultiplied(tolerance: float):
+    """Compares unpremultiplied colour; faint samples differ from nothing. None, as colour then doesn't count, for a tolerance of 0 or less."""
 
-    def different(samples: Samples, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        alpha = samples.alpha
-        plain = (alpha[a] >= FAINT) & (alpha[b] >= FAINT)
-        one, two = np.where(plain, alpha[a], 1.0), np.where(plain, alpha[b], 1.0)
-        return plain & np.any([np.abs(c[a] / one - c[b] / two) > tolerance for c in samples.colours], axis=0) if samples.colours else np.zeros(len(a), bool)
+    def compared(samples: Samples) -> Colours:
+        counts = samples.alpha >= FAINT
+        return Colours([c / np.where(counts, samples.alpha, 1.0) for c in samples.colours], counts, tolerance)
 
-    return different if tolerance > 0 else None
+    return compared if tolerance > 0 else None
 
 
 def optimised(df: DataFrame, merge_tolerance: float = 0.001, color_tolerance: float = 0.01, max_samples: int = 100) -> DataFrame:
-    return walked(df, lambda x: merged(tidied(x), merge_tolerance, unpremultiplied_difference(color_tolerance), max_samples))
+    return walked(df, lambda x: merged(tidied(x), merge_tolerance, unpremultiplied(color_tolerance), max_samples))
 
 
 def optimize_samples(image: DeepImage, merge_tolerance: float = 0.001, color_tolerance: float = 0.01, max_samples: int = 100) -> DeepImage:
