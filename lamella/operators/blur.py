@@ -1,38 +1,131 @@
 """Blurs across pixels: each sample is scattered to the pixels around it, where the samples that meet are optimised.
 
-Scattering is an explode of literal kernel entries, so the only shuffle is the one by output pixel. A box asked of the result
-is widened by the radius before it reaches the scan.
+Samples are dealt to square tiles of pixels. A tile also gets those of the pixels within the kernel's reach, so what the shuffle
+copies grows with the tiles' edges, and the kernel is applied after it, inside the tile, region by region. A box asked of the
+result is widened by the reach before it gets to the scan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.kernels import plane_kernel, radius
 from ..sources.image import PLACE, Box, DeepImage, grown, inside
 from .ordered import pixel_window
-from .tidy import optimised
-
-
-def _scattered(image: DeepImage, kernel: list[tuple[int, int, float]]) -> DataFrame:
-    """Samples times kernel entries; what falls outside the input isn't made up for. s is renumbered to stay a total order."""
-    entries = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(w).alias("w"), F.lit(i).alias("k")) for i, (dx, dy, w) in enumerate(kernel)])
-    rows = image.df.select("*", F.explode(entries).alias("_e"))
-    made = {"x": F.col("x") + F.col("_e.dx"), "y": F.col("y") + F.col("_e.dy"), "s": F.col("s") * len(kernel) + F.col("_e.k")}
-    return rows.select(*[(made[c] if c in made else F.col(c) if c in PLACE else F.col(c) * F.col("_e.w")).alias(c) for c in image.df.columns])
+from .tidy import tidied, unpremultiplied
+from .walk import Samples, merged, starts_of, to_arrays, to_batch
+
+#: Pixels a tile has on each side: so many at least, and so many times the kernel's reach.
+SIDE, REACHES = 32, 8
+#: Scattered samples that are worked on at a time, unless one pixel gets more.
+SCATTERED = 400_000
+
+
+class Kernel:
+    """The entries of a kernel over the plane, as arrays."""
+
+    def __init__(self, entries: list[tuple[int, int, float]]):
+        self.dx, self.dy = (np.array([e[i] for e in entries], np.int64) for i in (0, 1))
+        self.weight = np.array([e[2] for e in entries])
+        self.rx, self.ry = int(np.abs(self.dx).max()), int(np.abs(self.dy).max())
+
+    def __len__(self) -> int:
+        return len(self.weight)
+
+    def scattered(self, samples: Samples, box: Box) -> Samples:
+        """What the pixels of ``box`` get of ``samples``, sorted by pixel and depth. s is renumbered, so that it stays a total order."""
+        x, y = (samples[c].astype(np.int64)[:, None] for c in ("x", "y"))
+        x, y = x + self.dx, y + self.dy
+        of, entry = np.nonzero((x >= box[0]) & (x < box[2]) & (y >= box[1]) & (y < box[3]))
+        x, y = x[of, entry], y[of, entry]
+        keys = [samples[c] for c in ("s", "back", "front") if c in samples.columns]
+        order = np.lexsort(keys)
+        first = starts_of(*(k[order] for k in keys))
+        rank = np.empty(samples.size, np.int64)
+        rank[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, samples.size)))
+        key = (((y - box[1]) * (box[2] - box[0]) + x - box[0]) * max(len(first), 1) + rank[of]) * len(self) + entry
+        order = np.argsort(key, kind="stable")
+        of, entry = of[order], entry[order]
+        made = {"x": x[order], "y": y[order]}
+        for c, v in samples.columns.items():
+            if c == "s":
+                made[c] = v[of].astype(np.int64) * len(self) + entry
+            elif c in ("front", "back"):
+                made[c] = v[of]
+            elif c not in made:
+                made[c] = v[of] * self.weight[entry]
+        return Samples({c: made[c] for c in samples.columns})
+
+    def regions(self, samples: Samples, box: Box) -> Iterator[tuple[Samples, Box]]:
+        """Boxes that make up ``box``, each with the samples that reach into it, so that few enough are scattered at a time."""
+        x, y = samples["x"], samples["y"]
+        near = np.flatnonzero((x >= box[0] - self.rx) & (x < box[2] + self.rx) & (y >= box[1] - self.ry) & (y < box[3] + self.ry))
+        w, h = box[2] - box[0], box[3] - box[1]
+        if not len(near) or w <= 0 or h <= 0:
+            return
+        samples = samples.take(near) if len(near) < samples.size else samples
+        if len(near) * len(self) <= SCATTERED or w * h == 1:
+            yield samples, box
+            return
+        middle = (box[0] + w // 2, box[1] + h // 2)
+        for half in ([(box[0], box[1], middle[0], box[3]), (middle[0], box[1], box[2], box[3])] if w >= h else [(box[0], box[1], box[2], middle[1]), (box[0], middle[1], box[2], box[3])]):
+            yield from self.regions(samples, half)
+
+
+def _dealt(df: DataFrame, kernel: Kernel, side: int) -> DataFrame:
+    """The samples by the tile (_tx, _ty) they are needed in: their own, and those that they reach."""
+
+    def tiles(c: str, reach: int) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side)))
+
+    rows = df.select("*", tiles("x", kernel.rx).alias("_tx")).select("*", tiles("y", kernel.ry).alias("_ty"))
+    return rows.repartition("_tx", "_ty").sortWithinPartitions("_tx", "_ty")
 
 
 def _blurred(image: DeepImage, width: float, height: float, quality: str, merge_tolerance: float, color_tolerance: float, max_samples: int, box: Box | None) -> DeepImage:
     rx, ry = radius(width), radius(height)
     if rx == 0 and ry == 0:
         return image
-    source = image if box is None else replace(image, df=inside(image.df, grown(box, rx, ry)))
-    df = _scattered(source, plane_kernel(width, height, quality))
-    df = df if box is None else inside(df, box)
-    return replace(image, df=optimised(df, merge_tolerance, color_tolerance, max_samples), bbox=box or grown(image.bbox, rx, ry))
+    kernel = Kernel(plane_kernel(width, height, quality))
+    source = image.df if box is None else inside(image.df, grown(box, rx, ry))
+    side = max(SIDE, REACHES * max(kernel.rx, kernel.ry))
+    names, target, compared = image.df.columns, to_arrow_schema(image.df.schema), unpremultiplied(color_tolerance)
+
+    def made(table: pa.Table, tx: int, ty: int) -> Iterator[pa.RecordBatch]:
+        x0, y0, x1, y1 = tx * side, ty * side, (tx + 1) * side, (ty + 1) * side
+        if box is not None:
+            x0, y0, x1, y1 = max(x0, box[0]), max(y0, box[1]), min(x1, box[2]), min(y1, box[3])
+        with np.errstate(all="ignore"):
+            for samples, region in kernel.regions(Samples(to_arrays(table, names)), (x0, y0, x1, y1)):
+                scattered = kernel.scattered(samples, region)
+                if scattered.size:
+                    yield to_batch(merged(tidied(scattered), merge_tolerance, compared, max_samples), target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        tile = None
+        for batch in batches:
+            keys = [batch.column(n).to_numpy() for n in ("_tx", "_ty")]
+            starts = starts_of(*keys)
+            for lo, hi in zip(starts, np.append(starts[1:], batch.num_rows)):
+                key = (int(keys[0][lo]), int(keys[1][lo]))
+                if held and key != tile:
+                    yield from made(pa.Table.from_batches(held), *tile)
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                tile = key
+        if held:
+            yield from made(pa.Table.from_batches(held), *tile)
+
+    out = _dealt(source, kernel, side).mapInArrow(run, image.df.schema)
+    return replace(image, df=out, bbox=box or grown(image.bbox, rx, ry))
 
 
 def blur(image: DeepImage, blur_width: float = 1.0, blur_height: float = 1.0, max_samples: int = 100, merge_tolerance: float = 0.001, color_tolerance: float = 0.01, box: Box | None = None) -> DeepImage:

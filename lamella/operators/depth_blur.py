@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import depth_weights
@@ -16,7 +17,7 @@ def depth_blur(image: DeepImage, spread: float = 1.0, num_samples: int = 5, fall
 
     A part's alpha is ``1 - (1 - a) ** w``; parts below 1e-6 aren't made. With a ``gate`` only samples that reach one of the
     gate's samples in their pixel are spread, and in pixels where the gate has none all (``empty_gate='spread'``) or none.
-    The gate meets the samples by one join on the pixel, as an array of intervals. Then overlaps are cut back."""
+    Samples and gate are swept together by depth. Then overlaps are cut back."""
     spread, n = max(spread, 0.0), max(num_samples, 1)
     if spread < 1e-6 or n <= 1:
         return image
@@ -26,10 +27,8 @@ def depth_blur(image: DeepImage, spread: float = 1.0, num_samples: int = 5, fall
     df = image.df
     spreads = F.col("alpha") >= FAINT
     if gate is not None:
-        intervals = gate.df.groupBy("x", "y").agg(F.collect_list(F.struct(F.col("front").alias("f"), F.col("back").alias("b"))).alias("_gate"))
-        df = df.join(intervals, ["x", "y"], "left")
-        touched = F.exists("_gate", lambda g: (F.col("back") + spread / 2 >= g["f"]) & (F.col("front") - spread / 2 <= g["b"]))
-        spreads = spreads & F.coalesce(touched, F.lit(empty_gate == "spread"))
+        df = _touched(df, gate.df, spread / 2)
+        spreads = spreads & F.when(F.col("_gated"), F.col("_touched")).otherwise(F.lit(empty_gate == "spread"))
     flat = sample_type == "flat"
     parts = []
     for i, w in enumerate(depth_weights(n, falloff)):
@@ -44,5 +43,21 @@ def depth_blur(image: DeepImage, spread: float = 1.0, num_samples: int = 5, fall
     return image.with_df(rows.withColumn("back", F.least("back", F.coalesce(after, F.col("back")))))
 
 
+def _touched(df: DataFrame, gate: DataFrame, reach: float) -> DataFrame:
+    """``df`` with _touched: whether a sample, made longer by ``reach`` on both sides, meets one of the gate's in its pixel; and
+    _gated: whether the gate has any there.
+
+    Of the gate's samples that begin before the longer sample ends, the one that ends last decides. So both sides are sorted by
+    that depth, gate first, and the greatest back so far is carried along: one shuffle by pixel, no pairs."""
+    rows = df.select("*", (F.col("back") + reach).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("double").alias("_end"))
+    gates = gate.select("x", "y", F.col("front").cast("double").alias("_at"), F.lit(0).alias("_side"), F.col("back").cast("double").alias("_end"))
+    both = rows.unionByName(gates, allowMissingColumns=True)
+    swept = Window.partitionBy("x", "y").orderBy("_at", "_side")
+    so_far = F.max("_end").over(swept.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ever = F.max("_end").over(swept.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    marked = both.select("*", so_far.alias("_so_far"), ever.isNotNull().alias("_gated")).where("_side = 1")
+    return marked.withColumn("_touched", F.coalesce(F.col("_so_far") >= F.col("front") - reach, F.lit(False))).drop("_at", "_side", "_end", "_so_far")
+
+
 def step_half(spread: float, n: int) -> float:
     return spread / n / 2

@@ -225,6 +225,22 @@ def merged(samples: Samples, tolerance: float, compared: Callable[[Samples], Col
     return composite(*capped(samples, group_starts(samples, tolerance, compared), cap))
 
 
+def to_arrays(table: pa.Table, names: Sequence[str]) -> dict[str, np.ndarray]:
+    """The columns as arrays; nulls of channels read as missing channels do."""
+    columns = {}
+    for n in names:
+        c = table.column(n)
+        if c.null_count and n not in PLACE:
+            c = c.fill_null(1.0 if n == "alpha" else 0.0)
+        columns[n] = c.to_numpy()
+    return columns
+
+
+def to_batch(made: Samples | dict[str, np.ndarray], target: pa.Schema) -> pa.RecordBatch:
+    columns = made.columns if isinstance(made, Samples) else made
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in target], schema=target)
+
+
 def walked(df: DataFrame, fn: Callable[[Samples], dict[str, np.ndarray] | Samples], more: Sequence[T.StructField] = ()) -> DataFrame:
     """``fn`` over the sorted samples of ``df``, whole pixels at a time. It returns the columns of ``df``, and ``more``.
 
@@ -232,17 +248,10 @@ def walked(df: DataFrame, fn: Callable[[Samples], dict[str, np.ndarray] | Sample
     pixel that is there already serves."""
     schema = T.StructType([*df.schema.fields, *more])
     target, names = to_arrow_schema(schema), df.columns
-    missing = {c: 1.0 if c == "alpha" else 0.0 for c in names if c not in PLACE}
 
     def made(table: pa.Table) -> pa.RecordBatch:
-        columns = {}
-        for n in names:
-            c = table.column(n)
-            columns[n] = (c.fill_null(missing[n]) if n in missing and c.null_count else c).to_numpy()
         with np.errstate(all="ignore"):
-            out = fn(Samples(columns))
-        out = out.columns if isinstance(out, Samples) else out
-        return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
+            return to_batch(fn(Samples(to_arrays(table, names))), target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
