@@ -8,7 +8,6 @@ result is widened by the reach before it gets to the scan.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.kernels import plane_kernel, radius
-from ..sources.image import PLACE, Box, DeepImage, grown, inside
+from ..sources.image import PLACE, Box, DeepImage, common, grown, per_pixel
 from .ordered import pixel_window
 from .tidy import tidied, unpremultiplied
 from .walk import Samples, merged, starts_of, to_arrays, to_batch
@@ -93,8 +92,9 @@ def _blurred(image: DeepImage, width: float, height: float, quality: str, merge_
     rx, ry = radius(width), radius(height)
     if rx == 0 and ry == 0:
         return image
+    if box is not None:
+        image = image.request(grown(box, rx, ry))
     kernel = Kernel(plane_kernel(width, height, quality))
-    source = image.df if box is None else inside(image.df, grown(box, rx, ry))
     side = max(SIDE, REACHES * max(kernel.rx, kernel.ry))
     names, target, compared = image.df.columns, to_arrow_schema(image.df.schema), unpremultiplied(color_tolerance)
 
@@ -124,8 +124,13 @@ def _blurred(image: DeepImage, width: float, height: float, quality: str, merge_
         if held:
             yield from made(pa.Table.from_batches(held), *tile)
 
-    out = _dealt(source, kernel, side).mapInArrow(run, image.df.schema)
-    return replace(image, df=out, bbox=box or grown(image.bbox, rx, ry))
+    out = _dealt(image.df, kernel, side).mapInArrow(run, image.df.schema)
+    whole = image
+
+    def part(asked: Box) -> DeepImage:
+        return _blurred(whole, width, height, quality, merge_tolerance, color_tolerance, max_samples, asked if box is None else common(asked, box))
+
+    return image.but(df=out, bbox=box or (lambda: grown(image.bbox, rx, ry)), recipe=part)
 
 
 def blur(image: DeepImage, blur_width: float = 1.0, blur_height: float = 1.0, max_samples: int = 100, merge_tolerance: float = 0.001, color_tolerance: float = 0.01, box: Box | None = None) -> DeepImage:
@@ -139,6 +144,7 @@ def blur2(image: DeepImage, blur_size: tuple[float, float] = (1.0, 1.0), kernel_
     return corrected(out) if alpha_correction and out is not image else out
 
 
+@per_pixel
 def corrected(image: DeepImage) -> DeepImage:
     """Divide each sample by what the corrected samples before it let through.
 

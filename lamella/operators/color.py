@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import alpha_of, clamp, guarded, index_in_layer, masked, siblings
 from ..functions.linear import fold, hue_matrix
-from ..sources.image import DeepImage
+from ..sources.image import DeepImage, per_pixel
 
 Triple = Sequence[float]
 #: Luminance weights. Rec. 709 and CCIR 601 are published constants.
@@ -25,18 +25,22 @@ def _of(values: Triple, c: str) -> float | None:
     return values[i] if i < 3 else None
 
 
+@per_pixel
 def add(image: DeepImage, value: Triple = (0, 0, 0), **rule) -> DeepImage:
     return masked(image, lambda c, v, a: v if _of(value, c) is None else v + float(_of(value, c)), **rule)
 
 
+@per_pixel
 def multiply(image: DeepImage, value: Triple = (1, 1, 1), **rule) -> DeepImage:
     return masked(image, lambda c, v, a: v if _of(value, c) is None else v * float(_of(value, c)), **rule)
 
 
+@per_pixel
 def gain(image: DeepImage, value: float = 1.0, **rule) -> DeepImage:
     return masked(image, lambda c, v, a: v * float(value), **rule)
 
 
+@per_pixel
 def gamma(image: DeepImage, value: Triple = (1, 1, 1), **rule) -> DeepImage:
     def f(c: str, v: Column, a: Column) -> Column:
         g = _of(value, c)
@@ -45,10 +49,12 @@ def gamma(image: DeepImage, value: Triple = (1, 1, 1), **rule) -> DeepImage:
     return masked(image, f, **rule)
 
 
+@per_pixel
 def invert(image: DeepImage, clamped: bool = False, **rule) -> DeepImage:
     return masked(image, lambda c, v, a: clamp(1 - v) if clamped else 1 - v, **rule)
 
 
+@per_pixel
 def clamp_channels(
     image: DeepImage,
     minimum: Triple = (0, 0, 0),
@@ -76,6 +82,7 @@ def clamp_channels(
     return masked(image, f, **rule)
 
 
+@per_pixel
 def posterize(image: DeepImage, colors: float = 10, **rule) -> DeepImage:
     """``colors`` steps, rounded towards zero."""
     n = float(max(colors, 1))
@@ -104,6 +111,7 @@ def graded(v: Column, numbers: tuple[float, float, float], reverse: bool, black_
 GRADE = {"blackpoint": (0, 0, 0), "whitepoint": (1, 1, 1), "black": (0, 0, 0), "white": (1, 1, 1), "multiply": (1, 1, 1), "add": (0, 0, 0), "gamma": (1, 1, 1)}
 
 
+@per_pixel
 def grade(image: DeepImage, reverse: bool = False, black_clamp: bool = False, white_clamp: bool = False, **kwargs) -> DeepImage:
     """Parameters as in ``GRADE``, each a number or one for each channel of the layer; the coefficients are folded here."""
     given = {k: kwargs.pop(k, v) for k, v in GRADE.items()}
@@ -121,6 +129,7 @@ def _layer(image: DeepImage, c: str, alpha: Column) -> list[Column]:
     return [guarded(image.channel(s), alpha) for s in siblings(image, c)]
 
 
+@per_pixel
 def saturation(image: DeepImage, saturation: float = 1.0, mode: str = "rec709", weights: Triple | None = None, **rule) -> DeepImage:
     """Mix with the luminance of the layer; its channels are divided by alpha whether or not the rule does so."""
 
@@ -142,11 +151,13 @@ def _linear(image: DeepImage, matrix: np.ndarray, **rule) -> DeepImage:
     return masked(image, f, **rule)
 
 
+@per_pixel
 def hue_shift(image: DeepImage, hue: float = 0.0, saturation: float = 1.0, value: float = 1.0, **rule) -> DeepImage:
     """Hue rotation in YIQ, in degrees; the three matrices are one."""
     return _linear(image, hue_matrix(hue, saturation, value), **rule)
 
 
+@per_pixel
 def color_matrix(image: DeepImage, matrix: Sequence[Triple], invert: bool = False, **rule) -> DeepImage:
     m = np.asarray(matrix, float)
     return _linear(image, np.linalg.inv(m) if invert else m, **rule)
@@ -189,6 +200,7 @@ def curve(v: Column, points: Curve, smooth: bool = False) -> Column:
     return out
 
 
+@per_pixel
 def color_lookup(image: DeepImage, master: Curve = (), red: Curve = (), green: Curve = (), blue: Curve = (), smooth: bool = False, **rule) -> DeepImage:
     """Each channel's own curve of the master curve's value."""
     own = (red, green, blue)
@@ -200,6 +212,7 @@ def set_rgb(source: Triple, target: Triple) -> dict[str, Curve]:
     return {c: tuple({0.0: 0.0, 1.0: 1.0, float(s): float(t)}.items()) for c, s, t in zip(("red", "green", "blue"), source, target, strict=True)}
 
 
+@per_pixel
 def map_channels(image: DeepImage, fn, **rule) -> DeepImage:
     """A user's own per-sample operator: ``fn(channel, value, alpha) -> Column`` under the masked rule."""
     return masked(image, fn, **rule)

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import depth_weights
-from ..sources.image import PLACE, DeepImage
+from ..sources.image import PLACE, DeepImage, per_pixel
 from .ordered import pixel_window, with_alpha
 
 FAINT = 1e-6
 
 
+@per_pixel
 def depth_blur(image: DeepImage, spread: float = 1.0, num_samples: int = 5, falloff: str = "linear", sample_type: str = "volumetric", gate: DeepImage | None = None, empty_gate: str = "spread") -> DeepImage:
     """Spread each sample over ``spread`` around its front, ``num_samples`` parts with weights of the ``falloff``.
 

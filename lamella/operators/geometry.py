@@ -1,23 +1,25 @@
-"""Boxes: filters on x and y that Catalyst pushes into the scan."""
+"""Boxes: filters on x and y, which reach the scan through all operators that made the image."""
 
 from __future__ import annotations
 
-from dataclasses import replace
-
-from ..sources.image import DeepImage, grown, inside
+from ..sources.image import Box, DeepImage, common, grown
 
 
 def adjust_bbox(image: DeepImage, numpixels: tuple[int, int] = (0, 0)) -> DeepImage:
     """Keep the samples inside the box grown (or shrunk) by ``numpixels``; the declared box has a pixel more on each side."""
     w, h = numpixels
-    return replace(image, df=inside(image.df, grown(image.bbox, w, h)), bbox=grown(image.bbox, w + 1, h + 1))
+    return cropped(image, grown(image.bbox, w, h)).but(bbox=grown(image.bbox, w + 1, h + 1))
 
 
 def copy_bbox(image: DeepImage, other: DeepImage | None = None) -> DeepImage:
     """Take the other image's box and drop what lies outside it."""
-    box = (other or image).bbox
-    return replace(image, df=inside(image.df, box), bbox=box)
+    return cropped(image, (other or image).bbox)
+
+
+def crop(image: DeepImage, box: Box) -> DeepImage:
+    return cropped(image, box)
 
 
-def crop(image: DeepImage, box) -> DeepImage:
-    return replace(image, df=inside(image.df, box), bbox=box)
+def cropped(image: DeepImage, box: Box) -> DeepImage:
+    made = image.request(box)
+    return made.but(recipe=lambda part: image.request(common(box, part)))

@@ -6,15 +6,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import clamp, guarded, masked
 from ..functions.linear import projected, rotate_z, scale, translate
 from ..functions.noise import Noise
-from ..sources.image import RGB, DeepImage
+from ..sources.image import RGB, DeepImage, per_pixel
 from .channels import add_channels
 from .color import grade_numbers, graded
+from .ordered import depth_order
 
 OPERATIONS = ("replace", "union", "mask", "stencil", "out", "min", "max")
 
@@ -45,9 +46,11 @@ def id_value(image: DeepImage, id_channel: str | None, unpremult_id: bool) -> Co
     return guarded(value, image.channel("alpha")) if unpremult_id else value
 
 
-def id_matte(image: DeepImage, id_channel: str | None, id: float = 0.0, tolerance: float = 0.5, unpremult_id: bool = True, output: Sequence[str] = RGB, operation: str = "replace", **rule) -> DeepImage:
-    """1 where the sample's id is less than ``tolerance`` from ``id``, else 0."""
-    matte = F.when(F.abs(id_value(image, id_channel, unpremult_id) - float(id)) < float(tolerance), 1.0).otherwise(0.0)
+@per_pixel
+def id_matte(image: DeepImage, id_channel: str | None, id: float | Column = 0.0, tolerance: float = 0.5, unpremult_id: bool = True, output: Sequence[str] = RGB, operation: str = "replace", **rule) -> DeepImage:
+    """1 where the sample's id is less than ``tolerance`` from ``id``, else 0. ``id`` may be ``picked_id``; of an empty pixel no sample has it."""
+    wanted = id if isinstance(id, Column) else float(id)
+    matte = F.when(F.abs(id_value(image, id_channel, unpremult_id) - wanted) < float(tolerance), 1.0).otherwise(0.0)
     return _apply(image, matte, output, operation, **rule)
 
 
@@ -61,6 +64,7 @@ def smoothstep(t: Column) -> Column:
     return t * t * (3 - 2 * t)
 
 
+@per_pixel
 def position_matte(
     image: DeepImage,
     position_data: Sequence[str],
@@ -72,11 +76,18 @@ def position_matte(
     unpremult_position: bool = True,
     output: Sequence[str] = RGB,
     operation: str = "replace",
+    centre: Column | None = None,
     **rule,
 ) -> DeepImage:
-    """Distance from the centre of a unit sphere or cube, placed by the 4 x 4 ``selection`` (inverted once, here)."""
-    inverse = np.linalg.inv(np.asarray(np.eye(4) if selection is None else selection, float))
-    p = projected(position(image, position_data, unpremult_position), inverse)
+    """Distance from the centre of a unit sphere or cube, placed by the 4 x 4 ``selection`` (inverted once, here). ``centre``
+    (``picked_centre``) takes the place of the selection's translation, unless its pixel is empty."""
+    place = np.asarray(np.eye(4) if selection is None else selection, float)
+    found = position(image, position_data, unpremult_position)
+    if centre is not None:
+        found = [v - F.coalesce(centre[f"c{i}"], F.lit(float(place[i, 3]))) for i, v in enumerate(found)]
+        place = place.copy()
+        place[:3, 3] = 0
+    p = projected(found, np.linalg.inv(place))
     if shape == "sphere":
         d = F.sqrt(p[0] * p[0] + p[1] * p[1] + p[2] * p[2])
     elif shape == "cube":
@@ -88,6 +99,7 @@ def position_matte(
     return _apply(image, smoothstep(d) if falloff_type == "smooth" else clamp(d), output, operation, **rule)
 
 
+@per_pixel
 def noise_matte(
     image: DeepImage,
     position_data: Sequence[str],
@@ -132,6 +144,7 @@ class Camera:
         return np.asarray(self.matrix, float) @ np.linalg.inv(window)
 
 
+@per_pixel
 def world_position(image: DeepImage, camera: Camera | None = None, output: Sequence[str] = ("world_x", "world_y", "world_z"), depth_sample: str = "front", premultiplied_output: bool = True, pixel_centre: float = 0.5) -> DeepImage:
     """World coordinates of each sample from its pixel and depth; a fourth output channel is 0."""
     camera = camera or Camera()
@@ -145,15 +158,33 @@ def world_position(image: DeepImage, camera: Camera | None = None, output: Seque
     return image.with_df(image.df.withColumns(dict(zip(output, values, strict=False))))
 
 
-def pick(image: DeepImage, x: int, y: int, channels: Sequence[str], sample: str = "closest", unpremult: bool = True) -> list[float] | None:
-    """The values of the closest or furthest sample of one pixel: a point read, which the scan's filters narrow down. None if
-    the pixel is empty."""
-    order = [F.col(c).asc() if sample == "closest" else F.col(c).desc() for c in ("front", "back")]
+def picked(image: DeepImage, x: int, y: int, channels: Sequence[str], sample: str = "closest", unpremult: bool = True) -> DataFrame:
+    """One row: the values of the closest or furthest sample of one pixel, nulls if the pixel is empty. The scan's filters narrow it down."""
     alpha = image.channel("alpha")
-    rows = image.df.where((F.col("x") == x) & (F.col("y") == y)).orderBy(*order).limit(1).select(*[(guarded(image.channel(c), alpha) if unpremult else image.channel(c)).alias(c) for c in channels]).collect()
-    return list(rows[0]) if rows else None
+    values = [(guarded(image.channel(c), alpha) if unpremult else image.channel(c)).alias(c) for c in channels]
+    key = F.struct(*depth_order(image.df))
+    best = (F.min_by if sample == "closest" else F.max_by)(F.struct(*values), key)
+    return image.request((x, y, x + 1, y + 1)).df.agg(best.alias("p")).select("p.*")
+
+
+def pick(image: DeepImage, x: int, y: int, channels: Sequence[str], sample: str = "closest", unpremult: bool = True) -> list[float] | None:
+    """What ``picked`` has, on the driver; None if the pixel is empty."""
+    row = list(picked(image, x, y, channels, sample, unpremult).head())
+    return None if all(v is None for v in row) else row
+
+
+def picked_id(image: DeepImage, x: int, y: int, id_channel: str, sample: str = "closest", unpremult: bool = True) -> Column:
+    """The id of a picked sample, as a parameter of ``id_matte``: a subquery of the query that uses it."""
+    return picked(image, x, y, [id_channel], sample, unpremult).scalar()
+
+
+def picked_centre(image: DeepImage, x: int, y: int, position_data: Sequence[str], sample: str = "closest", unpremult: bool = True) -> Column:
+    """The position of a picked sample, as a parameter of ``position_matte``."""
+    found = picked(image, x, y, position_data, sample, unpremult)
+    return found.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(position_data)])).scalar()
 
 
+@per_pixel
 def picks(image: DeepImage, channels: Sequence[str], sample: str = "closest") -> DeepImage:
     """Every pixel's closest or furthest sample, for picking many at a time: one aggregation without a sort."""
     key = F.struct("front", "back", "s") if "s" in image.df.columns else F.struct("front", "back")

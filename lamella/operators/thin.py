@@ -7,13 +7,14 @@ filters and windows where they stand alone. ``thin`` does all seven in one walk:
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.image import PLACE, RGB, DeepImage
+from ..sources.image import PLACE, RGB, DeepImage, per_pixel
 from .ordered import pixel_window, transmitted
 from .walk import FEW, Colours, Samples, merged, ranks, walked
 
@@ -40,14 +41,17 @@ class Thinning:
     max_samples: int = 0
 
 
+@per_pixel
 def depth_clip(image: DeepImage, z_near: float = 0.0, z_far: float = 1e10) -> DeepImage:
     return image.with_df(image.df.where((F.col("front") >= z_near) & (F.col("front") <= z_far)))
 
 
+@per_pixel
 def alpha_cull(image: DeepImage, threshold: float = 0.0) -> DeepImage:
     return image.with_df(image.df.where(image.channel("alpha") > threshold))
 
 
+@per_pixel
 def occlusion(image: DeepImage, cutoff: float = 0.999) -> DeepImage:
     """Drop what lies behind the sample with which accumulated alpha reaches the cutoff; that sample stays."""
     rows = image.df.withColumn("_t", transmitted(image.channel("alpha"), pixel_window(image.df)))
@@ -107,6 +111,7 @@ def _alive_rest(alpha: np.ndarray, live: np.ndarray, at: int, end: int, covered:
                 live[i] = False
 
 
+@per_pixel
 def contribution_cull(image: DeepImage, minimum: float = 0.001) -> DeepImage:
     """Drop samples that add less than ``minimum`` to what was kept before them; what is dropped doesn't accumulate."""
     only = Thinning(cull_transparent=False, occlusion_cutoff=False, contribution_min=minimum)
@@ -127,6 +132,7 @@ def uncollapsed(samples: Samples, live: np.ndarray, alpha_max: float, size: int)
     return live & ~(faint & ((place // size + 1) * size <= length) & (place % size != 0))
 
 
+@per_pixel
 def volumetric_collapse(image: DeepImage, alpha_max: float = 0.01, group_size: int = 4) -> DeepImage:
     """Of every full block of ``group_size`` faint samples in a row keep the first; the others are dropped, not composited."""
     return image.with_df(walked(image.df, lambda x: x.take(np.flatnonzero(uncollapsed(x, np.ones(x.size, bool), alpha_max, group_size)))))
@@ -137,6 +143,7 @@ def premultiplied(tolerance: float):
     return (lambda samples: Colours(samples.colours, np.ones(samples.size, bool), tolerance)) if tolerance > 0 else None
 
 
+@per_pixel
 def smart_merge(image: DeepImage, tolerance: float = 0.01, color_tolerance: float = 0.01, max_samples: int = 0) -> DeepImage:
     """Composite samples that are near the first of their group in depth and in premultiplied colour.
 
@@ -151,6 +158,7 @@ def thinned(samples: Samples, t: Thinning) -> Samples:
     return merged(samples.take(np.flatnonzero(live)), t.tolerance if t.merge_samples else 0.0, premultiplied(t.color_tolerance), t.max_samples)
 
 
+@per_pixel
 def thin(image: DeepImage, settings: Thinning | None = None) -> DeepImage:
     """All passes in order, in one walk over the sorted samples."""
     t = settings or Thinning()
@@ -171,6 +179,29 @@ def thin_stats(image: DeepImage, settings: Thinning | None = None) -> DataFrame:
     return _reported(counts.agg(F.coalesce(F.sum("n_in"), F.lit(0)).alias("samples_in"), F.coalesce(F.sum("n_out"), F.lit(0)).alias("samples_out")))
 
 
+@dataclass(frozen=True)
+class Observed:
+    """A thinned image, and what a job that writes it counts on its way."""
+
+    image: DeepImage
+    before: Observation
+    after: Observation
+
+    def report(self) -> dict:
+        """samples_in, samples_out, removed, pct and the line that reports them, once a job over the image has ended."""
+        n, m = self.before.get["samples_in"], self.after.get["samples_out"]
+        pct = (n - m) * 100.0 / n if n else 0.0
+        shown = Decimal(repr(pct)).quantize(Decimal("0.1"), ROUND_HALF_UP)  # as the JVM writes it
+        return {"samples_in": n, "samples_out": m, "removed": n - m, "pct": pct, "report": f"In: {n} Out: {m} ({shown}% reduction)"}
+
+
+def observed(image: DeepImage, settings: Thinning | None = None) -> Observed:
+    """``thin``, counted by the job that writes its result: no second walk. The counts are of that image's first job."""
+    before, after = Observation("thin_in"), Observation("thin_out")
+    made = thin(image.with_df(image.df.observe(before, F.count(F.lit(1)).alias("samples_in"))), settings)
+    return Observed(made.with_df(made.df.observe(after, F.count(F.lit(1)).alias("samples_out"))), before, after)
+
+
 def thinner_stats(before: DeepImage, after: DeepImage) -> DataFrame:
     """samples_in, samples_out, removed, pct and the line that reports them, of any two images."""
     return _reported(before.df.agg(F.count("*").alias("samples_in")).join(after.df.agg(F.count("*").alias("samples_out"))))

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from ..sources.image import PIXEL, PLACE, DeepImage
+from ..sources.image import PIXEL, PLACE, DeepImage, per_pixel
 from .walk import Colours, Samples, blocks, composite, let_through, merged, starts_of, totals, walked
 
 FAINT = 1e-6
@@ -107,6 +107,7 @@ def tidied(samples: Samples) -> Samples:
     return whole
 
 
+@per_pixel
 def tidy(image: DeepImage) -> DeepImage:
     """No two samples of a pixel overlap; equal intervals are one sample."""
     return image.with_df(walked(image.df, tidied))
@@ -126,6 +127,7 @@ def optimised(df: DataFrame, merge_tolerance: float = 0.001, color_tolerance: fl
     return walked(df, lambda x: merged(tidied(x), merge_tolerance, unpremultiplied(color_tolerance), max_samples))
 
 
+@per_pixel
 def optimize_samples(image: DeepImage, merge_tolerance: float = 0.001, color_tolerance: float = 0.01, max_samples: int = 100) -> DeepImage:
     """Tidy, merge what is near in depth and colour, and keep the frontmost ``max_samples`` (0: all).
 

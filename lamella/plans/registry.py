@@ -26,6 +26,7 @@ from ..sources import tables
 from ..sources.constant import constant
 from ..sources.image import RGB, DeepImage
 from . import sql as S
+from . import table_functions
 from .noise_sql import noise_matte
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,7 +117,7 @@ def _kept(name: str, fn, oracle: str, ordered: bool = True) -> None:
 
 
 _ROWS = ("front", "back", *S.CORE)
-_BOXED = lambda i: DeepImage(i.df, (10, 20, 50, 150), i.format)
+_BOXED = lambda i: i.but(bbox=(10, 20, 50, 150))
 _kept("adjust_bbox", lambda i: G.adjust_bbox(_BOXED(i), (-5, 10)), f"WITH {S.deep()} " + S.out("deep WHERE x >= 15 AND x < 45 AND y >= 10 AND y < 160", "x, y", *_ROWS), False)
 _kept("copy_bbox", lambda i: G.copy_bbox(i, _BOXED(i)), f"WITH {S.deep()} " + S.out("deep WHERE x >= 10 AND x < 50 AND y >= 20 AND y < 150", "x, y", *_ROWS), False)
 _kept("depth_clip", lambda i: T.depth_clip(i, 10, 40), f"WITH {S.deep()} " + S.out("deep WHERE front >= 10 AND front <= 40", "x, y", *_ROWS), False)
@@ -201,7 +202,7 @@ def _world(s: SparkSession, d: str) -> DataFrame:
 
 
 # the inverse window: move by t, scale by s, turn back by -90 degrees; then the camera's rotation and place
-_WORLD = f"""WITH {S.deep()}, n AS (SELECT *, (front + back) / 2e0 AS z, (x + 5e-1) / 64e0 * 2e0 - 1e0 AS nx, (y + 5e-1) / 24e2 * 2e0 - 1e0 AS ny FROM deep),
+_WORLD = f"""WITH {S.deep()}, n AS (SELECT *, (front + back) / 2e0 AS z, (x + 5e-1) / 64e0 * 2e0 - 1e0 AS nx, (y + 5e-1) / ((SELECT max(o_orderkey) FROM orders) // 64 + 1) * 2e0 - 1e0 AS ny FROM deep),
 c AS (SELECT *, nx * (24e0 / 2e0 / 51.713e0) * z AS cx, ny * (18e0 / 2e0 / 51.713e0) * z AS cy, -z AS cz FROM n),
 w AS (SELECT *, cy * 2e0 + 25e-2 AS wx, -cx * 5e-1 - 5e-1 AS wy FROM c),
 o AS (SELECT x, y, front, (wx + 5e0) * alpha AS world_x, (-cz + 2e0) * alpha AS world_y, (wy + 3e0) * alpha AS world_z FROM w) {S.out("o", "x, y", "front", "world_x", "world_y", "world_z")}"""
@@ -261,6 +262,61 @@ register(
 _kept("blur2_alpha_correction", lambda i: B.blur2(core(i), (1, 0), "medium", True, _TOL[2], _TOL[0], _TOL[1]), _blur_sql(1, 0, "medium", True))
 
 
+# boxes asked of chains, pixels that are cut, picks as parameters, table functions
+_BOX = (10, 5, 50, 40)
+_IN_BOX = "x >= 10 AND x < 50 AND y >= 5 AND y < 40"
+_kept("box_of_blur", lambda i: G.crop(B.blur2(core(i), (2, 0), "medium", False, _TOL[2], _TOL[0], _TOL[1]), _BOX), _blur_sql(2, 0, "medium") + f" WHERE {_IN_BOX}")
+_kept("flatten_in_ranges", lambda i: O.flatten(C.grade(core(i), **_GRADE), most=3), ORACLES["flatten"])
+
+
+def _table_function(name: str, call: str, oracle: str) -> None:
+    def query(s: SparkSession, d: str) -> DataFrame:
+        table_functions.register(s)
+        core(tables.deep(s, d)).df.createOrReplaceTempView("lamella_samples")
+        return millionths(s.sql(f"SELECT * FROM {call}"), ["x", "y"], list(_ROWS))
+
+    register(name, query, oracle)
+
+
+_table_function("sql_thin", "deep_thin(TABLE(lamella_samples))", ORACLES["deep_thinner_default"])
+_table_function("sql_tidy", "deep_tidy(TABLE(lamella_samples))", ORACLES["tidy"])
+_table_function("sql_merge", "deep_merge(TABLE(lamella_samples), tolerance => 0.5D, color_tolerance => 0.3D)", ORACLES["smart_merge"])
+
+
+def _pick_sql(column: str) -> str:
+    return f"(SELECT CASE WHEN alpha <> 0 THEN {column} / alpha ELSE 0e0 END FROM o WHERE x = 1 AND y = 0 ORDER BY front, back, s LIMIT 1)"
+
+
+def _picked(name: str, fn, matte: str, more: str = "") -> None:
+    made = [S.q("p * alpha", c) for c in RGB]
+    source = f"WITH {S.deep()}, {S.deep(ordered=True, name='o')}, {S.UNPREMULT}{more}, m AS (SELECT *, {matte} AS p FROM {'k' if more else 'u'})"
+    register(name, lambda s, d: millionths(fn(tables.deep(s, d, ordered=False), tables.deep(s, d)).df, ["x", "y"], ["front", "alpha", *RGB]), f"{source} SELECT x, y, {S.q('front', 'front')}, {S.q('alpha', 'alpha')}, {', '.join(made)} FROM m")
+
+
+_picked("picked_id_matte", lambda i, o: M.id_matte(i, "id", M.picked_id(o, 1, 0, "id"), tolerance=1.5), _ID.replace("7e0", _pick_sql("id")).replace("5e-1", "15e-1"))
+_FROM = " + ".join(f"pow((p_{c[-1]} - {_pick_sql(c)}) / 5e-1, 2)" for c in _POS)
+_picked("picked_position_matte", lambda i, o: M.position_matte(i, _POS, np.diag([0.5, 0.5, 0.5, 1.0]), falloff_type="linear", falloff=0.8, centre=M.picked_centre(o, 1, 0, _POS)), f"greatest(least((1e0 - sqrt({_FROM})) / 8e-1, 1e0), 0e0)", _UP)
+
+# own operators, colours by example, routing that changes nothing, the box that keyed mixing declares
+_colour("map_channels", lambda i: C.map_channels(i, lambda c, v, a: v * v + a * 0.1), S.colour("{v} * {v} + alpha * 1e-1"))
+_EXAMPLE = {"red": (0.5, 0.7), "green": (0.2, 0.3), "blue": (0.4, 0.2)}
+_colour(
+    "set_rgb",
+    lambda i: C.color_lookup(i, **C.set_rgb(*zip(*_EXAMPLE.values(), strict=True))),
+    S.colour(*[f"CASE WHEN {{v}} < {a}e0 THEN {{v}} * ({b}e0 / {a}e0) ELSE {b}e0 + ({{v}} - {a}e0) * ((1e0 - {b}e0) / (1e0 - {a}e0)) END" for a, b in _EXAMPLE.values()]),
+)
+_projection("shuffle_identity", lambda i: H.shuffle(i, matrix=""), "red, green, blue, alpha", ["red", "green", "blue", "alpha"])
+
+
+def _keymix_box(s: SparkSession, d: str) -> DataFrame:
+    b, a = (core(tables.deep(s, d, f"l_linestatus = '{v}'")) for v in "OF")
+    out = K.keymix(b, G.crop(a, _BOX), tables.mask(s, d), mix=0.9, invert_mask=True, bbox="A")
+    return millionths(G.copy_bbox(out).df, ["x", "y"], list(_ROWS))
+
+
+register("keymix_box", _keymix_box, _MIXED + S.out(f"o WHERE {_IN_BOX}", "x, y", *_ROWS))
+
+
 # generator
 def _constant_sql(mode: str) -> str:
     n = 4

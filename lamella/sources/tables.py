@@ -5,11 +5,14 @@ The expressions are plain SQL with double literals, so Spark and a second engine
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .image import DeepImage
 
-WIDTH, FORMAT = 64, (64, 2400)
+#: Pixels in a row; the rows follow from the order keys.
+WIDTH = 64
 #: Each column's expression over ``lineitem``; later ones may use x, y, front and alpha.
 BASE = {
     "x": "cast(l_orderkey % 64 as int)",
@@ -52,11 +55,12 @@ def deep(spark: SparkSession, sf_dir: str, where: str = "1 = 1", ordered: bool =
     made = [f"{e} as {c}" for c, e in BASE.items()]
     if ordered:
         made.insert(2, f"cast(row_number() over (partition by {BASE['x']}, {BASE['y']} order by {order}) - 1 as int) as s")
-    return DeepImage(lines.selectExpr(*made), (0, 0, WIDTH, height(spark, sf_dir)), FORMAT)
+    rows = cache(lambda: height(spark, sf_dir))
+    return DeepImage(lines.selectExpr(*made), lambda: (0, 0, WIDTH, rows()), lambda: (WIDTH, rows()))
 
 
 def height(spark: SparkSession, sf_dir: str) -> int:
-    """The rows of pixels that all orders take, from the greatest order key, which the files' statistics tell."""
+    """The rows of pixels that all orders take, from the greatest order key: a job over one column, run when a box or format is asked for."""
     top = spark.read.parquet(f"{sf_dir}/orders.parquet").agg({"o_orderkey": "max"}).head()[0]
     return 0 if top is None else top // WIDTH + 1
 
