@@ -6,7 +6,7 @@ named in the written manifest count, so what a lost task left behind is never re
 
 Archives of other writers are read too: any record type, any of the usual digests, header names in any case.
 
-Reading: an archive is inflated and parsed as a stream. A payload comes out as rows of (record id, chunk number) with at most
+Reading: an archive is inflated and parsed as a stream, over what is damaged in it. A payload comes out as rows of (record id, chunk number) with at most
 ``CHUNK`` bytes each, carrying the digest and length of the payload up to there; no record is ever held whole.
 """
 
@@ -16,6 +16,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -28,8 +29,11 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, materialise, released, scratch_path, spread_join, struct
 
 MIN_REVISIT, CHUNK, ROLL = 100, 1 << 20, 256 << 20
+#: Bytes that a head of a record or of its HTTP message may have.
+HEAD = 1 << 20
+_GZIP = b"\x1f\x8b\x08"
 MANIFEST = struct("path string, records long, bytes long")
-CHUNKS = struct("record_id string, chunk_no long, record_type string, refers_to string, uri string, payload_bytes long, payload_digest string, bytes_so_far long, digest_so_far string, last boolean, data binary")
+CHUNKS = struct("record_id string, chunk_no long, record_type string, refers_to string, uri string, payload_bytes long, payload_digest string, bytes_so_far long, digest_so_far string, last boolean, error string, data binary")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -107,51 +111,161 @@ def write(records: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
     return materialise(records.mapInArrow(run, MANIFEST), "manifest")
 
 
-def inflated(read, step: int = CHUNK) -> Iterator[bytes]:
-    """The bytes of a plain or gzip stream of any number of members, at most ``step`` at a time."""
+class Broken(ValueError):
+    """What makes a record unreadable; its text goes to the record's row."""
+
+
+class _Mark:
+    """In a stream of pieces: a gzip member begins here (no reason), or cannot be read from here on."""
+
+    def __init__(self, reason: str | None = None):
+        self.reason = reason
+
+
+def inflated(read, step: int = CHUNK) -> Iterator[bytes | _Mark]:
+    """The bytes of a plain or gzip stream, at most ``step`` at a time, with a mark where a member begins or is damaged.
+
+    After damage the stream goes on at the next place that looks like a member; padding between members is skipped."""
     raw = read(step)
-    if raw[:2] != b"\x1f\x8b":
+    if raw[:2] != _GZIP[:2]:
         while raw:
             yield raw
             raw = read(step)
         return
-    member = zlib.decompressobj(wbits=31)
     while raw:
-        while raw:
-            out = member.decompress(raw, step)
+        yield _Mark()
+        member = zlib.decompressobj(wbits=31)
+        while not member.eof:
+            if not raw and not (raw := read(step)):
+                yield _Mark("a gzip member ends early")
+                return
+            try:
+                out = member.decompress(raw, step)
+            except zlib.error as why:
+                yield _Mark(f"a gzip member is damaged: {why}")
+                raw = _sought(raw[1:], read, step)
+                break
             if out:
                 yield out
-            if member.eof:
-                raw, member = member.unused_data, zlib.decompressobj(wbits=31)
-            else:
-                raw = member.unconsumed_tail
-        raw = read(step)
+            raw = member.unused_data if member.eof else member.unconsumed_tail
+        else:
+            raw = raw or read(step)
+            if raw[:2] != _GZIP[:2]:
+                raw = _sought(raw, read, step)
+
+
+def _sought(raw: bytes, read, step: int) -> bytes:
+    """The stream from the next place on that begins like a gzip member; empty at the end."""
+    while (at := raw.find(_GZIP)) < 0:
+        more = read(step)
+        if not more:
+            return b""
+        raw = raw[-2:] + more
+    return raw[at:]
 
 
 class _Source:
-    def __init__(self, pieces: Iterator[bytes]):
-        self.pieces, self.held = pieces, b""
+    """A stream of pieces that is read forward; what has been read is only passed over, and dropped when more is fetched."""
 
-    def more(self) -> bool:
-        piece = next(self.pieces, b"")
-        self.held += piece
-        return bool(piece)
+    def __init__(self, pieces: Iterator[bytes | _Mark]):
+        self.pieces, self.held, self.at, self.dropped = pieces, b"", 0, 0
+        self.members: deque[int] = deque()  # where members begin that haven't been reached, counted from the stream's begin
+        self.packed = self.records = 0
 
-    def until(self, mark: bytes) -> bytes:
-        while (at := self.held.find(mark)) < 0:
+    def more(self) -> bool:
+        for piece in self.pieces:
+            if isinstance(piece, _Mark):
+                if piece.reason:
+                    raise Broken(piece.reason)
+                self.members.append(self.dropped + len(self.held))
+                self.packed += 1
+                continue
+            self.dropped += self.at
+            self.held, self.at = self.held[self.at :] + piece, 0
+            return True
+        return False
+
+    def has(self, n: int) -> bool:
+        """Whether ``n`` bytes are left; they are held then."""
+        while len(self.held) - self.at < n:
+            if not self.more():
+                return False
+        return True
+
+    def record(self) -> bool:
+        """Goes to the next record, over line ends and padding; false at the end."""
+        while True:
+            rest = len(self.held) - self.at
+            stripped = self.held[self.at : self.at + 64].lstrip(b"\r\n\0")
+            if stripped:
+                self.at += min(rest, 64) - len(stripped)
+                break
+            self.at += min(rest, 64)
+            if self.at == len(self.held) and not self.more():
+                return False
+        self.records += 1
+        while self.members and self.members[0] <= self.dropped + self.at:
+            self.members.popleft()
+        if not self.begins():
+            raise Broken("no record begins here")
+        return True
+
+    def begins(self) -> bool:
+        return self.has(5) and self.held[self.at : self.at + 5] == b"WARC/"
+
+    def edge(self) -> int:
+        """Where in what is held the next member begins, or the end. One that begins with a record ends the record before it."""
+        while self.members and self.members[0] == self.dropped + self.at:
+            if self.begins():
+                raise Broken("a record ends early")
+            self.members.popleft()
+        return min(self.members[0] - self.dropped, len(self.held)) if self.members else len(self.held)
+
+    def until(self, mark: bytes, most: int) -> bytes:
+        """The bytes before ``mark``, over which the source goes; ``most`` is what a head may take."""
+        while (found := self.held.find(mark, self.at)) < 0:
+            if len(self.held) - self.at > most:
+                raise Broken("a head has no end")
             if not self.more():
-                raise EOFError("a record ends early")
-        out, self.held = self.held[:at], self.held[at + len(mark) :]
+                raise Broken("a record ends early")
+        out = b"".join(self.take(found - self.at, most))
+        self.at += len(mark)
         return out
 
     def take(self, n: int, step: int) -> Iterator[bytes]:
         while n:
-            if not self.held and not self.more():
-                raise EOFError("a record ends early")
-            out = self.held[: min(n, step)]
-            self.held = self.held[len(out) :]
+            if self.at == len(self.held) and not self.more():
+                raise Broken("a record ends early")
+            out = self.held[self.at : min(self.at + min(n, step), self.edge())]
+            self.at += len(out)
             n -= len(out)
-            yield out
+            if out:
+                yield out
+
+    def resume(self) -> bool:
+        """After a broken record, goes to where the next may begin: at the next gzip member, where each record is one, else at the
+        next line like a record's first. False if there is none."""
+        while True:
+            try:
+                here = self.dropped + self.at
+                while self.members and self.members[0] < here:
+                    self.members.popleft()
+                if self.packed and self.packed >= self.records:
+                    if self.members:
+                        self.at = self.members.popleft() - self.dropped
+                        if self.begins():
+                            return True
+                        continue
+                    self.at = len(self.held)
+                elif (found := self.held.find(b"\nWARC/", self.at)) >= 0:
+                    self.at = found + 1
+                    return True
+                else:
+                    self.at = max(self.at, len(self.held) - 5)
+                if not self.more():
+                    return False
+            except Broken:
+                pass
 
 
 def _headers(block: bytes) -> dict[str, str]:
@@ -187,48 +301,68 @@ def _own(name: str | None) -> str | None:
     return name.removeprefix("<").removesuffix(">").removeprefix("urn:page:") if name else None
 
 
-def parse(pieces: Iterator[bytes], step: int = CHUNK) -> Iterator[dict]:
+def parse(pieces: Iterator[bytes | _Mark], step: int = CHUNK) -> Iterator[dict]:
     """Chunk rows of all records in a stream; a record without payload has one row.
 
     The payload is what follows the HTTP head, where the record holds an HTTP message, else the whole block. Its declared
-    length (revisits of this module's archives) and digest are passed on, the digest as written without its algorithm; a
-    digest that is of a known kind but not the payload's is an error, unless the payload was sent in a transfer coding."""
+    length (revisits of this module's archives) and digest are passed on, the digest as written without its algorithm.
+
+    A record that cannot be read ends with a row that says why in ``error`` (without a name where its head is broken), and the
+    next one that can be found is read. So does one whose payload isn't what a declared digest of a known kind is of, unless it
+    was sent in a transfer coding. Line ends and padding between records are passed over. An empty stream has no rows."""
     source = _Source(pieces)
-    while source.held or source.more():
-        head = _headers(b"\r\n" + source.until(b"\r\n\r\n").lstrip(b"\r\n").split(b"\r\n", 1)[-1])
-        left, http = int(head["content-length"]), b""
-        if head.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
-            while b"\r\n\r\n" not in http and left:  # some bytes at a time: the head is short
-                part = next(source.take(min(left, 4096), 4096))
-                http, left = http + part, left - len(part)
-            http, mark, back = http.partition(b"\r\n\r\n")
-            source.held, left = back + source.held, left + len(back)
-        kind, declared = head.get("warc-type"), head.get("warc-payload-digest", "")
-        digest, at, chunk = hashlib.sha256(), 0, 0
-        other, wanted = _checked(declared) if kind != "revisit" and "transfer-encoding" not in _headers(http) else (None, None)
-        known = head.get("x-payload-length") or (left if kind != "revisit" else None)
-        row = {"record_id": _own(head.get("warc-record-id")), "record_type": kind, "refers_to": _own(head.get("warc-refers-to")), "uri": head.get("warc-target-uri"), "payload_bytes": None if known is None else int(known), "payload_digest": declared.partition(":")[2] or None}
-
-        def chunk_row(data: bytes, last: bool) -> dict:
-            if last and other and other.digest() != wanted:
-                raise ValueError(f"payload digest of record {row['record_id']}")
-            return row | {"chunk_no": chunk, "bytes_so_far": at, "digest_so_far": digest.hexdigest(), "last": last, "data": data}
-
-        if not left:
-            yield chunk_row(b"", True)
-        for data in source.take(left, step):
-            digest.update(data)
-            if other:
-                other.update(data)
-            at += len(data)
-            yield chunk_row(data, at == left)
-            chunk += 1
-        if b"".join(source.take(4, 4)) != b"\r\n\r\n":
-            raise ValueError("a record is longer than it says")
+    while True:
+        state: dict = dict.fromkeys(("record_id", "record_type", "refers_to", "uri", "payload_bytes", "payload_digest"))
+        state |= {"chunk_no": 0, "bytes_so_far": 0, "digest_so_far": hashlib.sha256().hexdigest(), "error": None}
+        try:
+            if not source.record():
+                return
+            yield from _record(source, state, step)
+        except Broken as why:
+            yield state | {"error": str(why), "last": True, "data": b""}
+            if not source.resume():
+                return
+
+
+def _record(source: _Source, state: dict, step: int) -> Iterator[dict]:
+    head = _headers(source.until(b"\r\n\r\n", HEAD))
+    kind, declared = head.get("warc-type"), head.get("warc-payload-digest", "")
+    state |= {"record_id": _own(head.get("warc-record-id")), "record_type": kind, "refers_to": _own(head.get("warc-refers-to")), "uri": head.get("warc-target-uri"), "payload_digest": declared.partition(":")[2] or None}
+    if not (length := head.get("content-length", "")).isascii() or not length.isdigit():
+        raise Broken("a record has no length")
+    left, http = int(length), b""
+    if head.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+        source.has(min(left, HEAD))
+        end = source.held.find(b"\r\n\r\n", source.at, source.at + left)
+        if end < 0 and left > HEAD:
+            raise Broken("a head has no end")
+        size = left if end < 0 else end + 4 - source.at
+        http = b"".join(source.take(size, HEAD))
+        left -= size
+    digest = hashlib.sha256()
+    other, wanted = _checked(declared) if kind != "revisit" and "transfer-encoding" not in _headers(http) else (None, None)
+    known = head.get("x-payload-length", "")
+    state["payload_bytes"] = int(known) if known.isascii() and known.isdigit() else left if kind != "revisit" else None
+
+    def row(data: bytes, last: bool) -> dict:
+        wrong = last and other and other.digest() != wanted
+        return state | {"last": last, "data": data, "error": "the payload isn't what its digest is of" if wrong else None}
+
+    if not left:
+        yield row(b"", True)
+    for data in source.take(left, step):
+        digest.update(data)
+        if other:
+            other.update(data)
+        left -= len(data)
+        state |= {"bytes_so_far": state["bytes_so_far"] + len(data), "digest_so_far": digest.hexdigest()}
+        yield row(data, not left)
+        state["chunk_no"] += 1
 
 
 def chunks(manifest: DataFrame, step: int = CHUNK, data: bool = True) -> DataFrame:
-    """The chunk table of a manifest's archives; without ``data`` the bytes are read and digested but not passed on."""
+    """The chunk table of a manifest's archives; without ``data`` the bytes are read and digested but not passed on. Records that
+    cannot be read have rows with an ``error``; those around them are read."""
     schema = arrow_schema(CHUNKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
