@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What opens and closes a turn of each role; any other role is written out.
@@ -60,38 +60,42 @@ def turn_text(role: Column, body: Column) -> tuple[Column, Column]:
 
 
 def chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str | None = "text", parts: str | None = None, loss_role: str = "assistant") -> DataFrame:
-    """One row per conversation: ``conv``, formatted, n_turns, loss (begin, end code-point pairs), attachments, expanded_tokens.
+    """One row per conversation: ``conv``, formatted, n_turns, loss (begin, end code-point pairs), turn_loss (for each turn the begin
+    and end of what is under the mask, from the turn's own begin; null where nothing is), attachments, expanded_tokens.
 
     Messages are ordered by turn, then role, then text: a defined order where turns tie or repeat; nulls come first. A null
     text is empty, a null role is written as an empty one. ``parts`` names an array of ``PART``; else ``text`` is the
     one part. A null conversation id is a conversation. No other column of ``rows`` is read; an empty table gives no
-    rows. A conversation is one value, so its messages meet in one row."""
+    rows. A conversation is one value, so its messages meet in one row; the time that takes follows its length."""
     one = F.struct(F.lit("text").alias("kind"), F.col(text).alias("text"), *[F.lit(None).cast(t).alias(n) for n, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("millis", "int"), ("pages", "int"))]) if text and not parts else None
     content = F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")) if parts else F.array(one)
     body = F.array_join(F.transform(content, visit), "")
     held = F.filter(content, lambda p: F.coalesce(p["kind"].isin(*PLACEHOLDERS), F.lit(False)))
     opens, closes = turn_text(F.coalesce(F.col(role), F.lit("")), body)
     each = rows.select(F.col(conv).alias("conv"), F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), body.alias("body"), opens.alias("opens"), closes.alias("closes"), F.transform(held, lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), part_tokens(p).alias("tokens"))).alias("held")).alias("m"))
-    whole = each.groupBy("conv").agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("spans"))
-
-    def step(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + F.length(m["opens"])
-        end = begin + F.length(m["body"])
-        spans = F.when(m["role"] == loss_role, F.concat(acc["spans"], F.array(begin, end))).otherwise(acc["spans"])
-        return F.struct((end + F.length(m["closes"])).alias("at"), spans.alias("spans"))
-
-    formatted = F.array_join(F.transform("ms", lambda m: F.concat(m["opens"], m["body"], m["closes"])), "")
-    attachments = F.flatten(F.transform("ms", lambda m: m["held"]))
-    out = whole.select("conv", formatted.alias("formatted"), F.size("ms").cast("long").alias("n_turns"), F.aggregate("ms", start, step)["spans"].alias("loss"), attachments.alias("attachments"))
+    length = F.length("m.opens") + F.length("m.body") + F.length("m.closes")
+    before = Window.partitionBy("conv").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
+    placed = each.withColumn("at", F.coalesce(F.sum(length).over(before), F.lit(0)).cast("int"))
+    whole = placed.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("m", "at"))).alias("ms"))
+    begin = lambda t: F.length(t["m"]["opens"])
+    under = lambda t: F.coalesce(t["m"]["role"] == loss_role, F.lit(False))
+    within = lambda t: F.when(under(t), F.struct(begin(t).alias("begin"), (begin(t) + F.length(t["m"]["body"])).alias("end")))
+    spans = F.flatten(F.transform(F.filter("ms", under), lambda t: F.array(t["at"] + begin(t), t["at"] + begin(t) + F.length(t["m"]["body"]))))
+    formatted = F.array_join(F.transform("ms", lambda t: F.concat(t["m"]["opens"], t["m"]["body"], t["m"]["closes"])), "")
+    attachments = F.flatten(F.transform("ms", lambda t: t["m"]["held"]))
+    out = whole.select("conv", formatted.alias("formatted"), F.size("ms").cast("long").alias("n_turns"), spans.alias("loss"), F.transform("ms", within).alias("turn_loss"), attachments.alias("attachments"))
     total = F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
     return out.withColumn("expanded_tokens", total).withColumnRenamed("conv", conv)
 
 
+def pieces_of(formatted: Column) -> Column:
+    """What each turn takes of a formatted conversation, marks included; together they are all of it."""
+    marks = [re.escape(a) + ".*?" + re.escape(b) for a, b in [*TURNS.values(), (OTHER[0], OTHER[2])]]
+    return F.regexp_extract_all(formatted, F.lit("(?s)(" + "|".join(marks) + ")"), F.lit(1))
+
+
 def turns_of(formatted: Column) -> Column:
     """The turns (role, text) of a formatted conversation, unescaped."""
-    marks = [re.escape(a) + r"(.*?)" + re.escape(b) for a, b in TURNS.values()]
-    every = "(?s)(" + "|".join(m.replace("(.*?)", ".*?") for m in [*marks, re.escape(OTHER[0]) + ".*?" + re.escape(OTHER[2])]) + ")"
 
     def read(t: Column) -> Column:
         cut = lambda a, b: unescape(t.substr(F.lit(len(a) + 1), F.length(t) - len(a) - len(b)))
@@ -102,19 +106,19 @@ def turns_of(formatted: Column) -> Column:
             out = F.when(F.startswith(t, F.lit(a)), F.struct(F.lit(role).alias("role"), cut(a, b).alias("text"))).otherwise(out)
         return out
 
-    return F.transform(F.regexp_extract_all(formatted, F.lit(every), F.lit(1)), read)
+    return F.transform(pieces_of(formatted), read)
 
 
-def loss_text(formatted: Column, loss: Column) -> Column:
-    """All text under the mask, unescaped, nothing between."""
-    spans = F.transform(F.sequence(F.lit(0), F.greatest(F.size(loss) / 2 - 1, F.lit(0)).cast("int")), lambda i: F.coalesce(formatted.substr(F.get(loss, 2 * i) + 1, F.get(loss, 2 * i + 1) - F.get(loss, 2 * i)), F.lit("")))
-    return F.array_join(F.transform(spans, unescape), "")
+def loss_text(formatted: Column, turn_loss: Column) -> Column:
+    """All text under the mask, unescaped, nothing between: each turn's is cut from that turn."""
+    both = F.filter(F.arrays_zip(pieces_of(formatted).alias("piece"), turn_loss.alias("span")), lambda t: t["span"].isNotNull())
+    return F.array_join(F.transform(both, lambda t: unescape(t["piece"].substr(t["span"]["begin"] + 1, t["span"]["end"] - t["span"]["begin"]))), "")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"))
-    made = chats(rows).withColumn("said", loss_text(F.col("formatted"), F.col("loss"))).withColumn("turns", turns_of(F.col("formatted")))
+    made = chats(rows).withColumn("said", loss_text(F.col("formatted"), F.col("turn_loss"))).withColumn("turns", turns_of(F.col("formatted")))
     plain = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return made.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(plain, 256).alias("turns_sha256"), F.length("said").cast("long").alias("loss_chars"), F.sha2(F.col("said"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 

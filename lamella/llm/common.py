@@ -73,8 +73,17 @@ def discard(df: DataFrame) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the plan: the bytes of its files when it scans files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The size of what the plan reads: the bytes of all its files, whatever columns it takes of them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def text_partitions(df: DataFrame, text: str, bytes_each: int, least: int = 8) -> int:
+    """How many buckets to deal ``df`` into so that each has the words of about ``bytes_each`` of the texts, and ``least`` at least.
+
+    The texts are measured, which reads that column once: no other column, encoding or estimate has a say."""
+    size = df.agg(F.sum(F.octet_length(F.col(text).cast("binary")).cast("long"))).head()[0] or 0
+    return max(least, -(-size // bytes_each))
 
 
 def partitions_for(df: DataFrame, bytes_each: int, least: int = 8) -> int:
@@ -221,6 +230,12 @@ def word_hashes(texts: Iterable[bytes | None], lower: bool = False) -> tuple[np.
     """64-bit hashes of all words of all texts, and where each text's words begin (one entry more than texts).
 
     A null text has no words. ``lower`` folds A-Z only."""
+    (hashes,), starts = seeded_hashes(texts, (0,), lower)
+    return hashes, starts
+
+
+def seeded_hashes(texts: Iterable[bytes | None], seeds: tuple[int, ...], lower: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    """``word_hashes`` by several hash functions that have nothing to do with each other."""
     words: list[bytes] = []
     starts = [0]
     for text in texts:
@@ -228,11 +243,11 @@ def word_hashes(texts: Iterable[bytes | None], lower: bool = False) -> tuple[np.
             words += (text.lower() if lower else text).split()
         starts.append(len(words))
     if not words:
-        return np.empty(0, np.uint64), np.asarray(starts, np.int64)
+        return [np.empty(0, np.uint64) for _ in seeds], np.asarray(starts, np.int64)
     coded = pa.array(words, type=pa.large_binary()).dictionary_encode()
+    distinct, of = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
     digest = xxhash.xxh3_64_intdigest
-    known = np.fromiter((digest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return known[coded.indices.to_numpy(zero_copy_only=False)], np.asarray(starts, np.int64)
+    return [np.fromiter((digest(w, seed) for w in distinct), np.uint64, len(distinct))[of] for seed in seeds], np.asarray(starts, np.int64)
 
 
 def rolling(words: np.ndarray, k: int, base: int = BASE) -> np.ndarray:

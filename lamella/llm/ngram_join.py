@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, TABLE_BYTES, arrow_schema, components, group_arrow, map_arrow, materialise, mix, partitions_for, rolling, sized, slices, struct, text_key, to_bytes, word_hashes
+from .common import NULL_ID, TABLE_BYTES, arrow_schema, components, group_arrow, map_arrow, materialise, mix, partitions_for, rolling, sized, slices, struct, text_key, text_partitions, to_bytes, word_hashes
 
 #: The fragment that is counted first: this part of the hash range. Must exceed 1 - share to prune; a quarter drops any
 #: class of which over 40 % is its own.
@@ -45,7 +45,8 @@ FRAGMENTS = 4
 COLUMNS = 1 << 16
 #: A shingle in more prefixes than this has its star drawn by a broadcast, if the list of such shingles is small enough.
 HOT = 512
-RANGE_BYTES = 16 << 20
+#: Bytes of text for each range of shingle hashes.
+RANGE_BYTES = 40 << 20
 
 _DEALT = struct("part int, ids binary, ties binary, sizes binary, sigs binary, counts binary, hashes binary")
 _FIRST = struct("id long, tie long, n long, n_first long, sig long, shared long")
@@ -359,7 +360,7 @@ def _counted(cells: DataFrame, share: tuple[int, int], every: bool) -> DataFrame
 def classes(docs: DataFrame, id_col: str, text: str, k: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """Every document with its class (id, tie, n, sig), and the classes that may have partners (sig, n, m, prefix, hashes)."""
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), text_key(text, id_col)[1].alias("tie"))
-    parts = partitions_for(docs.select(id_col, text), RANGE_BYTES)
+    parts = text_partitions(docs, text, RANGE_BYTES)
 
     def deal(share_: float, parts_: int):
         def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

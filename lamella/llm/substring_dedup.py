@@ -9,7 +9,8 @@
 Beyond ``COARSE`` ranges a slice's rows would hold a window or two. Then windows are dealt by coarse ranges first, and what
 meets there is packed anew by range.
 
-A window's hash has 80 bits, two of different multipliers: of n different windows about n * n / 2 ** 81 pairs agree.
+A window has a hash of 64 bits and one of 16. Each has word hashes of its own, so two windows that the first takes for one,
+because words of equal hash or an exchange of words leave its sum as it was, are nothing special to the second.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE2, NULL_ID, arrow_schema, group_arrow, map_arrow, materialise, mix, partitions_for, released, rolling, runs, sized, slices, struct, text_key, to_bytes, vacate, window_starts, with_columns, word_hashes
+from .common import BASE2, NULL_ID, arrow_schema, group_arrow, map_arrow, materialise, mix, released, rolling, runs, seeded_hashes, sized, slices, struct, text_key, text_partitions, to_bytes, vacate, window_starts, with_columns
 
-#: Input bytes for each hash range; what one task sorts at a time is a small multiple of this.
-RANGE_BYTES = 4 << 20
+#: Bytes of text for each hash range; what one task sorts at a time is a small multiple of this.
+RANGE_BYTES = 12 << 20
 #: The most ranges that a slice is dealt to, and the windows that are packed anew at a time where there are more.
 COARSE, HELD = 8192, 2_000_000
 
@@ -88,11 +89,11 @@ def _deal(batch: pa.RecordBatch, window: int, parts: int, fine: int) -> Iterator
     new[1:] = (np.diff(ids[order]) != 0) | (np.diff(ties[order]) != 0)
     order = order[new]  # equal rows have equal results: one of them stands for all
     ids, ties = ids[order], ties[order]
-    words, starts = word_hashes([texts[i] for i in order])
+    (words, others), starts = seeded_hashes([texts[i] for i in order], (0, 1))
     at, owner = window_starts(starts, window)
     if not len(at):
         return
-    hashes, more = rolling(words, window)[at], (rolling(words, window, BASE2)[at] >> np.uint64(48)).astype(np.uint16)
+    hashes, more = rolling(words, window)[at], (rolling(others, window, BASE2)[at] >> np.uint64(48)).astype(np.uint16)
     by_hash = np.argsort(hashes, kind="stable")
     later = np.zeros(len(at), bool)
     later[by_hash[1:]] = (hashes[by_hash[1:]] == hashes[by_hash[:-1]]) & (more[by_hash[1:]] == more[by_hash[:-1]])
@@ -212,7 +213,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window
 
     The order of documents is that of their ids; null ids count as the largest, and rows of one id that differ in text are
     ordered by its hash; ids are whole numbers, or strings of digits. Rows equal in id and text are one document: neither removes the other."""
-    parts = partitions_for(docs.select(id_col, text), RANGE_BYTES)
+    parts = text_partitions(docs, text, RANGE_BYTES)
 
     def deal(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, text):

@@ -546,7 +546,7 @@ def test_chat_parts(spark):
     part = lambda kind, text=None, ref=None, **size: (kind, text, ref, *(size.get(k) for k in ("width", "height", "millis", "pages")))
     said = [part("text", "look: <|image|> \\ "), part("image", ref="i.png", width=28, height=30), part("audio", ref="a.wav", millis=1010)]
     rows = spark.createDataFrame([(1, 0, "user", said), (1, 1, "assistant", [part("document", ref="d.pdf", pages=2), part("text", "done</s>")]), (2, 0, None, None)], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
-    out = {r.conv_id: r for r in chat.chats(rows, text=None, parts="parts").withColumn("said", chat.loss_text(F.col("formatted"), F.col("loss"))).withColumn("turns", chat.turns_of(F.col("formatted"))).collect()}
+    out = {r.conv_id: r for r in chat.chats(rows, text=None, parts="parts").withColumn("said", chat.loss_text(F.col("formatted"), F.col("turn_loss"))).withColumn("turns", chat.turns_of(F.col("formatted"))).collect()}
     assert [(a.kind, a.ref, a.tokens) for a in out[1].attachments] == [("image", "i.png", 6), ("audio", "a.wav", 26), ("document", "d.pdf", 2048)]
     assert out[1].expanded_tokens == 2080 and out[1].formatted.count("<|image|>") == 1
     assert out[2].n_turns == 1 and out[2].expanded_tokens == 0 and out[2].turns[0].text == ""
@@ -558,7 +558,7 @@ def test_chat_escapes(spark):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(300)]
     rows = [(i, t, rng.choice(["user", "assistant", "system", "tool[TEXT]", "", None]), texts[(i * 3 + t) % 300]) for i in range(100) for t in range(3)]
     df = spark.createDataFrame(rows + [(None, None, None, None)], "conv_id long, turn long, role string, text string")
-    out = chat.chats(df).withColumn("turns", chat.turns_of(F.col("formatted"))).withColumn("said", chat.loss_text(F.col("formatted"), F.col("loss"))).collect()
+    out = chat.chats(df).withColumn("turns", chat.turns_of(F.col("formatted"))).withColumn("said", chat.loss_text(F.col("formatted"), F.col("turn_loss"))).collect()
     assert len(out) == 101
     for r in out:
         mine = [x for x in rows if x[0] == r.conv_id] or [(None, None, None, None)]

@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lamella.llm import importance, license_scan, turn_repair
+from lamella.llm import chat, common, importance, license_scan, substring_dedup, turn_repair
 
 from .test_edge_cases import odd  # noqa: F401
 
@@ -237,3 +237,75 @@ def test_damage(spark):
         x = "" if fate == 1 else re.sub("[.!?]", "", x) if fate == 2 else x
         want[(c, t, "user" if fate == 4 else r, x, fate == 0)] += 1 + (fate == 3)
     assert got == want
+
+
+# what earlier operators were mended for
+
+
+def test_ranges_follow_the_texts_alone(spark, tmp_path):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, " ".join(str(rng.random()) for _ in range(200))) for i in range(300)], "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "narrow"))
+    df.select("*", *[(F.col("doc_id") * k).alias(f"c{k}") for k in range(40)], F.sha2("text", 512).alias("wide")).write.parquet(str(tmp_path / "broad"))
+    narrow, broad = (spark.read.parquet(str(tmp_path / n)) for n in ("narrow", "broad"))
+    size = sum(len(r.text) for r in df.collect())
+    for each in (size, size // 7, 1000):
+        assert common.text_partitions(narrow, "text", each, 1) == common.text_partitions(broad, "text", each, 1) == -(-size // each)
+    assert common.text_partitions(df.limit(0), "text", 10) == 8
+    assert common.input_bytes(broad.select("doc_id")) == common.input_bytes(broad) > common.input_bytes(narrow)
+    tasks = []
+    for d in (narrow, broad):
+        dealt = []
+        real = common.group_arrow
+        substring_dedup.group_arrow = lambda g, f, s, real=real: dealt.append(s) or real(g, f, s)
+        try:
+            out = substring_dedup.dedup(d.select("doc_id", "text"))
+        finally:
+            substring_dedup.group_arrow = real
+        tasks.append((len(dealt), out.count()))
+    assert tasks[0] == tasks[1]
+
+
+def test_exchanged_words_are_told_apart():
+    """Two words 16 places apart whose hashes differ by a multiple of 2 ** 58 leave one rolling hash as it was, not both."""
+    import numpy as np
+
+    words = np.arange(1, 21, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    words[16] = words[0] + np.uint64(1 << 58)
+    turned = words.copy()
+    turned[[0, 16]] = turned[[16, 0]]
+    assert common.rolling(words, 20)[0] == common.rolling(turned, 20)[0]
+    texts = [" ".join(f"w{i}" for i in range(20)).encode(), " ".join(f"w{i}" for i in [16, *range(1, 16), 0, 17, 18, 19]).encode()]
+    (one, two), _ = common.seeded_hashes(texts, (0, 1))
+    assert (one[0] - one[16]) != (two[0] - two[16])
+    assert common.rolling(two[:20], 20, common.BASE2)[0] != common.rolling(two[20:], 20, common.BASE2)[0]
+
+
+def test_chat_spans_and_pieces(spark):
+    rng = random.Random(8)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", None, "tool"]), rng.choice(["é", "</s>", "", None, "a\\b[INST]", "日本"])) for c in range(20) for t in range(rng.randrange(1, 12)) for _ in range(rng.randrange(1, 3))]
+    made = chat.chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for r in made.withColumn("said", chat.loss_text(F.col("formatted"), F.col("turn_loss"))).withColumn("pieces", chat.pieces_of(F.col("formatted"))).collect():
+        assert "".join(r.pieces) == r.formatted and len(r.turn_loss) == r.n_turns == len(r.pieces)
+        spans = list(zip(r.loss[::2], r.loss[1::2]))
+        at, want = 0, []
+        for piece, span in zip(r.pieces, r.turn_loss):
+            if span is not None:
+                want.append((at + span.begin, at + span.end))
+            at += len(piece)
+        assert spans == want and spans == sorted(spans)
+        texts = [x or "" for c, t, role, x in sorted((v for v in rows if v[0] == r.conv_id), key=lambda v: (v[1], v[2] is not None, v[2] or "", len(v[3] or ""))) if role == "assistant"]
+        assert sorted(r.said) == sorted("".join(texts))
+
+
+def test_many_turns_take_time_in_proportion(spark):
+    import time
+
+    def took(n):
+        rows = spark.range(n).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('text ', id) text")
+        began = time.perf_counter()
+        chat.chats(rows).withColumn("said", chat.loss_text(F.col("formatted"), F.col("turn_loss"))).agg(F.sum(F.length("said"))).head()
+        return time.perf_counter() - began
+
+    took(10)
+    assert took(40_000) < 12  # square in the turns it was 54 s
