@@ -1,10 +1,12 @@
 """Licence scans by a positional index of rare words, in DataFrame functions only.
 
 Every licence template is a run of words. The index holds, for each template, the half of its words that are rarest among the
-documents (highest IDF) and the words of its mandatory phrases, each with its position. A file's words that the index has are
-looked up; a posting at position q that meets the word at p speaks for the template lying at p - q. What speaks for one place
-is summed, so a template is found where enough of its rare words stand at the right distances from each other and all of its
-mandatory phrases stand there whole.
+documents (highest IDF), each with its position. A file's words that the index has are looked up; a posting at position q that
+meets the word at p speaks for the template lying at p - q. What speaks for one place is summed: where enough of a template's
+rare words stand at the right distances from each other, its mandatory phrases are looked for, and it is found if all of them
+stand there whole. Common words are looked at in the files alone that have come so far.
+
+Texts are read once: the places of all words of all templates are written, and what is rare is counted from them.
 
 Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z are lowered.
 """
@@ -92,25 +94,24 @@ def _places(words: str, at: str, phrase: str) -> Column:
     return F.filter(at, lambda p: reduce(Column.__and__, [F.coalesce(F.get(F.col(words), p + i) == w, F.lit(False)) for i, w in enumerate(wanted)]))
 
 
-def rarity(docs: DataFrame, text: str, vocabulary: Sequence[str]) -> dict[str, int]:
-    """The IDF of each word of ``vocabulary`` over all of ``docs``, in thousandths, 1 at least: as many numbers as the templates have words."""
-    held = docs.select(F.array_distinct(F.filter(words_of(F.col(text)), lambda w: w.isin(*vocabulary))).alias("ws"))
-    counts = held.select(F.explode(F.array_append("ws", F.lit(""))).alias("w")).groupBy("w").count()  # "": every document
+def rarity(hits: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
+    """The IDF of each word of ``vocabulary`` over all rows of ``hits`` (ws: a row's words of the vocabulary), in thousandths, 1 at
+    least: as many numbers as the templates have words."""
+    counts = hits.select(F.explode(F.array_append(F.array_distinct("ws"), F.lit(""))).alias("w")).groupBy("w").count()  # "": every row
     df = {r["w"]: r["count"] for r in counts.collect()}
     return {w: math.floor(1000 * math.log((df.get("", 0) + 1) / (df.get(w, 0) + 1))) + 1 for w in vocabulary}
 
 
-def index(templates: Sequence[Template], idf: dict[str, int]) -> list[tuple[str, int, int, str, int, bool, int, int]]:
-    """Postings (word, template, position, label, idf, mandatory, total, needed): a template's rarer half and its mandatory words,
-    with the template's summed IDF and its number of mandatory words."""
+def index(templates: Sequence[Template], idf: dict[str, int]) -> list[tuple[str, int, int, str, int, int, int]]:
+    """Postings (word, template, position, label, idf, total, needed) of each template's rarer half, with the summed IDF of all of
+    the template's and the number of its mandatory words."""
     out = []
     for n, t in enumerate(templates):
         every = t.postings()
         distinct = sorted({w for w, _, _ in every}, key=lambda w: (-idf[w], w))
         rare = set(distinct[: -(-len(distinct) // 2)])
-        held = [(w, q, m) for w, q, m in every if m or w in rare]
-        total, needed = sum(idf[w] for w, _, _ in held), sum(m for _, _, m in held)
-        out += [(w, n, q, t.label, idf[w], m, total, needed) for w, q, m in held]
+        total, needed = sum(idf[w] for w, _, _ in every if w in rare), sum(m for _, _, m in every)
+        out += [(w, n, q, t.label, idf[w], total, needed) for w, q, _ in every if w in rare]
     return out
 
 
@@ -119,7 +120,7 @@ def scan(docs: DataFrame, text: str = "text", templates: Sequence[Template] = TE
 
     n_base counts the places of ``phrases``, first_word and last_word are the smallest and largest of them (null if there are
     none), base_labels their labels; labels has those of the templates found too; both are distinct, sorted, comma-joined. score
-    is the greatest share of a found template's IDF that stands in place, 0 where none is found.
+    is the greatest share of a found template's rare words, by IDF, that stands in place, 0 where none is found.
 
     A null or empty text has no words and no label; equal rows are judged alike, each as a row of its own; columns of ``docs``
     named as a result are replaced; an empty table gives no rows. A text of any length is one row's array of words; what it has
@@ -129,8 +130,7 @@ def scan(docs: DataFrame, text: str = "text", templates: Sequence[Template] = TE
     results = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     kept = [f.name for f in others(docs, (*results, text))]
     vocabulary = sorted({w for t in templates for w in t.text.split()})
-    postings = index(templates, rarity(docs, text, vocabulary))
-    wanted = sorted({w for p in phrases for w in p.split()} | {r[0] for r in postings})
+    wanted = sorted({w for p in phrases for w in p.split()} | set(vocabulary))
     rows = docs.select(*kept, words_of(F.col(text)).alias("_lamella_ws"))
     rows = rows.withColumn("_lamella_at", F.array_compact(F.transform("_lamella_ws", lambda w, i: F.when(w.isin(*wanted), i))))
     places = {p: _places("_lamella_ws", "_lamella_at", p) for p in phrases}
@@ -138,7 +138,6 @@ def scan(docs: DataFrame, text: str = "text", templates: Sequence[Template] = TE
     found = [f"_lamella_p{i}" for i in range(len(phrases))]
     every = F.concat(*found) if found else F.array().cast("array<int>")
     labels = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(label)) for c, label in zip(found, phrases.values(), strict=True)])))) if found else F.array().cast("array<string>")
-    hits = F.transform("_lamella_at", lambda p: F.struct(p.alias("p"), F.get(F.col("_lamella_ws"), p).alias("w")))
     base = rows.select(
         *kept,
         F.monotonically_increasing_id().alias("_lamella_row"),
@@ -147,17 +146,23 @@ def scan(docs: DataFrame, text: str = "text", templates: Sequence[Template] = TE
         F.array_min(every).cast("long").alias("first_word"),
         F.array_max(every).cast("long").alias("last_word"),
         labels.alias("_lamella_base"),
-        hits.alias("_lamella_hits"),
+        "_lamella_at",
+        F.transform("_lamella_at", lambda p: F.get(F.col("_lamella_ws"), p)).alias("_lamella_hit"),
     )
     base = materialise(base, "words")  # written: a row's number stays what it is
+    postings = index(templates, rarity(base.select(F.col("_lamella_hit").alias("ws")), vocabulary))
     if not postings:
         made = base.withColumn("_lamella_labels", F.array().cast("array<string>")).withColumn("score", F.lit(0.0))
     else:
-        values = ", ".join(f"('{w}', {t}, {q}, '{label}', {i}L, {int(m)}, {total}L, {needed})" for w, t, q, label, i, m, total, needed in postings)
-        held = F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS v(w, t, q, label, idf, must, total, needed)"))
-        spoken = base.select("_lamella_row", F.inline("_lamella_hits")).join(held, "w")
-        aligned = spoken.groupBy("_lamella_row", "t", (F.col("p") - F.col("q")).alias("place")).agg(F.max("label").alias("label"), F.sum("idf").alias("got"), F.sum("must").alias("musts"), F.max("total").alias("total"), F.max("needed").alias("needed"))
-        good = aligned.where((F.col("musts") == F.col("needed")) & (F.col("got") >= F.col("total") * enough))
+        table = lambda values, names: F.broadcast(spark.sql(f"SELECT * FROM VALUES {', '.join(values)} AS v({names})"))  # noqa: E731  as long as the templates
+        hits = base.select("_lamella_row", F.inline(F.arrays_zip(F.col("_lamella_at").alias("p"), F.col("_lamella_hit").alias("w"))))
+        rare = table([f"('{w}', {t}, {q}, '{label}', {i}L, {total}L, {needed}L)" for w, t, q, label, i, total, needed in postings], "w, t, q, label, idf, total, needed")
+        spoken = hits.join(rare, "w").groupBy("_lamella_row", "t", "label", "total", "needed", (F.col("p") - F.col("q")).alias("place")).agg(F.sum("idf").alias("got"))
+        likely = materialise(spoken.where(F.col("got") >= F.col("total") * enough), "likely")
+        must = table([f"('{w}', {n}, {q})" for n, t in enumerate(templates) for w, q, m in t.postings() if m] or ["('', -1, 0)"], "w, t, q")
+        files = sized(materialise(likely.select("_lamella_row").distinct(), "files", 1))
+        standing = hits.join(files, "_lamella_row", "left_semi").join(must, "w").groupBy("_lamella_row", "t", (F.col("p") - F.col("q")).alias("place")).agg(F.count("*").alias("musts"))
+        good = likely.join(standing, ["_lamella_row", "t", "place"], "left").where(F.coalesce("musts", F.lit(0)) == F.col("needed"))
         labelled = materialise(good.groupBy("_lamella_row").agg(F.collect_set("label").alias("_lamella_labels"), F.max(F.col("got") / F.col("total")).alias("score")), "labels")
         made = base.join(sized(labelled), "_lamella_row", "left")
     joined = F.array_sort(F.array_union("_lamella_base", F.coalesce("_lamella_labels", F.array().cast("array<string>"))))
@@ -181,7 +186,7 @@ t(t, label, w, q, must) AS (VALUES {_VALUES}),
 df AS (SELECT w, count(DISTINCT doc_id) AS df FROM e WHERE w IN (SELECT w FROM t) GROUP BY w),
 idf AS (SELECT DISTINCT t.w, CAST(floor(1000 * ln(((SELECT count(*) FROM documents) + 1e0) / (coalesce(df, 0) + 1e0))) + 1 AS BIGINT) AS idf FROM t LEFT JOIN df ON t.w = df.w),
 tw AS (SELECT t, w, row_number() OVER (PARTITION BY t ORDER BY idf DESC, w) AS r, count(*) OVER (PARTITION BY t) AS n FROM (SELECT DISTINCT t, w FROM t) JOIN idf USING (w)),
-held AS (SELECT t.*, idf FROM t JOIN tw USING (t, w) JOIN idf USING (w) WHERE must = 1 OR r <= (n + 1) // 2),
+held AS (SELECT t.*, CASE WHEN r <= (n + 1) // 2 THEN idf ELSE 0 END AS idf FROM t JOIN tw USING (t, w) JOIN idf USING (w)),
 tot AS (SELECT t, sum(idf) AS total, sum(must) AS needed FROM held GROUP BY t),
 al AS (SELECT doc_id, t, label, sum(idf) AS got, sum(must) AS musts FROM e JOIN held USING (w) GROUP BY doc_id, t, label, p - q),
 ok AS (SELECT doc_id, label, CAST(got AS DOUBLE) / CAST(total AS DOUBLE) AS score FROM al JOIN tot USING (t) WHERE musts = needed AND got >= total * CAST({ENOUGH} AS DOUBLE)),
