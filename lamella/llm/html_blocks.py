@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Container
+from functools import cache
 from html import unescape
 
 # tags with few and short quoted values as a whole; of others only the name, _tag_end finds where they end
@@ -24,6 +25,8 @@ RAW = frozenset("script style noscript template iframe svg title textarea select
 _LITERAL = frozenset("script style title textarea iframe".split())
 #: A start tag ends an open element of these, up to the nearest container.
 _ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
+#: Elements that say of a text how it is set, not what it is for.
+PLAIN = frozenset("html body p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre hr center font".split())
 _CONTAINERS = frozenset("ul ol dl table div section article main aside nav header footer form body blockquote".split())
 
 
@@ -49,6 +52,30 @@ def _named(tag: str, attributes: str) -> set[str]:
     return {f"in {tag}", *(f"name {x}" for x in names)}
 
 
+def _element_end(lower: str, tag: str, at: int, unbalanced: set[str]) -> int:
+    """Where the end tag of an element without text of the page begins, -1 if there is none. Those of its own kind inside it end first;
+    where they never all end (``unbalanced`` then remembers it for the page), the next end tag does."""
+    if tag not in _LITERAL and tag not in unbalanced:
+        depth = 1
+        for m in _edges(tag).finditer(lower, at):
+            depth += -1 if m[1] else not m[2].endswith("/")
+            if not depth:
+                return m.start()
+        unbalanced.add(tag)
+    m = _close(tag).search(lower, at)
+    return m.start() if m else -1
+
+
+@cache
+def _edges(tag: str) -> re.Pattern:
+    return re.compile(rf"<(/?){tag}(?=[\s/>]|$)([^>]*)")
+
+
+@cache
+def _close(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>]|$)")
+
+
 def _tag_end(html: str, at: int, dead: set[int | str]) -> int:
     """Where a tag ends whose name ends at ``at``: after the first ``>`` outside quotes, or the first of all if quotes don't close.
 
@@ -69,14 +96,15 @@ def _tag_end(html: str, at: int, dead: set[int | str]) -> int:
     return html.find(">", at) + 1 or len(html)
 
 
-def leaf_blocks(html: str, vocabulary: Container[str] | None = None) -> list[Block]:
+def leaf_blocks(html: str, vocabulary: Container[str] | None = None, met: set[str] | None = None) -> list[Block]:
     """The blocks with text, in page order: character references decoded, white space runs as one space, trimmed.
 
-    Inherited features are those in ``vocabulary``. Elements that add none share their parent's set, so with a vocabulary a
+    ``met`` gets the features of all elements of the page. Inherited features are those in ``vocabulary``. Elements that add none share their parent's set, so with a vocabulary a
     page of any depth takes time and memory in proportion to its length."""
     out: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
     endless: set[str] = set()
+    unbalanced: set[str] = set()
     opened: Counter[str] = Counter()
     texts: list[str] = []
     links = linked = 0
@@ -119,7 +147,7 @@ def leaf_blocks(html: str, vocabulary: Container[str] | None = None) -> list[Blo
             if lower is None:
                 lower = html.lower() if len(html.lower()) == len(html) else re.sub("[A-Z]+", lambda x: x[0].lower(), html)
             if tag in _LITERAL or tag not in ("head",):
-                to = -1 if tag in endless else lower.find(f"</{tag}", at)
+                to = -1 if tag in endless else _element_end(lower, tag, at, unbalanced)
                 if to < 0:
                     endless.add(tag)
                 # an element that never ends: literal text runs to the end, others are taken as empty
@@ -156,6 +184,8 @@ def leaf_blocks(html: str, vocabulary: Container[str] | None = None) -> list[Blo
                     pop()
         above = stack[-1][1] if stack else frozenset()
         more = {f for f in _named(tag, attributes) if f not in above and (vocabulary is None or f in vocabulary)}
+        if met is not None:
+            met |= _named(tag, attributes)
         stack.append((tag, above | more if more else above))
         opened[tag] += 1
         links = 0

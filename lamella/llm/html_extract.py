@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import struct, to_bytes, with_columns
-from .html_blocks import features, leaf_blocks
+from .html_blocks import PLAIN, features, leaf_blocks
 from .labelled_pages import labelled_page
 
 PAGES, EPOCHS, RATE, RIDGE = 1500, 30, 0.05, 1e-3
@@ -128,15 +128,24 @@ def trained(pages: int = PAGES, epochs: int = EPOCHS, first: int = 0) -> Model:
     return Model({n: float(w[i]) for n, i in names.items()}, tuple(map(tuple, moves.tolist())))
 
 
+_PLAIN = {f"in {tag}" for tag in PLAIN}
+
+
 def main_text(model: Model, html: str | None) -> str:
-    blocks = leaf_blocks(html or "", model.weights)
-    return " ".join(b.text for b, y in zip(blocks, model.label(features(blocks)), strict=True) if y)
+    """The blocks that the chain labels main. Where it labels none, and the page has no element but ``PLAIN`` ones without names,
+    nothing sets menus and notices apart from an article: then all blocks are main of which less than half is linked."""
+    met: set[str] = set()
+    blocks = leaf_blocks(html or "", model.weights, met)
+    chosen = [b.text for b, y in zip(blocks, model.label(features(blocks)), strict=True) if y]
+    if not chosen and met <= _PLAIN:
+        chosen = [b.text for b in blocks if 2 * b.linked < len(b.text)]
+    return " ".join(chosen)
 
 
 def extract(pages: DataFrame, html: str = "html", model: Model | None = None) -> DataFrame:
     """``pages`` with main_text; an input column of that name is replaced.
 
-    A null or empty page has an empty text; equal pages have equal texts; bytes that aren't UTF-8 become U+FFFD. The whole
+    A page without any container has what ``main_text`` says; a null or empty page has an empty text; equal pages have equal texts; bytes that aren't UTF-8 become U+FFFD. The whole
     page is read, whatever its length or depth; an empty table gives no rows."""
     fitted = model or trained()
 
