@@ -31,7 +31,8 @@ _DELTA = struct("source string, lang string, tokenizer string, n_docs long, n_to
 def signed(changes: DataFrame) -> DataFrame:
     """Signed rows of ``changes``: op (insert, delete, revise), source, lang, tokenizer, tokens, and old_tokens for revisions.
 
-    Null counts are 0; a null source, language or tokenizer is a group of its own; a row of another op changes nothing."""
+    Null counts are 0; a null source, language or tokenizer is a group of its own; a row of another op changes nothing; other
+    columns of ``changes`` are left out, whatever their names; without rows there are none."""
     new, old = F.coalesce("tokens", F.lit(0)), F.coalesce(F.col("old_tokens"), F.lit(0)) if "old_tokens" in changes.columns else F.lit(0)
     docs = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).otherwise(0).cast("long")
     tokens = F.when(F.col("op") == "insert", new).when(F.col("op") == "delete", -new).when(F.col("op") == "revise", new - old).otherwise(0).cast("long")
@@ -55,7 +56,8 @@ class Rollup:
         return batch in winners or any(batch in r["covers"] for r in live)
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Add a batch of changes; False, and nothing changed, if the batch is in already."""
+        """Add a batch of changes; False, and nothing changed, if the batch is in already. An empty batch is in afterwards, too, and
+        changes nothing."""
         return not self.committed(batch) and self._publish(batch, _summed(signed(changes)), [], [])
 
     def _publish(self, name: str, delta: DataFrame, folds: list[str], covers: list[str]) -> bool:

@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lamella.llm import chat, common, importance, license_scan, substring_dedup, turn_repair
+from lamella.llm import chat, common, importance, license_scan, substring_dedup, token_counts, turn_repair
 
 from .test_edge_cases import odd  # noqa: F401
 
@@ -309,3 +309,13 @@ def test_many_turns_take_time_in_proportion(spark):
 
     took(10)
     assert took(40_000) < 12  # square in the turns it was 54 s
+
+
+def test_empty_batches_and_other_columns(spark):
+    rollup = token_counts.Rollup(spark, common.scratch_path(spark, "rollup"))
+    rows = spark.createDataFrame([("insert", "a", "en", "t", 5), ("insert", None, "en", "t", None), ("other", "a", "en", "t", 9)], "op string, source string, lang string, tokenizer string, tokens long")
+    for c in ("n_docs", "N_TOKENS", "attempt", "old"):
+        rows = rows.withColumn(c, F.lit(77))
+    assert rollup.commit("one", rows) and rollup.commit("none", rows.limit(0)) and not rollup.commit("none", rows)
+    got = {(r.source, r.lang, r.tokenizer, r.n_docs, r.n_tokens) for r in rollup.totals().collect() if r.n_docs or r.n_tokens}
+    assert got == {("a", "en", "t", 1, 5), (None, "en", "t", 1, 0)}
