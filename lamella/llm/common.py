@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Odd multipliers of the rolling hashes; powers of them have an inverse modulo 2**64.
-BASE, BASE2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+#: Multiplier of the rolling hash modulo 2**64: odd, so its powers have an inverse.
+BASE = 0x9E3779B97F4A7C15
+#: Modulus and multiplier of the second one: a prime, so that nothing but chance makes sums agree; products fit in 64 bits.
+PRIME, BASE2 = (1 << 31) - 1, 0x5851F42D
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -266,6 +268,24 @@ def rolling(words: np.ndarray, k: int, base: int = BASE) -> np.ndarray:
         return mix((prefix[k:] - prefix[:n]) * inverse)
 
 
+def _residues(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo ``PRIME``."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate((out, out * np.uint64(pow(base, len(out), PRIME)) % np.uint64(PRIME)))
+    return out[:n]
+
+
+def rolling_prime(words: np.ndarray, k: int) -> np.ndarray:
+    """``rolling`` modulo ``PRIME``; sums of residues stay below 2**64 for fewer than 2**33 words."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    prime = np.uint64(PRIME)
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words % prime * _residues(BASE2, len(words)) % prime, dtype=np.uint64)))
+    return mix((prefix[k:] - prefix[:n]) % prime * _residues(pow(BASE2, -1, PRIME), n) % prime)
+
+
 def window_starts(starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which a ``k``-word window of one text begins, and the text of each."""
     lengths = np.maximum(np.diff(starts) - k + 1, 0)
@@ -280,25 +300,33 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", parts: int | None = None) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", parts: int | None = None, limit: int | None = None) -> DataFrame:
     """Connected components: one row (node, component) for each node of an edge, the component named by its smallest node.
 
     Labels start as the smallest neighbour. Each round hands every node the smallest label around it and then the label of
     that label (pointer jumping), so the rounds grow with the logarithm of a path. A round is two joins and two sums of minima
-    on narrow rows, written to the shared folder; only the count of changed labels reaches the driver. Nulls in ``edges`` are
-    ignored, an empty input gives no rows. ``parts``: by how many tasks the edges are written."""
+    on narrow rows, written to the shared folder; only the count of changed labels reaches the driver. Labels of more than
+    ``limit`` bytes are joined by shuffles, in which the edges of a hub, and the nodes that its label has reached, are dealt to
+    many tasks. Nulls in ``edges`` are ignored, an empty input gives no rows. ``parts``: by how many tasks the edges are written."""
     # written first: a spanning forest may come out otherwise when it is worked out again, and both directions must agree
     both = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null"), "links", parts)
     parts = partitions_for(both, TABLE_BYTES, 1)
     both = materialise(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges", parts)
-    labels = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("l")), "labels", parts)
+    first = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("l"), F.count("*").alias("rows")), "labels", parts)
+    limit = BROADCAST_BYTES if limit is None else limit
+    labels, degrees = first.select("u", "l"), first.select(F.col("u").alias("v"), "rows")
+    large, former = held_bytes(labels) > limit, None
     while True:
-        around = both.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
+        nearest = labels.select(F.col("u").alias("v"), "l")
+        around = (spread_join(both, nearest, ["v"], limit=limit, counts=degrees) if large else both.join(nearest, "v")).groupBy("u").agg(F.min("l").alias("m"))
         nearer = labels.join(around, "u").select("u", "l", F.least("l", "m").alias("m"))
         jump = labels.select(F.col("u").alias("m"), F.col("l").alias("j"))
-        step = materialise(nearer.join(jump, "m", "left").select("u", F.least("m", "j").alias("n"), "l"), "labels", parts)
+        joined = spread_join(materialise(nearer, "nearer", parts), jump, ["m"], "left", limit) if large else nearer.join(jump, "m", "left")
+        step = materialise(joined.select("u", F.least("m", "j").alias("n"), "l"), "labels", parts)
         changed = step.where("n < l").limit(1).count()
-        discard(labels)
+        if former is not None:
+            discard(former)
+        former = step
         labels = step.select("u", F.col("n").alias("l"))
         if not changed:
             return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))
@@ -306,8 +334,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", parts: int | None =
 
 #: Texts are worked on in slices of at most this many bytes (a longer text alone), so a task's memory doesn't follow its input.
 SLICE_BYTES = 2 << 20
-#: A side up to this many bytes on disk is broadcast; a larger one is joined by a shuffle.
-BROADCAST_BYTES = 16 << 20
+#: A side up to this many bytes in memory is broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 #: Bytes on disk that a task writes of a narrow table.
 TABLE_BYTES = 8 << 20
 #: What a null id counts as where ids are ordered: it comes after every other.
@@ -325,27 +353,58 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         at = to
 
 
-def written_bytes(df: DataFrame) -> int:
-    """Bytes on disk of a table that ``materialise`` returned."""
-    return input_bytes(df)
+def _width(kind: T.DataType, col):
+    """What a value holds beyond its field's eight bytes."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.octet_length(col.cast("binary")).cast("long")
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, T.StringType | T.BinaryType | T.ArrayType | T.StructType):
+            return F.aggregate(col, F.lit(8).cast("long"), lambda total, x: total + 8 + F.coalesce(_width(inner, x), F.lit(0)))
+        return 8 + F.size(col).cast("long") * (4 if isinstance(inner, T.IntegerType | T.FloatType) else 8)
+    if isinstance(kind, T.StructType):
+        return sum((8 + F.coalesce(_width(f.dataType, col[f.name]), F.lit(0)) for f in kind.fields), F.lit(16).cast("long"))
+    return F.lit(0).cast("long")
+
+
+def held_bytes(df: DataFrame) -> int:
+    """What the rows of a written table take in memory: all of them counted, and their texts and arrays measured. Compression
+    and estimates have no say."""
+    fixed = 32 + 8 * len(df.columns)
+    return df.agg(F.sum(sum((F.coalesce(_width(f.dataType, F.col(f.name)), F.lit(0)) for f in df.schema.fields), F.lit(fixed).cast("long")))).head()[0] or 0
+
+
+def sized(side: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast up to ``BROADCAST_BYTES`` of its rows; else it is left to a shuffled join."""
+    return F.broadcast(side) if held_bytes(side) <= BROADCAST_BYTES else side
+
 
+#: Tasks that a hot key's rows are dealt to where the other side is too large for a broadcast, and the rows that make one hot.
+SALTS, HOT_ROWS = 64, 1_000_000
 
-def sized(side: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A written table, marked for broadcast if its files have at most ``limit`` bytes; else it is left to a shuffled join."""
-    return F.broadcast(side) if written_bytes(side) <= limit else side
 
+def hot_keys(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Of written counts (``keys``, rows): the keys of more than ``HOT_ROWS`` rows and more than a 65536th of all rows counted, so
+    that there are fewer than 65536 of them however large the input is."""
+    total = counts.agg(F.sum("rows")).head()[0] or 0
+    return counts.where(F.col("rows") > max(HOT_ROWS, total >> 16)).select(*keys)
 
-#: Tasks that one key's rows are dealt to by ``spread_join`` where its other side is too large for a broadcast.
-SALTS = 64
 
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", limit: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Rows with what ``side`` (written, one row for each key) has for their key: by a broadcast, or by a shuffle if ``side`` is larger.
 
-def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Rows with what ``side`` (written, one row for each key) has for their key: by broadcast, or by a shuffle that deals each
-    key's rows to ``SALTS`` tasks, whichever the size of ``side`` asks for."""
-    if written_bytes(side) <= limit:
+    In the shuffle, rows of a hot key are dealt to ``SALTS`` tasks by a hash of their other columns, and its row of ``side`` goes to
+    each; all other keys move once. ``counts`` (written; ``keys`` and rows, how many rows have the key) saves counting ``rows``."""
+    if held_bytes(side) <= (BROADCAST_BYTES if limit is None else limit):
         return rows.join(F.broadcast(side), keys, how)
-    salted = side.withColumn("_lamella_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = rows.withColumn("_lamella_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.lit(SALTS)).cast("int"))
+    if counts is None:
+        counts = materialise(rows.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") > HOT_ROWS), "hot-keys", 1)
+    many = F.broadcast(hot_keys(counts, keys).withColumn("_lamella_hot", F.lit(True)))
+    others_ = [c for c in rows.columns if c not in keys]
+    salt = F.when(F.col("_lamella_hot"), F.pmod(F.xxhash64(*others_), F.lit(SALTS)) if others_ else F.lit(0)).otherwise(0).cast("int")
+    dealt = rows.join(many, keys, "left").withColumn("_lamella_salt", salt).drop("_lamella_hot")
+    each = F.when(F.col("_lamella_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = side.join(many, keys, "left").withColumn("_lamella_salt", F.explode(each)).drop("_lamella_hot")
     return dealt.join(salted, [*keys, "_lamella_salt"], how).drop("_lamella_salt")
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, TABLE_BYTES, arrow_schema, components, group_arrow, map_arrow, materialise, mix, partitions_for, rolling, sized, slices, struct, text_key, text_partitions, to_bytes, word_hashes
+from .common import NULL_ID, TABLE_BYTES, arrow_schema, components, group_arrow, map_arrow, materialise, mix, partitions_for, rolling, sized, slices, spread_join, struct, text_key, text_partitions, to_bytes, word_hashes
 
 #: The fragment that is counted first: this part of the hash range. Must exceed 1 - share to prune; a quarter drops any
 #: class of which over 40 % is its own.
@@ -385,11 +385,15 @@ def classes(docs: DataFrame, id_col: str, text: str, k: int, share: tuple[int, i
 def _stars(found: DataFrame, parts: int) -> DataFrame:
     """Edges (a, b) from each class to the smallest one that shares a prefix shingle, for every such shingle.
 
-    Frequent shingles are few; their smallest classes are broadcast, so that none gathers its classes in one task."""
+    The smallest classes of frequent shingles are broadcast, or, where those are too many, a hot shingle's classes are dealt to
+    many tasks: none gathers its classes in one."""
     prefix = found.select("sig", F.explode("prefix").alias("h"))
     hubs = materialise(prefix.groupBy("h").agg(F.min("sig").alias("b"), F.count("*").alias("c")).where("c > 1"), "hubs", parts)
-    hot = materialise(hubs.where(F.col("c") > HOT).select("h", "b"), "hot", parts)
-    near = prefix.join(sized(hot), "h").unionByName(prefix.join(sized(hot), "h", "left_anti").join(hubs.where(F.col("c") <= HOT).select("h", "b"), "h"))
+    hot = materialise(hubs.where(F.col("c") > HOT), "hot", parts)
+    counts = hot.select("h", F.col("c").alias("rows"))
+    often = spread_join(prefix, hot.select("h", "b"), ["h"], counts=counts)
+    rest = spread_join(prefix, hot.select("h"), ["h"], "left_anti", counts=counts).join(hubs.where(F.col("c") <= HOT).select("h", "b"), "h")
+    near = often.unionByName(rest)
     return near.select(F.col("sig").alias("a"), "b").where("a <> b").distinct()
 
 
@@ -399,13 +403,15 @@ def links(found: DataFrame, share: tuple[int, int], every: bool = False) -> Data
     groups = components(_stars(found, parts), parts=parts)
     named = materialise(found.join(groups.select(F.col("node").alias("sig"), F.col("component").alias("cc")), "sig"), "groups", parts)
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("m") * 8 / BLOCK_BYTES)).cast("int")
-    large = materialise(named.groupBy("cc").agg(blocks.alias("blocks")).where("blocks > 1"), "large", parts)
-    small = named.join(sized(large), "cc", "left_anti").select("cc", "sig", "n", "hashes", "prefix")
+    large = materialise(named.groupBy("cc").agg(blocks.alias("blocks"), F.count("*").alias("rows")).where("blocks > 1"), "large", parts)
+    counts = large.select("cc", "rows")
+    large = large.select("cc", "blocks")
+    small = spread_join(named, large, ["cc"], "left_anti", counts=counts).select("cc", "sig", "n", "hashes", "prefix")
     small = small.repartition(partitions_for(named, BLOCK_BYTES), "cc").sortWithinPartitions("cc", "sig")
     cells = small.mapInArrow(lambda it: _small(it, share), _CELL)
     if not large.limit(1).count():
         return _counted(materialise(cells, "cells", parts), share, every)
-    whole = named.join(sized(large), "cc").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    whole = spread_join(named, large, ["cc"], counts=counts).withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     main, near = F.lit(False), None
     if not every:
         key = ("cc", "own", "sig", "n", "hashes")
@@ -431,11 +437,15 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     """One row for each document: id and tie (its key), n, sig, and the key ``first`` of its component's first document."""
     members, found = classes(docs, id_col, text, k, share)
     groups = components(links(found, share))
-    named = members.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "tie")).alias("first")).join(groups.withColumnRenamed("node", "sig"), "sig", "left")
-    group = F.coalesce("component", "sig")
-    least = named.groupBy(group.alias("g")).agg(F.min("first").alias("first"))
-    by_class = materialise(named.select("sig", group.alias("g")).join(least, "g").select("sig", "first"), "components", partitions_for(found, TABLE_BYTES, 1))
-    return members.join(sized(by_class), "sig", "left").withColumn("first", F.when(F.col("n") > 0, F.col("first")).otherwise(F.struct("id", "tie")))
+    parts = partitions_for(found, TABLE_BYTES, 1)
+    own = members.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "tie")).alias("first"))
+    named = own.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "first", F.coalesce("component", "sig").alias("g"))
+    named = materialise(named, "named", parts)
+    # classes without links are their own group: only the others' first documents have to meet
+    least = materialise(named.groupBy("g").agg(F.min("first").alias("least"), F.count("*").alias("rows")).where("rows > 1"), "least", parts)
+    by_class = spread_join(named, least.select("g", "least"), ["g"], "left", counts=least.select("g", "rows"))
+    by_class = materialise(by_class.select("sig", F.coalesce("least", "first").alias("first")), "components", parts)
+    return spread_join(members, by_class, ["sig"], "left").withColumn("first", F.when(F.col("n") > 0, F.col("first")).otherwise(F.struct("id", "tie")))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 3, share: tuple[int, int] = (9, 10)) -> DataFrame:

@@ -7,10 +7,12 @@
 3. The removable windows go back to their documents, where they merge into maximal intervals that are cut from the text.
 
 Beyond ``COARSE`` ranges a slice's rows would hold a window or two. Then windows are dealt by coarse ranges first, and what
-meets there is packed anew by range.
+meets there is packed anew by range, ``HELD`` windows at a time; of those that repeat in a time, only the first goes on. So the
+task of a range gets few entries of a window that all slices have.
 
-A window has a hash of 64 bits and one of 16. Each has word hashes of its own, so two windows that the first takes for one,
-because words of equal hash or an exchange of words leave its sum as it was, are nothing special to the second.
+A window has a hash of 64 bits, a sum modulo 2**64, and 16 bits of another, a sum modulo a prime. Each has word hashes of its
+own, so two windows that the first takes for one, because words of equal hash or an exchange of words leave its sum as it was,
+are nothing special to the second.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE2, NULL_ID, arrow_schema, group_arrow, map_arrow, materialise, mix, released, rolling, runs, seeded_hashes, sized, slices, struct, text_key, text_partitions, to_bytes, vacate, window_starts, with_columns
+from .common import NULL_ID, arrow_schema, group_arrow, map_arrow, materialise, mix, released, rolling, rolling_prime, runs, seeded_hashes, sized, slices, struct, text_key, text_partitions, to_bytes, vacate, window_starts, with_columns
 
 #: Bytes of text for each hash range; what one task sorts at a time is a small multiple of this.
 RANGE_BYTES = 12 << 20
@@ -93,7 +95,7 @@ def _deal(batch: pa.RecordBatch, window: int, parts: int, fine: int) -> Iterator
     at, owner = window_starts(starts, window)
     if not len(at):
         return
-    hashes, more = rolling(words, window)[at], (rolling(others, window, BASE2)[at] >> np.uint64(48)).astype(np.uint16)
+    hashes, more = rolling(words, window)[at], (rolling_prime(others, window)[at] >> np.uint64(48)).astype(np.uint16)
     by_hash = np.argsort(hashes, kind="stable")
     later = np.zeros(len(at), bool)
     later[by_hash[1:]] = (hashes[by_hash[1:]] == hashes[by_hash[:-1]]) & (more[by_hash[1:]] == more[by_hash[:-1]])
@@ -110,8 +112,16 @@ def _deal(batch: pa.RecordBatch, window: int, parts: int, fine: int) -> Iterator
     yield from _batches(found, schema)
 
 
+def _first(h: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Of windows sorted by both hashes: where the first of each one's equals is."""
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (more[1:] != more[:-1])
+    return np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else np.empty(0, np.int64)
+
+
 def _redeal(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Packed rows of coarse ranges, packed anew by ``parts`` ranges; rows without hashes pass."""
+    """Packed rows of coarse ranges, packed anew by ``parts`` ranges without the windows that an earlier place among those held
+    has; rows without hashes pass, and those windows come as such."""
     vacate("")
     schema = arrow_schema(_DEALT)
     held: list[tuple[np.ndarray, ...]] = []
@@ -119,7 +129,19 @@ def _redeal(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
 
     def packed() -> Iterator[pa.RecordBatch]:
         h, more, places, ids, ties = (np.concatenate(x) for x in zip(*held, strict=True))
-        yield from _batches(_packed(_part(h, parts), h, more, places, ids, ties), schema)
+        order = np.lexsort((places, ties, ids, more, h))
+        h, more, places, ids, ties = (x[order] for x in (h, more, places, ids, ties))
+        first = _first(h, more)
+        # a place seen twice (the same row read in two slices) is one place, and goes on
+        later = (ids != ids[first]) | (ties != ties[first]) | (places != places[first])
+        keep = ~later
+        yield from _batches(_packed(_part(h[keep], parts), h[keep], more[keep], places[keep], ids[keep], ties[keep]), schema)
+        ids, ties, places = ids[later], ties[later], places[later]
+        order = np.lexsort((places, ties, ids))
+        ids, ties, places = ids[order], ties[order], places[order].astype("<i4")
+        edges = np.flatnonzero((np.diff(ids) != 0) | (np.diff(ties) != 0)) + 1
+        owners = zip([0, *edges.tolist()], [*edges.tolist(), len(ids)], strict=True) if len(ids) else ()
+        yield from _batches(((int(ties[lo] % parts), None, None, ids[lo : lo + 1].tobytes(), ties[lo : lo + 1].tobytes(), places[lo:hi].tobytes(), (places[lo:hi] + 1).astype("<i4").tobytes()) for lo, hi in owners), schema)
 
     for batch in batches:
         for i in range(batch.num_rows):
@@ -166,9 +188,7 @@ def _judge(table: pa.Table, parts: int) -> pa.Table:
         h, x, i, t, s = h[order], x[order], i[order], t[order], s[order].astype(np.int64)
         order = np.lexsort((s, t, i, x, h))
         h, x, i, t, s = h[order], x[order], i[order], t[order], s[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (x[1:] != x[:-1])
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        lead = _first(h, x)
         # a place seen twice (the same row read in two slices) is one place
         later = (i != i[lead]) | (t != t[lead]) | (s != s[lead])
         gone.append((i[later], t[later], s[later], s[later] + 1))
@@ -265,7 +285,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
     A word is removed if a window over it also starts earlier: in a document of smaller id or earlier in its own. Windows are
     judged on the input. A null or empty text has no words; a text of fewer than ``window`` words keeps them; a table without
     rows gives none. Columns of ``docs`` named as a result are replaced. The removals are broadcast up to
-    ``common.BROADCAST_BYTES`` on disk and joined by a shuffle beyond."""
+    ``common.BROADCAST_BYTES`` in memory and joined by a shuffle beyond."""
     found = removals(docs, id_col, text, window)
     keyed = docs.select("*", *text_key(text, id_col))
     joined = keyed.join(sized(found), ["_lamella_id", "_lamella_tie"], "left").drop("_lamella_id", "_lamella_tie")

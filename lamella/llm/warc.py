@@ -45,11 +45,12 @@ def planned(records: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
     Of payloads that are equal (same SHA-256) and have ``least`` bytes or more, the smallest id is the response; rows that repeat
     that id are responses too. A null payload is empty, one of any length is hashed whole. A null id revisits an equal payload
     that has an id; null ids among themselves are all responses. An empty table gives no rows; columns other than the three
-    are left out. Where the list of equal payloads is too large for a broadcast, payloads move once, those of one digest
+    are left out. Where the list of equal payloads is too large for a broadcast, payloads move once, those of a hot digest
     spread over many tasks."""
     made = records.withColumn("payload", F.coalesce("payload", F.lit(b""))).withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
-    owners = made.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("id").alias("owner"), F.count("*").alias("c")).where("c > 1 and owner is not null").select("digest", "owner")
-    joined = spread_join(made.select("id", "uri", "payload", "digest", "bytes"), materialise(owners, "equal"), ["digest"], "left")
+    owners = made.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("id").alias("owner"), F.count("*").alias("c")).where("c > 1 and owner is not null")
+    owners = materialise(owners, "equal")
+    joined = spread_join(made.select("id", "uri", "payload", "digest", "bytes"), owners.select("digest", "owner"), ["digest"], "left", counts=owners.select("digest", F.col("c").alias("rows")))
     revisit = F.col("owner").isNotNull() & (F.col("bytes") >= least) & ~F.col("id").eqNullSafe(F.col("owner"))
     return joined.select("id", "uri", "payload", "digest", "bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("owner")).alias("refers_to"))
 
