@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.expr import alpha_of, clamp, guarded, index_in_layer, masked, siblings
+from ..functions.expr import alpha_of, clamp, index_in_layer, masked, power, siblings, straight
 from ..functions.linear import fold, hue_matrix
 from ..sources.image import DeepImage, per_pixel
 
@@ -44,7 +45,7 @@ def gain(image: DeepImage, value: float = 1.0, **rule) -> DeepImage:
 def gamma(image: DeepImage, value: Triple = (1, 1, 1), **rule) -> DeepImage:
     def f(c: str, v: Column, a: Column) -> Column:
         g = _of(value, c)
-        return v if g is None or g == 1 else F.pow(v, F.lit(1 / min(max(g, GAMMA_RANGE[0]), GAMMA_RANGE[1])))
+        return v if g is None or g == 1 else power(v, 1 / min(max(g, GAMMA_RANGE[0]), GAMMA_RANGE[1]))
 
     return masked(image, f, **rule)
 
@@ -102,7 +103,7 @@ def grade_numbers(blackpoint: float, whitepoint: float, black: float, white: flo
 
 def graded(v: Column, numbers: tuple[float, float, float], reverse: bool, black_clamp: bool, white_clamp: bool) -> Column:
     a, b, g = numbers
-    raised = lambda x: x if g == 1 else F.pow(x, F.lit(g))
+    raised = lambda x: x if g == 1 else power(x, g)
     out = raised(v) * a + b if reverse else raised(v * a + b)
     out = F.greatest(out, F.lit(0.0)) if black_clamp else out
     return F.least(out, F.lit(1.0)) if white_clamp else out
@@ -126,7 +127,7 @@ def grade(image: DeepImage, reverse: bool = False, black_clamp: bool = False, wh
 
 
 def _layer(image: DeepImage, c: str, alpha: Column) -> list[Column]:
-    return [guarded(image.channel(s), alpha) for s in siblings(image, c)]
+    return [straight(image, s, alpha) for s in siblings(image, c)]
 
 
 @per_pixel
@@ -169,7 +170,8 @@ Curve = Sequence[tuple[float, float]]
 def tangents(points: Curve) -> list[float]:
     """Slopes of a smooth curve at its points: that from the point before to the point after, at the ends that of the end segment."""
     n = len(points)
-    return [(points[min(i + 1, n - 1)][1] - points[max(i - 1, 0)][1]) / (points[min(i + 1, n - 1)][0] - points[max(i - 1, 0)][0]) for i in range(n)]
+    exact = [(Fraction(repr(float(a))), Fraction(repr(float(b)))) for a, b in points]  # differences of the numbers as written
+    return [float((exact[min(i + 1, n - 1)][1] - exact[max(i - 1, 0)][1]) / (exact[min(i + 1, n - 1)][0] - exact[max(i - 1, 0)][0])) for i in range(n)]
 
 
 def curve(v: Column, points: Curve, smooth: bool = False) -> Column:
@@ -189,7 +191,8 @@ def curve(v: Column, points: Curve, smooth: bool = False) -> Column:
         if smooth:
             t = (v - x0) / width
             rise, bend = slopes[i] * width, slopes[i + 1] * width
-            piece = ((t * (2 * (y0 - y1) + rise + bend) + (3 * (y1 - y0) - 2 * rise - bend)) * t + rise) * t + y0
+            square, cube = 2.0 * t * t, 2.0 * t * t * t
+            piece = (cube - 3.0 * t * t + 1.0) * y0 + (t * t * t - square + t) * rise + (3.0 * t * t - cube) * y1 + (t * t * t - t * t) * bend
             if i == len(points) - 2:
                 piece = F.when(v > x1, (v - x1) * slopes[-1] + y1).otherwise(piece)
             if i == 0:

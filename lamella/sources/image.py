@@ -47,12 +47,14 @@ class DeepImage:
 
     Box and format may be functions, for images whose size takes a job to find out. Missing channels read as 0, except alpha,
     which reads as 1. A pixel without samples has no row. ``recipe`` makes the part of the image inside a box from no more of
-    its inputs than that part needs."""
+    its inputs than that part needs. ``straight`` is the table with columns more, the channels that a per-sample operator has just
+    multiplied by alpha as they were before: the next one goes on from those, as a quotient of the product needn't be the same."""
 
     df: DataFrame
     bbox: Box = Known()
     format: tuple[int, int] = Known()
     recipe: Callable[[Box], DeepImage] | None = None
+    straight: DataFrame | None = None
 
     @property
     def channels(self) -> list[str]:
@@ -61,7 +63,7 @@ class DeepImage:
     def but(self, **changes) -> DeepImage:
         """The image with some fields changed. What isn't known yet stays so; another table has no recipe unless one is given."""
         made = object.__new__(DeepImage)
-        made.__dict__.update(self.__dict__ | {"recipe": None} | changes)
+        made.__dict__.update(self.__dict__ | {"recipe": None} | ({"straight": None} if "df" in changes else {}) | changes)
         return made
 
     def with_df(self, df: DataFrame) -> DeepImage:
