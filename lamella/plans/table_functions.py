@@ -1,7 +1,8 @@
 """The operators as table functions of SQL: ``SELECT * FROM deep_thin(TABLE(samples), tolerance => 0.5)``.
 
-A function's ``analyze`` takes the table's columns for its result and asks Spark for whole pixels in depth order, so the query
-needs no PARTITION BY; Spark shuffles once, by pixel, as for the operators on DataFrames. A pixel's rows are held until its last.
+A function's ``analyze`` takes the table's columns for its result and asks Spark for tiles of whole pixels in depth order, so the
+query needs no PARTITION BY; Spark shuffles once, by tile. Rows are held until there are enough for array operations over many
+pixels, or until a pixel's last.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from ..sources.image import DEPTH_ORDER, PIXEL, PLACE
 
 #: The arrays that columns of each type become; channels are doubles.
 WHOLE = {"x": np.int64, "y": np.int64, "s": np.int64}
+#: Pixels on each side of the tiles that Spark deals, and samples that are held of one, unless one pixel has more.
+SIDE, HELD = 32, 20_000
 
 
 def _thin(samples: Samples, **settings) -> Samples:
@@ -58,27 +61,42 @@ def table_function(apply: Callable[..., Samples], parameters: tuple[str, ...]) -
                 raise ValueError(f"the table has no columns {missing}")
             if any(v.value is None for v in settings.values()):
                 raise ValueError("parameters are constants other than null")
-            return AnalyzeResult(schema=samples.dataType, partitionBy=[PartitioningColumn(c) for c in PIXEL], orderBy=[OrderingColumn(c) for c in DEPTH_ORDER if c in names])
+            return AnalyzeResult(
+                schema=samples.dataType,
+                partitionBy=[PartitioningColumn(f"floor({c} / {SIDE})") for c in PIXEL],
+                orderBy=[OrderingColumn(c) for c in (*PIXEL, *DEPTH_ORDER) if c in names],
+            )
 
         def __init__(self):
-            self.rows, self.settings = [], {}
+            self.rows, self.pixel, self.settings = [], None, {}
 
         def eval(self, row, **settings):
+            ready = None
+            if len(self.rows) >= HELD:
+                if self.pixel is None:
+                    self.pixel = (self.rows[-1].x, self.rows[-1].y)
+                if (row.x, row.y) != self.pixel:  # what is held is whole pixels
+                    ready, self.rows, self.pixel = self.made(), [], None
             self.rows.append(row)
             self.settings = settings
+            return ready
 
         def terminate(self):
+            return self.made()
+
+        def made(self) -> list[tuple]:
             if not self.rows:
-                return
+                return []
             names = self.rows[0].__fields__
             columns = {}
             for n, values in zip(names, zip(*self.rows, strict=True), strict=True):
-                empty = 1.0 if n == "alpha" else 0.0
-                columns[n] = np.array(values, WHOLE[n]) if n in WHOLE else np.array([empty if v is None and n not in PLACE else v for v in values], float)
+                if n not in PLACE and None in values:
+                    values = [(1.0 if n == "alpha" else 0.0) if v is None else v for v in values]
+                columns[n] = np.array(values, WHOLE.get(n, float))
             settings = {k: float(v) if type(v).__name__ == "Decimal" else v for k, v in self.settings.items()}
             with np.errstate(all="ignore"):
                 made = apply(Samples(columns), **settings)
-            yield from zip(*[made[n].tolist() for n in names], strict=True)
+            return list(zip(*[made[n].tolist() for n in names], strict=True))
 
     return Function
 
