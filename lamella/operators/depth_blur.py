@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import depth_weights
 from ..sources.image import PLACE, DeepImage, per_pixel
-from .ordered import pixel_window, with_alpha
+from .ordered import with_alpha
+from .tidy import powers
+from .walk import Samples, walked
 
 FAINT = 1e-6
 
@@ -18,7 +21,8 @@ def depth_blur(image: DeepImage, spread: float = 1.0, num_samples: int = 5, fall
 
     A part's alpha is ``1 - (1 - a) ** w``; parts below 1e-6 aren't made. With a ``gate`` only samples that reach one of the
     gate's samples in their pixel are spread, and in pixels where the gate has none all (``empty_gate='spread'``) or none.
-    Samples and gate are swept together by depth. Then overlaps are cut back."""
+    Samples and gate are swept together by depth. Then overlaps are cut back. Parts are made in a walk over a pixel's sorted
+    samples, so only the samples themselves are shuffled and sorted."""
     spread, n = max(spread, 0.0), max(num_samples, 1)
     if spread < 1e-6 or n <= 1:
         return image
@@ -30,18 +34,34 @@ def depth_blur(image: DeepImage, spread: float = 1.0, num_samples: int = 5, fall
     if gate is not None:
         df = _touched(df, gate.df, spread / 2)
         spreads = spreads & F.when(F.col("_gated"), F.col("_touched")).otherwise(F.lit(empty_gate == "spread"))
-    flat = sample_type == "flat"
-    parts = []
-    for i, w in enumerate(depth_weights(n, falloff)):
-        centre = F.col("front") - spread / 2 + half + i * step
-        alpha = 1 - F.pow(1 - F.col("alpha"), F.lit(w))
-        parts.append(F.struct(F.lit(i).alias("i"), (centre if flat else centre - half).alias("f"), (centre if flat else centre + half).alias("b"), alpha.alias("a"), (alpha / F.col("alpha")).alias("r")))
-    same = F.array(F.struct(F.lit(0).alias("i"), F.col("front").alias("f"), F.col("back").alias("b"), F.col("alpha").alias("a"), F.lit(1.0).alias("r")))
-    rows = df.select(*image.df.columns, F.explode(F.when(spreads, F.filter(F.array(*parts), lambda p: p["a"] >= FAINT)).otherwise(same)).alias("_p"))
-    made = {"front": F.col("_p.f"), "back": F.col("_p.b"), "alpha": F.col("_p.a"), "s": F.col("s") * n + F.col("_p.i")}
-    rows = rows.select(*[(made[c] if c in made else F.col(c) if c in PLACE else F.col(c) * F.col("_p.r")).alias(c) for c in image.df.columns])
-    after = F.lead("front").over(pixel_window(rows))
-    return image.with_df(rows.withColumn("back", F.least("back", F.coalesce(after, F.col("back")))))
+    weights, flat = np.array(depth_weights(n, falloff)), sample_type == "flat"
+
+    def spread_out(samples: Samples) -> dict[str, np.ndarray]:
+        wide = np.flatnonzero(samples["_spreads"])
+        alpha = samples.alpha[wide]
+        parts = 1 - powers(np.repeat(1 - alpha, n), np.tile(weights, len(wide)))
+        of, i = np.divmod(np.flatnonzero(parts >= FAINT), n)
+        parts, of = parts[parts >= FAINT], wide[of]
+        same = np.flatnonzero(~samples["_spreads"])
+        source = np.concatenate((of, same))
+        centre = samples["front"][of] - spread / 2 + half + i * step
+        made = {c: v[source] for c, v in samples.columns.items()}
+        share = np.concatenate((parts / samples.alpha[of], np.ones(len(same))))
+        for c in samples.channels:
+            if c != "_spreads":
+                made[c] = made[c] * share
+        made["front"][: len(of)], made["back"][: len(of)] = (centre, centre) if flat else (centre - half, centre + half)
+        made["alpha"][: len(of)], made["s"] = parts, made["s"].astype(np.int64) * n
+        made["s"][: len(of)] += i
+        pixel = samples.pixel[source]
+        order = np.lexsort((made["s"], made["back"], made["front"], pixel))
+        made, pixel = {c: v[order] for c, v in made.items()}, pixel[order]
+        follows = np.flatnonzero(pixel[1:] == pixel[:-1])
+        made["back"][follows] = np.minimum(made["back"][follows], made["front"][follows + 1])
+        return made
+
+    rows = df.select(*image.df.columns, F.coalesce(spreads, F.lit(False)).alias("_spreads"))
+    return image.with_df(walked(rows, spread_out).drop("_spreads"))
 
 
 def _touched(df: DataFrame, gate: DataFrame, reach: float) -> DataFrame:
