@@ -19,7 +19,7 @@ from ..functions.kernels import plane_kernel, radius
 from ..sources.image import PLACE, Box, DeepImage, common, grown, per_pixel
 from .ordered import pixel_window
 from .tidy import tidied, unpremultiplied
-from .walk import Samples, merged, starts_of, to_arrays, to_batch
+from .walk import Samples, blocks, merged, starts_of, to_arrays, to_batch
 
 #: Pixels a tile has on each side: so many at least, and so many times the kernel's reach.
 SIDE, REACHES = 32, 8
@@ -88,7 +88,7 @@ def _dealt(df: DataFrame, kernel: Kernel, side: int) -> DataFrame:
     return rows.repartition("_tx", "_ty").sortWithinPartitions("_tx", "_ty")
 
 
-def _blurred(image: DeepImage, width: float, height: float, quality: str, merge_tolerance: float, color_tolerance: float, max_samples: int, box: Box | None) -> DeepImage:
+def _blurred(image: DeepImage, width: float, height: float, quality: str, merge_tolerance: float, color_tolerance: float, max_samples: int, box: Box | None, correct: bool = False) -> DeepImage:
     rx, ry = radius(width), radius(height)
     if rx == 0 and ry == 0:
         return image
@@ -106,7 +106,8 @@ def _blurred(image: DeepImage, width: float, height: float, quality: str, merge_
             for samples, region in kernel.regions(Samples(to_arrays(table, names)), (x0, y0, x1, y1)):
                 scattered = kernel.scattered(samples, region)
                 if scattered.size:
-                    yield to_batch(merged(tidied(scattered), merge_tolerance, compared, max_samples), target)
+                    out = merged(tidied(scattered), merge_tolerance, compared, max_samples)
+                    yield to_batch(_corrected(out) if correct else out, target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -128,7 +129,7 @@ def _blurred(image: DeepImage, width: float, height: float, quality: str, merge_
     whole = image
 
     def part(asked: Box) -> DeepImage:
-        return _blurred(whole, width, height, quality, merge_tolerance, color_tolerance, max_samples, asked if box is None else common(asked, box))
+        return _blurred(whole, width, height, quality, merge_tolerance, color_tolerance, max_samples, asked if box is None else common(asked, box), correct)
 
     return image.but(df=out, bbox=box or (lambda: grown(image.bbox, rx, ry)), recipe=part)
 
@@ -139,9 +140,20 @@ def blur(image: DeepImage, blur_width: float = 1.0, blur_height: float = 1.0, ma
 
 
 def blur2(image: DeepImage, blur_size: tuple[float, float] = (1.0, 1.0), kernel_quality: str = "medium", alpha_correction: bool = False, max_samples: int = 100, merge_tolerance: float = 0.001, color_tolerance: float = 0.01, box: Box | None = None) -> DeepImage:
-    """The separable blur in three qualities. Its two passes have the same samples as one with the product of the weights."""
-    out = _blurred(image, *blur_size, kernel_quality, merge_tolerance, color_tolerance, max_samples, box)
-    return corrected(out) if alpha_correction and out is not image else out
+    """The separable blur in three qualities. Its two passes have the same samples as one with the product of the weights.
+
+    ``alpha_correction`` is as ``corrected``, done where a pixel's samples are made, so that these aren't shuffled for it."""
+    return _blurred(image, *blur_size, kernel_quality, merge_tolerance, color_tolerance, max_samples, box, alpha_correction and "alpha" in image.df.columns)
+
+
+def _corrected(samples: Samples) -> Samples:
+    """``corrected`` of sorted samples: alphas are added from front to back."""
+    before = np.zeros(samples.size)
+    for _, at, n in blocks(samples.starts, samples.size):
+        added, inside = np.add.accumulate(samples.alpha[at[:-1]], axis=0), np.arange(1, len(at))[:, None] < n
+        before[at[1:][inside]] = added[inside]
+    let = np.where(1 - before > 1e-6, 1 - before, 1.0)
+    return Samples({c: v if c in PLACE else v / let for c, v in samples.columns.items()})
 
 
 @per_pixel
