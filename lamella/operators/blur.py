@@ -1,13 +1,15 @@
 """Blurs across pixels: each sample is scattered to the pixels around it, where the samples that meet are optimised.
 
 Samples are dealt to square tiles of pixels. A tile also gets those of the pixels within the kernel's reach, so what the shuffle
-copies grows with the tiles' edges, and the kernel is applied after it, inside the tile, region by region. A box asked of the
+copies grows with the tiles' edges, and the kernel is applied after it, inside the tile, region by region. Where a pixel keeps no
+more than so many merged samples, what it gets is made and tidied from the front on until there are so many. A box asked of the
 result is widened by the reach before it gets to the scan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.kernels import plane_kernel, radius
 from ..sources.image import PLACE, Box, DeepImage, common, grown, per_pixel
 from .ordered import pixel_window
-from .tidy import tidied, unpremultiplied
-from .walk import Samples, blocks, merged, starts_of, to_arrays, to_batch
+from .tidy import frontmost, unpremultiplied
+from .walk import Samples, blocks, by_number, ids_of, starts_of, to_arrays, to_batch
 
 #: Pixels a tile has on each side: so many at least, and so many times the kernel's reach.
 SIDE, REACHES = 32, 8
@@ -38,29 +40,21 @@ class Kernel:
     def __len__(self) -> int:
         return len(self.weight)
 
-    def scattered(self, samples: Samples, box: Box) -> Samples:
-        """What the pixels of ``box`` get of ``samples``, sorted by pixel and depth. s is renumbered, so that it stays a total order."""
-        x, y = (samples[c].astype(np.int64)[:, None] for c in ("x", "y"))
-        x, y = x + self.dx, y + self.dy
-        of, entry = np.nonzero((x >= box[0]) & (x < box[2]) & (y >= box[1]) & (y < box[3]))
-        x, y = x[of, entry], y[of, entry]
+    def scattered(self, samples: Samples, box: Box) -> Scattered:
+        """What the pixels of ``box`` get of ``samples``, sorted by pixel and depth."""
         keys = [samples[c] for c in ("s", "back", "front") if c in samples.columns]
         order = np.lexsort(keys)
         first = starts_of(*(k[order] for k in keys))
-        rank = np.empty(samples.size, np.int64)
-        rank[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, samples.size)))
-        key = (((y - box[1]) * (box[2] - box[0]) + x - box[0]) * max(len(first), 1) + rank[of]) * len(self) + entry
-        order = np.argsort(key, kind="stable")
-        of, entry = of[order], entry[order]
-        made = {"x": x[order], "y": y[order]}
-        for c, v in samples.columns.items():
-            if c == "s":
-                made[c] = v[of].astype(np.int64) * len(self) + entry
-            elif c in ("front", "back"):
-                made[c] = v[of]
-            elif c not in made:
-                made[c] = v[of] * self.weight[entry]
-        return Samples({c: made[c] for c in samples.columns})
+        ties = np.diff(np.append(first, samples.size))
+        group = ids_of(first, samples.size)
+        # in the order of depth, s and entry: of samples at one depth with one s, all have their first entry, then all the next
+        place = (first[group] * len(self) + np.arange(samples.size) - first[group])[:, None] + np.arange(len(self)) * ties[group][:, None]
+        of, entry = (np.empty(place.size, np.int64) for _ in range(2))
+        of[place], entry[place] = order[:, None], np.arange(len(self))
+        x, y = (samples[c].astype(np.int64)[of] + d[entry] for c, d in (("x", self.dx), ("y", self.dy)))
+        into = np.flatnonzero((x >= box[0]) & (x < box[2]) & (y >= box[1]) & (y < box[3]))
+        at = into[by_number((y[into] - box[1]) * (box[2] - box[0]) + x[into] - box[0])]
+        return Scattered(samples, of[at], entry[at], x[at], y[at], self)
 
     def regions(self, samples: Samples, box: Box) -> Iterator[tuple[Samples, Box]]:
         """Boxes that make up ``box``, each with the samples that reach into it, so that few enough are scattered at a time."""
@@ -78,6 +72,43 @@ class Kernel:
             yield from self.regions(samples, half)
 
 
+@dataclass(frozen=True)
+class Scattered:
+    """Samples that pixels get, by the sample they are made ``of`` and the kernel's ``entry``; columns are made for those asked for."""
+
+    samples: Samples
+    of: np.ndarray
+    entry: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    kernel: Kernel
+
+    @property
+    def size(self) -> int:
+        return len(self.of)
+
+    @property
+    def starts(self) -> np.ndarray:
+        return starts_of(self.x, self.y)
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        """A column that places samples in depth, as it was."""
+        return self.samples[name][self.of]
+
+    def take(self, at: np.ndarray) -> Samples:
+        """s is renumbered, so that it stays a total order."""
+        of, entry = self.of[at], self.entry[at]
+        made = {"x": self.x[at], "y": self.y[at]}
+        for c, v in self.samples.columns.items():
+            if c == "s":
+                made[c] = v[of].astype(np.int64) * len(self.kernel) + entry
+            elif c in ("front", "back"):
+                made[c] = v[of]
+            elif c not in made:
+                made[c] = v[of] * self.kernel.weight[entry]
+        return Samples({c: made[c] for c in self.samples.columns})
+
+
 def _dealt(df: DataFrame, kernel: Kernel, side: int) -> DataFrame:
     """The samples by the tile (_tx, _ty) they are needed in: their own, and those that they reach."""
 
@@ -106,7 +137,7 @@ def _blurred(image: DeepImage, width: float, height: float, quality: str, merge_
             for samples, region in kernel.regions(Samples(to_arrays(table, names)), (x0, y0, x1, y1)):
                 scattered = kernel.scattered(samples, region)
                 if scattered.size:
-                    out = merged(tidied(scattered), merge_tolerance, compared, max_samples)
+                    out = frontmost(scattered, merge_tolerance, compared, max_samples)
                     yield to_batch(_corrected(out) if correct else out, target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

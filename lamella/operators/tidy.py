@@ -8,13 +8,16 @@ it ends for every input.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Protocol
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..sources.image import PIXEL, PLACE, DeepImage, per_pixel
-from .walk import Colours, Samples, blocks, composite, let_through, merged, starts_of, totals, walked
+from .walk import Colours, Samples, blocks, by_number, capped, composite, group_starts, joined, let_through, merged, starts_of, totals, walked
 
 FAINT = 1e-6
 #: Cut pieces that are held at a time, unless one interval has more.
@@ -32,21 +35,23 @@ class Sweep:
     def __init__(self, samples: Samples):
         n, front, back = samples.size, samples["front"], samples["back"]
         both, of = np.concatenate((front, back)), np.concatenate((samples.pixel, samples.pixel))
-        order = np.lexsort((both, of))
+        order = np.argsort(both)
+        order = order[by_number(of[order])]
         first = starts_of(of[order], both[order])
         self.samples, self.edges, self.pixel = samples, both[order][first], of[order][first]
         rank = np.empty(2 * n, np.int64)
         rank[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, 2 * n)))
         lo, hi = rank[:n], rank[n:]
-        volumes = np.flatnonzero(hi > lo)
-        self.points = np.flatnonzero(hi <= lo)
+        volumes, points = np.flatnonzero(hi > lo), np.flatnonzero(hi <= lo)
+        self.points = points[np.lexsort((*([samples["s"][points]] if "s" in samples.columns else []), hi[points], lo[points]))]
+        self.begins = lo[self.points]
         order = volumes[np.argsort(samples["s"][volumes], kind="stable")] if "s" in samples.columns else volumes
         self.volumes, self.lo, self.hi = order, lo[order], hi[order]
         cover = np.bincount(self.lo, minlength=len(first) + 1) - np.bincount(self.hi, minlength=len(first) + 1)
         self.ends = np.cumsum(np.cumsum(cover)[: len(first)])  # pieces up to each interval
 
     def intervals(self) -> list[tuple[Samples, np.ndarray]]:
-        """What is seen in each interval that a volume covers, block by block, and of which pixel it is."""
+        """What is seen in each interval that a volume covers, block by block, and which edge it begins at."""
         out, at, last = [], 0, len(self.edges)
         entering = np.argsort(self.lo, kind="stable")
         entered = np.searchsorted(self.lo[entering], np.arange(last + 1), "left")
@@ -88,7 +93,7 @@ class Sweep:
                 made[c] = np.minimum.reduceat(v[source], starts)
             elif c not in made:
                 made[c] = totals((cut if c == "alpha" else v[source] * share) * t, starts, dealt)
-        return Samples({c: made[c] for c in samples.columns}), self.pixel[place[starts]]
+        return Samples({c: made[c] for c in samples.columns}), place[starts]
 
 
 def tidied(samples: Samples) -> Samples:
@@ -96,15 +101,58 @@ def tidied(samples: Samples) -> Samples:
         return samples
     sweep = Sweep(samples)
     parts = sweep.intervals()
-    if len(sweep.points):  # what has no extent covers no interval; of several at one place one sample is made
-        at, pixel = sweep.points, samples.pixel
-        order = at[np.lexsort((samples["s"][at] if "s" in samples.columns else at, samples["back"][at], samples["front"][at], pixel[at]))]
-        starts = starts_of(pixel[order], samples["front"][order], samples["back"][order])
-        parts.append((composite(samples.take(order), starts), pixel[order][starts]))
-    whole = Samples({c: np.concatenate([p[c] for p, _ in parts]) for c in samples.columns})
-    if len(sweep.points):
-        whole = whole.take(np.lexsort((whole["back"], whole["front"], np.concatenate([n for _, n in parts]))))
-    return whole
+    if not len(sweep.points):
+        return joined([p for p, _ in parts])
+    # what has no extent covers no interval; of several at one place one sample is made
+    order = samples.take(sweep.points)
+    starts = starts_of(sweep.begins, order["back"])
+    parts.insert(0, (composite(order, starts), sweep.begins[starts]))
+    # before the interval that begins at its front; both are sorted, so they are only merged
+    return joined([p for p, _ in parts]).take(np.argsort(np.concatenate([e for _, e in parts]), kind="stable"))
+
+
+class Sorted(Protocol):
+    """Samples sorted by pixel and depth, whose columns needn't be made before some are taken."""
+
+    size: int
+    starts: np.ndarray
+
+    def __getitem__(self, name: str) -> np.ndarray: ...
+
+    def take(self, at: np.ndarray) -> Samples: ...
+
+
+def frontmost(samples: Sorted, tolerance: float, compared: Callable[[Samples], Colours] | None, cap: int) -> Samples:
+    """The frontmost ``cap`` groups of each pixel's tidied samples, composited (0: all): the same as ``merged(tidied(samples))``.
+
+    A pixel's samples are taken as far as a depth where about ``cap`` lie before. What is tidied there and ends by that depth, and the
+    groups that begin there, don't hang on what lies behind; so if more than ``cap`` begin, the first ``cap`` are whole. The
+    other pixels are taken anew, twice as far, and so on until nothing is left behind: the work stays in proportion to the samples."""
+    if cap <= 0:
+        return merged(tidied(samples.take(np.arange(samples.size))), tolerance, compared)
+    front, starts = samples["front"], samples.starts
+    least = np.fmin(front, samples["back"])  # a depth behind the front may also cut what lies before
+    lengths, left, most, out = np.diff(np.append(starts, samples.size)), np.arange(len(starts)), cap, []
+    while len(left):
+        whole = lengths[left] <= most
+        depth = np.where(whole, np.inf, front[starts[left] + np.minimum(most, lengths[left] - 1)])
+        of = np.repeat(np.arange(len(left)), lengths[left])
+        at = np.arange(len(of)) + (starts[left] - np.cumsum(lengths[left]) + lengths[left])[of]
+        near = whole[of] | (least[at] < depth[of])
+        part, of = samples.take(at[near]), of[near]
+        tidy = tidied(part)
+        if tidy.size:
+            of = of[part.starts][tidy.pixel]
+            before = np.flatnonzero(whole[of] | ((tidy["front"] < depth[of]) & (tidy["back"] <= depth[of])))
+            tidy, of = tidy.take(before), of[before]
+        begins = group_starts(tidy, tolerance, compared)
+        done = whole | (np.bincount(of[begins], minlength=len(left)) > cap)
+        new = np.zeros(tidy.size, bool)
+        new[begins] = True
+        ready = np.flatnonzero(done[of])
+        out.append(composite(*capped(tidy.take(ready), np.flatnonzero(new[ready]), cap)))
+        left, most = left[~done], most * 2
+    return joined(out) if out else samples.take(np.arange(samples.size))
 
 
 @per_pixel
@@ -124,7 +172,7 @@ def unpremultiplied(tolerance: float):
 
 
 def optimised(df: DataFrame, merge_tolerance: float = 0.001, color_tolerance: float = 0.01, max_samples: int = 100) -> DataFrame:
-    return walked(df, lambda x: merged(tidied(x), merge_tolerance, unpremultiplied(color_tolerance), max_samples))
+    return walked(df, lambda x: frontmost(x, merge_tolerance, unpremultiplied(color_tolerance), max_samples))
 
 
 @per_pixel

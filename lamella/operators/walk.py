@@ -70,6 +70,11 @@ class Samples:
         return Samples({n: c[at] for n, c in self.columns.items()})
 
 
+def joined(parts: Sequence[Samples]) -> Samples:
+    """One after the other."""
+    return parts[0] if len(parts) == 1 else Samples({c: np.concatenate([p[c] for p in parts]) for c in parts[0].columns})
+
+
 def starts_of(*keys: np.ndarray) -> np.ndarray:
     """Where runs of equal keys begin."""
     if not len(keys[0]):
@@ -81,6 +86,11 @@ def starts_of(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def by_number(numbers: np.ndarray) -> np.ndarray:
+    """The stable order of numbers from 0 on; what fits 16 bits is sorted by counting."""
+    return np.argsort(numbers.astype(np.uint16) if not len(numbers) or numbers.max() < 1 << 16 else numbers, kind="stable")
+
+
 def ids_of(starts: np.ndarray, size: int) -> np.ndarray:
     flags = np.zeros(size, np.int64)
     flags[starts[1:]] = 1
