@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..sources.image import PIXEL, PLACE, DeepImage, per_pixel
-from .walk import Colours, Samples, blocks, by_number, capped, composite, group_starts, joined, let_through, merged, starts_of, totals, walked
+from .walk import Colours, Samples, blocks, by_number, composite, group_starts, joined, let_through, merged, picked, places, starts_of, totals, walked
 
 FAINT = 1e-6
 #: Cut pieces that are held at a time, unless one interval has more.
@@ -43,9 +43,11 @@ class Sweep:
         rank[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, 2 * n)))
         lo, hi = rank[:n], rank[n:]
         volumes, points = np.flatnonzero(hi > lo), np.flatnonzero(hi <= lo)
-        self.points = points[np.lexsort((*([samples["s"][points]] if "s" in samples.columns else []), hi[points], lo[points]))]
+        for key in (*([samples["s"]] if "s" in samples.columns else []), hi, lo):
+            points = points[by_number(key[points])]
+        self.points = points
         self.begins = lo[self.points]
-        order = volumes[np.argsort(samples["s"][volumes], kind="stable")] if "s" in samples.columns else volumes
+        order = volumes[by_number(samples["s"][volumes])] if "s" in samples.columns else volumes
         self.volumes, self.lo, self.hi = order, lo[order], hi[order]
         cover = np.bincount(self.lo, minlength=len(first) + 1) - np.bincount(self.hi, minlength=len(first) + 1)
         self.ends = np.cumsum(np.cumsum(cover)[: len(first)])  # pieces up to each interval
@@ -53,8 +55,8 @@ class Sweep:
     def intervals(self) -> list[tuple[Samples, np.ndarray]]:
         """What is seen in each interval that a volume covers, block by block, and which edge it begins at."""
         out, at, last = [], 0, len(self.edges)
-        entering = np.argsort(self.lo, kind="stable")
-        entered = np.searchsorted(self.lo[entering], np.arange(last + 1), "left")
+        entering = by_number(self.lo)
+        entered = np.append(0, np.cumsum(np.bincount(self.lo, minlength=last)))
         active = np.empty(0, np.int64)
         while at < last:
             done = int(self.ends[at - 1]) if at else 0
@@ -143,14 +145,11 @@ def frontmost(samples: Sorted, tolerance: float, compared: Callable[[Samples], C
         tidy = tidied(part)
         if tidy.size:
             of = of[part.starts][tidy.pixel]
-            before = np.flatnonzero(whole[of] | ((tidy["front"] < depth[of]) & (tidy["back"] <= depth[of])))
-            tidy, of = tidy.take(before), of[before]
         begins = group_starts(tidy, tolerance, compared)
-        done = whole | (np.bincount(of[begins], minlength=len(left)) > cap)
-        new = np.zeros(tidy.size, bool)
-        new[begins] = True
-        ready = np.flatnonzero(done[of])
-        out.append(composite(*capped(tidy.take(ready), np.flatnonzero(new[ready]), cap)))
+        pixel = of[begins]
+        sure = whole[pixel] | ((tidy["front"][begins] < depth[pixel]) & (tidy["back"][begins] <= depth[pixel]))
+        done = whole | (np.bincount(pixel[sure], minlength=len(left)) > cap)
+        out.append(composite(*picked(tidy, begins, done[pixel] & (places(pixel) < cap))))
         left, most = left[~done], most * 2
     return joined(out) if out else samples.take(np.arange(samples.size))
 

@@ -87,8 +87,9 @@ def starts_of(*keys: np.ndarray) -> np.ndarray:
 
 
 def by_number(numbers: np.ndarray) -> np.ndarray:
-    """The stable order of numbers from 0 on; what fits 16 bits is sorted by counting."""
-    return np.argsort(numbers.astype(np.uint16) if not len(numbers) or numbers.max() < 1 << 16 else numbers, kind="stable")
+    """The stable order of whole numbers; those that fit 16 bits are sorted by counting."""
+    small = len(numbers) and numbers.min() >= 0 and numbers.max() < 1 << 16
+    return np.argsort(numbers.astype(np.uint16) if small else numbers, kind="stable")
 
 
 def ids_of(starts: np.ndarray, size: int) -> np.ndarray:
@@ -222,10 +223,18 @@ def capped(samples: Samples, starts: np.ndarray, cap: int) -> tuple[Samples, np.
     """The first ``cap`` runs of each pixel (0: all)."""
     if cap <= 0 or not samples.size:
         return samples, starts
-    pixel = samples.pixel[starts]
-    place = np.arange(len(starts)) - np.searchsorted(pixel, pixel, "left")
-    keep = place < cap
-    inside = keep[ids_of(starts, samples.size)]
+    return picked(samples, starts, places(samples.pixel[starts]) < cap)
+
+
+def places(pixel: np.ndarray) -> np.ndarray:
+    """How many before it are of the same pixel."""
+    first = starts_of(pixel)
+    return np.arange(len(pixel)) - np.repeat(first, np.diff(np.append(first, len(pixel))))
+
+
+def picked(samples: Samples, starts: np.ndarray, keep: np.ndarray) -> tuple[Samples, np.ndarray]:
+    """The runs that are to be kept."""
+    inside = keep[ids_of(starts, samples.size)] if samples.size else np.empty(0, bool)
     lengths = np.diff(np.append(starts, samples.size))[keep]
     return samples.take(np.flatnonzero(inside)), np.cumsum(lengths) - lengths
 
